@@ -190,7 +190,14 @@ def month_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("month", "file_count", F.explode("source_files").alias("table"))
 
 
-register("a11_month_info", month_info)
+register(
+    "a11_month_info",
+    month_info,
+    with_cost(
+        "SELECT month, count(*) OVER () AS file_count, \"table\" FROM (SELECT billing_ym AS month, \"table\", rows"
+        f" FROM ({_STORED_COUNTS})) WHERE rows > 0 AND month = (SELECT max(billing_ym) FROM fact)"
+    ),
+)
 
 # ---- contracts ---------------------------------------------------------------------------
 
@@ -398,7 +405,7 @@ for _i, _name in enumerate(rollups.ROLLUP, 1):
     )
 register(
     "d11_row_counts",
-    lambda s, d: rollups.row_counts(mart.build(extracted(s, d))),
+    lambda s, d: rollups.row_counts(mart.build_single_pass(extracted(s, d))),
     with_cost(
         " UNION ALL ".join(
             ["SELECT 'fact_sagemaker_costs' AS \"table\", count(*) AS rows FROM fact"]
@@ -408,10 +415,15 @@ register(
 )
 register(
     "d12_result_profile",
-    lambda s, d: numeric_profile(rollups.summarise(facts(s, d), "agg_endpoint_hours")),
+    lambda s, d: numeric_profile(rollups.summarise(facts(s, d), "agg_endpoint_hours")).select(
+        "column", *[F.round(c, 4).alias(c) for c in ("sum", "mean", "min", "max")]
+    ),
     with_cost(
-        f"SELECT 'hours' AS \"column\", sum(hours) AS sum, avg(hours) AS mean, min(hours) AS min, max(hours) AS max FROM ({summary_sql('agg_endpoint_hours')})"
-        f" UNION ALL SELECT 'cost', cast(sum(cast(cost AS decimal(24,4))) AS double), avg(cost), min(cost), max(cost) FROM ({summary_sql('agg_endpoint_hours')})"
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", round(sum({c}), 4) AS sum, round(avg({c}), 4) AS mean, round(min({c}), 4) AS min,"
+            f" round(max({c}), 4) AS max FROM ({summary_sql('agg_endpoint_hours')})"
+            for c in ("hours", "cost")
+        )
     ),
 )
 register(

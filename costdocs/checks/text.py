@@ -60,17 +60,17 @@ def _lines_sql(source: str, key: str, text: str) -> str:
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_source.page_documents(pages(spark, sf_dir), headings.headings)
+    rows = page_source.page_documents(pages(spark, sf_dir))
     return rows.select(
-        "page_id", "url", "source", "title", F.concat_ws("|", F.col("headers")["H1"]).alias("h1"), F.length("html").alias("n")
+        "page_id", "url", "source", "title", F.concat_ws("|", F.col("headers")["H1"]).alias("h1")
     )
 
 
 register(
     "a12_page_load",
     loaded,
-    f"""SELECT page_id, url, concat({STEM_SQL}, '.html') AS source, trim({_ENTITIES.format(TITLE_SQL)}, {_SPACE}) AS title,
- array_to_string([trim({_ENTITIES.format(_TAGLESS.format('h'))}, {_SPACE}) for h in {H1_SQL}], '|') AS h1, length(html) AS n FROM pages""",
+    f"""SELECT page_id, url, concat({STEM_SQL}, '.html') AS source, trim({_SHOWN.format(TITLE_SQL)}, {_SPACE}) AS title,
+ array_to_string([trim({_SHOWN.format(_TAGLESS.format('h'))}, {_SPACE}) for h in {H1_SQL}], '|') AS h1 FROM pages""",
 )
 register(
     "i01_plain_text",
@@ -130,7 +130,7 @@ register(
 
 _LINKS_SQL = f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS position, text,
  concat('https://docs.aws.amazon.com', href) AS url, href FROM (
- SELECT page_id, pos, trim({_ENTITIES.format(_TAGLESS.format('a'))}, {_SPACE}) AS text, {_ENTITIES.format("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href FROM (
+ SELECT page_id, pos, trim({_SHOWN.format(_TAGLESS.format('a'))}, {_SPACE}) AS text, {_SHOWN.format("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href FROM (
   SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>')) AS a,
    generate_subscripts(regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>'), 1) AS pos FROM pages))
  WHERE contains(lower(href), '{LINK_WORD}') OR contains(lower(text), '{LINK_WORD}')"""
@@ -176,7 +176,7 @@ register(
         "sagemaker_links_count",
         "found_services_count",
     ),
-    f"""SELECT p.page_id AS page_id, trim({_ENTITIES.format(TITLE_SQL)}, {_SPACE}) AS title, len({H1_SQL}) AS h1, 0 AS h2,
+    f"""SELECT p.page_id AS page_id, trim({_SHOWN.format(TITLE_SQL)}, {_SPACE}) AS title, len({H1_SQL}) AS h1, 0 AS h2,
  coalesce(l.n, 0) AS sagemaker_links_count, coalesce(s.n, 0) AS found_services_count FROM pages p
  LEFT JOIN (SELECT page_id, count(*) AS n FROM ({_LINKS_SQL}) GROUP BY 1) l ON p.page_id = l.page_id
  LEFT JOIN (SELECT page_id, count(*) AS n FROM ({_SERVICES_SQL}) GROUP BY 1) s ON p.page_id = s.page_id""",
@@ -213,7 +213,7 @@ register(
 
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.page_documents(pages(spark, sf_dir), headings.headings)
+    return page_source.page_documents(pages(spark, sf_dir))
 
 
 _MARKED = _SHOWN.format(

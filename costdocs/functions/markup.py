@@ -1,6 +1,6 @@
 """HTML tree work that regular expressions cannot do, as Arrow-batched functions.
 
-One small stdlib parser walks a page once; what it collects is chosen by the caller.
+Each function walks a page once with the stdlib parser and returns only what is asked for.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW_TEXT = {"script", "style"}
-HEADINGS = {"h1", "h2", "h3"}
+LEVELS = ("H1", "H2", "H3")
+HEADINGS = {level.lower() for level in LEVELS}
 
 # What the text form and the markup form of cleaning leave out.
 TEXT_DROP_TAGS = {"header", "footer", "nav", "aside", "script", "style"}
@@ -24,34 +25,61 @@ TEXT_DROP_CLASSES = {"breadcrumb", "sidebar"}
 MARKUP_DROP_TAGS = {"script", "style", "nav", "footer", "aside"}
 MARKUP_DROP_DIV = re.compile(r"sidebar|nav|toc|breadcrumb")
 
-SECTION_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("section_order", T.IntegerType()),
-            T.StructField("own_header", T.StringType()),
-            T.StructField("content", T.StringType()),
-        ]
-    )
-)
+_STRINGS = T.ArrayType(T.StringType())
 LINK_TYPE = T.ArrayType(
     T.StructType([T.StructField("text", T.StringType()), T.StructField("href", T.StringType())])
 )
+HEADERS_TYPE = T.MapType(T.StringType(), _STRINGS)
+FACTS_TYPE = T.StructType(
+    [
+        T.StructField("title", T.StringType()),
+        *[T.StructField(level, _STRINGS) for level in LEVELS],
+        T.StructField("links", LINK_TYPE),
+        T.StructField("text", T.StringType()),
+    ]
+)
+PARTS_TYPE = T.StructType(
+    [
+        T.StructField("title_tag", T.StringType()),
+        *[T.StructField(level, T.StringType()) for level in LEVELS],
+        T.StructField(
+            "sections",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("section_order", T.IntegerType()),
+                        T.StructField("own_header", T.StringType()),
+                        T.StructField("content", T.StringType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
+
 
+def no_text(tag: str, classes: list[str]) -> bool:
+    return tag in RAW_TEXT
 
-def _dropped_from_text(tag: str, classes: list[str]) -> bool:
+
+def text_boilerplate(tag: str, classes: list[str]) -> bool:
     return tag in TEXT_DROP_TAGS or not TEXT_DROP_CLASSES.isdisjoint(classes)
 
 
-def _dropped_from_markup(tag: str, classes: list[str]) -> bool:
+def markup_boilerplate(tag: str, classes: list[str]) -> bool:
     return tag in MARKUP_DROP_TAGS or (
         tag == "div" and any(MARKUP_DROP_DIV.search(c) for c in [*classes, " ".join(classes)])
     )
 
 
+def all_boilerplate(tag: str, classes: list[str]) -> bool:
+    return text_boilerplate(tag, classes) or markup_boilerplate(tag, classes)
+
+
 class PageWalk(HTMLParser):
     """Calls ``start``, ``end`` and ``text`` for every part of a page outside dropped elements."""
 
-    def __init__(self, dropped=lambda tag, classes: False):
+    def __init__(self, dropped=no_text):
         super().__init__(convert_charrefs=True)
         self.dropped = dropped
         self.open: list[str] = []
@@ -60,6 +88,8 @@ class PageWalk(HTMLParser):
     def run(self, html: str) -> "PageWalk":
         self.feed(html)
         self.close()
+        while self.open:
+            self._close_last()
         return self
 
     def handle_starttag(self, tag, attrs):
@@ -80,16 +110,17 @@ class PageWalk(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in self.open:
-            return
-        while self.open:
-            closed = self.open.pop()
-            if self.skip_depth is None:
-                self.end(closed)
-            elif len(self.open) == self.skip_depth:
-                self.skip_depth = None
-            if closed == tag:
-                return
+        if tag in self.open:
+            while self._close_last() != tag:
+                pass
+
+    def _close_last(self) -> str:
+        tag = self.open.pop()
+        if self.skip_depth is None:
+            self.end(tag)
+        elif len(self.open) == self.skip_depth:
+            self.skip_depth = None
+        return tag
 
     def handle_data(self, data):
         if self.skip_depth is None:
@@ -105,51 +136,79 @@ class PageWalk(HTMLParser):
         pass
 
 
-def normal_form(text: str) -> str:
-    return text if text.isascii() else unicodedata.normalize("NFKC", text)
+class Parts(PageWalk):
+    """Text cut before every heading, and the texts of the title and of all headings."""
 
+    def __init__(self, dropped):
+        super().__init__(dropped)
+        self.sections: list[tuple[list[str], list[str]]] = [([], [])]
+        self.elements: dict[str, list[list[str]]] = {}
+        self.collecting: list[tuple[str, list[str]]] = []
 
-def _new_lines(text: str, seen: set[str]) -> list[str]:
-    """Stripped lines not met before; ``seen`` is extended."""
-    kept = []
-    for line in normal_form(text).splitlines():
-        line = line.strip()
-        if line and line not in seen:
-            seen.add(line)
-            kept.append(line)
-    return kept
+    def start(self, tag, attributes):
+        if tag in HEADINGS:
+            self.sections.append(([], []))
+        if tag in HEADINGS or tag == "title":
+            words: list[str] = []
+            self.elements.setdefault(tag, []).append(words)
+            self.collecting.append((tag, words))
 
+    def end(self, tag):
+        if self.collecting and self.collecting[-1][0] == tag:
+            self.collecting.pop()
+
+    def text(self, data):
+        lines, header = self.sections[-1]
+        lines.append(data)
+        for tag, words in self.collecting:
+            words.append(data)
+        if any(tag in HEADINGS for tag, _ in self.collecting):
+            header.append(data)
+
+    def first(self, tag: str) -> str | None:
+        """The first element's text as it stands in markup."""
+        found = self.elements.get(tag)
+        return escape("".join(found[0]), quote=False).strip() if found else None
 
-class Sections(PageWalk):
-    """Text outside boilerplate, cut before every heading."""
+
+class Facts(PageWalk):
+    """Title, headings, anchors and visible text."""
 
     def __init__(self):
-        super().__init__(_dropped_from_text)
-        self.parts: list[list[str]] = [[]]
-        self.headers: list[list[str]] = [[]]
-        self.in_heading = False
+        super().__init__(no_text)
+        self.words: list[str] = []
+        self.elements: dict[str, list[list[str]]] = {}
+        self.anchors: list[tuple[str, list[str]]] = []
+        self.collecting: list[tuple[str, list[str]]] = []
 
     def start(self, tag, attributes):
-        if tag in HEADINGS:
-            self.parts.append([])
-            self.headers.append([])
-            self.in_heading = True
+        if tag not in HEADINGS and tag not in ("title", "a"):
+            return
+        words: list[str] = []
+        self.collecting.append((tag, words))
+        if tag != "a":
+            self.elements.setdefault(tag, []).append(words)
+        elif "href" in attributes:
+            self.anchors.append((attributes["href"], words))
 
     def end(self, tag):
-        if tag in HEADINGS:
-            self.in_heading = False
+        if self.collecting and self.collecting[-1][0] == tag:
+            self.collecting.pop()
 
     def text(self, data):
-        self.parts[-1].append(data)
-        if self.in_heading:
-            self.headers[-1].append(data)
+        self.words.append(data)
+        for _, words in self.collecting:
+            words.append(data)
+
+    def all(self, tag: str) -> list[str]:
+        return ["".join(words).strip() for words in self.elements.get(tag, [])]
 
 
 class Rewriter(PageWalk):
     """The page as markup again, without dropped elements."""
 
     def __init__(self):
-        super().__init__(_dropped_from_markup)
+        super().__init__(markup_boilerplate)
         self.out: list[str] = []
 
     def start(self, tag, attributes):
@@ -160,8 +219,7 @@ class Rewriter(PageWalk):
         self.out.append(f"</{tag}>")
 
     def text(self, data):
-        raw = self.open and self.open[-1] in RAW_TEXT
-        self.out.append(data if raw else escape(data, quote=False))
+        self.out.append(escape(data, quote=False))
 
     def handle_comment(self, data):
         if self.skip_depth is None:
@@ -171,120 +229,122 @@ class Rewriter(PageWalk):
         if self.skip_depth is None:
             self.out.append(f"<!{decl}>")
 
-    def close(self):
-        super().close()
-        while self.open:
-            tag = self.open.pop()
-            if self.skip_depth is None:
-                self.end(tag)
-            elif len(self.open) == self.skip_depth:
-                self.skip_depth = None
-
-
-class VisibleText(PageWalk):
-    """All text but scripts and styles."""
-
-    def __init__(self):
-        super().__init__(lambda tag, classes: tag in RAW_TEXT)
-        self.out: list[str] = []
-
-    def text(self, data):
-        self.out.append(data)
-
 
 class TopicLinks(PageWalk):
     """Anchors inside the first ``div`` of class ``topics``."""
 
     def __init__(self):
-        super().__init__()
+        super().__init__(no_text)
         self.depth: int | None = None
         self.done = False
-        self.links: list[dict] = []
-        self.anchors: list[dict] = []
+        self.links: list[tuple[str, list[str]]] = []
+        self.collecting: list[list[str]] = []
 
     def start(self, tag, attributes):
         if tag == "div" and self.depth is None and not self.done:
             if "topics" in attributes.get("class", "").split():
                 self.depth = len(self.open)
         elif tag == "a" and self.depth is not None:
-            link = {"text": "", "href": attributes.get("href", "")}
-            self.links.append(link)
-            self.anchors.append(link)
+            words: list[str] = []
+            self.links.append((attributes.get("href", ""), words))
+            self.collecting.append(words)
 
     def end(self, tag):
-        if tag == "a" and self.anchors:
-            self.anchors.pop()
+        if tag == "a" and self.collecting:
+            self.collecting.pop()
         if self.depth is not None and len(self.open) == self.depth:
-            self.depth, self.done, self.anchors = None, True, []
+            self.depth, self.done, self.collecting = None, True, []
 
     def text(self, data):
-        for link in self.anchors:
-            link["text"] += data
+        for words in self.collecting:
+            words.append(data)
+
+
+def normal_form(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFKC", text)
 
 
-def page_text(html: str | None) -> str | None:
-    """Boilerplate-free text of a page: one line per text node, each distinct line once."""
-    if html is None:
-        return None
-    walk = Sections().run(html)
-    return "\n".join(_new_lines("\n".join(d for part in walk.parts for d in part), set()))
+def _new_lines(text: str, seen: set[str]) -> list[str]:
+    """Stripped lines not met before; ``seen`` is extended."""
+    kept = []
+    for line in normal_form(text).splitlines():
+        line = line.strip()
+        if line and line not in seen:
+            seen.add(line)
+            kept.append(line)
+    return kept
 
 
-def page_sections(html: str | None) -> list[dict] | None:
-    """The text of :func:`page_text`, cut at headings; blank sections are left out."""
-    if html is None:
-        return None
-    walk = Sections().run(html)
+def _cut(walk: Parts) -> list[dict]:
+    """Sections with text; a line is kept at its first place in the page only."""
     seen: set[str] = set()
     out: list[dict] = []
-    for part, header in zip(walk.parts, walk.headers):
-        lines = _new_lines("\n".join(part), seen)
+    for words, header in walk.sections:
+        lines = _new_lines("\n".join(words), seen)
         if lines:
             name = normal_form("".join(header)).strip()
             out.append({"section_order": len(out), "own_header": name or None, "content": "\n".join(lines)})
     return out
 
 
-def page_markup(html: str | None) -> str | None:
-    return None if html is None else "".join(Rewriter().run(html).out)
+def page_text(html: str) -> str:
+    """Text outside boilerplate: one line per text node, each distinct line once."""
+    return "\n".join(s["content"] for s in _cut(Parts(text_boilerplate).run(html)))
 
 
-def visible_text(html: str | None) -> str | None:
-    return None if html is None else "".join(VisibleText().run(html).out)
+def page_parts(html: str) -> dict:
+    """Title, first heading of each level and sections, outside all boilerplate."""
+    walk = Parts(all_boilerplate).run(html)
+    firsts = {level: walk.first(level.lower()) for level in LEVELS}
+    return {"title_tag": walk.first("title"), **firsts, "sections": _cut(walk)}
 
 
-def topic_links(html: str | None) -> list[dict] | None:
-    if html is None:
-        return None
-    links = TopicLinks().run(html).links
-    return [{"text": x["text"].strip(), "href": x["href"]} for x in links if x["href"]]
+def page_facts(html: str) -> dict:
+    walk = Facts().run(html)
+    return {
+        "title": next(iter(walk.all("title")), None),
+        **{level: walk.all(level.lower()) for level in LEVELS},
+        "links": [{"text": "".join(words).strip(), "href": href} for href, words in walk.anchors],
+        "text": "".join(walk.words),
+    }
 
 
-@F.pandas_udf(T.StringType())
-def page_text_udf(html: pd.Series) -> pd.Series:
-    return html.map(page_text)
+def page_markup(html: str) -> str:
+    return "".join(Rewriter().run(html).out)
 
 
-@F.pandas_udf(SECTION_TYPE)
-def page_sections_udf(html: pd.Series) -> pd.Series:
-    return html.map(page_sections)
+def topic_links(html: str) -> list[dict]:
+    links = TopicLinks().run(html).links
+    return [{"text": "".join(words).strip(), "href": href} for href, words in links if href]
 
 
 @F.pandas_udf(T.StringType())
-def page_markup_udf(html: pd.Series) -> pd.Series:
-    return html.map(page_markup)
+def page_text_udf(html: pd.Series) -> pd.Series:
+    return html.map(page_text, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def visible_text_udf(html: pd.Series) -> pd.Series:
-    return html.map(visible_text)
+def page_markup_udf(html: pd.Series) -> pd.Series:
+    return html.map(page_markup, na_action="ignore")
 
 
 @F.pandas_udf(LINK_TYPE)
 def topic_links_udf(html: pd.Series) -> pd.Series:
-    return html.map(topic_links)
+    return html.map(topic_links, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
 def nfkc_udf(text: pd.Series) -> pd.Series:
     return text.map(normal_form, na_action="ignore")
+
+
+@F.pandas_udf(PARTS_TYPE)
+def page_parts_udf(html: pd.Series) -> pd.DataFrame:
+    rows = [page_parts(h if h is not None else "") for h in html]
+    return pd.DataFrame(rows, columns=PARTS_TYPE.fieldNames())
+
+
+@F.pandas_udf(FACTS_TYPE)
+def page_facts_udf(html: pd.Series) -> pd.DataFrame:
+    rows = [page_facts(h if h is not None else "") for h in html]
+    return pd.DataFrame(rows, columns=FACTS_TYPE.fieldNames())

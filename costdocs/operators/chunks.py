@@ -5,36 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costdocs.functions.markup import page_sections_udf
+from costdocs.functions.markup import LEVELS, page_parts_udf
 from costdocs.functions.splitter import split_column, window_column
 from costdocs.functions.text import first_filled, title_case
-from costdocs.operators.headings import LEVELS, heading_texts, title_tag
 
 DEFAULT_URL = "https://docs.aws.amazon.com/sagemaker/"
 DEFAULT_SECTION = "General"
 
 
-def _first_heading(level: str) -> Column:
-    return F.get(heading_texts(F.col("html"), level), F.lit(0))
-
-
 def sections(documents: DataFrame) -> DataFrame:
     """Text of each page cut at H1 to H3, without boilerplate and repeated lines.
 
-    Every section carries the first H1, H2 and H3 of its page, and its own header. Input
-    columns ``source``, ``url``, ``title`` and ``html``; others are carried along.
+    Every section carries the first H1, H2 and H3 of its page, and its own header. Needs
+    ``source``, ``url`` and ``html``; other columns are carried along. The page is parsed
+    once and only its parts come back from Python.
     """
     carried = [c for c in documents.columns if c not in ("html", "headers", "scraped_at")]
-    firsts = [x for level in LEVELS for x in (F.lit(level), _first_heading(level))]
-    headed = documents.select(
-        *carried,
-        F.map_filter(F.create_map(*firsts), lambda _, v: v.isNotNull()).alias("section_headers"),
-        title_tag(F.col("html")).alias("title_tag"),
-        page_sections_udf("html").alias("_sections"),
+    parts = F.col("_parts")
+    firsts = F.create_map(*[x for level in LEVELS for x in (F.lit(level), parts[level])])
+    return (
+        documents.select(*carried, page_parts_udf("html").alias("_parts"))
+        .select(
+            *carried,
+            F.map_filter(firsts, lambda _, text: text != "").alias("section_headers"),
+            parts["title_tag"].alias("title_tag"),
+            F.explode(parts["sections"]).alias("_section"),
+        )
+        .select(*carried, "section_headers", "title_tag", "_section.*")
     )
-    return headed.select(
-        *carried, "section_headers", "title_tag", F.explode("_sections").alias("_section")
-    ).select(*carried, "section_headers", "title_tag", "_section.*")
 
 
 def chunk_id(stem: Column, section_order: Column, chunk_order: Column) -> Column:
@@ -70,10 +68,11 @@ def window_chunks(texts: DataFrame, key: str, text: str, size: int = 1200, overl
 def attach_metadata(chunks: DataFrame, version_date: str, doc_type: str = "developer-guide") -> DataFrame:
     """Version, type, order, title, section and URL of every chunk.
 
-    Needs ``section_headers`` (map from level to text), ``title_tag``, ``title``, ``source``,
-    ``url`` and ``chunk_order``.
+    Needs ``section_headers`` (map from level to text), ``title_tag``, ``source``, ``url`` and
+    ``chunk_order``; a ``title`` column is used when there is one.
     """
     headers = F.col("section_headers")
+    titles = [F.col(c) for c in ("title_tag", "title") if c in chunks.columns]
     return chunks.withColumns(
         {
             "version_date": F.lit(version_date),
@@ -81,8 +80,7 @@ def attach_metadata(chunks: DataFrame, version_date: str, doc_type: str = "devel
             "order": F.col("chunk_order"),
             "title": first_filled(
                 F.try_element_at(headers, F.lit("H1")),
-                F.col("title_tag"),
-                F.col("title"),
+                *titles,
                 title_case(source_stem()),
             ),
             "section": first_filled(

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """The first row, by ``order``, of every ``key``.
+    """The first row, by ``order``, of every ``key``; rows that tie are told apart by the other columns.
 
     A group may hold a large part of all rows (boilerplate, copies), so no window sorts it
     in one task: the minimum is taken inside each map task and merged after the shuffle.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    first = F.min_by(row, F.struct(*[F.col(c) for c in order]))
-    return df.groupBy(key.alias("_key")).agg(first.alias("_row")).select("_row.*")
+    rest = [c for c in df.columns if c not in order]
+    row = F.min(F.struct(*order, *rest)).alias("_row")
+    return df.groupBy(key.alias("_key")).agg(row).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def prefix_key(text: Column, length: int = 100) -> Column:
@@ -37,5 +37,8 @@ def dedup_by_hash(df: DataFrame, order: Sequence[str], hash_column: str = "text_
 
 
 def drop_known(df: DataFrame, store: DataFrame, hash_column: str = "text_hash") -> DataFrame:
-    """Rows whose hash is not in the store. Run it after :func:`dedup_by_hash`: then no hash is hot."""
-    return df.join(store.select(hash_column).distinct(), hash_column, "left_anti").select(*df.columns)
+    """Rows whose hash is not in the store. Run it after :func:`dedup_by_hash`: then no hash is hot.
+
+    The store holds every hash once, so it needs no de-duplication here.
+    """
+    return df.join(store.select(hash_column), hash_column, "left_anti").select(*df.columns)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costdocs.functions.markup import LEVELS
 from costdocs.functions.text import decode_entities, distinct_lines, strip_space, strip_tags
 
-LEVELS = ("H1", "H2", "H3")
 BOILERPLATE_TAGS = ("header", "footer", "nav", "aside", "script", "style")
 
 
@@ -24,15 +24,6 @@ def heading_texts(html: Column, level: str) -> Column:
     return F.transform(found, lambda x: strip_space(strip_tags(x)))
 
 
-def headings(html: Column) -> tuple[Column, Column]:
-    """Title (empty without one) and a map from level to heading texts, entities decoded."""
-    pairs = []
-    for level in LEVELS:
-        texts = F.transform(heading_texts(html, level), lambda x: strip_space(decode_entities(x)))
-        pairs += [F.lit(level), texts]
-    return F.coalesce(strip_space(decode_entities(title_tag(html))), F.lit("")), F.create_map(*pairs)
-
-
 def _numbered(texts: Column, level: str) -> Column:
     return F.transform(
         texts, lambda text, i: F.struct(F.lit(level).alias("level"), i.alias("position"), text.alias("text"))

@@ -8,9 +8,9 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costdocs.functions.markup import topic_links_udf, visible_text_udf
-from costdocs.functions.text import contains_any, decode_entities, first_filled, strip_space, strip_tags
-from costdocs.operators.headings import headings
+from costdocs.functions.markup import page_facts_udf, topic_links_udf
+from costdocs.functions.text import contains_any, first_filled
+from costdocs.sources.pages import header_map
 
 BASE_URL = "https://docs.aws.amazon.com/sagemaker/latest/dg/"
 LINK_WORD = "sagemaker"
@@ -44,9 +44,6 @@ SERVICES = (
     "Amazon SageMaker Debugger",
 )
 
-HREF = r"""(?is)^<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-
-
 def _without_dot_segments(path: Column) -> Column:
     """``a/./b/../c`` to ``a/c``."""
     def step(done: Column, part: Column) -> Column:
@@ -81,21 +78,9 @@ def absolute_url(href: Column, base: str = BASE_URL) -> Column:
     )
 
 
-def anchors(html: Column) -> Column:
-    """All anchors with a target, as an array of (text, href)."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0))
-
-    def parts(anchor: Column) -> Column:
-        href = first_filled(*[F.regexp_extract(anchor, HREF, i) for i in (1, 2, 3)])
-        text = strip_space(decode_entities(strip_tags(anchor)))
-        return F.struct(text.alias("text"), decode_entities(href).alias("href"))
-
-    return F.filter(F.transform(found, parts), lambda x: x["href"].isNotNull())
-
-
-def matching_links(html: Column, word: str = LINK_WORD, base: str = BASE_URL) -> Column:
+def matching_links(anchors: Column, word: str = LINK_WORD, base: str = BASE_URL) -> Column:
     """Anchors whose target or text holds the word, as an array of (text, url, href)."""
-    hits = F.filter(anchors(html), lambda x: contains_any([x["href"], x["text"]], [word]))
+    hits = F.filter(anchors, lambda x: (x["href"] != "") & contains_any([x["href"], x["text"]], [word]))
     return F.transform(
         hits,
         lambda x: F.struct(x["text"].alias("text"), absolute_url(x["href"], base).alias("url"), x["href"].alias("href")),
@@ -103,9 +88,13 @@ def matching_links(html: Column, word: str = LINK_WORD, base: str = BASE_URL) ->
 
 
 def page_links(pages: DataFrame, word: str = LINK_WORD, base: str = BASE_URL) -> DataFrame:
-    return pages.select(
-        "page_id", F.posexplode(matching_links(F.col("html"), word, base)).alias("position", "link")
-    ).select("page_id", "position", "link.*")
+    """One row per matching link of a page."""
+    links = matching_links(F.col("facts.links"), word, base)
+    return (
+        pages.select("page_id", page_facts_udf("html").alias("facts"))
+        .select("page_id", F.posexplode(links).alias("position", "link"))
+        .select("page_id", "position", "link.*")
+    )
 
 
 def page_topics(pages: DataFrame, base: str = BASE_URL) -> DataFrame:
@@ -124,7 +113,7 @@ def found_services(text: Column, services: Sequence[str] = SERVICES) -> Column:
 
 def service_mentions(pages: DataFrame, services: Sequence[str] = SERVICES) -> DataFrame:
     """One row per page and service named in its visible text."""
-    text = pages.select("page_id", visible_text_udf("html").alias("text"))
+    text = pages.select("page_id", page_facts_udf("html")["text"].alias("text"))
     return text.select("page_id", F.explode(found_services(F.col("text"), services)).alias("service"))
 
 
@@ -132,15 +121,15 @@ def page_structures(
     pages: DataFrame, word: str = LINK_WORD, services: Sequence[str] = SERVICES, base: str = BASE_URL
 ) -> DataFrame:
     """The structure record of every page: title, headings, counts, services, links."""
-    title, headers = headings(F.col("html"))
-    found = pages.select(
+    facts = F.col("facts")
+    found = pages.select("page_id", "url", page_facts_udf("html").alias("facts")).select(
         "page_id",
         "url",
-        first_filled(title, F.lit("Unknown")).alias("title"),
-        headers.alias("headers"),
-        matching_links(F.col("html"), word, base).alias("sagemaker_links"),
-        visible_text_udf("html").alias("_text"),
-    ).withColumn("found_services", found_services(F.col("_text"), services))
+        first_filled(facts["title"], F.lit("Unknown")).alias("title"),
+        header_map(facts).alias("headers"),
+        matching_links(facts["links"], word, base).alias("sagemaker_links"),
+        found_services(facts["text"], services).alias("found_services"),
+    )
     return found.select(
         "page_id",
         "url",

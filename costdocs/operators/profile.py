@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,26 +13,38 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def _numbers(df: DataFrame) -> list[Column]:
+    measures = (("sum", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))
+    return [
+        F.struct(
+            F.lit(name).alias("column"),
+            *[
+                F.coalesce(measure(F.col(f"`{name}`")).cast("double"), F.lit(0.0)).alias(label)
+                for label, measure in measures
+            ],
+        ).alias(f"_{i}")
+        for i, name in enumerate(numeric_columns(df))
+    ]
+
+
 def numeric_profile(df: DataFrame) -> DataFrame:
     """Sum, mean, min and max of every numeric column, 0.0 when there are no values; one pass."""
-    columns = numeric_columns(df)
-    if not columns:
+    numbers = _numbers(df)
+    if not numbers:
         return df.sparkSession.createDataFrame([], PROFILE_TYPE)
-    measures = (("sum", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))
-    numbers = df.agg(
-        *[
-            F.struct(
-                F.lit(name).alias("column"),
-                *[
-                    F.coalesce(measure(F.col(f"`{name}`")).cast("double"), F.lit(0.0)).alias(label)
-                    for label, measure in measures
-                ],
-            ).alias(f"c{i}")
-            for i, name in enumerate(columns)
-        ]
-    )
-    return numbers.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(columns))])))
+    return df.agg(*numbers).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(numbers))])))
 
 
 def result_size(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("row_count")).withColumn("column_count", F.lit(len(df.columns)))
+
+
+def summary(df: DataFrame) -> dict:
+    """Row count and numbers of a result, collected as one row from one pass."""
+    row = df.agg(F.count("*").alias("row_count"), *_numbers(df)).first()
+    numbers = [part.asDict() for part in row[1:]]
+    return {
+        "row_count": row["row_count"],
+        "column_count": len(df.columns),
+        "numeric_summary": {n.pop("column"): n for n in numbers},
+    }

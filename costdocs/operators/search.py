@@ -149,13 +149,16 @@ def top_k(
     out = T.StructType([*(T.StructField(n, t) for n, t in kinds.items()), T.StructField("raw_score", T.DoubleType())])
 
     head = right.limit(max_local_queries + 1).toArrow()
-    if head.num_rows <= max_local_queries:
+    few = head.num_rows <= max_local_queries
+    if few:
         scan = _local_scan(_plain(head["query_id"]), _unit_rows(head["query_vector"]), k, schema)
         hits = left.mapInArrow(scan, out)
     else:
         hits = _block_hits(left, right, k, schema, out, block_bytes)
     best_first = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
-    return hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    # The number of hits is known here: a few of them go to the tables they are joined with.
+    return F.broadcast(ranked) if few and head.num_rows * k <= MAX_HIT_ROWS else ranked
 
 
 def _block_hits(left: DataFrame, right: DataFrame, k: int, schema: pa.Schema, out: T.StructType, block_bytes: int):
@@ -200,17 +203,14 @@ def contexts(
     top_n: int = TOP_N,
     text: str = "text",
     key: str = "vec_id",
-    hit_rows: int | None = None,
 ) -> DataFrame:
     """Context rows (query_id, rank, id, text, score, metadata) of the gated hits.
 
     ``texts`` has the corpus key, the text and any of ``id``, ``chunk_id`` and the metadata
-    columns. With ``hit_rows`` within its bound the hits are sent to the texts, so that the
-    texts need no shuffle.
+    columns. Hits within the bound of :func:`top_k` are sent to the texts, which then need no
+    shuffle.
     """
     chosen = gated(hits, threshold, top_n).withColumnRenamed("id", "_hit")
-    if hit_rows is not None and hit_rows <= MAX_HIT_ROWS:
-        chosen = F.broadcast(chosen)
     have = set(texts.columns)
     names = [F.col(c) if c in have else F.lit(None).cast("string") for c in ("id", "chunk_id")]
     metadata = [
@@ -235,8 +235,7 @@ def retrieve(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Contexts of every query: top ``k``, mean gate, first ``top_n``."""
-    rows = queries.count() * top_n
-    return contexts(top_k(corpus, queries, k), texts, threshold, top_n, hit_rows=rows)
+    return contexts(top_k(corpus, queries, k), texts, threshold, top_n)
 
 
 def search(corpus: DataFrame, queries: DataFrame, texts: DataFrame, top_n: int = 5) -> DataFrame:

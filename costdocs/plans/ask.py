@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from costdocs.operators.guard import run_guarded
-from costdocs.operators.profile import numeric_profile
+from costdocs.operators.profile import summary
 from costdocs.plans.mart import catalog_json, read_mart, resolve_month
 
 SAMPLE_ROWS = 5
@@ -32,14 +32,11 @@ def ask(spark: SparkSession, question: str, sql: str, base: str, month: str = "l
         chosen = resolve_month(spark, base, month)
         views = read_mart(spark, base, chosen)
         result = run_guarded(spark, sql, views)
-        numbers = {r["column"]: {k: r[k] for k in ("sum", "mean", "min", "max")} for r in numeric_profile(result).collect()}
         record = {
             "answer": None,
             "sql": sql,
             "sample_rows": [r.asDict() for r in result.limit(SAMPLE_ROWS).collect()],
-            "row_count": result.count(),
-            "column_count": len(result.columns),
-            "numeric_summary": numbers,
+            **summary(result),
             "source_files": sorted(views),
             "intent": "sql",
             "error": False,

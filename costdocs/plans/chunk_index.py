@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from costdocs.operators.chunks import attach_metadata, chunk, chunk_manifest, flat_metadata, sections
 from costdocs.operators.dedup import dedup_by_hash, drop_known, with_text_hash
-from costdocs.operators.headings import headings
-from costdocs.sources.pages import page_documents
+from costdocs.sources.pages import page_source
 from costdocs.sources.scratch import scratch_path
 
 ORDER = ["source", "url", "section_order", "chunk_order"]
@@ -24,8 +23,13 @@ def page_chunks(
     overlap: int = 120,
     limit: int | None = None,
 ) -> DataFrame:
-    """Chunks with metadata of all pages, copies included."""
-    documents = page_documents(pages, headings, limit)
+    """Chunks with metadata of all pages, copies included.
+
+    Sections are cut from the raw page: boilerplate goes in the same walk, so the cleaned
+    markup need not be written out in between.
+    """
+    df = pages.limit(limit) if limit else pages
+    documents = df.select("page_id", "url", page_source(F.col("url")).alias("source"), "html")
     return attach_metadata(chunk(sections(documents), size, overlap), version_date, doc_type)
 
 

@@ -15,6 +15,9 @@ from costdocs.sources.cost import COST_COLUMNS, CUR_SCHEMA
 from costdocs.sources.scratch import scratch_path
 
 SCHEMA_VERSION = "1.0"
+STAGED_SUMMARIES = (
+    "key1 string, key2 string, hours double, unblended double, blended double, billing_ym string, table string"
+)
 MONTH = "billing_ym"
 
 
@@ -34,7 +37,7 @@ def build_single_pass(line_items: DataFrame) -> dict[str, DataFrame]:
     costs = fact(line_items)
     path = scratch_path(spark, "summaries")
     summarise_all(costs).write.partitionBy("table").parquet(path)
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema(STAGED_SUMMARIES).parquet(path)
     return {FACT_TABLE: costs, **{name: pick(rows, name) for name in ROLLUP}}
 
 
@@ -59,34 +62,40 @@ def _aligned(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table_schema(table).fields])
 
 
-def write_mart(spark: SparkSession, line_items: DataFrame, base: str, csv: bool = False) -> DataFrame:
+def write_mart(
+    spark: SparkSession, line_items: DataFrame, base: str, csv: bool = False, rebalance: bool = True
+) -> DataFrame:
     """Write all months of ``line_items``: each table as Parquet by month, then the manifest.
 
     The fact table is written first and the summaries are made from its written columns, so
-    the input is read once. Rows are rebalanced by month: a month that holds much of the data
-    is split over several tasks, small ones share a task. Line items without a month belong to
-    no month's mart. The whole mart is replaced; see :func:`write_month` for a single month.
+    the input is read once. With ``rebalance`` rows are moved together by month: a month that
+    holds much of the data is split over several tasks, small ones share a task. Leave it out
+    when the input files are laid out by month already; then the fact table needs no shuffle.
+    Line items without a month belong to no month's mart. The whole mart is replaced; see
+    :func:`write_month` for a single month.
     """
-    _write_tables(spark, line_items.where(F.col(MONTH).isNotNull()), base, None, csv)
+    _write_tables(spark, line_items.where(F.col(MONTH).isNotNull()), base, None, csv, rebalance)
     return write_manifest(spark, base, None)
 
 
 def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: str, csv: bool = False) -> DataFrame:
     """Write one month and leave the others. An empty table replaces an older file as well."""
-    _write_tables(spark, line_items.where(F.col(MONTH) == month), base, month, csv)
+    _write_tables(spark, line_items.where(F.col(MONTH) == month), base, month, csv, False)
     return write_manifest(spark, base, month)
 
 
-def _write_tables(spark: SparkSession, line_items: DataFrame, base: str, month: str | None, csv: bool) -> None:
-    _write(_aligned(fact(line_items), FACT_TABLE).hint("rebalance", MONTH), base, FACT_TABLE, month, csv)
+def _write_tables(
+    spark: SparkSession, line_items: DataFrame, base: str, month: str | None, csv: bool, rebalance: bool
+) -> None:
+    costs = _aligned(fact(line_items), FACT_TABLE)
+    _write(costs.hint("rebalance", MONTH) if rebalance else costs, base, FACT_TABLE, month, csv)
     stored = read_table(spark, base, FACT_TABLE, month)
     staged = scratch_path(spark, "summaries")
     summarise_all(stored, by_month=True).write.partitionBy("table").parquet(staged)
-    rows = spark.read.schema(
-        "key1 string, key2 string, hours double, unblended double, blended double, billing_ym string, table string"
-    ).parquet(staged)
+    rows = spark.read.schema(STAGED_SUMMARIES).parquet(staged)
     for table in ROLLUP:
-        _write(_aligned(pick(rows, table, by_month=True), table).hint("rebalance", MONTH), base, table, month, csv)
+        summary = _aligned(pick(rows, table, by_month=True), table)
+        _write(summary.hint("rebalance", MONTH), base, table, month, csv)
 
 
 def _write(df: DataFrame, base: str, table: str, month: str | None, csv: bool) -> None:
@@ -95,8 +104,7 @@ def _write(df: DataFrame, base: str, table: str, month: str | None, csv: bool) -
     else:
         df.drop(MONTH).write.mode("overwrite").parquet(f"{base}/{table}/{MONTH}={month}")
     if csv:
-        spark = df.sparkSession
-        written = read_table(spark, base, table, month)
+        written = read_table(df.sparkSession, base, table, month)
         where = f"{base}/csv/{table}" + (f"/{MONTH}={month}" if month else "")
         written.write.mode("overwrite").csv(where, header=True, quoteAll=True)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,20 +81,37 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def month_predicates(months: Sequence[str], account_digits: bool = True) -> list[str]:
+    """WHERE clauses that split a warehouse read: by month and by last digit of the account."""
+    clauses = []
+    for month in months:
+        ym = month.replace("-", "")
+        if not ym.isalnum():
+            raise ValueError(f"not a month: {month}")
+        clause = f"billing_ym = '{ym}'"
+        if not account_digits:
+            clauses.append(clause)
+            continue
+        digits = [f"lineitem_usageaccountid LIKE '%{d}'" for d in range(10)]
+        clauses += [f"{clause} AND {d}" for d in digits]
+        clauses.append(f"{clause} AND NOT ({' OR '.join(digits)})")
+    return clauses
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
     table: str,
     properties: Mapping[str, str],
-    month_predicates: Sequence[str] | None = None,
+    predicates: Sequence[str] | None = None,
 ) -> DataFrame:
-    """A warehouse table; one partition per month when the months are given.
+    """A warehouse table, one read task per predicate; they must be disjoint and complete.
 
-    The filters of :func:`extract` are pushed into the remote query.
+    Columns and the equality filters of :func:`extract` become part of the remote query. Where
+    one account holds much of a month, give predicates that also split its resources.
     """
-    if month_predicates:
-        predicates = ["billing_ym = '{}'".format(m.replace("-", "").replace("'", "")) for m in month_predicates]
-        return spark.read.jdbc(url, table, predicates=predicates, properties=dict(properties))
+    if predicates:
+        return spark.read.jdbc(url, table, predicates=list(predicates), properties=dict(properties))
     return spark.read.jdbc(url, table, properties=dict(properties))
 
 
@@ -120,9 +137,17 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def csv_sample(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """The first rows in column order, so that a rerun gives the same sample."""
-    return df.orderBy(*[F.col(c).asc_nulls_first() for c in df.columns]).limit(rows)
+def csv_sample(df: DataFrame, rows: int = 1000, groups: int = 256) -> DataFrame:
+    """The first rows in column order, so that a rerun gives the same sample.
+
+    Every task keeps its own first rows, groups of tasks keep theirs, and only the rows left
+    by the groups are sorted as a whole: neither one task nor the driver sees more than that.
+    """
+    order = [F.col(c).asc_nulls_first() for c in df.columns]
+    grouped = df.withColumn("_group", F.spark_partition_id() % groups)
+    first = Window.partitionBy("_group").orderBy(*order)
+    kept = grouped.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= rows)
+    return kept.select(*df.columns).orderBy(*order).limit(rows)
 
 
 def write_csv_sample(df: DataFrame, path: str, rows: int = 1000) -> None:

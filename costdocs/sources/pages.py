@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costdocs.functions.markup import HEADERS_TYPE, LEVELS, page_facts_udf, page_markup_udf
 from costdocs.functions.text import first_filled
 
 STRUCTURE_SCHEMA = T.StructType(
     [
         T.StructField("title", T.StringType()),
-        T.StructField("headers", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
+        T.StructField("headers", HEADERS_TYPE),
         T.StructField("sagemaker_links_count", T.IntegerType()),
         T.StructField("found_services_count", T.IntegerType()),
         T.StructField("found_services", T.ArrayType(T.StringType())),
@@ -40,20 +41,28 @@ def path_stem(url: Column) -> Column:
     return F.regexp_replace(name, r"^(.+)\.[^.]+$", "$1")
 
 
-def page_documents(pages: DataFrame, headings, limit: int | None = None) -> DataFrame:
-    """Document rows: url, file name, html, title, headers and load time.
+def page_source(url: Column) -> Column:
+    """File name of a page: the URL's path stem, or index."""
+    return F.concat(first_filled(path_stem(url), F.lit("index")), F.lit(".html"))
 
-    ``headings`` maps the html column to the pair (title, headers).
-    """
-    title, headers = headings(F.col("html"))
+
+def header_map(facts: Column) -> Column:
+    return F.create_map(*[x for level in LEVELS for x in (F.lit(level), facts[level])])
+
+
+def page_documents(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Document rows: url, file name, cleaned html, title and headers of the whole page, load time."""
     df = pages.limit(limit) if limit else pages
-    return df.select(
+    read = df.select(
+        "page_id", "url", page_markup_udf("html").alias("html"), page_facts_udf("html").alias("_facts")
+    )
+    return read.select(
         "page_id",
         "url",
-        F.concat(first_filled(path_stem(F.col("url")), F.lit("index")), F.lit(".html")).alias("source"),
-        F.col("html"),
-        title.alias("title"),
-        headers.alias("headers"),
+        page_source(F.col("url")).alias("source"),
+        "html",
+        F.coalesce("_facts.title", F.lit("")).alias("title"),
+        header_map(F.col("_facts")).alias("headers"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("scraped_at"),
     )
 
