@@ -291,21 +291,18 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text and metadata of every vector; ids and metadata are partly missing."""
-    joined = table(spark, sf_dir, "embeddings").join(
-        table(spark, sf_dir, "documents"), F.col("vec_id") == F.col("doc_id"), "left"
-    )
-    return joined.selectExpr(*[f"{e.format(string='string')} AS {c}" for c, e in _TEXTS.items()])
+    """Text and metadata of the vectors: vector n belongs to document n. Some values are missing."""
+    return table(spark, sf_dir, "documents").selectExpr(*[f"{e.format(string='string')} AS {c}" for c, e in _TEXTS.items()])
 
 
 _TEXTS = {
-    "vec_id": "vec_id",
+    "vec_id": "doc_id",
     "text": "text",
-    "id": "CASE WHEN lang = 'en' THEN concat('id-', cast(vec_id AS {string})) WHEN lang = 'fr' THEN '' ELSE NULL END",
-    "chunk_id": "CASE WHEN lang = 'de' THEN NULL ELSE concat('chunk-', cast(vec_id AS {string})) END",
+    "id": "CASE WHEN lang = 'en' THEN concat('id-', cast(doc_id AS {string})) WHEN lang = 'fr' THEN '' ELSE NULL END",
+    "chunk_id": "CASE WHEN lang = 'de' THEN NULL ELSE concat('chunk-', cast(doc_id AS {string})) END",
     "title": "'Title ' || lang",
     "section": "CASE WHEN lang = 'es' THEN NULL ELSE 'General' END",
-    "source": "CASE WHEN label = 3 THEN NULL ELSE source END",
+    "source": "CASE WHEN source = 'src3' THEN NULL ELSE source END",
 }
 
 
@@ -321,5 +318,5 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score
 hits AS (SELECT * FROM ranked WHERE rank <= {k}),
 scored AS (SELECT *, greatest(0.0, least(1.0, (raw_score + 1) / 2)) AS score,
   avg(greatest(0.0, least(1.0, (raw_score + 1) / 2))) OVER (PARTITION BY query_id) AS avg_score FROM hits),
-texts AS (SELECT {texts} FROM embeddings LEFT JOIN documents ON vec_id = doc_id)
+texts AS (SELECT {texts} FROM documents)
 {body}"""

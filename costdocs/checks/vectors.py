@@ -106,7 +106,7 @@ register(
     lambda s, d: search.relevant_context(corpus(s, d), centroids(s, d), corpus_texts(s, d)),
     with_vectors(
         f"""SELECT q.query_id AS query_id, coalesce(string_agg(concat('제목: ', coalesce(title, ''), chr(10), '섹션: ', coalesce(section, ''), chr(10),
- '내용: ', coalesce(text, ''), chr(10), '---'), chr(10) ORDER BY rank), '') AS context
+ '내용: ', coalesce(text, ''), chr(10), '---'), chr(10) ORDER BY rank) FILTER (WHERE rank IS NOT NULL), '') AS context
  FROM queries q LEFT JOIN (SELECT * FROM scored JOIN texts ON scored.id = vec_id WHERE avg_score >= {search.THRESHOLD} AND rank <= 3) c
  ON q.query_id = c.query_id GROUP BY 1""",
         6,
@@ -127,7 +127,7 @@ register(
     with_vectors(
         f"""SELECT q.query_id AS query_id, (SELECT round(avg(score), 6) FROM scored s WHERE s.query_id = q.query_id) AS avg_score,
  {K} AS top_k, {N} AS top_n, count(c.rank) AS contexts,
- coalesce(string_agg(c.cid, ',' ORDER BY c.rank) FILTER (WHERE c.rank <= 3), '') AS context_ids
+ coalesce(array_to_string((list(c.cid ORDER BY c.rank) FILTER (WHERE c.rank IS NOT NULL))[1:3], ','), '') AS context_ids
  FROM queries q LEFT JOIN (SELECT scored.query_id AS query_id, rank, {_ID_SQL} AS cid FROM scored JOIN texts ON scored.id = vec_id
   WHERE avg_score >= {GATE} AND rank <= {N}) c ON q.query_id = c.query_id GROUP BY 1""",
         K,

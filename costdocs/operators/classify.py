@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costdocs.functions.text import first_match
+from costdocs.operators.joins import MAX_LOOKUP_ROWS, lookup_join
 
 # Rules in the order they are tried; the first hit wins.
 CATEGORY_RULES = (
@@ -42,7 +43,7 @@ INTENT_RULES = (
         "docs",
         (
             "설정", "방법", "방식", "개념", "설명", "가이드", "튜토리얼", "레퍼런스", "어떻게", "문서", "기능",
-            "setup", "how to", "how do", "concept", "guide", "tutorial", "reference", "feature",
+            "setup", "how to", "how do", "concept", "guide", "tutorial", "reference",
         ),
     ),
     (
@@ -80,19 +81,17 @@ def distinct_keys(line_items: DataFrame) -> DataFrame:
     return line_items.select(*MAPPING_KEYS).distinct()
 
 
-def apply_mapping(line_items: DataFrame, mapping: DataFrame, column: str = "llm_category") -> DataFrame:
+def apply_mapping(
+    line_items: DataFrame, mapping: DataFrame, column: str = "llm_category", max_rows: int = MAX_LOOKUP_ROWS
+) -> DataFrame:
     """Write a category per key triple back to every line item.
 
     Plain equality: a line item with a null key keeps 'Other'. ``mapping`` has the keys and
-    ``category``, one row per triple. There is no hint, so Spark broadcasts the mapping only
-    when its measured size allows it and splits a hot triple otherwise.
+    ``category``, one row per triple.
     """
     categories = mapping.select(*MAPPING_KEYS, F.col("category").alias("_category"))
-    joined = line_items.join(categories, MAPPING_KEYS, "left")
-    return joined.select(
-        *[line_items[c] for c in line_items.columns],
-        F.coalesce("_category", F.lit(OTHER)).alias(column),
-    )
+    joined = lookup_join(line_items, categories, MAPPING_KEYS, "left", max_rows)
+    return joined.select(*line_items.columns, F.coalesce("_category", F.lit(OTHER)).alias(column))
 
 
 def categorise(line_items: DataFrame, mapping: DataFrame | None = None) -> DataFrame:

@@ -151,23 +151,20 @@ def stored_files(spark: SparkSession, base: str, month: str | None = None) -> Da
 
     Only the file listing is read, not the files.
     """
-    files = None
-    for table in TABLES:
-        listed = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", "*.parquet")
-            .option("basePath", f"{base}/{table}")
-            .load(f"{base}/{table}" + (f"/{MONTH}={month}" if month else ""))
-            .select(
-                F.col(MONTH).cast("string").alias(MONTH),
-                F.lit(table).alias("table"),
-                F.element_at(F.split("path", "/"), -1).alias("name"),
-                F.col("length").alias("size_bytes"),
-                F.col("modificationTime").alias("modified_at"),
-            )
+    listed = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", True)
+        .load([f"{base}/{table}" for table in TABLES])
+        .select(
+            F.regexp_extract("path", rf"/{MONTH}=([^/]+)/[^/]+$", 1).alias(MONTH),
+            F.regexp_extract("path", rf"/([^/]+)/{MONTH}=[^/]+/[^/]+$", 1).alias("table"),
+            F.element_at(F.split("path", "/"), -1).alias("name"),
+            F.col("length").alias("size_bytes"),
+            F.col("modificationTime").alias("modified_at"),
         )
-        files = listed if files is None else files.unionByName(listed)
-    return files
+    )
+    return listed if month is None else listed.where(F.col(MONTH) == month)
 
 
 def write_manifest(spark: SparkSession, base: str, month: str | None) -> DataFrame:

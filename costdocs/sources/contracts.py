@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
+
+from costdocs.operators.joins import MAX_LOOKUP_ROWS, lookup_join
 
 CONTRACT_TYPE = T.StructType(
     [
@@ -81,13 +83,11 @@ def contract_accounts(contracts: DataFrame, contract_id: str | None = None) -> D
     return contracts.where(chosen).select(F.explode("accounts").alias("account_id")).distinct()
 
 
-def keep_accounts(cost: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Line items of the given ``account_id`` rows.
-
-    No hint: Spark broadcasts the accounts when their measured size allows it; otherwise the
-    adaptive skew join splits an account that holds many line items.
-    """
-    return cost.join(accounts, cost.lineitem_usageaccountid == accounts.account_id, "left_semi")
+def keep_accounts(cost: DataFrame, accounts: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """Line items of the given ``account_id`` rows."""
+    wanted = accounts.select(F.col("account_id").alias("lineitem_usageaccountid"))
+    kept = lookup_join(cost, wanted, ["lineitem_usageaccountid"], "left_semi", max_rows)
+    return kept.select(*cost.columns)
 
 
 def choose_line_items(
