@@ -1 +1,8 @@
 """Cloud cost analytics and document retrieval as PySpark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Python functions travel to the executors by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

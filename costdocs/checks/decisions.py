@@ -76,9 +76,9 @@ register(
 # ---- intents -----------------------------------------------------------------------------
 
 _INTENT_SQL = """SELECT conv_id, turn,
- CASE WHEN trim(question) = '' OR bad THEN 'general' ELSE label END AS intent,
+ CASE WHEN trim(question) = '' OR bad THEN 'general' ELSE coalesce(label, 'general') END AS intent,
  CASE WHEN trim(question) = '' THEN 0.5 WHEN bad THEN 0.3 ELSE coalesce(try_cast(confidence AS double), 0.0) END AS intent_confidence
-FROM (SELECT *, coalesce(label NOT IN ('sql', 'docs', 'general'), true)
+FROM (SELECT *, (label IS NULL AND confidence IS NULL) OR coalesce(label NOT IN ('sql', 'docs', 'general'), false)
   OR (confidence IS NOT NULL AND try_cast(confidence AS double) IS NULL) AS bad FROM outputs)"""
 register(
     "k01_intent_normalise",

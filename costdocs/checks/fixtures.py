@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costdocs.operators.flags import FLAGS
+from costdocs.sources.scan import read_table
+
+
+# The tables on which costly work is done row by row.
+SPREAD_BY = {"lineitem": "l_orderkey", "pages": "page_id", "documents": "doc_id", "events": "event_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", SPREAD_BY.get(name))
 
 
 # ---- cost line items over the star schema ------------------------------------------------
@@ -227,7 +232,7 @@ def with_log(body: str) -> str:
 _INTENT_OUTPUT = {
     "question": "CASE WHEN role = 'system' THEN '  ' ELSE text END",
     "label": "CASE WHEN turn = 2 THEN 'chat' WHEN turn = 3 THEN NULL WHEN role = 'user' THEN 'sql' ELSE 'docs' END",
-    "confidence": "CASE WHEN turn = 0 THEN NULL WHEN turn = 1 THEN '0.75' WHEN turn = 4 THEN 'high' ELSE '0.9' END",
+    "confidence": "CASE WHEN turn = 0 OR conv_id % 2 = 0 AND turn = 3 THEN NULL WHEN turn = 1 THEN '0.75' WHEN turn = 4 THEN 'high' ELSE '0.9' END",
 }
 _QUESTION = (
     "CASE role WHEN 'user' THEN concat(text, ' 비용') WHEN 'assistant' THEN concat('비용 계산 방법: ', text) ELSE text END"

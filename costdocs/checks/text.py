@@ -213,7 +213,7 @@ register(
 
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_source.page_documents(pages(spark, sf_dir))
+    return pages(spark, sf_dir).withColumn("source", page_source.page_source(F.col("url")))
 
 
 _MARKED = _SHOWN.format(
@@ -365,3 +365,12 @@ register(
     lambda s, d: table(s, d, "part").select("p_partkey", title_case(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("title")),
     "SELECT p_partkey, array_to_string([concat(upper(left(w, 1)), lower(substr(w, 2))) for w in string_split(p_name, ' ')], ' ') AS title FROM part",
 )
+register(
+    "h13_json_metadata",
+    lambda s, d: chunks.flat_metadata(
+        table(s, d, "conversations").select(
+            F.col("conv_id"), F.struct("turn", "role").alias("head"), F.when(F.col("turn") > 0, F.col("role")).alias("maybe")
+        )
+    ),
+    "SELECT conv_id, concat('{\"turn\":', turn, ',\"role\":\"', role, '\"}') AS head, CASE WHEN turn > 0 THEN role ELSE '' END AS maybe FROM conversations",
+)

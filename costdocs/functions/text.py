@@ -6,44 +6,63 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Entity replacements in the order they are applied; "&amp;lt;" therefore ends up as "<".
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
+# The characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# Stands between columns that are searched as one text; no keyword holds it.
+BETWEEN = "\x01"
+
+Rules = Sequence[tuple[str, Sequence[str]]]
+
 
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions)
 
 
+def searched(columns: Column | Sequence[Column]) -> Column:
+    """One lower-case text to look keywords up in; nulls are left out."""
+    return F.lower(F.concat_ws(BETWEEN, *([columns] if isinstance(columns, Column) else columns)))
+
+
+def holds_any(text: Column, words: Sequence[str]) -> Column:
+    return any_of(F.contains(text, F.lit(w.lower())) for w in words)
+
+
 def contains_any(columns: Column | Sequence[Column], words: Sequence[str]) -> Column:
     """True when any column holds any word, ignoring case; null counts as no match."""
-    if isinstance(columns, Column):
-        columns = [columns]
-    return F.coalesce(
-        any_of(
-            F.coalesce(F.contains(F.lower(c), F.lit(w.lower())), F.lit(False))
-            for c in columns
-            for w in words
-        ),
-        F.lit(False),
-    )
+    return holds_any(searched(columns), words)
 
 
-def first_match(
-    columns: Column | Sequence[Column],
-    rules: Sequence[tuple[str, Sequence[str]]],
-    default: str,
-) -> Column:
-    """The label of the first rule with a keyword hit, as one CASE WHEN."""
-    branches = [(label, contains_any(columns, words)) for label, words in rules]
-    out = F.when(branches[0][1], F.lit(branches[0][0]))
-    for label, hit in branches[1:]:
-        out = out.when(hit, F.lit(label))
+def _first_rule(text: Column, rules: Rules, default: str) -> Column:
+    (label, words), *rest = rules
+    out = F.when(holds_any(text, words), F.lit(label))
+    for label, words in rest:
+        out = out.when(holds_any(text, words), F.lit(label))
     return out.otherwise(F.lit(default))
 
 
+def first_match(columns: Column | Sequence[Column], rules: Rules, default: str) -> Column:
+    """The label of the first rule with a keyword hit, as one CASE WHEN."""
+    return _first_rule(searched(columns), rules, default)
+
+
+def with_first_match(df: DataFrame, name: str, columns: Sequence[Column], rules: Rules, default: str) -> DataFrame:
+    """:func:`first_match` as a new column; the text is lower-cased once per row, not per rule."""
+    return (
+        df.withColumn("_searched", searched(columns))
+        .withColumn(name, _first_rule(F.col("_searched"), rules, default))
+        .drop("_searched")
+    )
+
+
 def first_filled(*columns: Column) -> Column:
     """The first value that is neither null nor the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
@@ -66,7 +85,7 @@ def truncate(c: Column, limit: int, suffix: str) -> Column:
 
 def strip_space(c: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE_SPACE))
 
 
 def strip_tags(c: Column, by: str = "") -> Column:

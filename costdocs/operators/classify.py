@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costdocs.functions.text import first_match
+from costdocs.functions.text import first_match, with_first_match
 from costdocs.operators.joins import MAX_LOOKUP_ROWS, lookup_join
 
 # Rules in the order they are tried; the first hit wins.
@@ -58,12 +58,9 @@ OTHER = "Other"
 MAPPING_KEYS = ["lineitem_usagetype", "lineitem_operation", "product_productname"]
 
 
-def rule_category() -> Column:
-    return first_match([F.col("lineitem_usagetype"), F.col("lineitem_operation")], CATEGORY_RULES, OTHER)
-
-
-def url_category(url: Column) -> Column:
-    return first_match(url, URL_RULES, "other")
+def with_rule_category(line_items: DataFrame, column: str = "rule_category") -> DataFrame:
+    texts = [F.col("lineitem_usagetype"), F.col("lineitem_operation")]
+    return with_first_match(line_items, column, texts, CATEGORY_RULES, OTHER)
 
 
 def keyword_intent(question: Column) -> Column:
@@ -98,7 +95,7 @@ def categorise(line_items: DataFrame, mapping: DataFrame | None = None) -> DataF
     """The external mapping when given and its keys exist, else the rules."""
     if mapping is not None and set(MAPPING_KEYS) <= set(line_items.columns):
         return apply_mapping(line_items, mapping)
-    return line_items.withColumn("rule_category", rule_category())
+    return with_rule_category(line_items)
 
 
 def category_counts(urls: DataFrame) -> DataFrame:
@@ -111,7 +108,8 @@ def category_counts(urls: DataFrame) -> DataFrame:
 
 
 def with_category(urls: DataFrame) -> DataFrame:
-    return urls.select("url").distinct().select(url_category(F.col("url")).alias("category"), "url")
+    distinct = urls.select("url").distinct()
+    return with_first_match(distinct, "category", [F.col("url")], URL_RULES, "other").select("category", "url")
 
 
 def urls_of_category(urls: DataFrame, category: str) -> DataFrame:

@@ -12,21 +12,39 @@ SCORE_PARTS = ("completeness", "accuracy", "specificity", "clarity")
 MISSING_SCORE = 5.0
 PASS_ACCURACY = 0.8
 
+# Reasons given for questions that were not classified.
+BLANK_REASON = "빈 질문"
+FAILED_REASON = "LLM 실패로 기본값 사용: "
+
 # Answer limits and what is added to a cut answer.
 LONG_ANSWER = (2000, "...\n\n(답변이 길어서 일부만 표시됩니다. 더 구체적인 질문을 해주세요.)")
 LONG_REPLY = (1000, " …")
 
 
 def normalise_intents(outputs: DataFrame) -> DataFrame:
-    """Intent and confidence from (question, label, confidence): blank questions and
-    unusable outputs are general, with confidence 0.5 and 0.3."""
+    """Intent, confidence and reason from (question, label, confidence) and ``reason`` if there is one.
+
+    A blank question is general with 0.5. An output that is missing, has an unknown label or a
+    confidence that is no number is general with 0.3. Without a label, but with a confidence,
+    it is general; without a confidence that is 0.
+    """
+    label, confidence = F.col("label"), F.col("confidence")
     blank = F.coalesce(strip_space(F.col("question")), F.lit("")) == ""
-    number = F.when(F.col("confidence").isNull(), F.lit(0.0)).otherwise(F.col("confidence").try_cast("double"))
-    known = F.coalesce(F.col("label").isin(*INTENTS), F.lit(False)) & number.isNotNull()
+    missing = label.isNull() & confidence.isNull()
+    number = F.coalesce(confidence.try_cast("double"), F.when(confidence.isNull(), 0.0))
+    intent = F.coalesce(label, F.lit("general"))
+    usable = ~missing & number.isNotNull() & intent.isin(*INTENTS)
+    why = (
+        F.when(missing, "no output")
+        .when(number.isNull(), F.concat(F.lit("no number: "), confidence.cast("string")))
+        .otherwise(F.concat(F.lit("Invalid intent: "), intent))
+    )
+    given = F.coalesce("reason", F.lit("")) if "reason" in outputs.columns else F.lit("")
     return outputs.withColumns(
         {
-            "intent": F.when(blank | ~known, "general").otherwise(F.col("label")),
-            "intent_confidence": F.when(blank, 0.5).when(~known, 0.3).otherwise(number),
+            "intent": F.when(blank | ~usable, "general").otherwise(intent),
+            "intent_confidence": F.when(blank, 0.5).when(~usable, 0.3).otherwise(number),
+            "intent_reason": F.when(blank, BLANK_REASON).when(~usable, F.concat(F.lit(FAILED_REASON), why)).otherwise(given),
         }
     )
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from costdocs.functions.text import strip_space
+
 
 def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     """The first row, by ``order``, of every ``key``; rows that tie are told apart by the other columns.
@@ -20,7 +22,7 @@ def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
 
 
 def prefix_key(text: Column, length: int = 100) -> Column:
-    return F.regexp_replace(F.left(text, F.lit(length)), r"(?U)^\s+|\s+$", "")
+    return strip_space(F.left(text, F.lit(length)))
 
 
 def dedup_by_prefix(df: DataFrame, text: str, order: Sequence[str], length: int = 100) -> DataFrame:

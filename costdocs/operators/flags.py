@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costdocs.functions.text import any_of, contains_any
+from costdocs.functions.text import contains_any, holds_any, searched
 from costdocs.sources.cost import COST_COLUMNS
 
 USAGE = "lineitem_usagetype"
@@ -35,12 +35,6 @@ def flag(name: str) -> Column:
     return contains_any([F.col(c) for c in columns], words)
 
 
-def _flag_of_lowered(name: str, lowered: dict[str, str]) -> Column:
-    ((columns, words),) = FLAGS[name]
-    hits = [F.contains(F.col(lowered[c]), F.lit(w.lower())) for c in columns for w in words]
-    return F.coalesce(any_of([F.coalesce(h, F.lit(False)) for h in hits]), F.lit(False))
-
-
 def usage_hours() -> Column:
     """The used amount where it is priced by the hour, else null."""
     return F.when(contains_any(F.col("pricing_unit"), HOUR_UNITS), F.col("lineitem_usageamount"))
@@ -58,11 +52,11 @@ def pricing_type() -> Column:
 def fact(line_items: DataFrame) -> DataFrame:
     """All line items with flags, hours and clean costs.
 
-    The two searched columns are lower-cased once per row, before the flags look into them.
+    The searched columns are lower-cased once per row, before the flags look into them.
     """
-    lowered = {c: f"_{c}" for c in (USAGE, OPERATION)}
-    line_items = line_items.withColumns({short: F.lower(c) for c, short in lowered.items()})
-    derived = {name: _flag_of_lowered(name, lowered) for name in FLAGS}
+    lowered = {columns: "_" + "_".join(columns) for ((columns, _),) in FLAGS.values()}
+    line_items = line_items.withColumns({short: searched([F.col(c) for c in cs]) for cs, short in lowered.items()})
+    derived = {name: holds_any(F.col(lowered[columns]), words) for name, ((columns, words),) in FLAGS.items()}
     derived["usage_hours"] = usage_hours()
     derived |= {c: clean_cost(F.col(c)) for c in COST_COLUMNS if c in line_items.columns}
     return line_items.withColumns(derived).drop(*lowered.values())

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from costdocs.functions.text import strip_space
+
 # Words that the word guard and the substring guard refuse.
 FORBIDDEN_WORDS = (
     "insert", "update", "delete", "create", "alter", "drop", "truncate", "attach", "copy", "pragma",
@@ -31,14 +33,14 @@ def _starts_with_select(sql: Column) -> Column:
 
 def word_guard(sql: Column, words=FORBIDDEN_WORDS) -> Column:
     """Why a SQL text is refused, or null when it is fine."""
-    bare = F.regexp_replace(F.regexp_replace(sql, r"(?U)^\s+|\s+$", ""), r";+$", "")
+    bare = F.regexp_replace(strip_space(sql), r";+$", "")
     forbidden = bare.rlike("(?isU)" + _word_pattern(words))
     return F.when(~_starts_with_select(bare), NOT_SELECT).when(forbidden, FORBIDDEN)
 
 
 def substring_guard(sql: Column) -> Column:
     """The stricter guard: any forbidden text anywhere, also inside a column name."""
-    upper = F.upper(F.regexp_replace(sql, r"(?U)^\s+|\s+$", ""))
+    upper = F.upper(strip_space(sql))
     hit = F.coalesce(upper.rlike("|".join(FORBIDDEN_SUBSTRINGS)), F.lit(False))
     return F.when(hit, FORBIDDEN).when(~F.coalesce(F.startswith(upper, F.lit("SELECT")), F.lit(False)), NOT_SELECT)
 
@@ -62,12 +64,11 @@ def extract_sql(model_text: Column) -> Column:
 
     Null when there is neither; JSON without the field gives the empty text.
     """
-    bare = F.regexp_replace(model_text, r"(?U)^\s+|\s+$", "")
-    bare = F.regexp_replace(bare, r"^```json", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"```$", ""), r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(strip_space(model_text), r"^```json", "")
+    bare = strip_space(F.regexp_replace(bare, r"```$", ""))
     parsed = F.try_parse_json(bare)
     field = F.coalesce(F.try_variant_get(parsed, "$.sql", "string"), F.lit(""))
-    found = F.regexp_replace(F.regexp_extract(bare, r"(?is)select\s+.*?(?:;|$)", 0), r"(?U)\s+$", "")
+    found = strip_space(F.regexp_extract(bare, r"(?is)select\s+.*?(?:;|$)", 0))
     closed = F.when(found == "", None).when(F.endswith(found, F.lit(";")), found).otherwise(F.concat(found, F.lit(";")))
     is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
     return F.when(is_object, field).otherwise(closed)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from costdocs.functions.scores import grade, rescale, similarity_from_distance
 from costdocs.functions.text import first_filled
+from costdocs.operators.ranking import first_rows
 
 MAX_LOCAL_QUERIES = 4096  # query vectors that are sent whole to every task
 BLOCK_BYTES = 64 << 20  # vectors of one block when both sides are large
@@ -155,8 +156,7 @@ def top_k(
         hits = left.mapInArrow(scan, out)
     else:
         hits = _block_hits(left, right, k, schema, out, block_bytes)
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("raw_score"), "id")
-    ranked = hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    ranked = first_rows(hits, k, [F.desc("raw_score"), F.col("id")], ["query_id"])
     # The number of hits is known here: a few of them go to the tables they are joined with.
     return F.broadcast(ranked) if few and head.num_rows * k <= MAX_HIT_ROWS else ranked
 

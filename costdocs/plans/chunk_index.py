@@ -57,18 +57,27 @@ def add_pages(
     pages: DataFrame,
     path: str,
     version_date: str,
-    embed: Callable[[Column], Column],
+    embed: Callable[[Column], Column] | None = None,
+    vectors: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """Append the new chunks of the pages to the store and return the manifest row.
 
-    The chunks are written to the shared folder once and read for both the manifest, which
-    counts copies too, and the store. Copies and known chunks are left out before ``embed``
-    runs, as that is the costly step.
+    Embeddings come from a column function, or from a table (``text_hash``, ``embedding``); a
+    chunk without a vector there is not stored and comes up again next time. The chunks are
+    written to the shared folder once and read for both the manifest, which counts copies too,
+    and the store. Copies and known chunks are left out before ``embed`` runs, as that is the
+    costly step. A repeated run adds nothing twice.
     """
+    if (embed is None) == (vectors is None):
+        raise ValueError("give either embed or vectors")
     staged = scratch_path(spark, "chunks")
     page_chunks(pages, version_date, **options).write.parquet(staged)
     chunks = spark.read.parquet(staged)
     fresh = new_chunks(chunks, read_store(spark, path))
-    fresh.withColumn("embedding", embed(F.col("content"))).write.mode("append").parquet(path)
+    if embed is not None:
+        embedded = fresh.withColumn("embedding", embed(F.col("content")))
+    else:
+        embedded = fresh.join(vectors.select("text_hash", "embedding"), "text_hash").select(*fresh.columns, "embedding")
+    embedded.write.mode("append").parquet(path)
     return chunk_manifest(chunks, version_date, options.get("doc_type", "developer-guide"))

@@ -19,6 +19,7 @@ STAGED_SUMMARIES = (
     "key1 string, key2 string, hours double, unblended double, blended double, billing_ym string, table string"
 )
 MONTH = "billing_ym"
+CATEGORY_COLUMNS = ("rule_category", "llm_category")  # in the stored fact table, null unless asked for
 
 
 def build(line_items: DataFrame) -> dict[str, DataFrame]:
@@ -50,7 +51,8 @@ def table_schema(table: str) -> T.StructType:
     if table == FACT_TABLE:
         fields = [T.StructField(f.name, COST_TYPE) if f.name in COST_COLUMNS else f for f in CUR_SCHEMA.fields]
         flags = [T.StructField(name, T.BooleanType()) for name in FLAGS]
-        fields = [*fields, *flags, T.StructField("usage_hours", T.DoubleType())]
+        categories = [T.StructField(name, T.StringType()) for name in CATEGORY_COLUMNS]
+        fields = [*fields, *flags, T.StructField("usage_hours", T.DoubleType()), *categories]
     else:
         rollup = ROLLUP[table]
         fields = [T.StructField(name, T.StringType()) for name, _ in rollup.keys]
@@ -59,7 +61,8 @@ def table_schema(table: str) -> T.StructType:
 
 
 def _aligned(df: DataFrame, table: str) -> DataFrame:
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table_schema(table).fields])
+    fields = [f for f in table_schema(table).fields if f.name in df.columns or f.name not in CATEGORY_COLUMNS]
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def write_mart(
@@ -87,6 +90,7 @@ def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: st
 def _write_tables(
     spark: SparkSession, line_items: DataFrame, base: str, month: str | None, csv: bool, rebalance: bool
 ) -> None:
+    # Categories that the line items bring along stay in the fact table.
     costs = _aligned(fact(line_items), FACT_TABLE)
     _write(costs.hint("rebalance", MONTH) if rebalance else costs, base, FACT_TABLE, month, csv)
     stored = read_table(spark, base, FACT_TABLE, month)
@@ -170,7 +174,7 @@ def stored_files(spark: SparkSession, base: str, month: str | None = None) -> Da
 def write_manifest(spark: SparkSession, base: str, month: str | None) -> DataFrame:
     """One record per month: time, schema version and row counts (0 for an empty table).
 
-    The data files stay rows of their own (:func:`stored_files`), as a month may have many.
+    The data files are written beside it as rows of their own, as a month may have many.
     """
     counts = stored_counts(spark, base, month).groupBy(MONTH).agg(
         F.map_from_entries(F.collect_list(F.struct("table", "rows"))).alias("_counts")
@@ -185,10 +189,11 @@ def write_manifest(spark: SparkSession, base: str, month: str | None) -> DataFra
         F.when(F.col("_counts").isNotNull(), filled).otherwise(zero).alias("row_counts"),
         MONTH,
     )
-    if month is None:
-        records.write.mode("overwrite").partitionBy(MONTH).json(f"{base}/manifest")
-    else:
-        records.drop(MONTH).write.mode("overwrite").json(f"{base}/manifest/{MONTH}={month}")
+    for rows, name in ((stored_files(spark, base, month), "manifest_files"), (records, "manifest")):
+        if month is None:
+            rows.write.mode("overwrite").partitionBy(MONTH).json(f"{base}/{name}")
+        else:
+            rows.drop(MONTH).write.mode("overwrite").json(f"{base}/{name}/{MONTH}={month}")
     return read_manifest(spark, base)
 
 
@@ -196,6 +201,12 @@ def read_manifest(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(f"{base}/manifest")
 
 
+def read_manifest_files(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.schema(
+        f"table string, name string, size_bytes long, modified_at timestamp, {MONTH} string"
+    ).json(f"{base}/manifest_files")
+
+
 def manifest_counts(manifest: DataFrame) -> DataFrame:
     return manifest.select(MONTH, F.explode("row_counts").alias("table", "rows"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from costdocs.operators.classify import OTHER, rule_category
+from costdocs.operators.classify import OTHER, with_rule_category
 from costdocs.operators.flags import FLAGS
 from costdocs.operators.rollups import total
 from costdocs.sources.cost import TAG_COLUMNS
@@ -82,7 +82,8 @@ def tag_missing_rate(fact: DataFrame, tags: list[str] | None = None) -> DataFram
 def uncategorised_cost(fact: DataFrame) -> DataFrame:
     """Cost per account without a category."""
     return (
-        fact.where(rule_category() == OTHER)
+        with_rule_category(fact, "_category")
+        .where(F.col("_category") == OTHER)
         .groupBy(F.col("lineitem_usageaccountid").alias("account_id"))
         .agg(total("lineitem_unblendedcost").alias("cost"))
     )
@@ -116,8 +117,8 @@ def last_months(trend_rows: DataFrame, n: int = 3) -> DataFrame:
 def spike_causes(fact: DataFrame) -> DataFrame:
     """Cost change per rule category to the month before, the months summed up first."""
     monthly = (
-        fact.where(F.col("billing_ym").isNotNull())
-        .groupBy("billing_ym", rule_category().alias("category"))
+        with_rule_category(fact.where(F.col("billing_ym").isNotNull()), "category")
+        .groupBy("billing_ym", "category")
         .agg(total("lineitem_unblendedcost").alias("cost"))
     )
     order = Window.partitionBy("category").orderBy("billing_ym")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costdocs.operators.ranking import first_rows
+
 TAG_COLUMNS = [f"usertag{i}" for i in range(10)]
 COST_COLUMNS = ["lineitem_unblendedcost", "lineitem_blendedcost"]
 
@@ -40,6 +42,7 @@ CUR_SCHEMA = T.StructType(
 )
 CUR_COLUMNS = CUR_SCHEMA.fieldNames()
 
+SNAPSHOT = "sagemaker_cur"
 LINE_ITEM_TYPE = "Usage"
 PRODUCT_WORD = "SageMaker"
 
@@ -137,17 +140,10 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def csv_sample(df: DataFrame, rows: int = 1000, groups: int = 256) -> DataFrame:
-    """The first rows in column order, so that a rerun gives the same sample.
-
-    Every task keeps its own first rows, groups of tasks keep theirs, and only the rows left
-    by the groups are sorted as a whole: neither one task nor the driver sees more than that.
-    """
+def csv_sample(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The first rows in column order, so that a rerun gives the same sample."""
     order = [F.col(c).asc_nulls_first() for c in df.columns]
-    grouped = df.withColumn("_group", F.spark_partition_id() % groups)
-    first = Window.partitionBy("_group").orderBy(*order)
-    kept = grouped.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= rows)
-    return kept.select(*df.columns).orderBy(*order).limit(rows)
+    return first_rows(df, rows, order, rank="_place").orderBy("_place").drop("_place")
 
 
 def write_csv_sample(df: DataFrame, path: str, rows: int = 1000) -> None:

@@ -50,6 +50,7 @@ def test_accuracy_floor(spark, right, passed):
         ("q", "docs", "high", "general", 0.3),
         ("q", "chat", "0.9", "general", 0.3),
         ("q", None, None, "general", 0.3),
+        ("q", None, "0.7", "general", 0.7),
         (" \n", "sql", "0.9", "general", 0.5),
         (None, "sql", "0.9", "general", 0.5),
     ],
@@ -58,6 +59,7 @@ def test_intent_normalise(spark, question, label, confidence, intent, value):
     df = spark.createDataFrame([(question, label, confidence)], "question string, label string, confidence string")
     row = decide.normalise_intents(df).first()
     assert (row["intent"], row["intent_confidence"]) == (intent, value)
+    assert row["intent_reason"] is not None
 
 
 def test_routes(spark, tmp_path):

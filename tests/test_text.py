@@ -337,3 +337,13 @@ def test_store_grows_only_by_new_chunks(spark, tmp_path):
     assert (again["num_docs"], again["num_chunks"]) == (2, 5)
     stored = spark.read.parquet(path)
     assert stored.count() == 5 and stored.where("version_date = 'v2'").first()["content"] == "Brand new"
+
+
+def test_vectors_may_come_from_a_table(spark, tmp_path):
+    path = str(tmp_path / "store")
+    pages = page_table(spark, "<p>One</p>", "<p>Two</p>")
+    vectors = spark.createDataFrame([("One", [1.0])], "content string, embedding array<double>")
+    chunk_index.add_pages(spark, pages, path, "v1", vectors=dedup.with_text_hash(vectors))
+    assert [(r["content"], r["embedding"]) for r in spark.read.parquet(path).collect()] == [("One", [1.0])]
+    with pytest.raises(ValueError):
+        chunk_index.add_pages(spark, pages, path, "v1")
