@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,10 +98,15 @@ def _write_tables(
     staged = scratch_path(spark, "summaries")
     summarise_all(stored, by_month=True).write.partitionBy("table").parquet(staged)
     rows = spark.read.schema(STAGED_SUMMARIES).parquet(staged)
-    for table in ROLLUP:
+
+    def write_summary(table: str) -> None:
         summary = _aligned(pick(rows, table, by_month=True), table)
         _write(summary.hint("rebalance", MONTH), base, table, month, csv)
 
+    # The ten small writes do not depend on each other, so none waits for the one before.
+    with ThreadPoolExecutor(len(ROLLUP)) as pool:
+        list(pool.map(write_summary, ROLLUP))
+
 
 def _write(df: DataFrame, base: str, table: str, month: str | None, csv: bool) -> None:
     if month is None:
@@ -190,6 +196,7 @@ def write_manifest(spark: SparkSession, base: str, month: str | None) -> DataFra
         MONTH,
     )
     for rows, name in ((stored_files(spark, base, month), "manifest_files"), (records, "manifest")):
+        rows = rows.hint("rebalance", MONTH)
         if month is None:
             rows.write.mode("overwrite").partitionBy(MONTH).json(f"{base}/{name}")
         else:
