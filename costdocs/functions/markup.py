@@ -318,33 +318,38 @@ def topic_links(html: str) -> list[dict]:
     return [{"text": "".join(words).strip(), "href": href} for href, words in links if href]
 
 
-@F.pandas_udf(T.StringType())
+# Optimizer rules copy a deterministic function into filters and would run it twice per page.
+def _once(kind: T.DataType):
+    return lambda function: F.pandas_udf(function, kind).asNondeterministic()
+
+
+@_once(T.StringType())
 def page_text_udf(html: pd.Series) -> pd.Series:
     return html.map(page_text, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
+@_once(T.StringType())
 def page_markup_udf(html: pd.Series) -> pd.Series:
     return html.map(page_markup, na_action="ignore")
 
 
-@F.pandas_udf(LINK_TYPE)
+@_once(LINK_TYPE)
 def topic_links_udf(html: pd.Series) -> pd.Series:
     return html.map(topic_links, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
+@_once(T.StringType())
 def nfkc_udf(text: pd.Series) -> pd.Series:
     return text.map(normal_form, na_action="ignore")
 
 
-@F.pandas_udf(PARTS_TYPE)
+@_once(PARTS_TYPE)
 def page_parts_udf(html: pd.Series) -> pd.DataFrame:
     rows = [page_parts(h if h is not None else "") for h in html]
     return pd.DataFrame(rows, columns=PARTS_TYPE.fieldNames())
 
 
-@F.pandas_udf(FACTS_TYPE)
+@_once(FACTS_TYPE)
 def page_facts_udf(html: pd.Series) -> pd.DataFrame:
     rows = [page_facts(h if h is not None else "") for h in html]
     return pd.DataFrame(rows, columns=FACTS_TYPE.fieldNames())

@@ -79,7 +79,8 @@ def split_column(c: Column, size: int = 1200, overlap: int = 120, separators: Se
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t, size, overlap, separators))
 
-    return run(c)
+    # Otherwise the filter that goes with explode would run the function a second time.
+    return run.asNondeterministic()(c)
 
 
 def window_column(c: Column, size: int = 1200, overlap: int = 120) -> Column:

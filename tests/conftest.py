@@ -14,6 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark():
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")  # plans are read in full
     yield session
     session.stop()
 
