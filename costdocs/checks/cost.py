@@ -116,15 +116,16 @@ SUMMARY_SQL = {
 def summary_sql(name: str, month: bool = False) -> str:
     """SELECT text of one summary over ``fact``."""
     if name == "monthly_summary":
+        extra = " billing_ym AS mart_month," if month else ""
         return (
-            f"SELECT billing_ym, {money('lineitem_unblendedcost')} AS unblended_cost,"
+            f"SELECT billing_ym,{extra} {money('lineitem_unblendedcost')} AS unblended_cost,"
             f" {money('lineitem_blendedcost')} AS blended_cost FROM fact WHERE billing_ym IS NOT NULL GROUP BY billing_ym"
         )
     condition, keys, hours = SUMMARY_SQL[name]
     outputs = [f"{e} AS {k}" for k, e in keys.items()]
     groups = list(keys.values())
     if month:
-        outputs.append("billing_ym AS billing_ym")
+        outputs.append("billing_ym AS mart_month")
         groups.append("billing_ym")
     if hours:
         outputs.append("coalesce(sum(usage_hours), 0.0) AS hours")
@@ -139,11 +140,11 @@ register(
 )
 _STORED_COUNTS = " UNION ALL ".join(
     [
-        "SELECT billing_ym, 'fact_sagemaker_costs' AS \"table\", count(*) AS rows FROM fact GROUP BY 1",
+        "SELECT billing_ym AS mart_month, 'fact_sagemaker_costs' AS \"table\", count(*) AS rows FROM fact GROUP BY 1",
         *[
-            f"SELECT m.billing_ym AS billing_ym, '{name}' AS \"table\", count(t.billing_ym) AS rows"
+            f"SELECT m.billing_ym AS mart_month, '{name}' AS \"table\", count(t.mart_month) AS rows"
             f" FROM (SELECT DISTINCT billing_ym FROM fact) m LEFT JOIN ({summary_sql(name, month=True)}) t"
-            " ON m.billing_ym = t.billing_ym GROUP BY 1"
+            " ON m.billing_ym = t.mart_month GROUP BY 1"
             for name in rollups.ROLLUP
         ],
     ]
@@ -179,7 +180,7 @@ register("a09_schema_catalog", mart_catalog)
 register(
     "a10_months",
     lambda s, d: mart.months(s, stored_mart(s, d)),
-    with_cost("SELECT DISTINCT billing_ym FROM fact WHERE billing_ym IS NOT NULL ORDER BY billing_ym"),
+    with_cost("SELECT DISTINCT billing_ym AS mart_month FROM fact WHERE billing_ym IS NOT NULL ORDER BY 1"),
 )
 
 
@@ -194,7 +195,7 @@ register(
     "a11_month_info",
     month_info,
     with_cost(
-        "SELECT month, count(*) OVER () AS file_count, \"table\" FROM (SELECT billing_ym AS month, \"table\", rows"
+        "SELECT month, count(*) OVER () AS file_count, \"table\" FROM (SELECT mart_month AS month, \"table\", rows"
         f" FROM ({_STORED_COUNTS})) WHERE rows > 0 AND month = (SELECT max(billing_ym) FROM fact)"
     ),
 )

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from costdocs.checks.fixtures import table
 from costdocs.checks.registry import register, written_once
 from costdocs.functions.markup import nfkc_udf, page_markup_udf, page_text_udf
-from costdocs.functions.text import decode_entities, distinct_lines, title_case
+from costdocs.functions.text import decode_entities, distinct_lines, megabytes, title_case
 from costdocs.operators import chunks, dedup, headings, links
 from costdocs.plans import chunk_index
 from costdocs.sources import pages as page_source
@@ -374,3 +374,37 @@ register(
     ),
     "SELECT conv_id, concat('{\"turn\":', turn, ',\"role\":\"', role, '\"}') AS head, CASE WHEN turn > 0 THEN role ELSE '' END AS maybe FROM conversations",
 )
+register(
+    "h10_megabytes",
+    lambda s, d: documents(s, d).groupBy("lang").agg(megabytes(F.sum("n_chars")).alias("size_mb")),
+    "SELECT lang, round(sum(n_chars) / 1048576.0, 2) AS size_mb FROM documents GROUP BY 1",
+)
+
+# Targets of every form, made from the page's own address.
+_PATH_ONLY = "regexp_replace(url, '^[a-z]+://[^/]+', '')"
+_HREFS = {
+    "full": "url",
+    "rooted": _PATH_ONLY,
+    "relative": f"substr({_PATH_ONLY}, 2)",
+    "above": f"'..' || {_PATH_ONLY}",
+    "around": f"'./a/..' || {_PATH_ONLY}",
+    "fragment": "'#' || cast(page_id AS {string})",
+}
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hrefs = [f"'{form}', {e.format(string='string')}" for form, e in _HREFS.items()]
+    rows = pages(spark, sf_dir).selectExpr("page_id", f"stack({len(hrefs)}, {', '.join(hrefs)}) AS (form, href)")
+    return rows.select("page_id", "form", links.absolute_url(F.col("href")).alias("url"))
+
+
+register(
+    "h12_absolute_url",
+    resolved,
+    f"""SELECT page_id, form, url FROM (
+ SELECT page_id, unnest(['full', 'rooted', 'relative', 'above', 'around', 'fragment']) AS form,
+  unnest([url, 'https://docs.aws.amazon.com' || p, 'https://docs.aws.amazon.com/sagemaker/latest/dg' || p,
+   'https://docs.aws.amazon.com/sagemaker/latest' || p, 'https://docs.aws.amazon.com/sagemaker/latest/dg' || p,
+   'https://docs.aws.amazon.com/sagemaker/latest/dg/#' || page_id]) AS url
+ FROM (SELECT page_id, url, {_PATH_ONLY} AS p FROM pages))""",
+)

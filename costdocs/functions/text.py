@@ -107,3 +107,7 @@ def distinct_lines(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """A file stem as a title: dashes and underscores become blanks, words are capitalised."""
     return F.initcap(F.translate(c, "-_", "  "))
+
+
+def megabytes(size: Column) -> Column:
+    return F.round(size / F.lit(1024 * 1024), 2)

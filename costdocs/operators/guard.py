@@ -17,6 +17,8 @@ FORBIDDEN_SUBSTRINGS = (
     "INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE", "GRANT", "REVOKE", "EXECUTE", "CALL",
 )
 EXTRA_WORDS = ("grant", "revoke", "execute", "call")
+# A SELECT may reach Java code through these; scripts (TRANSFORM … USING) are refused by their plan.
+REACHING_WORDS = ("reflect", "java_method", "try_reflect")
 
 NOT_SELECT = "not a SELECT"
 FORBIDDEN = "forbidden keyword"
@@ -54,7 +56,7 @@ def refuse_unsafe(sql: str) -> str:
     bare = sql.strip().rstrip(";").rstrip()
     if not re.match(r"(?is)\s*select\b", bare):
         raise ValueError(f"{NOT_SELECT}: {sql}")
-    if re.search("(?is)" + _word_pattern(FORBIDDEN_WORDS + EXTRA_WORDS), bare):
+    if re.search("(?is)" + _word_pattern(FORBIDDEN_WORDS + EXTRA_WORDS + REACHING_WORDS), bare):
         raise ValueError(f"{FORBIDDEN}: {sql}")
     return bare
 
@@ -91,6 +93,10 @@ def run_guarded(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> D
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     try:
-        return spark.sql(text)
+        result = spark.sql(text)
+        plan = result._jdf.queryExecution().analyzed().toString()
     except Exception as error:
         raise RuntimeError(f"SQL failed: {error}") from error
+    if "ScriptTransformation" in plan:
+        raise ValueError(f"{FORBIDDEN}: {sql}")
+    return result

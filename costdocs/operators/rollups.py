@@ -7,6 +7,7 @@ shuffle as one row per task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,19 +67,18 @@ def _applies(rollup: Rollup) -> Column:
     return F.lit(True)
 
 
-def summarise(fact: DataFrame, table: str, by_month: bool = False) -> DataFrame:
-    """One summary table; with ``by_month`` for each month apart."""
+def summarise(fact: DataFrame, table: str, by: Sequence[str] = ()) -> DataFrame:
+    """One summary table; with ``by`` for each value of these columns apart."""
     rollup = ROLLUP[table]
-    month = [F.col("billing_ym")] if by_month and table != "monthly_summary" else []
     keys = [_key(column).alias(name) for name, column in rollup.keys]
     return (
         fact.where(_applies(rollup))
-        .groupBy(*month, *keys)
+        .groupBy(*by, *keys)
         .agg(*[total(column).alias(name) for name, column in rollup.measures])
     )
 
 
-def summarise_all(fact: DataFrame, by_month: bool = False) -> DataFrame:
+def summarise_all(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All ten summaries as rows (table, key1, key2, hours, unblended, blended).
 
     One scan and one shuffle: each line item is offered to the tables whose condition it
@@ -90,17 +90,16 @@ def summarise_all(fact: DataFrame, by_month: bool = False) -> DataFrame:
         keys = [_key(column).cast("string") for _, column in rollup.keys] + [null]
         target = F.struct(F.lit(rollup.table).alias("table"), keys[0].alias("key1"), keys[1].alias("key2"))
         offers.append(F.when(_applies(rollup), target))
-    month = [F.col("billing_ym")] if by_month else []
     offered = fact.select(
-        *month,
+        *by,
         F.explode(F.array(*offers)).alias("target"),
         "usage_hours",
         "lineitem_unblendedcost",
         "lineitem_blendedcost",
     ).where(F.col("target").isNotNull())
     return (
-        offered.select(*month, "target.*", "usage_hours", "lineitem_unblendedcost", "lineitem_blendedcost")
-        .groupBy(*month, "table", "key1", "key2")
+        offered.select(*by, "target.*", "usage_hours", "lineitem_unblendedcost", "lineitem_blendedcost")
+        .groupBy(*by, "table", "key1", "key2")
         .agg(
             total("usage_hours").alias("hours"),
             total("lineitem_unblendedcost").alias("unblended"),
@@ -112,13 +111,12 @@ def summarise_all(fact: DataFrame, by_month: bool = False) -> DataFrame:
 MEASURE_OF = {"usage_hours": "hours", "lineitem_unblendedcost": "unblended", "lineitem_blendedcost": "blended"}
 
 
-def pick(all_rows: DataFrame, table: str, by_month: bool = False) -> DataFrame:
+def pick(all_rows: DataFrame, table: str, by: Sequence[str] = ()) -> DataFrame:
     """One summary table out of :func:`summarise_all`."""
     rollup = ROLLUP[table]
-    month = [F.col("billing_ym")] if by_month and table != "monthly_summary" else []
     keys = [F.col(f"key{i}").alias(name) for i, (name, _) in enumerate(rollup.keys, 1)]
     measures = [F.col(MEASURE_OF[column]).alias(name) for name, column in rollup.measures]
-    return all_rows.where(F.col("table") == table).select(*month, *keys, *measures)
+    return all_rows.where(F.col("table") == table).select(*by, *keys, *measures)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:

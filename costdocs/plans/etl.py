@@ -30,7 +30,7 @@ def run_month(
     """Extract, keep a raw snapshot, transform, store one month and sum up what was stored.
 
     Line items come from a table, filtered by month, accounts, type and product, or from a CSV
-    file, which is taken as it is. Rows of another month in that file are not stored.
+    file, which is taken as it is: all its rows become this month's mart.
     """
     month = month.replace("-", "")
     if csv_path is not None:

@@ -1,4 +1,8 @@
-"""The cost mart: the flagged fact table and its ten summaries, written per month."""
+"""The cost mart: the flagged fact table and its ten summaries, stored per month.
+
+The month of the mart is a partition column of its own, ``mart_month``: the tables keep
+exactly their columns, and a line item's own ``billing_ym`` stays as it is.
+"""
 
 from __future__ import annotations
 
@@ -6,21 +10,24 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costdocs.functions.text import megabytes
 from costdocs.operators.flags import COST_TYPE, FLAGS, fact
 from costdocs.operators.rollups import FACT_TABLE, ROLLUP, ROLLUPS, TABLES, pick, summarise, summarise_all
 from costdocs.sources.cost import COST_COLUMNS, CUR_SCHEMA
 from costdocs.sources.scratch import scratch_path
 
 SCHEMA_VERSION = "1.0"
+MONTH = "mart_month"
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # Spark's folder for null
+CATEGORY_COLUMNS = ("rule_category", "llm_category")  # in the stored fact table, null unless asked for
 STAGED_SUMMARIES = (
-    "key1 string, key2 string, hours double, unblended double, blended double, billing_ym string, table string"
+    f"key1 string, key2 string, hours double, unblended double, blended double, {MONTH} string, table string"
 )
-MONTH = "billing_ym"
-CATEGORY_COLUMNS = ("rule_category", "llm_category")  # in the stored fact table, null unless asked for
 
 
 def build(line_items: DataFrame) -> dict[str, DataFrame]:
@@ -47,23 +54,26 @@ def build_single_pass(line_items: DataFrame) -> dict[str, DataFrame]:
 
 
 def table_schema(table: str) -> T.StructType:
-    """Column types of a stored table; the month is always there and always text."""
-    month = T.StructField(MONTH, T.StringType())
+    """Column types of a stored table, the month last."""
     if table == FACT_TABLE:
         fields = [T.StructField(f.name, COST_TYPE) if f.name in COST_COLUMNS else f for f in CUR_SCHEMA.fields]
-        flags = [T.StructField(name, T.BooleanType()) for name in FLAGS]
-        categories = [T.StructField(name, T.StringType()) for name in CATEGORY_COLUMNS]
-        fields = [*fields, *flags, T.StructField("usage_hours", T.DoubleType()), *categories]
+        fields += [T.StructField(name, T.BooleanType()) for name in FLAGS]
+        fields += [T.StructField("usage_hours", T.DoubleType())]
+        fields += [T.StructField(name, T.StringType()) for name in CATEGORY_COLUMNS]
     else:
         rollup = ROLLUP[table]
         fields = [T.StructField(name, T.StringType()) for name, _ in rollup.keys]
         fields += [T.StructField(name, T.DoubleType()) for name, _ in rollup.measures]
-    return T.StructType([*[f for f in fields if f.name != MONTH], month])
+    return T.StructType([*fields, T.StructField(MONTH, T.StringType())])
 
 
 def _aligned(df: DataFrame, table: str) -> DataFrame:
-    fields = [f for f in table_schema(table).fields if f.name in df.columns or f.name not in CATEGORY_COLUMNS]
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+    """Known columns in their stored types, then whatever else the line items have; the month last."""
+    known = table_schema(table).fields
+    names = [f.name for f in known]
+    extra = [F.col(c) for c in df.columns if c not in names]
+    *typed, month = [F.col(f.name).cast(f.dataType).alias(f.name) for f in known if f.name in df.columns]
+    return df.select(*typed, *extra, month)
 
 
 def write_mart(
@@ -75,16 +85,19 @@ def write_mart(
     the input is read once. With ``rebalance`` rows are moved together by month: a month that
     holds much of the data is split over several tasks, small ones share a task. Leave it out
     when the input files are laid out by month already; then the fact table needs no shuffle.
-    Line items without a month belong to no month's mart. The whole mart is replaced; see
-    :func:`write_month` for a single month.
+    Line items without a month get a partition of their own, which is no month of the mart. The
+    whole mart is replaced; see :func:`write_month` for a single month.
     """
-    _write_tables(spark, line_items.where(F.col(MONTH).isNotNull()), base, None, csv, rebalance)
+    _write_tables(spark, line_items.withColumn(MONTH, F.col("billing_ym")), base, None, csv, rebalance)
     return write_manifest(spark, base, None)
 
 
 def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: str, csv: bool = False) -> DataFrame:
-    """Write one month and leave the others. An empty table replaces an older file as well."""
-    _write_tables(spark, line_items.where(F.col(MONTH) == month), base, month, csv, False)
+    """Write all given line items as one month and leave the others.
+
+    An empty table replaces an older file as well.
+    """
+    _write_tables(spark, line_items.withColumn(MONTH, F.lit(month)), base, month, csv, False)
     return write_manifest(spark, base, month)
 
 
@@ -94,13 +107,13 @@ def _write_tables(
     # Categories that the line items bring along stay in the fact table.
     costs = _aligned(fact(line_items), FACT_TABLE)
     _write(costs.hint("rebalance", MONTH) if rebalance else costs, base, FACT_TABLE, month, csv)
-    stored = read_table(spark, base, FACT_TABLE, month)
+    stored = _stored(spark, base, FACT_TABLE, month)
     staged = scratch_path(spark, "summaries")
-    summarise_all(stored, by_month=True).write.partitionBy("table").parquet(staged)
+    summarise_all(stored, by=[MONTH]).write.partitionBy("table").parquet(staged)
     rows = spark.read.schema(STAGED_SUMMARIES).parquet(staged)
 
     def write_summary(table: str) -> None:
-        summary = _aligned(pick(rows, table, by_month=True), table)
+        summary = _aligned(pick(rows, table, by=[MONTH]), table)
         _write(summary.hint("rebalance", MONTH), base, table, month, csv)
 
     # The ten small writes do not depend on each other, so none waits for the one before.
@@ -114,17 +127,35 @@ def _write(df: DataFrame, base: str, table: str, month: str | None, csv: bool) -
     else:
         df.drop(MONTH).write.mode("overwrite").parquet(f"{base}/{table}/{MONTH}={month}")
     if csv:
-        written = read_table(df.sparkSession, base, table, month)
+        written = _stored(df.sparkSession, base, table, month)
         where = f"{base}/csv/{table}" + (f"/{MONTH}={month}" if month else "")
         written.write.mode("overwrite").csv(where, header=True, quoteAll=True)
 
 
-def read_table(spark: SparkSession, base: str, table: str, month: str | None = None) -> DataFrame:
-    """A stored table; with a month only that partition is read."""
-    df = spark.read.schema(table_schema(table)).parquet(f"{base}/{table}")
+def _stored(spark: SparkSession, base: str, table: str, month: str | None = None) -> DataFrame:
+    schema = table_schema(table) if table != FACT_TABLE else _fact_schema(spark, base, month)
+    df = spark.read.schema(schema).parquet(f"{base}/{table}")
     return df if month is None else df.where(F.col(MONTH) == month)
 
 
+def _fact_schema(spark: SparkSession, base: str, month: str | None) -> T.StructType:
+    """The fixed columns and those that the stored line items brought along."""
+    known = table_schema(FACT_TABLE)
+    try:
+        files = f"{base}/{FACT_TABLE}" + (f"/{MONTH}={month}" if month else "")
+        found = spark.read.parquet(files).schema.fields
+    except AnalysisException:  # no file yet, or no such month
+        found = []
+    extra = [f for f in found if f.name not in known.fieldNames()]
+    return T.StructType([*known.fields[:-1], *extra, known.fields[-1]])
+
+
+def read_table(spark: SparkSession, base: str, table: str, month: str | None = None) -> DataFrame:
+    """A table of one month, read from its partition only; or of all months, with the month."""
+    df = _stored(spark, base, table, month)
+    return df if month is None else df.drop(MONTH)
+
+
 def read_mart(spark: SparkSession, base: str, month: str = "latest") -> dict[str, DataFrame]:
     chosen = resolve_month(spark, base, month)
     return {table: read_table(spark, base, table, chosen) for table in TABLES}
@@ -145,7 +176,7 @@ MANIFEST_SCHEMA = T.StructType(
 def stored_counts(spark: SparkSession, base: str, month: str | None = None) -> DataFrame:
     """Rows per month and table of the stored mart; Parquet footers answer this."""
     parts = [
-        read_table(spark, base, table, month).groupBy(MONTH).agg(F.count("*").alias("rows")).withColumn(
+        _stored(spark, base, table, month).groupBy(MONTH).agg(F.count("*").alias("rows")).withColumn(
             "table", F.lit(table)
         )
         for table in TABLES
@@ -167,7 +198,7 @@ def stored_files(spark: SparkSession, base: str, month: str | None = None) -> Da
         .option("recursiveFileLookup", True)
         .load([f"{base}/{table}" for table in TABLES])
         .select(
-            F.regexp_extract("path", rf"/{MONTH}=([^/]+)/[^/]+$", 1).alias(MONTH),
+            F.nullif(F.regexp_extract("path", rf"/{MONTH}=([^/]+)/[^/]+$", 1), F.lit(NO_MONTH)).alias(MONTH),
             F.regexp_extract("path", rf"/([^/]+)/{MONTH}=[^/]+/[^/]+$", 1).alias("table"),
             F.element_at(F.split("path", "/"), -1).alias("name"),
             F.col("length").alias("size_bytes"),
@@ -222,11 +253,11 @@ def months(spark: SparkSession, base: str) -> DataFrame:
     """Months of the mart in order; only the small manifest is read. None when there is no mart."""
     try:
         manifest = read_manifest(spark, base)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], f"{MONTH} string")
-    return manifest.select(MONTH).distinct().orderBy(MONTH)
+    return manifest.select(MONTH).where(F.col(MONTH).isNotNull()).distinct().orderBy(MONTH)
 
 
 def resolve_month(spark: SparkSession, base: str, month: str = "latest") -> str:
@@ -245,13 +276,13 @@ def resolve_month(spark: SparkSession, base: str, month: str = "latest") -> str:
 def mart_sizes(spark: SparkSession, base: str, month: str | None = None) -> DataFrame:
     """Megabytes per table and month, rounded to two digits."""
     files = stored_files(spark, base, month)
-    return files.groupBy(MONTH, "table").agg(F.round(F.sum("size_bytes") / F.lit(1024 * 1024), 2).alias("size_mb"))
+    return files.groupBy(MONTH, "table").agg(megabytes(F.sum("size_bytes")).alias("size_mb"))
 
 
 def mart_total_size(spark: SparkSession, base: str, month: str | None = None) -> DataFrame:
     """Megabytes per month, rounded after adding up."""
     files = stored_files(spark, base, month)
-    return files.groupBy(MONTH).agg(F.round(F.sum("size_bytes") / F.lit(1024 * 1024), 2).alias("total_size_mb"))
+    return files.groupBy(MONTH).agg(megabytes(F.sum("size_bytes")).alias("total_size_mb"))
 
 
 # ---- catalog -----------------------------------------------------------------------------

@@ -43,7 +43,8 @@ def test_month_of_the_default_contract_with_a_mapping(spark, tmp_path):
 def test_csv_is_taken_without_filters(spark, tmp_path):
     cost(spark).write.csv(str(tmp_path / "in"), header=True, quoteAll=True)
     out = etl.run_month(spark, str(tmp_path / "out"), "202508", csv_path=str(tmp_path / "in"))
-    assert out["raw_rows"] == 4 and out["row_counts"]["fact_sagemaker_costs"] == 3
+    assert out["raw_rows"] == 4 and out["row_counts"]["fact_sagemaker_costs"] == 4
+    assert out["row_counts"]["monthly_summary"] == 2
     with pytest.raises(ValueError):
         etl.run_month(spark, str(tmp_path / "out"), "202508")
 

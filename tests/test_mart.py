@@ -21,7 +21,7 @@ def base(spark, tmp_path):
 
 
 def counts(spark, base):
-    return {(r["billing_ym"], r["table"]): r["rows"] for r in mart.manifest_counts(mart.read_manifest(spark, base)).collect()}
+    return {(r["mart_month"], r["table"]): r["rows"] for r in mart.manifest_counts(mart.read_manifest(spark, base)).collect()}
 
 
 def test_round_trip_and_manifest(spark, base):
@@ -32,21 +32,22 @@ def test_round_trip_and_manifest(spark, base):
     assert found["202508", "agg_endpoint_hours"] == 1
     assert found["202508", "agg_studio_hours"] == 0
     tables = mart.read_mart(spark, base)
-    assert rows_of(tables["agg_endpoint_hours"].drop("billing_ym")) == [(None, "ml.m5", 0.0, 3.0)]
-    assert rows_of(tables["monthly_summary"]) == [(3 * 1.5, 3 * 1.5, "202508")]
+    assert rows_of(tables["agg_endpoint_hours"]) == [(None, "ml.m5", 0.0, 3.0)]
+    assert rows_of(tables["monthly_summary"]) == [("202508", 3 * 1.5, 3 * 1.5)]
     record = mart.read_manifest(spark, base).first()
     assert record["schema_version"] == "1.0" and record["created_at"]
 
 
 def test_month_is_read_alone_and_as_text(spark, base):
     plan = mart.read_table(spark, base, "agg_endpoint_hours", "202507")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(billing_ym" in plan
-    assert mart.read_table(spark, base, "agg_endpoint_hours").schema["billing_ym"].dataType.typeName() == "string"
+    assert "PartitionFilters: [isnotnull(mart_month" in plan
+    assert mart.read_table(spark, base, "agg_endpoint_hours").schema["mart_month"].dataType.typeName() == "string"
+    assert mart.read_table(spark, base, "agg_endpoint_hours", "202507").columns == ["resource_id", "instance_type", "hours", "cost"]
 
 
 def test_csv_twin_is_quoted(spark, base):
     text = spark.read.text(f"{base}/csv/agg_training_cost")
-    assert {r[0] for r in text.collect()} == {'"account_id","instance_type","cost","billing_ym"', '"","ml.m5","1.5","202508"'}
+    assert {r[0] for r in text.collect()} == {'"account_id","instance_type","cost","mart_month"', '"","ml.m5","1.5","202508"'}
 
 
 def test_month_is_replaced_without_leftovers(spark, base):
@@ -58,6 +59,15 @@ def test_month_is_replaced_without_leftovers(spark, base):
     assert mart.read_table(spark, base, "agg_endpoint_hours", "202508").count() == 0
 
 
+def test_line_items_without_a_month_are_kept_apart(spark, tmp_path):
+    base = str(tmp_path / "m")
+    mart.write_mart(spark, items(spark, "202508", "Host").unionByName(items(spark, None, "Host", "Train")), base)
+    assert [r[0] for r in mart.months(spark, base).collect()] == ["202508"] and mart.resolve_month(spark, base) == "202508"
+    found = counts(spark, base)
+    assert found[None, "fact_sagemaker_costs"] == 2 and found[None, "monthly_summary"] == 0
+    assert {r["mart_month"] for r in mart.mart_total_size(spark, base).collect()} == {None, "202508"}
+
+
 def test_latest_and_unknown_month(spark, base, tmp_path):
     assert mart.resolve_month(spark, base) == "202508"
     assert mart.resolve_month(spark, base, "2025-07") == "202507"
@@ -70,7 +80,7 @@ def test_latest_and_unknown_month(spark, base, tmp_path):
 def test_sizes_follow_the_files(spark, base):
     files = mart.stored_files(spark, base, "202508").collect()
     assert {f["table"] for f in files} >= {"fact_sagemaker_costs", "monthly_summary"}
-    assert all(f["size_bytes"] > 0 and f["billing_ym"] == "202508" for f in files)
+    assert all(f["size_bytes"] > 0 and f["mart_month"] == "202508" for f in files)
     total = mart.mart_total_size(spark, base, "202508").first()["total_size_mb"]
     assert total == round(sum(f["size_bytes"] for f in files) / 1048576, 2)
 
@@ -79,9 +89,9 @@ def test_catalog_and_month_info(spark, base):
     tables = mart.read_mart(spark, base)
     first = mart.catalog({"monthly_summary": tables["monthly_summary"]}).orderBy("ordinal").collect()
     assert [tuple(r) for r in first] == [
-        ("monthly_summary", 0, "unblended_cost", "double"),
-        ("monthly_summary", 1, "blended_cost", "double"),
-        ("monthly_summary", 2, "billing_ym", "string"),
+        ("monthly_summary", 0, "billing_ym", "string"),
+        ("monthly_summary", 1, "unblended_cost", "double"),
+        ("monthly_summary", 2, "blended_cost", "double"),
     ]
     info = mart.month_info(spark, base)
     assert info["month"] == "202508" and info["file_count"] == len(info["source_files"]) == len(json.loads(info["schema"]))
@@ -123,7 +133,13 @@ def test_guards(spark, sql, word_ok, text_ok):
 def test_gate_before_running(spark):
     views = {"t": spark.range(3)}
     assert guard.run_guarded(spark, "select max(id) AS m from t;", views).first()["m"] == 2
-    for sql in ("update t set id = 1", "select 1 from t where grant", "with a as (select 1) select 1 from a"):
+    for sql in (
+        "update t set id = 1",
+        "select 1 from t where grant",
+        "with a as (select 1) select 1 from a",
+        "select transform(id) using 'cat' as (x) from t",
+        "select reflect('java.lang.System', 'getProperty', 'user.home')",
+    ):
         with pytest.raises(ValueError):
             guard.run_guarded(spark, sql, views)
     with pytest.raises(RuntimeError):
@@ -152,3 +168,13 @@ def test_paths_become_months_and_views(spark):
     row = df.select(guard.month_paths(df.s, "data\\processed\\202508/").alias("m"), guard.table_views(df.s).alias("v")).first()
     assert row["m"] == "SELECT * FROM read_parquet('data/processed/202508/agg_storage_cost.parquet')"
     assert row["v"] == "SELECT * FROM agg_storage_cost"
+
+
+def test_other_columns_of_the_line_items_are_stored(spark, tmp_path):
+    base = str(tmp_path / "m")
+    mart.write_month(spark, items(spark, "202507", "Host"), base, "202507")
+    more = items(spark, "202508", "Host").drop("usertag9").selectExpr("*", "'x' AS extra")
+    mart.write_month(spark, more, base, "202508")
+    row = mart.read_mart(spark, base)["fact_sagemaker_costs"].first()
+    assert (row["extra"], row["usertag9"], row["is_endpoint"]) == ("x", None, True)
+    assert "extra" not in mart.read_mart(spark, base, "202507")["fact_sagemaker_costs"].columns

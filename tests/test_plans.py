@@ -50,7 +50,7 @@ def test_stored_month_is_pruned(spark, lake, tmp_path):
     base = str(tmp_path)
     mart.write_mart(spark, lake, base)
     text = plan(mart.read_table(spark, base, "monthly_summary", "202507"))
-    assert "PartitionFilters: [isnotnull(billing_ym" in text
+    assert "PartitionFilters: [isnotnull(mart_month" in text
 
 
 def test_search_drops_hits_before_the_shuffle_and_moves_no_texts(spark):
