@@ -176,7 +176,18 @@ def mart_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mart.catalog(mart.read_mart(spark, stored_mart(spark, sf_dir)))
 
 
-register("a09_schema_catalog", mart_catalog)
+_STORED_FACT = ", ".join(
+    [*cost_source.CUR_COLUMNS, *FLAGS, "usage_hours", *[f"cast(NULL AS varchar) AS {c}" for c in mart.CATEGORY_COLUMNS]]
+)
+_DESCRIBED = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", row_number() OVER () - 1 AS ordinal, column_name AS \"column\","
+    f" replace(lower(column_type), 'varchar', 'string') AS type FROM (DESCRIBE {sql})"
+    for name, sql in {
+        rollups.FACT_TABLE: f"SELECT {_STORED_FACT} FROM fact",
+        **{name: summary_sql(name) for name in rollups.ROLLUP},
+    }.items()
+)
+register("a09_schema_catalog", mart_catalog, with_cost(_DESCRIBED))
 register(
     "a10_months",
     lambda s, d: mart.months(s, stored_mart(s, d)),

@@ -65,34 +65,38 @@ class _Best:
 
     def __init__(self, queries: np.ndarray, k: int):
         self.queries, self.k = queries, k
-        self.border = np.full(len(queries), -np.inf)
-        self.query = np.empty(0, dtype=np.int64)
-        self.score = np.empty(0)
-        self.id: np.ndarray | None = None
+        self.border = np.full(len(queries), -np.inf)  # what a hit must reach to matter
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (query, score, id)
+        self.waiting = 0
 
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         step = max(1, CELLS // max(1, len(self.queries)))
         for at in range(0, len(ids), step):
-            found = np.round(self.queries @ matrix[at : at + step].T, SCORE_DIGITS) + 0.0
-            query, row = np.nonzero(found >= self.border[:, None])
+            scores = np.round(self.queries @ matrix[at : at + step].T, SCORE_DIGITS) + 0.0
+            query, row = np.nonzero(scores >= self.border[:, None])
             if len(query):
-                self._merge(query, found[query, row], ids[at : at + step][row])
+                self.found.append((query, scores[query, row], ids[at : at + step][row]))
+                self.waiting += len(query)
+            if self.waiting >= max(CELLS // 8, self.k * len(self.queries)):
+                self._merge()
 
-    def _merge(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, score])
-        ids = ids if self.id is None else np.concatenate([self.id, ids])
+    def _merge(self) -> None:
+        query, score, ids = (np.concatenate(parts) for parts in zip(*self.found))
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
-        kept = place < self.k
-        self.query, self.score, self.id = query[kept], score[kept], ids[kept]
         full = place == self.k - 1
         self.border[query[full]] = score[full]
+        kept = place < self.k
+        self.found = [(query[kept], score[kept], ids[kept])]
+        self.waiting = 0
 
     def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
-        ids = self.id if self.id is not None else []
-        columns = [query_ids[self.query], ids, self.score]
+        if not self.found:
+            return schema.empty_table()
+        self._merge()
+        query, score, ids = self.found[0]
+        columns = [query_ids[query], ids, score]
         return pa.table([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,7 +55,10 @@ def test_small_scan_steps_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(search, "CELLS", 20)
     for at in range(0, len(unit), 50):
         steps.add(np.arange(at, min(at + 50, len(unit))), unit[at : at + 50])
-    assert np.array_equal(whole.id, steps.id) and np.array_equal(whole.score, steps.score)
+    schema = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    names = np.arange(len(QUERIES))
+    assert whole.table(names, schema).equals(steps.table(names, schema))
+    assert whole.table(names, schema).num_rows == 9 * len(QUERIES)
 
 
 def test_unequal_vectors_are_an_error(spark):
