@@ -92,6 +92,15 @@ class PageWalk(HTMLParser):
             self._close_last()
         return self
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a malformed "<![" must not end the job; browsers take it as a comment
+            return self.parse_bogus_comment(i)
+
+    def updatepos(self, i, j):  # line numbers are not needed
+        return j
+
     def handle_starttag(self, tag, attrs):
         if self.skip_depth is None:
             attributes = {k: v or "" for k, v in attrs}

@@ -9,22 +9,25 @@ from pyspark.sql import types as T
 PROFILE_TYPE = "column string, sum double, mean double, min double, max double"
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+def _sum(name: str, kind: T.DataType) -> Column:
+    """Whole numbers are added up as decimals, which do not overflow."""
+    column = F.col(f"`{name}`")
+    return F.sum(column.cast("decimal(20,0)") if isinstance(kind, T.IntegralType) else column)
 
 
 def _numbers(df: DataFrame) -> list[Column]:
-    measures = (("sum", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max))
-    return [
-        F.struct(
-            F.lit(name).alias("column"),
-            *[
-                F.coalesce(measure(F.col(f"`{name}`")).cast("double"), F.lit(0.0)).alias(label)
-                for label, measure in measures
-            ],
-        ).alias(f"_{i}")
-        for i, name in enumerate(numeric_columns(df))
-    ]
+    out = []
+    for i, field in enumerate(f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)):
+        column = F.col(f"`{field.name}`")
+        numbers = {
+            "sum": _sum(field.name, field.dataType),
+            "mean": F.avg(column),
+            "min": F.min(column),
+            "max": F.max(column),
+        }
+        parts = [F.coalesce(n.cast("double"), F.lit(0.0)).alias(label) for label, n in numbers.items()]
+        out.append(F.struct(F.lit(field.name).alias("column"), *parts).alias(f"_{i}"))
+    return out
 
 
 def numeric_profile(df: DataFrame) -> DataFrame:

@@ -310,6 +310,8 @@ def test_profile(spark):
     assert (empty["row_count"], empty["column_count"]) == (0, 3)
     assert empty["numeric_summary"]["x"] == {"sum": 0.0, "mean": 0.0, "min": 0.0, "max": 0.0}
     assert numeric_profile(df.select("s")).count() == 0
+    large = spark.createDataFrame([(2**63 - 1,), (2**63 - 1,)], "n long")
+    assert numeric_profile(large).first()["sum"] == pytest.approx(2.0**64)
 
 
 def test_trend_and_spikes(spark):

@@ -66,6 +66,23 @@ def test_unclosed_dropped_element_ends_with_its_parent():
     assert markup.page_text("<div><nav>gone<p>too</div><p>kept") == "kept"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(
+    ["<", ">", "</", "<!", "<!--", "-->", "<![", "[", "]]>", "<?", "<div", "<nav>", "</nav>", "<h1>", "</h1>", "<script>", "</script>",
+     "<a href=y>", "</a>", "&amp;", "&#", "41;", "&#99999999999;", "text", " ", "\n", "\x00", "é", '"', "=", "/>", "<![if IE]>", "<svg><title>"]
+), max_size=25))
+def test_no_page_stops_the_job(parts):
+    html = "".join(parts)
+    for walk in (markup.page_parts, markup.page_facts, markup.page_markup, markup.page_text, markup.topic_links):
+        walk(html)
+    orders = [s["section_order"] for s in markup.page_parts(html)["sections"]]
+    assert orders == list(range(len(orders)))
+
+
+def test_malformed_declarations_are_comments():
+    assert markup.page_text("<p>a</p><![foo bar]><p>b</p><![if !IE]>c<![endif]>") == "a\nb\nc"
+
+
 def test_facts_see_the_whole_page():
     facts = markup.page_facts(PAGE)
     assert facts["title"] == "A & B"
