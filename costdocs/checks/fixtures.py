@@ -5,6 +5,8 @@ Each input exists twice: as a DataFrame and as DuckDB SQL for the comparison.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,20 @@ from costdocs.sources.scan import read_table
 SPREAD_BY = {"lineitem": "l_orderkey", "pages": "page_id", "documents": "doc_id", "events": "event_id"}
 
 
+_HANDLES: dict[tuple, DataFrame] = {}
+
+
+def _handle(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The plan of an input, made once per application; no data is kept."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _HANDLES:
+        _HANDLES[key] = make()
+    return _HANDLES[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", SPREAD_BY.get(name))
+    path = f"{sf_dir}/{name}.parquet"
+    return _handle(spark, sf_dir, name, lambda: read_table(spark, path, SPREAD_BY.get(name)))
 
 
 # ---- cost line items over the star schema ------------------------------------------------
@@ -73,6 +87,10 @@ _DUCK = {
 
 
 def cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _handle(spark, sf_dir, "cost line items", lambda: _cost_table(spark, sf_dir))
+
+
+def _cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All billing line items. Join strategies are left to the sizes Spark measures."""
     t = lambda name: table(spark, sf_dir, name)
     joined = (

@@ -9,7 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Entity replacements in the order they are applied; "&amp;lt;" therefore ends up as "<".
+# The tag pattern, and entities in the order they are replaced ("&amp;lt;" ends up as "<").
+TAG = r"<[^>]+>"
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 
 # The characters that count as white space at the ends of a text.
@@ -89,7 +90,7 @@ def strip_space(c: Column) -> Column:
 
 
 def strip_tags(c: Column, by: str = "") -> Column:
-    return F.regexp_replace(c, r"<[^>]+>", by)
+    return F.regexp_replace(c, TAG, by)
 
 
 def decode_entities(c: Column) -> Column:

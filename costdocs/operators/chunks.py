@@ -9,6 +9,7 @@ from costdocs.functions.markup import LEVELS, page_parts_udf
 from costdocs.functions.splitter import split_column, window_column
 from costdocs.functions.text import first_filled, title_case
 
+# What stands in for a missing URL or section.
 DEFAULT_URL = "https://docs.aws.amazon.com/sagemaker/"
 DEFAULT_SECTION = "General"
 

@@ -20,6 +20,11 @@ EXTRA_WORDS = ("grant", "revoke", "execute", "call")
 # A SELECT may reach Java code through these; scripts (TRANSFORM … USING) are refused by their plan.
 REACHING_WORDS = ("reflect", "java_method", "try_reflect")
 
+# How SQL is recognised, and how it is found in a model's answer.
+STARTS_WITH_SELECT = r"(?is)^\s*select\b"
+CODE_FENCE = (r"^```json", r"```$")
+FIRST_SELECT = r"(?is)select\s+.*?(?:;|$)"
+
 NOT_SELECT = "not a SELECT"
 FORBIDDEN = "forbidden keyword"
 LATEST_PATH = "data/processed/latest"
@@ -30,7 +35,7 @@ def _word_pattern(words) -> str:
 
 
 def _starts_with_select(sql: Column) -> Column:
-    return F.coalesce(sql.rlike(r"(?is)^\s*select\b"), F.lit(False))
+    return F.coalesce(sql.rlike(STARTS_WITH_SELECT), F.lit(False))
 
 
 def word_guard(sql: Column, words=FORBIDDEN_WORDS) -> Column:
@@ -54,7 +59,7 @@ def checked(log: DataFrame, reason: Column, sql: str = "sql") -> DataFrame:
 def refuse_unsafe(sql: str) -> str:
     """The SQL text without its final semicolon; ValueError when it is not a plain SELECT."""
     bare = sql.strip().rstrip(";").rstrip()
-    if not re.match(r"(?is)\s*select\b", bare):
+    if not re.match(STARTS_WITH_SELECT, bare):
         raise ValueError(f"{NOT_SELECT}: {sql}")
     if re.search("(?is)" + _word_pattern(FORBIDDEN_WORDS + EXTRA_WORDS + REACHING_WORDS), bare):
         raise ValueError(f"{FORBIDDEN}: {sql}")
@@ -66,11 +71,12 @@ def extract_sql(model_text: Column) -> Column:
 
     Null when there is neither; JSON without the field gives the empty text.
     """
-    bare = F.regexp_replace(strip_space(model_text), r"^```json", "")
-    bare = strip_space(F.regexp_replace(bare, r"```$", ""))
+    opening, closing = CODE_FENCE
+    bare = F.regexp_replace(strip_space(model_text), opening, "")
+    bare = strip_space(F.regexp_replace(bare, closing, ""))
     parsed = F.try_parse_json(bare)
     field = F.coalesce(F.try_variant_get(parsed, "$.sql", "string"), F.lit(""))
-    found = strip_space(F.regexp_extract(bare, r"(?is)select\s+.*?(?:;|$)", 0))
+    found = strip_space(F.regexp_extract(bare, FIRST_SELECT, 0))
     closed = F.when(found == "", None).when(F.endswith(found, F.lit(";")), found).otherwise(F.concat(found, F.lit(";")))
     is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
     return F.when(is_object, field).otherwise(closed)

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from costdocs.functions.markup import LEVELS
 from costdocs.functions.text import decode_entities, distinct_lines, strip_space, strip_tags
 
+# Tags cut out as a whole, and the patterns of title, headings and tags.
 BOILERPLATE_TAGS = ("header", "footer", "nav", "aside", "script", "style")
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+HEADING = r"(?is)<{0}[^>]*>(.*?)</{0}>"
 
 
 def title_tag(html: Column) -> Column:
     """The text of the first title element, null without one."""
-    found = r"(?is)<title[^>]*>(.*?)</title>"
-    return F.when(html.rlike(found), strip_space(F.regexp_extract(html, found, 1)))
+    return F.when(html.rlike(TITLE), strip_space(F.regexp_extract(html, TITLE, 1)))
 
 
 def heading_texts(html: Column, level: str) -> Column:
     """Texts of all headings of a level without inner tags."""
-    tag = level.lower()
-    found = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+    found = F.regexp_extract_all(html, F.lit(HEADING.format(level.lower())), F.lit(1))
     return F.transform(found, lambda x: strip_space(strip_tags(x)))
 
 

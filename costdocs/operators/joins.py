@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_LOOKUP_ROWS = 100_000
+MAX_LOOKUP_BYTES = 64 << 20
 SALTS = 32
 
 
 def bounded_copy(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | None:
-    """The rows as local data when there are at most ``max_rows``, else None.
+    """The rows as local data when there are at most ``max_rows`` and they are small, else None.
 
     The table is evaluated once, and no more than ``max_rows + 1`` rows are fetched.
     """
     head = df.limit(max_rows + 1).toArrow()
-    return df.sparkSession.createDataFrame(head, df.schema) if head.num_rows <= max_rows else None
+    fits = head.num_rows <= max_rows and head.nbytes <= MAX_LOOKUP_BYTES
+    return df.sparkSession.createDataFrame(head, df.schema) if fits else None
 
 
 def lookup_join(

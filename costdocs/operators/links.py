@@ -12,6 +12,7 @@ from costdocs.functions.markup import page_facts_udf, topic_links_udf
 from costdocs.functions.text import contains_any, first_filled
 from costdocs.sources.pages import header_map
 
+# Where relative links start, and the word that a kept link holds.
 BASE_URL = "https://docs.aws.amazon.com/sagemaker/latest/dg/"
 LINK_WORD = "sagemaker"
 

@@ -28,6 +28,7 @@ HOURS_AND_COST = (("hours", "usage_hours"), ("cost", "lineitem_unblendedcost"))
 INSTANCE = ("instance_type", "product_instancetype")
 USAGE_TYPE = ("usage_type", "lineitem_usagetype")
 
+# Names, conditions, keys and measures of the ten summaries.
 ROLLUPS = (
     Rollup("agg_endpoint_hours", "is_endpoint", (("resource_id", "lineitem_resourceid"), INSTANCE), HOURS_AND_COST),
     Rollup("agg_training_cost", "is_training", (("account_id", "lineitem_usageaccountid"), INSTANCE)),

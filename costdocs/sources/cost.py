@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from costdocs.operators.ranking import first_rows
 
+# The columns of a billing line item, in order, and what is extracted.
 TAG_COLUMNS = [f"usertag{i}" for i in range(10)]
 COST_COLUMNS = ["lineitem_unblendedcost", "lineitem_blendedcost"]
 

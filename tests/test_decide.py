@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from costdocs.operators import classify, decide
 
-# Questions with the intent they should get.
+# Questions with the intent they should get.
 GOLDEN = [
     ("이번달 SageMaker 비용", "sql"),
     ("Notebook 시간 합계", "sql"),
