@@ -83,16 +83,21 @@ def split_column(c: Column, size: int = 1200, overlap: int = 120, separators: Se
     return run.asNondeterministic()(c)
 
 
-def window_column(c: Column, size: int = 1200, overlap: int = 120) -> Column:
+def step_column(c: Column, size: int = 1200, overlap: int = 120) -> Column:
+    """A text cut into pieces of ``size - overlap`` characters, in one walk."""
+    step = size - overlap
+    if step <= 0:
+        raise ValueError("overlap must be smaller than size")
+    return F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+
+
+def window_column(steps: Column, length: Column, size: int = 1200, overlap: int = 120) -> Column:
     """Fixed windows of ``size`` characters every ``size - overlap``, JVM-side, in linear time.
 
-    Equal to :func:`split_column` with the empty separator only. The text is cut once into
-    steps; a window is one step and the head of the steps after it.
+    Equal to :func:`split_column` with the empty separator only. ``steps`` is a column holding
+    :func:`step_column`; a window is one step and the head of the steps after it.
     """
     step = size - overlap
-    if step <= 0:
-        raise ValueError("overlap must be smaller than size")
-    steps = F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
     windows = steps
     for k in range(1, -(-overlap // step) + 1):
         windows = F.zip_with(
@@ -100,8 +105,5 @@ def window_column(c: Column, size: int = 1200, overlap: int = 120) -> Column:
             F.slice(steps, F.lit(k + 1), F.size(steps)),
             lambda head, tail: F.concat(head, F.coalesce(tail, F.lit(""))),
         )
-    count = F.greatest(F.lit(1), F.ceil((F.length(c) - F.lit(overlap)) / F.lit(step)).cast("int"))
-    stripped = F.transform(
-        F.slice(windows, F.lit(1), count), lambda x: strip_space(F.left(x, F.lit(size)))
-    )
-    return F.filter(stripped, lambda x: x != "")
+    count = F.greatest(F.lit(1), F.ceil((length - F.lit(overlap)) / F.lit(step)).cast("int"))
+    return F.transform(F.slice(windows, F.lit(1), count), lambda x: strip_space(F.left(x, F.lit(size))))

@@ -64,6 +64,15 @@ def with_first_match(df: DataFrame, name: str, columns: Sequence[Column], rules:
     )
 
 
+def rows_of(df: DataFrame, keep: Sequence[str], array: Column, position: str, element: str) -> DataFrame:
+    """One row per array element, with its position.
+
+    The outer form comes without the filter for which Spark would compute the array twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, element))
+    return rows.where(F.col(position).isNotNull())
+
+
 def first_filled(*columns: Column) -> Column:
     """The first value that is neither null nor the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costdocs.functions.markup import LEVELS, page_parts_udf
-from costdocs.functions.splitter import split_column, window_column
-from costdocs.functions.text import first_filled, title_case
+from costdocs.functions.splitter import split_column, step_column, window_column
+from costdocs.functions.text import first_filled, rows_of, title_case
 
 # What stands in for a missing URL or section.
 DEFAULT_URL = "https://docs.aws.amazon.com/sagemaker/"
@@ -61,9 +61,14 @@ def recursive_chunks(texts: DataFrame, key: str, text: str, size: int = 1200, ov
 
 
 def window_chunks(texts: DataFrame, key: str, text: str, size: int = 1200, overlap: int = 120) -> DataFrame:
-    """Fixed windows of any text table as rows (key, chunk_order, content)."""
-    split = texts.select(key, window_column(F.col(text), size, overlap).alias("_chunks"))
-    return split.select(key, F.posexplode("_chunks").alias("chunk_order", "content"))
+    """Fixed windows of any text table as rows (key, chunk_order, content); blank ones are left out.
+
+    The steps are a column of their own, so that the text is cut once.
+    """
+    steps = texts.select(key, F.length(text).alias("_length"), step_column(F.col(text), size, overlap).alias("_steps"))
+    windows = window_column(F.col("_steps"), F.col("_length"), size, overlap)
+    dense = F.filter(windows, lambda x: x != "")
+    return rows_of(steps, [key], dense, "chunk_order", "content")
 
 
 def attach_metadata(chunks: DataFrame, version_date: str, doc_type: str = "developer-guide") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costdocs.functions.markup import LEVELS
-from costdocs.functions.text import decode_entities, distinct_lines, strip_space, strip_tags
+from costdocs.functions.text import decode_entities, distinct_lines, rows_of, strip_space, strip_tags
 
 # Tags cut out as a whole, and the patterns of title, headings and tags.
 BOILERPLATE_TAGS = ("header", "footer", "nav", "aside", "script", "style")
@@ -34,7 +34,7 @@ def _numbered(texts: Column, level: str) -> Column:
 def page_headings(pages: DataFrame) -> DataFrame:
     """One row per heading: page, level, position, text."""
     found = F.concat(*[_numbered(heading_texts(F.col("html"), level), level) for level in LEVELS])
-    return pages.select("page_id", F.explode(found).alias("heading")).select("page_id", "heading.*")
+    return rows_of(pages, ["page_id"], found, "_at", "heading").select("page_id", "heading.*")
 
 
 def heading_counts(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costdocs.functions.markup import page_facts_udf, topic_links_udf
-from costdocs.functions.text import contains_any, first_filled
+from costdocs.functions.text import contains_any, first_filled, rows_of
 from costdocs.sources.pages import header_map
 
 # Where relative links start, and the word that a kept link holds.
@@ -90,12 +90,9 @@ def matching_links(anchors: Column, word: str = LINK_WORD, base: str = BASE_URL)
 
 def page_links(pages: DataFrame, word: str = LINK_WORD, base: str = BASE_URL) -> DataFrame:
     """One row per matching link of a page."""
+    facts = pages.select("page_id", page_facts_udf("html").alias("facts"))
     links = matching_links(F.col("facts.links"), word, base)
-    return (
-        pages.select("page_id", page_facts_udf("html").alias("facts"))
-        .select("page_id", F.posexplode(links).alias("position", "link"))
-        .select("page_id", "position", "link.*")
-    )
+    return rows_of(facts, ["page_id"], links, "position", "link").select("page_id", "position", "link.*")
 
 
 def page_topics(pages: DataFrame, base: str = BASE_URL) -> DataFrame:
@@ -105,17 +102,17 @@ def page_topics(pages: DataFrame, base: str = BASE_URL) -> DataFrame:
     ).select("page_id", "position", "link.text", absolute_url(F.col("link.href"), base).alias("url"))
 
 
-def found_services(text: Column, services: Sequence[str] = SERVICES) -> Column:
-    """Names of the short fixed list that occur in a text, ignoring case; no join, no shuffle."""
-    low = F.lower(text)
-    names = [F.when(F.contains(low, F.lit(name.lower())), F.lit(name)) for name in services]
+def found_services(low_text: Column, services: Sequence[str] = SERVICES) -> Column:
+    """Names of the short fixed list that occur in a lower-case text; no join, no shuffle."""
+    names = [F.when(F.contains(low_text, F.lit(name.lower())), F.lit(name)) for name in services]
     return F.array_compact(F.array(*names))
 
 
 def service_mentions(pages: DataFrame, services: Sequence[str] = SERVICES) -> DataFrame:
     """One row per page and service named in its visible text."""
-    text = pages.select("page_id", page_facts_udf("html")["text"].alias("text"))
-    return text.select("page_id", F.explode(found_services(F.col("text"), services)).alias("service"))
+    text = pages.select("page_id", F.lower(page_facts_udf("html")["text"]).alias("_low"))
+    found = rows_of(text, ["page_id"], found_services(F.col("_low"), services), "_at", "service")
+    return found.select("page_id", "service")
 
 
 def page_structures(
@@ -123,13 +120,14 @@ def page_structures(
 ) -> DataFrame:
     """The structure record of every page: title, headings, counts, services, links."""
     facts = F.col("facts")
-    found = pages.select("page_id", "url", page_facts_udf("html").alias("facts")).select(
+    parsed = pages.select("page_id", "url", page_facts_udf("html").alias("facts"))
+    found = parsed.withColumn("_low", F.lower(facts["text"])).select(
         "page_id",
         "url",
         first_filled(facts["title"], F.lit("Unknown")).alias("title"),
         header_map(facts).alias("headers"),
         matching_links(facts["links"], word, base).alias("sagemaker_links"),
-        found_services(facts["text"], services).alias("found_services"),
+        found_services(F.col("_low"), services).alias("found_services"),
     )
     return found.select(
         "page_id",

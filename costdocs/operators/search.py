@@ -237,14 +237,23 @@ def retrieve(
     k: int = TOP_K,
     top_n: int = TOP_N,
     threshold: float = THRESHOLD,
+    text: str = "text",
 ) -> DataFrame:
     """Contexts of every query: top ``k``, mean gate, first ``top_n``."""
-    return contexts(top_k(corpus, queries, k), texts, threshold, top_n)
+    return contexts(top_k(corpus, queries, k), texts, threshold, top_n, text)
 
 
-def search(corpus: DataFrame, queries: DataFrame, texts: DataFrame, top_n: int = 5) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, texts: DataFrame, top_n: int = 5, text: str = "text") -> DataFrame:
     """Contexts without a gate, from twice as many candidates."""
-    return retrieve(corpus, queries, texts, k=2 * top_n, top_n=top_n, threshold=0.0)
+    return retrieve(corpus, queries, texts, 2 * top_n, top_n, 0.0, text)
+
+
+def search_store(
+    store: DataFrame, queries: DataFrame, k: int = TOP_K, top_n: int = TOP_N, threshold: float = THRESHOLD
+) -> DataFrame:
+    """:func:`retrieve` over a stored chunk table (``id``, ``content``, ``embedding``, metadata)."""
+    keyed = store.withColumn("vec_id", F.col("id"))
+    return retrieve(keyed, queries, keyed.drop("embedding"), k, top_n, threshold, "content")
 
 
 def retrieval_report(
@@ -295,7 +304,7 @@ def context_text(queries: DataFrame, context_rows: DataFrame, query_id: str = "q
 
 def relevant_context(corpus: DataFrame, queries: DataFrame, texts: DataFrame, top_n: int = 3) -> DataFrame:
     """Context text per query from ``2 * top_n`` candidates, gated."""
-    return context_text(queries, retrieve(corpus, queries, texts, k=2 * top_n, top_n=top_n))
+    return context_text(queries, retrieve(corpus, queries, texts, 2 * top_n, top_n))
 
 
 def score_report(hits: DataFrame) -> DataFrame:

@@ -85,3 +85,37 @@ PYTHON_NODES = {
 @pytest.mark.parametrize("name", PYTHON_NODES)
 def test_texts_pass_through_python_once_per_step(spark, sf_dir, name):
     assert plan(entry.queries()[name](spark, sf_dir)).count("ArrowEvalPython") == PYTHON_NODES[name]
+
+
+def test_a_month_with_most_rows_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(60000).select(
+        F.when(F.col("id") % 20 == 0, F.concat(F.lit("20250"), (F.col("id") % 7 + 1).cast("string"))).otherwise("202508").alias("billing_ym"),
+        F.sha2(F.col("id").cast("string"), 256).alias("lineitem_resourceid"),
+    )
+    missing = {f.name: F.lit(None).cast(f.dataType) for f in cost_source.CUR_SCHEMA if f.name not in rows.columns}
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "256k")
+        mart.write_mart(spark, rows.withColumns(missing), str(tmp_path))
+    finally:
+        spark.conf.set(size, before)
+    files = mart.stored_files(spark, str(tmp_path)).where("table = 'fact_sagemaker_costs'")
+    per_month = {r["mart_month"]: r["n"] for r in files.groupBy("mart_month").agg(F.count("*").alias("n")).collect()}
+    assert per_month.pop("202508") > 3
+    assert set(per_month.values()) == {1}
+
+
+def test_large_lookups_are_salted(spark):
+    from costdocs.operators.joins import lookup_join
+
+    big = spark.range(1000).select(F.when(F.col("id") < 999, "hot").otherwise("cold").alias("k"), "id").repartition(8)
+    lookup = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup_join(big, lookup, ["k"], "left", max_rows=1)
+        text = plan(joined)
+        assert "SortMergeJoin [k" in text and "_salt" in text.split("SortMergeJoin")[1].split("]")[0]
+        assert joined.where("v = 1").count() == 999 and joined.columns == ["k", "id", "v"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

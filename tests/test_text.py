@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from costdocs.functions import markup
-from costdocs.functions.splitter import SEPARATORS, split_column, split_text, window_column
+from costdocs.functions.splitter import SEPARATORS, split_text
 from costdocs.operators import chunks, dedup, headings, links
 from costdocs.plans import chunk_index
 from costdocs.sources import pages as page_source
@@ -287,9 +287,13 @@ def test_windows_equal_the_splitter_on_spark(spark):
     texts = ["", " ", "a", "x" * 1200, "y" * 1201, "é😀" * 900, "ab cd\n" * 700, None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     for size, overlap in ((1200, 120), (10, 7), (5, 0)):
-        both = df.select("i", window_column(F.col("t"), size, overlap).alias("w"), split_column(F.col("t"), size, overlap, [""]).alias("s"))
-        for r in both.collect():
-            assert (r["w"] or []) == (r["s"] or []), (r["i"], size, overlap)
+        windows = {tuple(r) for r in chunks.window_chunks(df, "i", "t", size, overlap).collect()}
+        expected = {
+            (i, n, c) for i, t in enumerate(texts) if t is not None for n, c in enumerate(split_text(t, size, overlap, [""]))
+        }
+        assert windows == expected, (size, overlap)
+    with pytest.raises(ValueError):
+        chunks.window_chunks(df, "i", "t", 5, 5)
 
 
 def test_chunk_ids_and_metadata(spark):
@@ -364,3 +368,18 @@ def test_vectors_may_come_from_a_table(spark, tmp_path):
     assert [(r["content"], r["embedding"]) for r in spark.read.parquet(path).collect()] == [("One", [1.0])]
     with pytest.raises(ValueError):
         chunk_index.add_pages(spark, pages, path, "v1")
+
+
+def test_pages_to_contexts(spark, tmp_path):
+    from costdocs.checks.text import word_vector
+    from costdocs.operators import search
+
+    path = str(tmp_path / "store")
+    pages = page_table(spark, PAGE, "<title>Zoo</title><h1>Zoo</h1><p>zebra lion zebra</p>", "<h1>Bread</h1><p>flour water salt</p>")
+    chunk_index.add_pages(spark, pages, path, "2025-08-01", word_vector)
+    asked = spark.createDataFrame([(1, "zebra lion"), (2, "flour")], "query_id long, question string")
+    queries = asked.withColumn("embedding", word_vector("question"))
+    rows = {(r["query_id"], r["rank"]): r for r in search.search_store(spark.read.parquet(path), queries, 2, 1).collect()}
+    assert rows[1, 1]["id"] == "page-1#s01#0000" and rows[1, 1]["text"] == "zebra lion zebra"
+    assert rows[2, 1]["metadata"]["title"] == "Bread" and rows[2, 1]["metadata"]["version_date"] == "2025-08-01"
+    assert len(rows) == 2
