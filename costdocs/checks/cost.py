@@ -461,15 +461,17 @@ register("d13_mart_fact", whole_mart_fact, with_cost(f"SELECT {_FACT_SQL} FROM f
 def _all_rows_sql() -> str:
     parts = []
     for name in rollups.ROLLUP:
+        blended = "0.0"
         if name == "monthly_summary":
-            condition, keys = "billing_ym IS NOT NULL", ["billing_ym"]
+            condition, keys, hours, blended = "billing_ym IS NOT NULL", ["billing_ym"], False, money("lineitem_blendedcost")
         else:
-            condition, named, _ = SUMMARY_SQL[name]
+            condition, named, hours = SUMMARY_SQL[name]
             keys = list(named.values())
         k1, k2 = (keys + ["NULL"])[:2]
         parts.append(
-            f"SELECT '{name}' AS \"table\", {k1} AS key1, cast({k2} AS varchar) AS key2, coalesce(sum(usage_hours), 0.0) AS hours,"
-            f" {money('lineitem_unblendedcost')} AS unblended, {money('lineitem_blendedcost')} AS blended"
+            f"SELECT '{name}' AS \"table\", {k1} AS key1, cast({k2} AS varchar) AS key2,"
+            f" {'coalesce(sum(usage_hours), 0.0)' if hours else '0.0'} AS hours,"
+            f" {money('lineitem_unblendedcost')} AS unblended, {blended} AS blended"
             f" FROM fact WHERE {condition} GROUP BY {', '.join(keys)}"
         )
     return " UNION ALL ".join(parts)

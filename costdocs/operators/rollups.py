@@ -79,11 +79,21 @@ def summarise(fact: DataFrame, table: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+MEASURE_OF = {"usage_hours": "hours", "lineitem_unblendedcost": "unblended", "lineitem_blendedcost": "blended"}
+
+
+def _measured(column: str) -> Column:
+    """A measure where the target table has it, so that nothing is added up in vain."""
+    having = [r.table for r in ROLLUPS if column in dict(r.measures).values()]
+    return F.col(column) if len(having) == len(ROLLUPS) else F.when(F.col("table").isin(having), F.col(column))
+
+
 def summarise_all(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All ten summaries as rows (table, key1, key2, hours, unblended, blended).
 
     One scan and one shuffle: each line item is offered to the tables whose condition it
-    meets, and one aggregation runs over (table, keys). Use :func:`pick` to take one table out.
+    meets, and one aggregation runs over (table, keys). Measures that a table does not have
+    are 0. Use :func:`pick` to take one table out.
     """
     null = F.lit(None).cast("string")
     offers = []
@@ -91,27 +101,16 @@ def summarise_all(fact: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         keys = [_key(column).cast("string") for _, column in rollup.keys] + [null]
         target = F.struct(F.lit(rollup.table).alias("table"), keys[0].alias("key1"), keys[1].alias("key2"))
         offers.append(F.when(_applies(rollup), target))
-    offered = fact.select(
-        *by,
-        F.explode(F.array(*offers)).alias("target"),
-        "usage_hours",
-        "lineitem_unblendedcost",
-        "lineitem_blendedcost",
-    ).where(F.col("target").isNotNull())
+    offered = fact.select(*by, F.explode(F.array(*offers)).alias("target"), *MEASURE_OF)
     return (
-        offered.select(*by, "target.*", "usage_hours", "lineitem_unblendedcost", "lineitem_blendedcost")
+        offered.where(F.col("target").isNotNull())
+        .select(*by, "target.*", *MEASURE_OF)
+        .withColumns({column: _measured(column) for column in MEASURE_OF})
         .groupBy(*by, "table", "key1", "key2")
-        .agg(
-            total("usage_hours").alias("hours"),
-            total("lineitem_unblendedcost").alias("unblended"),
-            total("lineitem_blendedcost").alias("blended"),
-        )
+        .agg(*[total(column).alias(name) for column, name in MEASURE_OF.items()])
     )
 
 
-MEASURE_OF = {"usage_hours": "hours", "lineitem_unblendedcost": "unblended", "lineitem_blendedcost": "blended"}
-
-
 def pick(all_rows: DataFrame, table: str, by: Sequence[str] = ()) -> DataFrame:
     """One summary table out of :func:`summarise_all`."""
     rollup = ROLLUP[table]

@@ -97,6 +97,9 @@ def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: st
 
     An empty table replaces an older file as well.
     """
+    month = month.replace("-", "")
+    if not month.isalnum():
+        raise ValueError(f"not a month: {month}")
     _write_tables(spark, line_items.withColumn(MONTH, F.lit(month)), base, month, csv, False)
     return write_manifest(spark, base, month)
 
