@@ -155,7 +155,7 @@ def accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(
     "d17_accuracy",
     accuracy,
-    """SELECT sum(ok) AS correct, count(*) AS total, round(avg(ok), 6) AS accuracy, avg(ok) >= 0.8 AS passed
+    """SELECT cast(sum(ok) AS bigint) AS correct, count(*) AS total, round(avg(ok), 6) AS accuracy, avg(ok) >= 0.8 AS passed
 FROM (SELECT CASE WHEN quality = CASE WHEN n_chars > 300 THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS ok
  FROM labels LEFT JOIN documents ON labels.doc_id = documents.doc_id)""",
 )
