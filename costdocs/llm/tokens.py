@@ -1,50 +1,69 @@
-"""Token ids of whole texts with a public tokenizer, each distinct piece between spaces encoded once.
+"""Token ids of whole texts with a public tokenizer, every distinct piece encoded once per worker.
 
-A text is cut before single spaces, where none of the supported tokenizers ever joins two
-pieces, so the ids of the pieces are the ids of the text. Strings of special tokens in a text
-are ordinary text.
+A text is cut before single spaces, where none of the supported tokenizers joins what it cuts, so
+the ids of the pieces, one after the other, are the ids of the text. New pieces are handed to the
+tokenizer many at a time. Where the tokenizer drops white space, they are first cut again between
+letters and signs. What is outside the plain cases is encoded as it stands. Strings of special
+tokens are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 from costdocs.llm.common import ranges, worker_cache
 
-MEMO_PIECES = 600_000  # pieces kept per Python worker
-MEMO_IDS = 6_000_000  # and their ids
+MEMO_PIECES = 700_000  # pieces kept per Python worker
+MEMO_IDS = 8_000_000  # and their ids
 WINDOW = 1 << 20  # characters of a very long text that are cut at a time
 
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af"  # but for the one whose small form is two characters
+_SIGNS = r".,;:!?|#$%&*()\-"
+_PARTS = re.compile(f"[{_LETTERS}]+|[{_SIGNS}]+")
+_PLAIN = re.compile(f"[{_LETTERS}{_SIGNS}]+")
+_RUN = re.compile(f"[{_LETTERS}]+")
 _UNSAFE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
+_NOT_LATIN = re.compile("[^\\x00-\u02ff]")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def vocabulary(name: str) -> str:
-    """The path of an installed public vocabulary file."""
-    import public_tokenizers
+class _Table(dict):
+    """Strings, their numbers in order of first use, and the ids of each."""
 
-    return public_tokenizers.path(name)
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        super().__init__()
+        self.encode, self.waiting = encode, []
+        self.lengths, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def __missing__(self, text: str) -> int:
+        number = self[text] = len(self)
+        self.waiting.append(text)
+        return number
 
-class _Numbers(dict):
-    """Pieces and their numbers in order of first use; new pieces wait to be encoded."""
+    def ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per string, all ids) of numbered strings; new ones are encoded first."""
+        if self.waiting:
+            waiting, self.waiting = self.waiting, []
+            lengths, flat = self.encode(waiting)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.flat = np.concatenate([self.flat, flat])
+        lengths = self.lengths[codes]
+        return lengths, self.flat[ranges(lengths, self.starts[codes])]
 
-    def __init__(self):
-        super().__init__()
-        self.waiting: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        self.waiting.append(piece)
-        return number
+def _grouped(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of ``lengths`` over runs of ``counts`` values."""
+    return np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)], prepend=0)
 
 
 class Encoder:
-    """Encodes texts; ``keeps_spaces`` tells whether a space before a piece is part of its ids."""
+    """Encodes texts like the tokenizer itself, without added special tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,31 +71,67 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_spaces = self._ids(["a b"])[0] != self._ids(["a  b"])[0]
+        self.keeps_spaces = self._each(["a b"])[0] != self._each(["a  b"])[0]
+        names = self.tokenizer.get_vocab()
+        mark = (lambda t: t.startswith("\u0120")) if self.keeps_spaces else (lambda t: t.endswith("</w>"))
+        self.marked = np.zeros(max(names.values()) + 1, bool)
+        self.marked[[i for t, i in names.items() if mark(t)]] = True
         self._forget()
 
-    def _ids(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        self.numbers = _Numbers()
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _learn(self) -> None:
-        waiting, self.numbers.waiting = self.numbers.waiting, []
-        if not waiting:
-            return
+        self.parts = _Table(self._encode_parts)
+        self.pieces = _Table(self._encode_spaced if self.keeps_spaces else self._encode_pieces)
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths, flat = [], []
-        for at in range(0, len(waiting), 20_000):
-            found = self._ids(waiting[at : at + 20_000])
+        for at in range(0, len(texts), 20_000):
+            found = self._each(texts[at : at + 20_000])
             lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
             flat.append(np.fromiter((i for ids in found for i in ids), np.uint32))
-        new = np.concatenate(lengths)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new) - new])
-        self.lengths = np.concatenate([self.lengths, new])
-        self.flat = np.concatenate([self.flat, *flat])
+        return np.concatenate(lengths), np.concatenate(flat)
+
+    def _joined(self, texts: list[str], glue: str) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that are told apart by their first, or last, ids, as one text."""
+        ids = np.array(self._each([glue + glue.join(texts)])[0], np.uint32)
+        at = np.flatnonzero(self.marked[ids])
+        if len(at) != len(texts):
+            return self._one_by_one([glue + t for t in texts])
+        return np.diff(at, append=len(ids)) if self.keeps_spaces else np.diff(at, prepend=-1), ids
+
+    def _in_two_ways(self, texts: list[str], joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``joint`` texts, with a space before each, as one; the others on their own."""
+        lengths, starts, flat = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
+        for group, encode in ((np.flatnonzero(joint), lambda t: self._joined(t, " ")), (np.flatnonzero(~joint), self._one_by_one)):
+            for at in range(0, len(group), 100_000):
+                some = group[at : at + 100_000]
+                lengths[some], ids = encode([texts[i] for i in some.tolist()])
+                starts[some] = len(flat) + np.cumsum(lengths[some]) - lengths[some]
+                flat = np.concatenate([flat, ids])
+        return lengths, flat[ranges(lengths, starts)]
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._in_two_ways(parts, np.fromiter((_RUN.fullmatch(p) is not None for p in parts), bool, len(parts)))
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lookup, counts, codes = self.parts.__getitem__, np.ones(len(pieces), np.int64), []
+        for i, piece in enumerate(pieces):
+            if _PLAIN.fullmatch(piece) is None:
+                codes.append(lookup(piece))
+                continue
+            found = _PARTS.findall(piece)
+            counts[i] = len(found)
+            codes.extend(map(lookup, found))
+        lengths, ids = self.parts.ids(np.array(codes, np.int64))
+        return _grouped(counts, lengths), ids
+
+    def _encode_spaced(self, pieces: list[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces after a space; one that begins a text is in bytes."""
+        joint = np.fromiter((type(p) is str and p != "" and " " not in p and not p[-1].isspace() for p in pieces), bool, len(pieces))
+        texts = [p if j else (p.decode() if type(p) is bytes else " " + p) for p, j in zip(pieces, joint.tolist())]
+        return self._in_two_ways(texts, joint)
 
     def _windows(self, text: str) -> Iterator[str]:
         at = 0
@@ -90,31 +145,39 @@ class Encoder:
             at = cut
         yield text[at:] if at else text
 
-    def _pieces(self, window: str) -> list[str]:
+    def _pieces_of(self, window: str) -> list[str | bytes]:
         if not self.keeps_spaces:
-            return window.split(" ")
+            # White space is dropped, and letters below U+0300 are folded to lower case one by one.
+            if _NOT_LATIN.search(window) is None:
+                window = window.lower()
+            return window.split(" ") if _SEPARATORS.search(window) else window.split()
         if _UNSAFE.search(window) is None:
-            first, *rest = window.split(" ")
-            return [first, *(" " + piece for piece in rest)]
-        return _CUT.split(window)
+            pieces = window.split(" ")
+        else:
+            pieces = _CUT.split(window)
+            pieces[1:] = [piece[1:] for piece in pieces[1:]]
+        pieces[0] = pieces[0].encode()
+        return pieces
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, all ids in order); a null text has none."""
-        if len(self.numbers) > MEMO_PIECES or len(self.flat) > MEMO_IDS:
+        if len(self.pieces) > MEMO_PIECES or len(self.pieces.flat) > MEMO_IDS:
             self._forget()
-        lookup = self.numbers.__getitem__
-        counts, parts = np.zeros(len(texts), np.int64), []
+        lookup = self.pieces.__getitem__
+        counts, codes = np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
         for i, text in enumerate(texts):
             for window in self._windows(text or ""):
-                codes = np.fromiter(map(lookup, self._pieces(window)), np.int64)
-                counts[i] += len(codes)
-                parts.append(codes)
-        self._learn()
-        codes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        lengths = self.lengths[codes]
-        ids = self.flat[ranges(lengths, self.starts[codes])]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-        return np.diff(ends, prepend=0), ids
+                codes.append(np.fromiter(map(lookup, self._pieces_of(window)), np.int64))
+                counts[i] += len(codes[-1])
+        lengths, ids = self.pieces.ids(np.concatenate(codes))
+        return _grouped(counts, lengths), ids
+
+
+def vocabulary(name: str) -> str:
+    """The path of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def encoder(path: str) -> Encoder:
