@@ -6,22 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costdocs.llm import packing
+from costdocs.llm import mixing, packing, simhash, toxicity
 from costdocs.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not rejected by the severity model, which is fitted on the labelled ones."""
+    model = toxicity.train(docs, toxicity.graded_labels(table(spark, sf_dir, "labels")))
+    return toxicity.without_toxic(docs, model)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by four or fewer differing fingerprint bits."""
+    return simhash.keep_one(docs, words=4, max_bits=4)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their targets; a document is repeated as often as it is drawn."""
+    return mixing.mixture(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row per piece."""
+    """Sequences of at most 2048 tokens: one row per piece of a document."""
     return packing.pack_documents(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity_filter),
+    ("simhash_dedup", simhash_dedup),
+    ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),
 ]
 
-# Hashing of tokens and words is beyond SQL; the stages are tested against brute force.
+# Fitting, hashing and tokens are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

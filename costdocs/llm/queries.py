@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costdocs.llm import mixing, packing, planes, simhash, suffix_tree, toxicity
+from costdocs.llm import graph_search, mixing, packing, perspectives, planes, revisits, simhash, suffix_tree, toxicity, voronoi
 from costdocs.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,24 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.plane_digest(spark, table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.deduplicated(spark, table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_revisit_resolution"] = revisits.ORACLE
+
+
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +57,29 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.suffix_tree_scores(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.views(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op8_perspective_rotation"] = perspectives.ORACLE
+
+
 @query
 def op9_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.voronoi_top_k(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op10_voronoi_join"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(x.e AS DOUBLE[])) AS BIGINT) AS score
+ FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
