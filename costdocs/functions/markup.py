@@ -1,12 +1,16 @@
 """HTML tree work that regular expressions cannot do, as Arrow-batched functions.
 
-Each function walks a page once with the stdlib parser and returns only what is asked for.
+Each function parses a page once with the stdlib parser and returns only what is asked for. A walk
+takes time in proportion to the page, whatever is left open in it: an anchor ends where the next one
+begins, and a heading likewise, as browsers have it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Callable
 from html import escape
 from html.parser import HTMLParser
 
@@ -38,6 +42,7 @@ FACTS_TYPE = T.StructType(
         T.StructField("text", T.StringType()),
     ]
 )
+DOCUMENT_TYPE = T.StructType([T.StructField("html", T.StringType()), *FACTS_TYPE.fields[:4]])
 PARTS_TYPE = T.StructType(
     [
         T.StructField("title_tag", T.StringType()),
@@ -83,6 +88,7 @@ class PageWalk(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.dropped = dropped
         self.open: list[str] = []
+        self.count: Counter[str] = Counter()
         self.skip_depth: int | None = None
 
     def run(self, html: str) -> "PageWalk":
@@ -112,6 +118,7 @@ class PageWalk(HTMLParser):
                 self.start(tag, attributes)
         if tag not in VOID:
             self.open.append(tag)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -119,12 +126,13 @@ class PageWalk(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in self.open:
+        if self.count[tag]:
             while self._close_last() != tag:
                 pass
 
     def _close_last(self) -> str:
         tag = self.open.pop()
+        self.count[tag] -= 1
         if self.skip_depth is None:
             self.end(tag)
         elif len(self.open) == self.skip_depth:
@@ -145,6 +153,46 @@ class PageWalk(HTMLParser):
         pass
 
 
+class Tee(PageWalk):
+    """One parse of a page for several walks."""
+
+    def __init__(self, *walks: PageWalk):
+        super().__init__()
+        self.walks = walks
+
+    def run(self, html: str) -> "Tee":
+        super().run(html)
+        for walk in self.walks:
+            while walk.open:
+                walk._close_last()
+        return self
+
+    def handle_starttag(self, tag, attrs):
+        for walk in self.walks:
+            walk.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        for walk in self.walks:
+            walk.handle_endtag(tag)
+
+    def handle_data(self, data):
+        for walk in self.walks:
+            walk.handle_data(data)
+
+    def handle_comment(self, data):
+        for walk in self.walks:
+            walk.handle_comment(data)
+
+    def handle_decl(self, decl):
+        for walk in self.walks:
+            walk.handle_decl(decl)
+
+
+def kind_of(tag: str) -> str:
+    """Elements of one kind do not hold each other."""
+    return "heading" if tag in HEADINGS else tag
+
+
 class Parts(PageWalk):
     """Text cut before every heading, and the texts of the title and of all headings."""
 
@@ -152,7 +200,7 @@ class Parts(PageWalk):
         super().__init__(dropped)
         self.sections: list[tuple[list[str], list[str]]] = [([], [])]
         self.elements: dict[str, list[list[str]]] = {}
-        self.collecting: list[tuple[str, list[str]]] = []
+        self.collecting: dict[str, tuple[str, list[str]]] = {}  # by kind
 
     def start(self, tag, attributes):
         if tag in HEADINGS:
@@ -160,18 +208,18 @@ class Parts(PageWalk):
         if tag in HEADINGS or tag == "title":
             words: list[str] = []
             self.elements.setdefault(tag, []).append(words)
-            self.collecting.append((tag, words))
+            self.collecting[kind_of(tag)] = (tag, words)
 
     def end(self, tag):
-        if self.collecting and self.collecting[-1][0] == tag:
-            self.collecting.pop()
+        if self.collecting.get(kind_of(tag), ("",))[0] == tag:
+            del self.collecting[kind_of(tag)]
 
     def text(self, data):
         lines, header = self.sections[-1]
         lines.append(data)
-        for tag, words in self.collecting:
+        for _, words in self.collecting.values():
             words.append(data)
-        if any(tag in HEADINGS for tag, _ in self.collecting):
+        if "heading" in self.collecting:
             header.append(data)
 
     def first(self, tag: str) -> str | None:
@@ -181,37 +229,55 @@ class Parts(PageWalk):
 
 
 class Facts(PageWalk):
-    """Title, headings, anchors and visible text."""
+    """Title, headings, anchors and visible text, as far as they are wanted."""
 
-    def __init__(self):
+    def __init__(self, wanted=("title", *LEVELS, "links", "text")):
         super().__init__(no_text)
+        self.wanted = wanted
+        self.collected = {w.lower() if w != "links" else "a" for w in wanted} - {"text"}
         self.words: list[str] = []
         self.elements: dict[str, list[list[str]]] = {}
         self.anchors: list[tuple[str, list[str]]] = []
-        self.collecting: list[tuple[str, list[str]]] = []
+        self.collecting: dict[str, tuple[str, list[str]]] = {}  # by kind
 
     def start(self, tag, attributes):
         if tag not in HEADINGS and tag not in ("title", "a"):
             return
         words: list[str] = []
-        self.collecting.append((tag, words))
+        self.collecting.pop(kind_of(tag), None)
+        if tag not in self.collected:
+            return
+        self.collecting[kind_of(tag)] = (tag, words)
         if tag != "a":
             self.elements.setdefault(tag, []).append(words)
         elif "href" in attributes:
             self.anchors.append((attributes["href"], words))
 
     def end(self, tag):
-        if self.collecting and self.collecting[-1][0] == tag:
-            self.collecting.pop()
+        if self.collecting.get(kind_of(tag), ("",))[0] == tag:
+            del self.collecting[kind_of(tag)]
 
     def text(self, data):
-        self.words.append(data)
-        for _, words in self.collecting:
+        if "text" in self.wanted:
+            self.words.append(data)
+        for _, words in self.collecting.values():
             words.append(data)
 
     def all(self, tag: str) -> list[str]:
         return ["".join(words).strip() for words in self.elements.get(tag, [])]
 
+    def found(self) -> dict:
+        """What is wanted, by name."""
+        out: dict = {}
+        for name in self.wanted:
+            if name == "title":
+                out[name] = next(iter(self.all("title")), None)
+            elif name == "links":
+                out[name] = [{"text": "".join(words).strip(), "href": href} for href, words in self.anchors]
+            else:
+                out[name] = "".join(self.words) if name == "text" else self.all(name.lower())
+        return out
+
 
 class Rewriter(PageWalk):
     """The page as markup again, without dropped elements."""
@@ -247,7 +313,7 @@ class TopicLinks(PageWalk):
         self.depth: int | None = None
         self.done = False
         self.links: list[tuple[str, list[str]]] = []
-        self.collecting: list[list[str]] = []
+        self.collecting: list[str] | None = None
 
     def start(self, tag, attributes):
         if tag == "div" and self.depth is None and not self.done:
@@ -256,17 +322,17 @@ class TopicLinks(PageWalk):
         elif tag == "a" and self.depth is not None:
             words: list[str] = []
             self.links.append((attributes.get("href", ""), words))
-            self.collecting.append(words)
+            self.collecting = words
 
     def end(self, tag):
-        if tag == "a" and self.collecting:
-            self.collecting.pop()
+        if tag == "a":
+            self.collecting = None
         if self.depth is not None and len(self.open) == self.depth:
-            self.depth, self.done, self.collecting = None, True, []
+            self.depth, self.done, self.collecting = None, True, None
 
     def text(self, data):
-        for words in self.collecting:
-            words.append(data)
+        if self.collecting is not None:
+            self.collecting.append(data)
 
 
 def normal_form(text: str) -> str:
@@ -309,13 +375,14 @@ def page_parts(html: str) -> dict:
 
 
 def page_facts(html: str) -> dict:
-    walk = Facts().run(html)
-    return {
-        "title": next(iter(walk.all("title")), None),
-        **{level: walk.all(level.lower()) for level in LEVELS},
-        "links": [{"text": "".join(words).strip(), "href": href} for href, words in walk.anchors],
-        "text": "".join(walk.words),
-    }
+    return Facts().run(html).found()
+
+
+def page_document(html: str) -> dict:
+    """Cleaned markup, and title and headings of the whole page, from one parse."""
+    markup, facts = Rewriter(), Facts(("title", *LEVELS))
+    Tee(markup, facts).run(html)
+    return {"html": "".join(markup.out), **facts.found()}
 
 
 def page_markup(html: str) -> str:
@@ -327,38 +394,47 @@ def topic_links(html: str) -> list[dict]:
     return [{"text": "".join(words).strip(), "href": href} for href, words in links if href]
 
 
-# Optimizer rules copy a deterministic function into filters and would run it twice per page.
-def _once(kind: T.DataType):
-    return lambda function: F.pandas_udf(function, kind).asNondeterministic()
-
-
-@_once(T.StringType())
+# The functions are deterministic, so that filters on other columns reach the scan. What is made of
+# their arrays is exploded in the outer form: the plain one brings a filter that would run them again.
+@F.pandas_udf(T.StringType())
 def page_text_udf(html: pd.Series) -> pd.Series:
     return html.map(page_text, na_action="ignore")
 
 
-@_once(T.StringType())
+@F.pandas_udf(T.StringType())
 def page_markup_udf(html: pd.Series) -> pd.Series:
     return html.map(page_markup, na_action="ignore")
 
 
-@_once(LINK_TYPE)
+@F.pandas_udf(LINK_TYPE)
 def topic_links_udf(html: pd.Series) -> pd.Series:
     return html.map(topic_links, na_action="ignore")
 
 
-@_once(T.StringType())
+@F.pandas_udf(T.StringType())
 def nfkc_udf(text: pd.Series) -> pd.Series:
     return text.map(normal_form, na_action="ignore")
 
 
-@_once(PARTS_TYPE)
+@F.pandas_udf(PARTS_TYPE)
 def page_parts_udf(html: pd.Series) -> pd.DataFrame:
     rows = [page_parts(h if h is not None else "") for h in html]
     return pd.DataFrame(rows, columns=PARTS_TYPE.fieldNames())
 
 
-@_once(FACTS_TYPE)
-def page_facts_udf(html: pd.Series) -> pd.DataFrame:
-    rows = [page_facts(h if h is not None else "") for h in html]
-    return pd.DataFrame(rows, columns=FACTS_TYPE.fieldNames())
+@F.pandas_udf(DOCUMENT_TYPE)
+def page_document_udf(html: pd.Series) -> pd.DataFrame:
+    rows = [page_document(h) if h is not None else {**page_document(""), "html": None} for h in html]
+    return pd.DataFrame(rows, columns=DOCUMENT_TYPE.fieldNames())
+
+
+def page_facts_udf(*wanted: str) -> Callable:
+    """A function from pages to a struct of the wanted ones of title, H1, H2, H3, links and text."""
+    kind = T.StructType([f for f in FACTS_TYPE.fields if f.name in wanted])
+
+    @F.pandas_udf(kind)
+    def facts(html: pd.Series) -> pd.DataFrame:
+        rows = [Facts(wanted).run(h if h is not None else "").found() for h in html]
+        return pd.DataFrame(rows, columns=kind.fieldNames())
+
+    return facts

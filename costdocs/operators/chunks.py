@@ -30,8 +30,9 @@ def sections(documents: DataFrame) -> DataFrame:
             *carried,
             F.map_filter(firsts, lambda _, text: text != "").alias("section_headers"),
             parts["title_tag"].alias("title_tag"),
-            F.explode(parts["sections"]).alias("_section"),
+            F.explode_outer(parts["sections"]).alias("_section"),
         )
+        .where(F.col("_section").isNotNull())
         .select(*carried, "section_headers", "title_tag", "_section.*")
     )
 

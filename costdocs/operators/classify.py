@@ -84,9 +84,10 @@ def apply_mapping(
     """Write a category per key triple back to every line item.
 
     Plain equality: a line item with a null key keeps 'Other'. ``mapping`` has the keys and
-    ``category``, one row per triple.
+    ``category``; of several categories for one triple the last in order of text counts, so that
+    no line item is multiplied.
     """
-    categories = mapping.select(*MAPPING_KEYS, F.col("category").alias("_category"))
+    categories = mapping.groupBy(*MAPPING_KEYS).agg(F.max("category").alias("_category"))
     joined = lookup_join(line_items, categories, MAPPING_KEYS, "left", max_rows)
     return joined.select(*line_items.columns, F.coalesce("_category", F.lit(OTHER)).alias(column))
 

@@ -8,26 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costdocs.functions.text import strip_space
+from costdocs.operators.joins import lookup_join
 
 
-def keep_first(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """The first row, by ``order``, of every ``key``; rows that tie are told apart by the other columns.
+def keep_first(df: DataFrame, key: Column, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The first row, by ``order``, of every ``key``, within each of ``keys``; rows that tie are told apart by the other columns.
 
     A group may hold a large part of all rows (boilerplate, copies), so no window sorts it
     in one task: the minimum is taken inside each map task and merged after the shuffle.
     """
     rest = [c for c in df.columns if c not in order]
     row = F.min(F.struct(*order, *rest)).alias("_row")
-    return df.groupBy(key.alias("_key")).agg(row).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], key.alias("_key")).agg(row).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def prefix_key(text: Column, length: int = 100) -> Column:
     return strip_space(F.left(text, F.lit(length)))
 
 
-def dedup_by_prefix(df: DataFrame, text: str, order: Sequence[str], length: int = 100) -> DataFrame:
-    """Rows whose texts start alike count as one."""
-    return keep_first(df, prefix_key(F.col(text), length), order)
+def dedup_by_prefix(
+    df: DataFrame, text: str, order: Sequence[str], length: int = 100, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Rows whose texts start alike count as one: per query, for contexts, with its key and the rank as order."""
+    return keep_first(df, prefix_key(F.col(text), length), order, keys)
 
 
 def with_text_hash(df: DataFrame, text: str = "content") -> DataFrame:
@@ -41,6 +44,8 @@ def dedup_by_hash(df: DataFrame, order: Sequence[str], hash_column: str = "text_
 def drop_known(df: DataFrame, store: DataFrame, hash_column: str = "text_hash") -> DataFrame:
     """Rows whose hash is not in the store. Run it after :func:`dedup_by_hash`: then no hash is hot.
 
-    The store holds every hash once, so it needs no de-duplication here.
+    The batch's hashes go to the store as long as they are small, so that a small batch does not
+    move a large store; only hashes that are in both then meet the batch.
     """
-    return df.join(store.select(hash_column), hash_column, "left_anti").select(*df.columns)
+    known = lookup_join(store.select(hash_column), df.select(hash_column).distinct(), [hash_column], "left_semi")
+    return df.join(known, hash_column, "left_anti").select(*df.columns)

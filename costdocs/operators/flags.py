@@ -36,13 +36,20 @@ def flag(name: str) -> Column:
 
 
 def usage_hours() -> Column:
-    """The used amount where it is priced by the hour, else null."""
-    return F.when(contains_any(F.col("pricing_unit"), HOUR_UNITS), F.col("lineitem_usageamount"))
+    """The used amount where it is priced by the hour, else null; an amount that is no number counts as none."""
+    amount = F.nanvl(F.col("lineitem_usageamount").cast("double"), F.lit(None).cast("double"))
+    return F.when(contains_any(F.col("pricing_unit"), HOUR_UNITS), amount)
 
 
 def clean_cost(c: Column) -> Column:
-    """A cost as a number; null, NaN and unreadable text become 0."""
-    return F.coalesce(c.try_cast(COST_TYPE), F.lit(0).cast(COST_TYPE))
+    """A cost as a number, rounded to ten decimals; null, NaN, infinity and unreadable text become 0.
+
+    A finite cost with more than 18 digits before the point ends the job: it must not become 0 unseen.
+    """
+    exact, near = c.try_cast(COST_TYPE), c.try_cast("double")
+    finite = near.isNotNull() & ~F.isnan(near) & (F.abs(near) < float("inf"))
+    too_large = F.raise_error(F.concat(F.lit("cost out of range: "), c.cast("string"))).cast(COST_TYPE)
+    return F.when(exact.isNotNull(), exact).when(finite, too_large).otherwise(F.lit(0).cast(COST_TYPE))
 
 
 def pricing_type() -> Column:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ FORBIDDEN_WORDS = (
 FORBIDDEN_SUBSTRINGS = (
     "INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE", "GRANT", "REVOKE", "EXECUTE", "CALL",
 )
+# The substring guard's words that the word guard does not know; run_guarded refuses these as well.
 EXTRA_WORDS = ("grant", "revoke", "execute", "call")
 # A SELECT may reach Java code through these; scripts (TRANSFORM … USING) are refused by their plan.
 REACHING_WORDS = ("reflect", "java_method", "try_reflect")
@@ -28,6 +32,8 @@ FIRST_SELECT = r"(?is)select\s+.*?(?:;|$)"
 NOT_SELECT = "not a SELECT"
 FORBIDDEN = "forbidden keyword"
 LATEST_PATH = "data/processed/latest"
+LATEST = "latest"
+MONTH_FILE = r"(?i)read_parquet\(\s*['\"](?:([^'\"]*)/)?(\w+)\.parquet['\"]\s*\)"
 
 
 def _word_pattern(words) -> str:
@@ -92,17 +98,73 @@ def table_views(sql: Column) -> Column:
     return F.regexp_replace(sql, r"(?i)read_parquet\(\s*['\"](?:[^'\"]*/)?([A-Za-z0-9_]+)\.parquet['\"]\s*\)", "$1")
 
 
-def run_guarded(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
-    """Run a SELECT over the given views; ValueError when refused, RuntimeError when it fails."""
-    bare = refuse_unsafe(sql)
-    text = re.sub(r"(?i)read_parquet\(\s*['\"](?:[^'\"]*/)?(\w+)\.parquet['\"]\s*\)", r"\1", bare)
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
+def _bound(sql: str, month: str | None, tables_of: Callable[[str], dict[str, DataFrame]] | None) -> tuple[str, dict[str, dict[str, DataFrame]]]:
+    """The text with names instead of files, and the tables of the other months it names.
+
+    A file without a folder, in ``latest`` or in the folder of ``month`` is the given view; one in
+    another month's folder is that month's table, under the name ``table_month``.
+    """
+    others: dict[str, dict[str, DataFrame]] = {}
+
+    def name(match: re.Match) -> str:
+        folder, table = match[1], match[2]
+        named = (folder or LATEST).replace("\\", "/").rstrip("/").rpartition("/")[2].replace("-", "")
+        if named in (LATEST, (month or LATEST).replace("-", "")):
+            return table
+        if tables_of is None:
+            raise ValueError(f"no table in {folder}")
+        if named not in others:
+            others[named] = tables_of(named)
+        if table not in others[named]:
+            raise ValueError(f"no table {table} in {folder}")
+        return f"{table}_{named}"
+
+    return re.sub(MONTH_FILE, name, sql), others
+
+
+def _refuse_other_relations(spark: SparkSession, text: str, known: set[str]) -> None:
+    """No relation but the given ones, checked on the parsed text before anything is read.
+
+    ValueError for a file or a table of some catalog, RuntimeError for a name that is not given.
+    """
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    if "ScriptTransformation" in parsed:
+        raise ValueError(f"{FORBIDDEN}: {text}")
+    inner = {n.lower() for group in re.findall(r"CTE \[([^\]]*)\]", parsed) for n in group.split(", ")}
+    for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed):
+        if ", " in relation:
+            raise ValueError(f"{FORBIDDEN}: {relation}")
+        if relation.lower() not in known | inner:
+            raise RuntimeError(f"SQL failed: no table {relation}")
+
+
+def run_guarded(
+    spark: SparkSession,
+    sql: str,
+    views: dict[str, DataFrame],
+    month: str | None = None,
+    tables_of: Callable[[str], dict[str, DataFrame]] | None = None,
+) -> DataFrame:
+    """Run a SELECT over the given views; ValueError when refused, RuntimeError when it fails.
+
+    ``month`` is the month of the views. Files of other months are looked up by ``tables_of``, which
+    raises for a month it does not have. The views are known to this text only: they are registered
+    under names of their own, so that calls for other months, and the caller's views, are not touched.
+    """
+    text, others = _bound(refuse_unsafe(sql), month, tables_of)
+    tables = {**views, **{f"{name}_{m}": df for m, of_month in others.items() for name, df in of_month.items()}}
     try:
-        result = spark.sql(text)
-        plan = result._jdf.queryExecution().analyzed().toString()
+        _refuse_other_relations(spark, text, {name.lower() for name in tables})
+    except ParseException as error:
+        raise RuntimeError(f"SQL failed: {error}") from error
+    own = {name: f"guarded_{uuid.uuid4().hex}" for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(own[name])
+        given = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in own.items())
+        return spark.sql(f"WITH {given} {text}" if given else text)
     except Exception as error:
         raise RuntimeError(f"SQL failed: {error}") from error
-    if "ScriptTransformation" in plan:
-        raise ValueError(f"{FORBIDDEN}: {sql}")
-    return result
+    finally:
+        for view in own.values():
+            spark.catalog.dropTempView(view)

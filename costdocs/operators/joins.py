@@ -6,20 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from costdocs.sources.scratch import scratch_table
 
 MAX_LOOKUP_ROWS = 100_000
 MAX_LOOKUP_BYTES = 64 << 20
 SALTS = 32
 
 
-def bounded_copy(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame | None:
-    """The rows as local data when there are at most ``max_rows`` and they are small, else None.
+def weigh(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, counted by its tasks: 8 for a fixed value, the length of a text or list."""
+    sizes = []
+    for field in df.schema.fields:
+        column, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(column), F.lit(0)))
+        elif kind == "array" and not isinstance(field.dataType.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(8 * F.greatest(F.size(column), F.lit(0)))
+        elif kind in ("array", "map", "struct", "variant"):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)))
+    total = F.coalesce(F.sum(sum((s.cast("long") for s in sizes), F.lit(8 * len(df.columns)).cast("long"))), F.lit(0))
+    return tuple(df.agg(F.count("*"), total).first())
+
+
+def bounded_copy(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS, max_bytes: int = MAX_LOOKUP_BYTES) -> DataFrame | None:
+    """The rows as local data when there are at most ``max_rows`` of at most ``max_bytes``, else None.
 
-    The table is evaluated once, and no more than ``max_rows + 1`` rows are fetched.
+    The table is written once, so that counting its bytes first does not evaluate it twice;
+    nothing is fetched before its size is known.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    fits = head.num_rows <= max_rows and head.nbytes <= MAX_LOOKUP_BYTES
-    return df.sparkSession.createDataFrame(head, df.schema) if fits else None
+    spark = df.sparkSession
+    with scratch_table(spark, "lookup") as path:
+        df.limit(max_rows + 1).write.parquet(path)
+        head = spark.read.schema(df.schema).parquet(path)
+        rows, size = weigh(head)
+        return spark.createDataFrame(head.toArrow(), df.schema) if rows <= max_rows and size <= max_bytes else None
 
 
 def lookup_join(

@@ -8,7 +8,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from costdocs.functions.markup import page_facts_udf, topic_links_udf
+from costdocs.functions.markup import FACTS_TYPE, page_facts_udf, topic_links_udf
 from costdocs.functions.text import contains_any, first_filled, rows_of
 from costdocs.sources.pages import header_map
 
@@ -90,16 +90,15 @@ def matching_links(anchors: Column, word: str = LINK_WORD, base: str = BASE_URL)
 
 def page_links(pages: DataFrame, word: str = LINK_WORD, base: str = BASE_URL) -> DataFrame:
     """One row per matching link of a page."""
-    facts = pages.select("page_id", page_facts_udf("html").alias("facts"))
+    facts = pages.select("page_id", page_facts_udf("links")("html").alias("facts"))
     links = matching_links(F.col("facts.links"), word, base)
     return rows_of(facts, ["page_id"], links, "position", "link").select("page_id", "position", "link.*")
 
 
 def page_topics(pages: DataFrame, base: str = BASE_URL) -> DataFrame:
     """Links of the first topics box of each page."""
-    return pages.select(
-        "page_id", F.posexplode(topic_links_udf("html")).alias("position", "link")
-    ).select("page_id", "position", "link.text", absolute_url(F.col("link.href"), base).alias("url"))
+    links = rows_of(pages, ["page_id"], topic_links_udf("html"), "position", "link")
+    return links.select("page_id", "position", "link.text", absolute_url(F.col("link.href"), base).alias("url"))
 
 
 def found_services(low_text: Column, services: Sequence[str] = SERVICES) -> Column:
@@ -110,7 +109,7 @@ def found_services(low_text: Column, services: Sequence[str] = SERVICES) -> Colu
 
 def service_mentions(pages: DataFrame, services: Sequence[str] = SERVICES) -> DataFrame:
     """One row per page and service named in its visible text."""
-    text = pages.select("page_id", F.lower(page_facts_udf("html")["text"]).alias("_low"))
+    text = pages.select("page_id", F.lower(page_facts_udf("text")("html")["text"]).alias("_low"))
     found = rows_of(text, ["page_id"], found_services(F.col("_low"), services), "_at", "service")
     return found.select("page_id", "service")
 
@@ -120,7 +119,7 @@ def page_structures(
 ) -> DataFrame:
     """The structure record of every page: title, headings, counts, services, links."""
     facts = F.col("facts")
-    parsed = pages.select("page_id", "url", page_facts_udf("html").alias("facts"))
+    parsed = pages.select("page_id", "url", page_facts_udf(*FACTS_TYPE.fieldNames())("html").alias("facts"))
     found = parsed.withColumn("_low", F.lower(facts["text"])).select(
         "page_id",
         "url",

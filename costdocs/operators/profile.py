@@ -9,18 +9,23 @@ from pyspark.sql import types as T
 PROFILE_TYPE = "column string, sum double, mean double, min double, max double"
 
 
-def _sum(name: str, kind: T.DataType) -> Column:
-    """Whole numbers are added up as decimals, which do not overflow."""
+def _value(name: str, kind: T.DataType) -> Column:
+    """A column's numbers; NaN is no value."""
     column = F.col(f"`{name}`")
+    return F.nanvl(column, F.lit(None).cast(kind)) if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType) else column
+
+
+def _sum(column: Column, kind: T.DataType) -> Column:
+    """Whole numbers are added up as decimals, which do not overflow."""
     return F.sum(column.cast("decimal(20,0)") if isinstance(kind, T.IntegralType) else column)
 
 
 def _numbers(df: DataFrame) -> list[Column]:
     out = []
     for i, field in enumerate(f for f in df.schema.fields if isinstance(f.dataType, T.NumericType)):
-        column = F.col(f"`{field.name}`")
+        column = _value(field.name, field.dataType)
         numbers = {
-            "sum": _sum(field.name, field.dataType),
+            "sum": _sum(column, field.dataType),
             "mean": F.avg(column),
             "min": F.min(column),
             "max": F.max(column),

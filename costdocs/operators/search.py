@@ -1,9 +1,13 @@
 """Exact vector search for a table of queries.
 
 Every corpus task keeps the best ``k`` hits per query while it scans, so what is shuffled
-is (tasks x queries x k) small rows, never one row per query and corpus vector. The query
-vectors travel to the tasks as one matrix as long as their counted size allows it; larger
-query tables are scored block against block, with both sides spread evenly by key hash.
+is (tasks x queries x k) small rows, never one row per query and corpus vector, and never a
+corpus vector. The query vectors travel to the tasks as one matrix as long as their counted
+rows and bytes allow it; larger query tables are written in blocks to the shared folder, and
+the corpus is scanned once per block, where it lies.
+
+Scores are not rounded: candidates are found by matrix products, and each is then scored
+again by itself, so that equal vectors get equal scores wherever they lie.
 """
 
 from __future__ import annotations
@@ -12,19 +16,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costdocs.functions.scores import grade, rescale, similarity_from_distance
 from costdocs.functions.text import first_filled
+from costdocs.operators.joins import bounded_copy, weigh
 from costdocs.operators.ranking import first_rows
+from costdocs.sources.scratch import open_files, scratch_path
 
-MAX_LOCAL_QUERIES = 4096  # query vectors that are sent whole to every task
-BLOCK_BYTES = 64 << 20  # vectors of one block when both sides are large
+MAX_LOCAL_QUERIES = 4096  # query vectors that are sent whole to every task,
+BLOCK_BYTES = 64 << 20  # if they have at most so many bytes; also those of one block
 MAX_HIT_ROWS = 1_000_000  # hits up to this many rows are sent to the tasks that hold the texts
 CELLS = 1 << 20  # scores held at a time while scanning
-SCORE_DIGITS = 6
+SLACK = 1e-9  # by which a product may be off
 
 # Defaults of the retrieval calls and of a context's metadata.
 TOP_K, TOP_N, THRESHOLD = 20, 8, 0.35
@@ -41,8 +48,13 @@ CONTEXT_RULE = "---"
 
 
 def _plain(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
-    return values.astype(str) if values.dtype == object else values
+    """Ids as they are: whole numbers, or texts as Python objects. They hold no nulls."""
+    return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids."""
+    return np.unique(ids, return_inverse=True)[1].ravel() if ids.dtype == object else ids
 
 
 def _unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -72,17 +84,20 @@ class _Best:
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         step = max(1, CELLS // max(1, len(self.queries)))
         for at in range(0, len(ids), step):
-            scores = np.round(self.queries @ matrix[at : at + step].T, SCORE_DIGITS) + 0.0
-            query, row = np.nonzero(scores >= self.border[:, None])
-            if len(query):
-                self.found.append((query, scores[query, row], ids[at : at + step][row]))
-                self.waiting += len(query)
+            rows = matrix[at : at + step]
+            query, row = np.nonzero(self.queries @ rows.T >= self.border[:, None] - SLACK)
+            for part in range(0, len(query), CELLS // 16 or 1):
+                q, r = query[part : part + (CELLS // 16 or 1)], row[part : part + (CELLS // 16 or 1)]
+                score = np.einsum("ij,ij->i", self.queries[q], rows[r]) + 0.0
+                kept = score >= self.border[q]
+                self.found.append((q[kept], score[kept], ids[at : at + step][r[kept]]))
+                self.waiting += int(kept.sum())
             if self.waiting >= max(CELLS // 8, self.k * len(self.queries)):
                 self._merge()
 
     def _merge(self) -> None:
         query, score, ids = (np.concatenate(parts) for parts in zip(*self.found))
-        order = np.lexsort((ids, -score, query))
+        order = np.lexsort((_places(ids), -score, query))
         query, score, ids = query[order], score[order], ids[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         full = place == self.k - 1
@@ -119,19 +134,17 @@ def _local_scan(query_ids: np.ndarray, matrix: np.ndarray, k: int, schema: pa.Sc
     return scan
 
 
-def _block_scan(k: int, schema: pa.Schema) -> Callable:
-    def scan(corpus: pa.Table, queries: pa.Table) -> pa.Table:
-        if not corpus.num_rows or not queries.num_rows:
-            return schema.empty_table()
-        best = _Best(_unit_rows(queries["query_vector"]), k)
-        best.add(_plain(corpus["id"]), _unit_rows(corpus["vector"]))
-        return best.table(_plain(queries["query_id"]), schema)
-
-    return scan
+def _block_scan(folder: str, k: int, schema: pa.Schema) -> Callable:
+    """The scan for a block of queries that the task reads from the shared folder."""
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, files = open_files(folder)
+        tables = [pa.parquet.read_table(name, filesystem=fs, partitioning=None) for name in files]
+        if tables:
+            queries = pa.concat_tables(tables)
+            yield from _local_scan(_plain(queries["query_id"]), _unit_rows(queries["query_vector"]), k, schema)(batches)
 
-def _block(key: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    return scan
 
 
 def top_k(
@@ -144,40 +157,46 @@ def top_k(
     max_local_queries: int = MAX_LOCAL_QUERIES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The ``k`` corpus rows with the highest cosine per query: (query_id, id, raw_score, rank)."""
-    left = corpus.where(F.col(vector).isNotNull()).select(F.col(corpus_id).alias("id"), F.col(vector).alias("vector"))
-    right = queries.where(F.col(vector).isNotNull()).select(
-        F.col(query_id).alias("query_id"), F.col(vector).alias("query_vector")
-    )
+    """The ``k`` corpus rows with the highest cosine per query: (query_id, id, raw_score, rank).
+
+    Rows without an id, without a vector, or whose vector holds a null or no finite number take no
+    part; the smaller of equal scores' ids comes first.
+    """
+    left = _whole(corpus, vector).select(F.col(corpus_id).alias("id"), F.col(vector).alias("vector")).where("id is not null")
+    right = _whole(queries, vector).select(F.col(query_id).alias("query_id"), F.col(vector).alias("query_vector")).where("query_id is not null")
     kinds = {"query_id": right.schema["query_id"].dataType, "id": left.schema["id"].dataType}
     schema = pa.schema([*((name, _arrow(kind)) for name, kind in kinds.items()), ("raw_score", pa.float64())])
     out = T.StructType([*(T.StructField(n, t) for n, t in kinds.items()), T.StructField("raw_score", T.DoubleType())])
 
-    head = right.limit(max_local_queries + 1).toArrow()
-    few = head.num_rows <= max_local_queries
-    if few:
-        scan = _local_scan(_plain(head["query_id"]), _unit_rows(head["query_vector"]), k, schema)
-        hits = left.mapInArrow(scan, out)
+    small = bounded_copy(right, max_local_queries, block_bytes)
+    if small is not None:
+        head = small.toArrow()
+        hits = left.mapInArrow(_local_scan(_plain(head["query_id"]), _unit_rows(head["query_vector"]), k, schema), out)
     else:
         hits = _block_hits(left, right, k, schema, out, block_bytes)
     ranked = first_rows(hits, k, [F.desc("raw_score"), F.col("id")], ["query_id"])
     # The number of hits is known here: a few of them go to the tables they are joined with.
-    return F.broadcast(ranked) if few and head.num_rows * k <= MAX_HIT_ROWS else ranked
+    return F.broadcast(ranked) if small is not None and head.num_rows * k <= MAX_HIT_ROWS else ranked
 
 
-def _block_hits(left: DataFrame, right: DataFrame, k: int, schema: pa.Schema, out: T.StructType, block_bytes: int):
-    width = right.select(F.size("query_vector")).first()[0]
-    per_block = max(1, block_bytes // (8 * max(1, width)))
-    corpus_blocks = -(-left.count() // per_block) or 1
-    query_blocks = -(-right.count() // per_block)
-    spread_left = left.withColumn("_c", _block("id", corpus_blocks)).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
-    spread_right = right.withColumn("_q", _block("query_id", query_blocks)).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1)))
-    )
-    pairs = spread_left.groupBy("_c", "_q").cogroup(spread_right.groupBy("_c", "_q"))
-    return pairs.applyInArrow(_block_scan(k, schema), out)
+def _whole(table: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vectors are there and hold finite numbers only."""
+    return table.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+
+def _block_hits(left: DataFrame, right: DataFrame, k: int, schema: pa.Schema, out: T.StructType, block_bytes: int) -> DataFrame:
+    """Hits of a large query table: one scan of the corpus per block of queries, nothing of it moved."""
+    spark = left.sparkSession
+    rows, size = weigh(right)
+    blocks = max(1, -(-size // block_bytes))
+    path = scratch_path(spark, "query-blocks")
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    right.withColumn("_block", block).repartition("_block").write.partitionBy("_block").parquet(path)
+    found = [r[0] for r in spark.read.parquet(path).select("_block").distinct().orderBy("_block").collect()] if rows else []
+    hits = spark.createDataFrame([], out)
+    for number in found:
+        hits = hits.unionByName(left.mapInArrow(_block_scan(f"{path}/_block={number}", k, schema), out))
+    return hits
 
 
 def scored(hits: DataFrame) -> DataFrame:
@@ -238,9 +257,10 @@ def retrieve(
     top_n: int = TOP_N,
     threshold: float = THRESHOLD,
     text: str = "text",
+    key: str = "vec_id",
 ) -> DataFrame:
-    """Contexts of every query: top ``k``, mean gate, first ``top_n``."""
-    return contexts(top_k(corpus, queries, k), texts, threshold, top_n, text)
+    """Contexts of every query: top ``k``, mean gate, first ``top_n``; ``key`` is in both tables, once per row."""
+    return contexts(top_k(corpus, queries, k, key), texts, threshold, top_n, text, key)
 
 
 def search(corpus: DataFrame, queries: DataFrame, texts: DataFrame, top_n: int = 5, text: str = "text") -> DataFrame:
@@ -251,9 +271,12 @@ def search(corpus: DataFrame, queries: DataFrame, texts: DataFrame, top_n: int =
 def search_store(
     store: DataFrame, queries: DataFrame, k: int = TOP_K, top_n: int = TOP_N, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """:func:`retrieve` over a stored chunk table (``id``, ``content``, ``embedding``, metadata)."""
-    keyed = store.withColumn("vec_id", F.col("id"))
-    return retrieve(keyed, queries, keyed.drop("embedding"), k, top_n, threshold, "content")
+    """:func:`retrieve` over a stored chunk table (``text_hash``, ``id``, ``content``, ``embedding``, metadata).
+
+    Chunks are told apart by the hash of their text, which the store holds once; ids are made of a
+    page's file name and may occur again.
+    """
+    return retrieve(store, queries, store.drop("embedding"), k, top_n, threshold, "content", "text_hash")
 
 
 def retrieval_report(

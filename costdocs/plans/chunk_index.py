@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from costdocs.operators.chunks import attach_metadata, chunk, chunk_manifest, flat_metadata, sections
 from costdocs.operators.dedup import dedup_by_hash, drop_known, with_text_hash
 from costdocs.sources.pages import page_source
-from costdocs.sources.scratch import scratch_path
+from costdocs.sources.scratch import scratch_table
 
 ORDER = ["source", "url", "section_order", "chunk_order"]
+MANIFEST_TYPE = "doc_type string, version_date string, num_docs long, num_chunks long, index_dir string"
+
+
+def manifest_path(path: str) -> str:
+    return f"{path.rstrip('/')}-manifest"
 
 
 def page_chunks(
@@ -68,17 +73,26 @@ def add_pages(
     chunk without a vector there is not stored and comes up again next time. The chunks are
     written to the shared folder once and read for both the manifest, which counts copies too,
     and the store. Copies and known chunks are left out before ``embed`` runs, as that is the
-    costly step. A repeated run adds nothing twice.
+    costly step. A repeated run adds nothing twice. The manifest row is also appended to the JSON
+    table beside the store (:func:`manifest_path`).
     """
     if (embed is None) == (vectors is None):
         raise ValueError("give either embed or vectors")
-    staged = scratch_path(spark, "chunks")
-    page_chunks(pages, version_date, **options).write.parquet(staged)
-    chunks = spark.read.parquet(staged)
-    fresh = new_chunks(chunks, read_store(spark, path))
-    if embed is not None:
-        embedded = fresh.withColumn("embedding", embed(F.col("content")))
-    else:
-        embedded = fresh.join(vectors.select("text_hash", "embedding"), "text_hash").select(*fresh.columns, "embedding")
-    embedded.write.mode("append").parquet(path)
-    return chunk_manifest(chunks, version_date, options.get("doc_type", "developer-guide"))
+    with scratch_table(spark, "chunks") as staged:
+        page_chunks(pages, version_date, **options).write.parquet(staged)
+        chunks = spark.read.parquet(staged)
+        fresh = new_chunks(chunks, read_store(spark, path))
+        if embed is not None:
+            embedded = fresh.withColumn("embedding", embed(F.col("content")))
+        else:
+            embedded = fresh.join(vectors.select("text_hash", "embedding"), "text_hash").select(*fresh.columns, "embedding")
+        embedded.write.mode("append").parquet(path)
+        row = chunk_manifest(chunks, version_date, options.get("doc_type", "developer-guide")).first()
+    record = spark.createDataFrame([(*row, path)], MANIFEST_TYPE)
+    record.coalesce(1).write.mode("append").json(manifest_path(path))
+    return record
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per run: type, version, documents, chunks and the store's folder."""
+    return spark.read.schema(MANIFEST_TYPE).json(manifest_path(path))

@@ -7,6 +7,7 @@ exactly their columns, and a line item's own ``billing_ym`` stays as it is.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
@@ -19,7 +20,7 @@ from costdocs.functions.text import megabytes
 from costdocs.operators.flags import COST_TYPE, FLAGS, fact
 from costdocs.operators.rollups import FACT_TABLE, ROLLUP, ROLLUPS, TABLES, pick, summarise, summarise_all
 from costdocs.sources.cost import COST_COLUMNS, CUR_SCHEMA
-from costdocs.sources.scratch import scratch_path
+from costdocs.sources.scratch import scratch_path, scratch_table
 
 SCHEMA_VERSION = "1.0"
 MONTH = "mart_month"
@@ -88,8 +89,8 @@ def write_mart(
     Line items without a month get a partition of their own, which is no month of the mart. The
     whole mart is replaced; see :func:`write_month` for a single month.
     """
-    _write_tables(spark, line_items.withColumn(MONTH, F.col("billing_ym")), base, None, csv, rebalance)
-    return write_manifest(spark, base, None)
+    extra = _write_tables(spark, line_items.withColumn(MONTH, F.col("billing_ym")), base, None, csv, rebalance)
+    return write_manifest(spark, base, None, extra)
 
 
 def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: str, csv: bool = False) -> DataFrame:
@@ -100,62 +101,77 @@ def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: st
     month = month.replace("-", "")
     if not month.isalnum():
         raise ValueError(f"not a month: {month}")
-    _write_tables(spark, line_items.withColumn(MONTH, F.lit(month)), base, month, csv, False)
-    return write_manifest(spark, base, month)
+    extra = _write_tables(spark, line_items.withColumn(MONTH, F.lit(month)), base, month, csv, False)
+    return write_manifest(spark, base, month, extra)
 
 
 def _write_tables(
     spark: SparkSession, line_items: DataFrame, base: str, month: str | None, csv: bool, rebalance: bool
-) -> None:
-    # Categories that the line items bring along stay in the fact table.
+) -> list[T.StructField]:
+    """Writes all tables; the columns that the line items brought along, which stay in the fact table."""
     costs = _aligned(fact(line_items), FACT_TABLE)
-    _write(costs.hint("rebalance", MONTH) if rebalance else costs, base, FACT_TABLE, month, csv)
+    extra = [f for f in costs.schema.fields if f.name not in table_schema(FACT_TABLE).fieldNames()]
+    _write(costs.hint("rebalance", MONTH) if rebalance else costs, base, FACT_TABLE, month, csv, extra)
     stored = _stored(spark, base, FACT_TABLE, month)
-    staged = scratch_path(spark, "summaries")
-    summarise_all(stored, by=[MONTH]).write.partitionBy("table").parquet(staged)
-    rows = spark.read.schema(STAGED_SUMMARIES).parquet(staged)
 
     def write_summary(table: str) -> None:
         summary = _aligned(pick(rows, table, by=[MONTH]), table)
         _write(summary.hint("rebalance", MONTH), base, table, month, csv)
 
-    # The ten small writes do not depend on each other, so none waits for the one before.
-    with ThreadPoolExecutor(len(ROLLUP)) as pool:
-        list(pool.map(write_summary, ROLLUP))
+    with scratch_table(spark, "summaries") as staged:
+        summarise_all(stored, by=[MONTH]).write.partitionBy("table").parquet(staged)
+        rows = spark.read.schema(STAGED_SUMMARIES).parquet(staged)
+        # The ten small writes do not depend on each other, so none waits for the one before.
+        with ThreadPoolExecutor(len(ROLLUP)) as pool:
+            list(pool.map(write_summary, ROLLUP))
+    return extra
 
 
-def _write(df: DataFrame, base: str, table: str, month: str | None, csv: bool) -> None:
+def _write(
+    df: DataFrame, base: str, table: str, month: str | None, csv: bool, extra: Sequence[T.StructField] = ()
+) -> None:
     if month is None:
         df.write.mode("overwrite").partitionBy(MONTH).parquet(f"{base}/{table}")
     else:
         df.drop(MONTH).write.mode("overwrite").parquet(f"{base}/{table}/{MONTH}={month}")
     if csv:
-        written = _stored(df.sparkSession, base, table, month)
+        written = _stored(df.sparkSession, base, table, month, extra)
         where = f"{base}/csv/{table}" + (f"/{MONTH}={month}" if month else "")
         written.write.mode("overwrite").csv(where, header=True, quoteAll=True)
 
 
-def _stored(spark: SparkSession, base: str, table: str, month: str | None = None) -> DataFrame:
-    schema = table_schema(table) if table != FACT_TABLE else _fact_schema(spark, base, month)
-    df = spark.read.schema(schema).parquet(f"{base}/{table}")
+def _stored(
+    spark: SparkSession, base: str, table: str, month: str | None = None, extra: Sequence[T.StructField] = ()
+) -> DataFrame:
+    *known, last = table_schema(table).fields
+    df = spark.read.schema(T.StructType([*known, *extra, last])).parquet(f"{base}/{table}")
     return df if month is None else df.where(F.col(MONTH) == month)
 
 
-def _fact_schema(spark: SparkSession, base: str, month: str | None) -> T.StructType:
-    """The fixed columns and those that the stored line items brought along."""
-    known = table_schema(FACT_TABLE)
+def extra_columns(spark: SparkSession, base: str, month: str | None = None) -> list[T.StructField]:
+    """The columns that the line items of the months, or of one, brought along, as the manifest has them.
+
+    A month without such a column holds nulls in it; two types for one name are an error.
+    """
     try:
-        files = f"{base}/{FACT_TABLE}" + (f"/{MONTH}={month}" if month else "")
-        found = spark.read.parquet(files).schema.fields
-    except AnalysisException:  # no file yet, or no such month
-        found = []
-    extra = [f for f in found if f.name not in known.fieldNames()]
-    return T.StructType([*known.fields[:-1], *extra, known.fields[-1]])
+        manifest = read_manifest(spark, base)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    rows = manifest if month is None else manifest.where(F.col(MONTH) == month)
+    texts = rows.select("extra_columns").where("extra_columns is not null").distinct().orderBy("extra_columns").collect()
+    found: dict[str, T.StructField] = {}
+    for (text,) in texts:
+        for field in T.StructType.fromJson(json.loads(text)).fields:
+            if found.setdefault(field.name, field).dataType != field.dataType:
+                raise ValueError(f"{field.name} has two types in the stored months")
+    return list(found.values())
 
 
 def read_table(spark: SparkSession, base: str, table: str, month: str | None = None) -> DataFrame:
     """A table of one month, read from its partition only; or of all months, with the month."""
-    df = _stored(spark, base, table, month)
+    df = _stored(spark, base, table, month, extra_columns(spark, base, month) if table == FACT_TABLE else ())
     return df if month is None else df.drop(MONTH)
 
 
@@ -171,6 +187,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("created_at", T.StringType()),
         T.StructField("schema_version", T.StringType()),
         T.StructField("row_counts", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("extra_columns", T.StringType()),
         T.StructField(MONTH, T.StringType()),
     ]
 )
@@ -193,13 +210,16 @@ def stored_counts(spark: SparkSession, base: str, month: str | None = None) -> D
 def stored_files(spark: SparkSession, base: str, month: str | None = None) -> DataFrame:
     """Data files of the stored mart with size and time of change, one row per file.
 
-    Only the file listing is read, not the files.
+    Only the file listing is read, not the files, and of one month only its folders are listed.
     """
+    folders = [f"{base}/{table}" for table in TABLES]
+    if month is not None:
+        folders = [f"{base}/{{{','.join(TABLES)}}}/{MONTH}={month}"]
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", True)
-        .load([f"{base}/{table}" for table in TABLES])
+        .load(folders)
         .select(
             F.nullif(F.regexp_extract("path", rf"/{MONTH}=([^/]+)/[^/]+$", 1), F.lit(NO_MONTH)).alias(MONTH),
             F.regexp_extract("path", rf"/([^/]+)/{MONTH}=[^/]+/[^/]+$", 1).alias("table"),
@@ -208,11 +228,13 @@ def stored_files(spark: SparkSession, base: str, month: str | None = None) -> Da
             F.col("modificationTime").alias("modified_at"),
         )
     )
-    return listed if month is None else listed.where(F.col(MONTH) == month)
+    return listed
 
 
-def write_manifest(spark: SparkSession, base: str, month: str | None) -> DataFrame:
-    """One record per month: time, schema version and row counts (0 for an empty table).
+def write_manifest(
+    spark: SparkSession, base: str, month: str | None, extra: Sequence[T.StructField] = ()
+) -> DataFrame:
+    """One record per month: time, schema version, row counts (0 for an empty table) and extra columns.
 
     The data files are written beside it as rows of their own, as a month may have many.
     """
@@ -227,6 +249,7 @@ def write_manifest(spark: SparkSession, base: str, month: str | None) -> DataFra
         F.lit(datetime.now(timezone.utc).isoformat()).alias("created_at"),
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.when(F.col("_counts").isNotNull(), filled).otherwise(zero).alias("row_counts"),
+        F.lit(T.StructType(list(extra)).json()).alias("extra_columns"),
         MONTH,
     )
     for rows, name in ((stored_files(spark, base, month), "manifest_files"), (records, "manifest")):

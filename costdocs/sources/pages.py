@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from costdocs.functions.markup import HEADERS_TYPE, LEVELS, page_facts_udf, page_markup_udf
+from costdocs.functions.markup import HEADERS_TYPE, LEVELS, page_document_udf
 from costdocs.functions.text import first_filled
 
 STRUCTURE_SCHEMA = T.StructType(
@@ -53,14 +53,12 @@ def header_map(facts: Column) -> Column:
 def page_documents(pages: DataFrame, limit: int | None = None) -> DataFrame:
     """Document rows: url, file name, cleaned html, title and headers of the whole page, load time."""
     df = pages.limit(limit) if limit else pages
-    read = df.select(
-        "page_id", "url", page_markup_udf("html").alias("html"), page_facts_udf("html").alias("_facts")
-    )
+    read = df.select("page_id", "url", page_document_udf("html").alias("_facts"))
     return read.select(
         "page_id",
         "url",
         page_source(F.col("url")).alias("source"),
-        "html",
+        "_facts.html",
         F.coalesce("_facts.title", F.lit("")).alias("title"),
         header_map(F.col("_facts")).alias("headers"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("scraped_at"),

@@ -178,3 +178,69 @@ def test_other_columns_of_the_line_items_are_stored(spark, tmp_path):
     row = mart.read_mart(spark, base)["fact_sagemaker_costs"].first()
     assert (row["extra"], row["usertag9"], row["is_endpoint"]) == ("x", None, True)
     assert "extra" not in mart.read_mart(spark, base, "202507")["fact_sagemaker_costs"].columns
+
+
+def test_files_of_other_months(spark, base):
+    def cost(month, sql):
+        return ask(spark, "q", sql, base, month)["numeric_summary"].get("cost", {}).get("sum")
+
+    sql = "SELECT cost FROM read_parquet('data/processed/{}/agg_endpoint_hours.parquet')"
+    assert cost("latest", sql.format("latest")) == cost("latest", sql.format("202508")) == 3.0
+    assert cost("latest", sql.format("2025-07")) == cost("2025-07", sql.format("latest")) == 1.5
+    assert cost("latest", sql.format("202508") + " UNION ALL " + sql.format("202507")) == 4.5
+    assert ask(spark, "q", sql.format("209901"), base)["error"] and ask(spark, "q", sql.replace("agg_endpoint_hours", "nothing").format("202507"), base)["error"]
+
+
+def test_views_are_private(spark, base, tmp_path):
+    spark.range(7).createOrReplaceTempView("agg_endpoint_hours")
+    spark.range(7).createOrReplaceTempView("own")
+    try:
+        new, old = (guard.run_guarded(spark, "SELECT cost FROM agg_endpoint_hours", mart.read_mart(spark, base, m), m) for m in ("202508", "202507"))
+        assert (new.first()["cost"], old.first()["cost"]) == (3.0, 1.5)
+        assert spark.table("agg_endpoint_hours").count() == 7
+        assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("guarded_")]
+        views = mart.read_mart(spark, base)
+        path = str(tmp_path / "secret")
+        spark.range(3).write.parquet(path)
+        for sql in (f"SELECT * FROM parquet.`{path}`", f"SELECT (SELECT max(id) FROM parquet.`{path}`) AS m", f"SELECT * FROM (WITH x AS (SELECT * FROM text.`{path}`) SELECT * FROM x)"):
+            with pytest.raises(ValueError):
+                guard.run_guarded(spark, sql, views)
+        with pytest.raises(RuntimeError):
+            guard.run_guarded(spark, "SELECT * FROM own", views)
+        assert guard.run_guarded(spark, "SELECT * FROM (WITH x AS (SELECT cost FROM agg_endpoint_hours) SELECT * FROM x)", views).count() == 1
+    finally:
+        spark.catalog.dropTempView("agg_endpoint_hours")
+        spark.catalog.dropTempView("own")
+
+
+def test_a_question_is_run_once(spark, base):
+    record = ask(spark, "q", "SELECT rand() AS `a(b)`, NULL AS n, 1 AS x FROM monthly_summary", base)
+    assert not record["error"] and record["row_count"] == 1 and record["column_count"] == 3
+    assert record["sample_rows"][0]["a(b)"] == record["numeric_summary"]["a(b)"]["sum"]
+
+
+def test_extra_columns_of_single_months(spark, tmp_path):
+    path = str(tmp_path / "m")
+    mart.write_month(spark, items(spark, "202501", "Host"), path, "202501")
+    mart.write_month(spark, items(spark, "202502", "Host").selectExpr("*", "'core' AS team", "7 AS size"), path, "202502", csv=True)
+    rows = mart.read_table(spark, path, "fact_sagemaker_costs").select("mart_month", "team", "size").collect()
+    assert sorted(map(tuple, rows)) == [("202501", None, None), ("202502", "core", 7)]
+    assert "team" not in mart.read_table(spark, path, "fact_sagemaker_costs", "202501").columns
+    assert mart.read_table(spark, path, "fact_sagemaker_costs", "202502").first()["team"] == "core"
+    mart.write_month(spark, items(spark, "202503", "Host").selectExpr("*", "1.5D AS team"), path, "202503")
+    with pytest.raises(ValueError, match="two types"):
+        mart.read_table(spark, path, "fact_sagemaker_costs")
+
+
+def test_intermediate_tables_are_removed(spark, base):
+    import pyarrow.fs
+
+    from costdocs.sources.scratch import shared_folder
+
+    folder = shared_folder(spark)
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
+    listed = lambda: {f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path))}
+    before = listed()
+    mart.write_month(spark, items(spark, "202509", "Host"), base, "202509")
+    ask(spark, "q", "SELECT * FROM monthly_summary", base)
+    assert listed() <= before

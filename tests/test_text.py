@@ -383,3 +383,38 @@ def test_pages_to_contexts(spark, tmp_path):
     assert rows[1, 1]["id"] == "page-1#s01#0000" and rows[1, 1]["text"] == "zebra lion zebra"
     assert rows[2, 1]["metadata"]["title"] == "Bread" and rows[2, 1]["metadata"]["version_date"] == "2025-08-01"
     assert len(rows) == 2
+
+
+@pytest.mark.parametrize("piece", ["<a href=x>word ", "<h2>word ", "<div><a>word ", "<p>word</x> "])
+def test_open_elements_do_not_make_a_page_slow(piece):
+    from time import process_time
+
+    from costdocs.functions import markup
+
+    html = piece * 100_000
+    for read in (markup.page_facts, markup.page_parts, markup.topic_links, markup.page_document):
+        begin = process_time()
+        read(html)
+        assert process_time() - begin < 12
+    assert [x["text"] for x in markup.page_facts("<a href=x>one <a href=y>two")["links"]] == ["one", "two"]
+
+
+def test_one_parse_gives_markup_and_facts():
+    from costdocs.functions import markup
+
+    html = "<title>T</title><nav><h2>N</h2></nav><h1>A<b>x</b></h1><p>t<!--c--><a href='q'>l"
+    found = markup.page_document(html)
+    assert found["html"] == markup.page_markup(html) and found["H2"] == ["N"] and found["title"] == "T"
+    assert {k: v for k, v in found.items() if k != "html"} == {k: v for k, v in markup.page_facts(html).items() if k in found}
+
+
+def test_filters_on_pages_reach_the_scan(spark, sf_dir):
+    from costdocs.operators import chunks, links
+    from costdocs.sources import pages
+
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    plans = [links.page_links(table, "the"), pages.page_documents(table), links.page_structures(table), chunks.sections(table.withColumn("source", F.lit("s")))]
+    for df in plans:
+        text = df.where("page_id = 3")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(page_id,3)" in text.split("PushedFilters: [")[1].split("]")[0]
+        assert text.count("ArrowEvalPython") == 1
