@@ -13,6 +13,7 @@ from costdocs.checks.fixtures import (
     money,
     table,
     with_cost,
+    with_odd_amounts,
 )
 from costdocs.checks.registry import register, written_once
 from costdocs.functions.text import contains_any, normalise_month, parse_accounts
@@ -38,6 +39,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact(extracted(spark, sf_dir))
 
 
+def odd_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged line items some of whose amounts are missing or no number."""
+    return fact(with_odd_amounts(extracted(spark, sf_dir)))
+
+
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract_source.parse_contracts(contract_texts(spark, sf_dir))
 
@@ -138,6 +144,45 @@ register(
     lambda s, d: mart.read_table(s, stored_mart(s, d), "agg_endpoint_hours"),
     with_cost(summary_sql("agg_endpoint_hours", month=True)),
 )
+_ALL_MONTHS_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", billing_ym AS mart_month, {keys[0]} AS key1, {keys[1] if len(keys) > 1 else 'cast(NULL AS varchar)'} AS key2,"
+    f" {'coalesce(sum(usage_hours), 0.0)' if hours else '0.0'} AS hours, {money('lineitem_unblendedcost')} AS cost"
+    f" FROM fact WHERE {condition} GROUP BY {', '.join([*keys, 'billing_ym'])}"
+    for name, (condition, named, hours) in SUMMARY_SQL.items()
+    for keys in [list(named.values())]
+)
+
+
+def stored_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of nine stored summaries as one table; the tenth has its own query."""
+    parts = []
+    for name, (_, named, hours) in SUMMARY_SQL.items():
+        keys = [F.col(k) for k in named] + [F.lit(None).cast("string")]
+        parts.append(
+            mart.read_table(spark, stored_mart(spark, sf_dir), name).select(
+                F.lit(name).alias("table"), "mart_month", keys[0].alias("key1"), keys[1].alias("key2"),
+                F.col("hours") if hours else F.lit(0.0).alias("hours"), "cost",
+            )
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+register("a05_all_stored_summaries", stored_summaries, with_cost(_ALL_MONTHS_SQL))
+register(
+    "a05_stored_months",
+    lambda s, d: mart.read_table(s, stored_mart(s, d), "monthly_summary"),
+    with_cost(summary_sql("monthly_summary", month=True)),
+)
+
+
+def stored_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mart.read_table(spark, stored_mart(spark, sf_dir), rollups.FACT_TABLE).drop(*mart.CATEGORY_COLUMNS)
+    return rows.withColumns({c: F.col(c).cast("double") for c in cost_source.COST_COLUMNS})
+
+
 _STORED_COUNTS = " UNION ALL ".join(
     [
         "SELECT billing_ym AS mart_month, 'fact_sagemaker_costs' AS \"table\", count(*) AS rows FROM fact GROUP BY 1",
@@ -169,6 +214,26 @@ register(
     ),
 )
 register("a08_mart_sizes", lambda s, d: mart.mart_sizes(s, stored_mart(s, d)))
+register(
+    "a08_sized_tables",
+    lambda s, d: mart.mart_sizes(s, stored_mart(s, d)).where("size_mb >= 0").select("mart_month", "table"),
+    with_cost(f"SELECT mart_month, \"table\" FROM ({_STORED_COUNTS}) WHERE rows > 0"),
+)
+
+
+def total_of_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every month's total is that of its tables, but for their rounding."""
+    base = stored_mart(spark, sf_dir)
+    tables = mart.mart_sizes(spark, base).groupBy("mart_month").agg(F.sum("size_mb").alias("sum_mb"), F.count("*").alias("tables"))
+    close = F.abs(F.col("total_size_mb") - F.col("sum_mb")) <= 0.005 * (F.col("tables") + 1) + 1e-9
+    return mart.mart_total_size(spark, base).join(tables, "mart_month").select("mart_month", "tables", close.alias("adds_up"))
+
+
+register(
+    "a08_total_adds_up",
+    total_of_sizes,
+    with_cost(f"SELECT mart_month, count(*) AS tables, true AS adds_up FROM ({_STORED_COUNTS}) WHERE rows > 0 GROUP BY 1"),
+)
 register("a08_mart_total_size", lambda s, d: mart.mart_total_size(s, stored_mart(s, d)))
 
 
@@ -328,12 +393,13 @@ for _i, _name in enumerate(FLAGS, 9):
     )
 register(
     "b18_usage_hours",
-    lambda s, d: extracted(s, d)
+    lambda s, d: with_odd_amounts(extracted(s, d))
     .select("pricing_unit", "billing_ym", usage_hours().alias("usage_hours"))
     .groupBy("pricing_unit", "billing_ym")
     .agg(F.sum("usage_hours").alias("hours"), F.count("usage_hours").alias("n")),
     with_cost(
-        "SELECT pricing_unit, billing_ym, sum(usage_hours) AS hours, count(usage_hours) AS n FROM fact GROUP BY 1, 2"
+        "SELECT pricing_unit, billing_ym, sum(usage_hours) AS hours, count(usage_hours) AS n FROM fact GROUP BY 1, 2",
+        odd=True,
     ),
 )
 register(
@@ -412,8 +478,8 @@ register(
 for _i, _name in enumerate(rollups.ROLLUP, 1):
     register(
         f"d{_i:02d}_{_name}",
-        lambda s, d, name=_name: rollups.summarise(facts(s, d), name),
-        with_cost(summary_sql(_name)),
+        lambda s, d, name=_name: rollups.summarise(odd_facts(s, d), name),
+        with_cost(summary_sql(_name), odd=True),
     )
 register(
     "d11_row_counts",
@@ -425,17 +491,25 @@ register(
         )
     ),
 )
+
+
+def _profiled(rows: DataFrame) -> DataFrame:
+    """Some hours are no number; a profile leaves them out."""
+    return rows.withColumn("hours", F.expr("CASE WHEN cost > 1000000 THEN cast('NaN' AS double) ELSE hours END"))
+
+
 register(
     "d12_result_profile",
-    lambda s, d: numeric_profile(rollups.summarise(facts(s, d), "agg_endpoint_hours")).select(
+    lambda s, d: numeric_profile(_profiled(rollups.summarise(odd_facts(s, d), "agg_endpoint_hours"))).select(
         "column", *[F.round(c, 4).alias(c) for c in ("sum", "mean", "min", "max")]
     ),
     with_cost(
         " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", round(sum({c}), 4) AS sum, round(avg({c}), 4) AS mean, round(min({c}), 4) AS min,"
-            f" round(max({c}), 4) AS max FROM ({summary_sql('agg_endpoint_hours')})"
-            for c in ("hours", "cost")
-        )
+            f"SELECT '{c}' AS \"column\", round(sum({v}), 4) AS sum, round(avg({v}), 4) AS mean, round(min({v}), 4) AS min,"
+            f" round(max({v}), 4) AS max FROM ({summary_sql('agg_endpoint_hours')})"
+            for c, v in (("hours", "CASE WHEN cost <= 1000000 THEN hours END"), ("cost", "cost"))
+        ),
+        odd=True,
     ),
 )
 register(
@@ -456,6 +530,7 @@ def whole_mart_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("d13_mart_fact", whole_mart_fact, with_cost(f"SELECT {_FACT_SQL} FROM fact"))
+register("a05_stored_fact", stored_fact, with_cost(f"SELECT {_FACT_SQL}, billing_ym AS mart_month FROM fact"))
 
 
 def _all_rows_sql() -> str:
@@ -526,6 +601,31 @@ register(
 )
 
 
+NAMED_MONTH_SQL = (
+    "SELECT usage_type, cost, '1995-03' AS month FROM read_parquet('data/processed/1995-03/agg_storage_cost.parquet')"
+    " UNION ALL SELECT usage_type, cost, 'latest' FROM read_parquet('data/processed/latest/agg_storage_cost.parquet')"
+)
+
+
+def named_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text over the newest month and over one that it names."""
+    base = stored_mart(spark, sf_dir)
+    month = mart.resolve_month(spark, base)
+    return run_guarded(spark, NAMED_MONTH_SQL, mart.read_mart(spark, base, month), month, lambda m: mart.read_mart(spark, base, m))
+
+
+_STORAGE_SQL = "SELECT lineitem_usagetype AS usage_type, {cost} AS cost, '{label}' AS month FROM fact WHERE is_storage AND billing_ym = {month} GROUP BY 1"
+register(
+    "l03_named_month",
+    named_month,
+    with_cost(
+        _STORAGE_SQL.format(cost=money("lineitem_unblendedcost"), label="1995-03", month="'199503'")
+        + " UNION ALL "
+        + _STORAGE_SQL.format(cost=money("lineitem_unblendedcost"), label="latest", month="(SELECT max(billing_ym) FROM fact)")
+    ),
+)
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = ask(
         spark, "cost by usage type", "SELECT usage_type, cost FROM agg_storage_cost", stored_mart(spark, sf_dir)
@@ -555,20 +655,22 @@ register(
 )
 register(
     "o02_endpoint_instances",
-    lambda s, d: scenarios.endpoint_instances(rollups.summarise(facts(s, d), "agg_endpoint_hours")).withColumn(
+    lambda s, d: scenarios.endpoint_instances(rollups.summarise(odd_facts(s, d), "agg_endpoint_hours")).withColumn(
         "cost", F.round("cost", 2)
     ),
     with_cost(
         f"SELECT product_instancetype AS instance_type, coalesce(sum(usage_hours), 0.0) AS hours, round({money('lineitem_unblendedcost')}, 2) AS cost"
-        " FROM fact WHERE is_endpoint GROUP BY 1"
+        " FROM fact WHERE is_endpoint GROUP BY 1",
+        odd=True,
     ),
 )
 register(
     "o03_notebook_usage",
-    lambda s, d: scenarios.notebook_usage(facts(s, d)),
+    lambda s, d: scenarios.notebook_usage(odd_facts(s, d)),
     with_cost(
         f"SELECT lineitem_usagetype AS usage_type, coalesce(sum(usage_hours), 0.0) AS hours, {money('lineitem_unblendedcost')} AS cost"
-        " FROM fact WHERE is_notebook GROUP BY 1"
+        " FROM fact WHERE is_notebook GROUP BY 1",
+        odd=True,
     ),
 )
 register(
@@ -589,25 +691,26 @@ register(
 )
 register(
     "o05_idle_endpoints",
-    lambda s, d: scenarios.idle_endpoints(facts(s, d), max_hours=2000.0),
+    lambda s, d: scenarios.idle_endpoints(odd_facts(s, d), max_hours=2000.0),
     with_cost(
         f"""SELECT lineitem_resourceid AS resource_id, coalesce(sum(usage_hours), 0.0) AS hours, {money('lineitem_unblendedcost')} AS cost,
  count(DISTINCT product_instancetype) AS instances FROM fact WHERE is_endpoint AND lineitem_resourceid IS NOT NULL
- GROUP BY 1 HAVING coalesce(sum(usage_hours), 0.0) < 2000.0"""
+ GROUP BY 1 HAVING coalesce(sum(usage_hours), 0.0) < 2000.0""",
+        odd=True,
     ),
 )
 _EMPTY = [f"coalesce(trim(usertag{i}), '') = ''" for i in range(10)]
 register(
     "o06_tag_missing_rate",
-    lambda s, d: scenarios.tag_missing_rate(facts(s, d), ["usertag0", "usertag1", "usertag2"]).select(
+    lambda s, d: scenarios.tag_missing_rate(facts(s, d), [f"usertag{i}" for i in range(10)]).select(
         "account_id",
         "line_items",
-        *[F.round(c, 6).alias(c) for c in ("untagged_rate", "usertag0_missing", "usertag1_missing", "usertag2_missing")],
+        *[F.round(c, 6).alias(c) for c in ("untagged_rate", *[f"usertag{i}_missing" for i in range(10)])],
     ),
     with_cost(
         "SELECT lineitem_usageaccountid AS account_id, count(*) AS line_items,"
         f" round(avg(CASE WHEN {' AND '.join(_EMPTY)} THEN 1.0 ELSE 0.0 END), 6) AS untagged_rate, "
-        + ", ".join(f"round(avg(CASE WHEN {_EMPTY[i]} THEN 1.0 ELSE 0.0 END), 6) AS usertag{i}_missing" for i in range(3))
+        + ", ".join(f"round(avg(CASE WHEN {_EMPTY[i]} THEN 1.0 ELSE 0.0 END), 6) AS usertag{i}_missing" for i in range(10))
         + " FROM fact GROUP BY 1"
     ),
 )

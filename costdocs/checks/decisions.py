@@ -23,10 +23,11 @@ from costdocs.operators import classify, decide, guard
 
 # ---- guards and SQL texts ----------------------------------------------------------------
 
-_WORDS = "\\b(" + "|".join(guard.FORBIDDEN_WORDS) + ")\\b"
+# The twins have lists of their own, so that a wrong word in the library shows.
+_WORDS = r"\b(insert|update|delete|create|alter|drop|truncate|attach|copy|pragma)\b"
 _WORD_REASON = f"""CASE WHEN NOT regexp_matches(trim(sql), '(?is)^\\s*select\\b') THEN 'not a SELECT'
  WHEN regexp_matches(rtrim(trim(sql), ';'), '(?is){_WORDS}') THEN 'forbidden keyword' END"""
-_TEXT_REASON = f"""CASE WHEN regexp_matches(upper(sql), '{'|'.join(guard.FORBIDDEN_SUBSTRINGS)}') THEN 'forbidden keyword'
+_TEXT_REASON = f"""CASE WHEN regexp_matches(upper(sql), 'INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|TRUNCATE|GRANT|REVOKE|EXECUTE|CALL') THEN 'forbidden keyword'
  WHEN NOT starts_with(upper(trim(sql)), 'SELECT') THEN 'not a SELECT' END"""
 
 register(
@@ -87,6 +88,12 @@ register(
 )
 
 
+_INTENTS = (
+    ("docs", "설정 방법 방식 개념 설명 가이드 튜토리얼 레퍼런스 어떻게 문서 기능 setup concept guide tutorial reference".split() + ["how to", "how do"]),
+    ("sql", "비용 사용량 합계 집계 통계 추이 월별 테이블 쿼리 cost usage total aggregate trend monthly table query".split() + ["시간 합"]),
+)
+
+
 def _any(words) -> str:
     return "(" + " OR ".join(f"contains(lower(question), '{w}')" for w in words) + ")"
 
@@ -96,7 +103,7 @@ register(
     lambda s, d: questions(s, d).select("conv_id", "turn", classify.keyword_intent(F.col("question")).alias("intent")),
     with_intents(
         "SELECT conv_id, turn, CASE "
-        + " ".join(f"WHEN {_any(words)} THEN '{label}'" for label, words in classify.INTENT_RULES)
+        + " ".join(f"WHEN {_any(words)} THEN '{label}'" for label, words in _INTENTS)
         + " ELSE 'general' END AS intent FROM asked"
     ),
 )
@@ -175,11 +182,18 @@ register(
 # ---- URL categories ----------------------------------------------------------------------
 
 _URL = "concat('https://docs.example.com/', lineitem_operation, '/', coalesce(lineitem_usagetype, 'index'), '/', product_region, '.html')"
+_URL_WORDS = (
+    ("studio", ["studio"]), ("notebook", ["notebook", "nbi"]), ("training", ["training"]), ("inference", ["inference"]),
+    ("autopilot", ["autopilot"]), ("feature_store", ["feature-store"]), ("monitoring", ["monitor"]), ("pipelines", ["pipeline"]),
+    ("canvas", ["canvas"]), ("geospatial", ["geospatial"]), ("rstudio", ["rstudio"]), ("hyperpod", ["hyperpod"]), ("jupyter", ["jupyter"]),
+    ("security", ["security"]), ("assets", ["assets"]), ("algorithms", ["algorithm"]), ("frameworks", ["framework"]),
+    ("partner", ["partner"]), ("migration", ["migrate"]),
+)
 _URL_SQL = (
     "CASE "
     + " ".join(
         "WHEN " + " OR ".join(f"contains(lower(url), '{w}')" for w in words) + f" THEN '{label}'"
-        for label, words in classify.URL_RULES
+        for label, words in _URL_WORDS
     )
     + " ELSE 'other' END"
 )

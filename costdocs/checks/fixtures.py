@@ -129,7 +129,7 @@ _FLAG_SQL = {
 assert list(_FLAG_SQL) == list(FLAGS)
 
 HOURS_SQL = (
-    f"CASE WHEN {_like('pricing_unit', 'Hrs', 'Hours', 'Hour')} THEN lineitem_usageamount END"
+    f"CASE WHEN ({_like('pricing_unit', 'Hrs', 'Hours', 'Hour')}) AND NOT isnan(lineitem_usageamount) THEN lineitem_usageamount END"
 )
 
 
@@ -152,12 +152,27 @@ CATEGORY_SQL = (
 )
 
 
-def with_cost(body: str) -> str:
-    """DuckDB SQL over ``cur`` (all line items), ``ext`` (extracted) and ``fact`` (flagged)."""
+# Amounts that are no number or missing, for the queries that add up hours.
+_ODD_AMOUNT = (
+    "CASE WHEN lineitem_blendedcost LIKE '%7' THEN cast('NaN' AS double)"
+    " WHEN lineitem_blendedcost LIKE '%3' THEN NULL ELSE lineitem_usageamount END"
+)
+
+
+def with_odd_amounts(line_items: DataFrame) -> DataFrame:
+    return line_items.withColumn("lineitem_usageamount", F.expr(_ODD_AMOUNT))
+
+
+def with_cost(body: str, odd: bool = False) -> str:
+    """DuckDB SQL over ``cur`` (all line items), ``ext`` (extracted) and ``fact`` (flagged).
+
+    With ``odd`` the extracted ones have :func:`with_odd_amounts`.
+    """
+    amounts = f" REPLACE ({_ODD_AMOUNT} AS lineitem_usageamount)" if odd else ""
     flags = ",\n ".join(f"({sql}) AS {name}" for name, sql in _FLAG_SQL.items())
     return (
         f"WITH cur AS ({_CUR_SQL}),\n"
-        "ext AS (SELECT * FROM cur WHERE lineitem_lineitemtype = 'Usage'"
+        f"ext AS (SELECT *{amounts} FROM cur WHERE lineitem_lineitemtype = 'Usage'"
         " AND contains(product_productname, 'SageMaker')),\n"
         f"fact AS (SELECT * EXCLUDE (lineitem_unblendedcost, lineitem_blendedcost),"
         f" {_cost_sql('lineitem_unblendedcost')} AS lineitem_unblendedcost,"
@@ -336,7 +351,7 @@ def with_vectors(body: str, k: int) -> str:
 means AS (SELECT label, pos, avg(cast(x AS double)) AS x FROM parts GROUP BY 1, 2),
 queries AS (SELECT label AS query_id, list(x ORDER BY pos) AS q FROM means GROUP BY 1),
 pairs AS (SELECT query_id, vec_id AS id,
-  round(list_cosine_similarity(q, cast(embedding AS double[])), 6) + 0.0 AS raw_score FROM embeddings CROSS JOIN queries),
+  list_cosine_similarity(q, cast(embedding AS double[])) AS raw_score FROM embeddings CROSS JOIN queries),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw_score DESC, id) AS rank FROM pairs),
 hits AS (SELECT * FROM ranked WHERE rank <= {k}),
 scored AS (SELECT *, greatest(0.0, least(1.0, (raw_score + 1) / 2)) AS score,

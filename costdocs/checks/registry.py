@@ -21,7 +21,7 @@ INTS = {
     "c05_neighbour_join": ["rank"],
     "d16_heading_counts": ["h1_count"],
     "f03_top_k_then_top_n": ["rank"],
-    "i03_clean_markup": ["paragraphs", "headings", "bold"],
+    "g02_context_prefix_dedup": ["rank"],
     "i04_headings": ["position"],
     "i05_links": ["position"],
     "i06_topics": ["position"],

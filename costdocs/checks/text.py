@@ -11,22 +11,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costdocs.checks.fixtures import table
-from costdocs.checks.registry import register, written_once
+from costdocs.checks.registry import ORACLES, register, written_once
 from costdocs.functions.markup import nfkc_udf, page_markup_udf, page_text_udf
-from costdocs.functions.text import decode_entities, distinct_lines, megabytes, title_case
-from costdocs.operators import chunks, dedup, headings, links
+from costdocs.functions.text import decode_entities, distinct_lines, megabytes, strip_tags, title_case
+from costdocs.operators import chunks, dedup, headings, links, search
 from costdocs.plans import chunk_index
 from costdocs.sources import pages as page_source
 
 VERSION = "2025-08-01"
 LINK_WORD = "the"
 NAMES = [*links.SERVICES, "MIT License", "the of", "de la", "der", "que"]
+# The twin's own list of what is looked for.
+NAMES_SQL = """('Amazon SageMaker Studio'), ('Amazon SageMaker Studio Classic'), ('Amazon SageMaker Notebook Instances'),
+ ('Amazon SageMaker Studio Lab'), ('Amazon SageMaker Canvas'), ('Amazon SageMaker geospatial'), ('RStudio on Amazon SageMaker'),
+ ('SageMaker HyperPod'), ('Amazon SageMaker AutoPilot'), ('Amazon SageMaker Feature Store'), ('Amazon SageMaker Model Monitor'),
+ ('Amazon SageMaker Pipelines'), ('Amazon SageMaker JumpStart'), ('Amazon SageMaker Ground Truth'), ('Amazon SageMaker Data Wrangler'),
+ ('Amazon SageMaker Model Registry'), ('Amazon SageMaker Projects'), ('Amazon SageMaker ML Lineage'),
+ ('Amazon SageMaker Model Building Pipeline'), ('Amazon SageMaker Training Compiler'), ('Amazon SageMaker Inference Recommender'),
+ ('Amazon SageMaker Edge Manager'), ('Amazon SageMaker Neo'), ('Amazon SageMaker Clarify'), ('Amazon SageMaker Debugger'),
+ ('MIT License'), ('the of'), ('de la'), ('der'), ('que')"""
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
+# Pages with headings of all levels: the footer becomes an H2, list items H3. SQL knows few entities.
+_TAGS = (("<footer>", "<h2>"), ("</footer>", "</h2>"), ("<li>", "<h3>"), ("</li>", "</h3>"), ("&copy;", "©"), ("&middot;", "·"))
+TAGGED_SQL = "html"
+for _old, _new in _TAGS:
+    TAGGED_SQL = f"replace({TAGGED_SQL}, '{_old}', '{_new}')"
+_FOUND = "array_to_string([trim({0}, {1}) for h in regexp_extract_all(t, '(?is)<h{2}[^>]*>(.*?)</h{2}>', 1)], '|')"
+
+
+def tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).withColumn("html", F.expr(TAGGED_SQL))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -60,17 +81,33 @@ def _lines_sql(source: str, key: str, text: str) -> str:
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_source.page_documents(pages(spark, sf_dir))
+    rows = page_source.page_documents(tagged_pages(spark, sf_dir))
     return rows.select(
-        "page_id", "url", "source", "title", F.concat_ws("|", F.col("headers")["H1"]).alias("h1")
+        "page_id", "url", "source", "title", *[F.concat_ws("|", F.col("headers")[f"H{i}"]).alias(f"h{i}") for i in (1, 2, 3)], *markup_content()
     )
 
 
+def markup_content() -> list[Column]:
+    """The tags that a page's markup opens, in order, and the text between them; ends of tags may be added."""
+    text = strip_tags(F.regexp_replace("html", r"(?s)<!--.*?-->", ""))
+    for entity, char in (("&quot;", '"'), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    tags = F.array_join(F.regexp_extract_all("html", F.lit(r"<([a-z][a-z0-9]*)"), F.lit(1)), ",")
+    return [tags.alias("tags"), F.md5(text).alias("text_md5")]
+
+
+def _content_sql(html: str) -> str:
+    clean = _without(html, "script", "style", "nav", "footer", "aside")
+    text = _SHOWN.format(_TAGLESS.format(f"regexp_replace({clean}, '(?s)<!--.*?-->', '', 'g')"))
+    return f"array_to_string(regexp_extract_all({clean}, '<([a-z][a-z0-9]*)', 1), ',') AS tags, md5({text}) AS text_md5"
+
+
 register(
     "a12_page_load",
     loaded,
     f"""SELECT page_id, url, concat({STEM_SQL}, '.html') AS source, trim({_SHOWN.format(TITLE_SQL)}, {_SPACE}) AS title,
- array_to_string([trim({_SHOWN.format(_TAGLESS.format('h'))}, {_SPACE}) for h in {H1_SQL}], '|') AS h1 FROM pages""",
+ {', '.join(f"{_FOUND.format(_SHOWN.format(_TAGLESS.format('h')), _SPACE, i)} AS h{i}" for i in (1, 2, 3))}, {_content_sql('t')}
+ FROM (SELECT *, {TAGGED_SQL} AS t FROM pages)""",
 )
 register(
     "i01_plain_text",
@@ -91,34 +128,18 @@ register(
 )
 
 
-def clean_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = pages(spark, sf_dir).select("page_id", page_markup_udf("html").alias("html"))
-
-    def count(pattern: str) -> Column:
-        return F.regexp_count("html", F.lit(pattern))
-
-    return clean.select(
-        "page_id",
-        count("(?i)<(script|style|nav|footer|aside)").alias("dropped"),
-        count("<p>").alias("paragraphs"),
-        count("<h1>").alias("headings"),
-        count("<b>").alias("bold"),
-    )
-
-
 register(
     "i03_clean_markup",
-    clean_markup,
-    """SELECT page_id, 0 AS dropped, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<h1>')) AS headings,
- len(regexp_extract_all(html, '<b>')) AS bold FROM (SELECT page_id, regexp_replace(html, '(?s)<script>.*?</script>', '', 'g') AS html FROM pages)""",
+    lambda s, d: pages(s, d).select("page_id", page_markup_udf("html").alias("html")).select("page_id", *markup_content()),
+    f"SELECT page_id, {_content_sql('html')} FROM pages",
 )
 register(
     "i04_headings",
-    lambda s, d: headings.page_headings(pages(s, d)),
+    lambda s, d: headings.page_headings(tagged_pages(s, d)),
     f"""SELECT page_id, level, pos - 1 AS position, trim({_TAGLESS.format('found')}, {_SPACE}) AS text FROM (
- SELECT page_id, 'H' || n AS level, unnest(regexp_extract_all(html, '(?is)<h' || n || '[^>]*>(.*?)</h' || n || '>', 1)) AS found,
-  generate_subscripts(regexp_extract_all(html, '(?is)<h' || n || '[^>]*>(.*?)</h' || n || '>', 1), 1) AS pos
- FROM pages, (VALUES ('1'), ('2'), ('3')) levels(n))""",
+ SELECT page_id, 'H' || n AS level, unnest(regexp_extract_all(t, '(?is)<h' || n || '[^>]*>(.*?)</h' || n || '>', 1)) AS found,
+  generate_subscripts(regexp_extract_all(t, '(?is)<h' || n || '[^>]*>(.*?)</h' || n || '>', 1), 1) AS pos
+ FROM (SELECT page_id, {TAGGED_SQL} AS t FROM pages), (VALUES ('1'), ('2'), ('3')) levels(n))""",
 )
 register(
     "i04_title",
@@ -153,7 +174,7 @@ register(
 )
 _VISIBLE = _SHOWN.format(_TAGLESS.format(_without("html", "script", "style")))
 _SERVICES_SQL = f"""SELECT page_id, service FROM (SELECT page_id, lower({_VISIBLE}) AS t FROM pages),
- (VALUES {', '.join(f"('{n}')" for n in NAMES)}) names(service) WHERE contains(t, lower(service))"""
+ (VALUES {NAMES_SQL}) names(service) WHERE contains(t, lower(service))"""
 register("c04_keyword_dictionary", lambda s, d: links.service_mentions(pages(s, d), NAMES), _SERVICES_SQL)
 register(
     "i07_service_counts",
@@ -163,7 +184,7 @@ register(
 
 
 def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.page_structures(pages(spark, sf_dir), LINK_WORD, NAMES)
+    return links.page_structures(tagged_pages(spark, sf_dir), LINK_WORD, NAMES)
 
 
 register(
@@ -176,15 +197,17 @@ register(
         "sagemaker_links_count",
         "found_services_count",
     ),
-    f"""SELECT p.page_id AS page_id, trim({_SHOWN.format(TITLE_SQL)}, {_SPACE}) AS title, len({H1_SQL}) AS h1, 0 AS h2,
+    f"""SELECT p.page_id AS page_id, trim({_SHOWN.format(TITLE_SQL)}, {_SPACE}) AS title, len({H1_SQL}) AS h1, len(regexp_extract_all({TAGGED_SQL}, '(?is)<h2[^>]*>(.*?)</h2>')) AS h2,
  coalesce(l.n, 0) AS sagemaker_links_count, coalesce(s.n, 0) AS found_services_count FROM pages p
  LEFT JOIN (SELECT page_id, count(*) AS n FROM ({_LINKS_SQL}) GROUP BY 1) l ON p.page_id = l.page_id
  LEFT JOIN (SELECT page_id, count(*) AS n FROM ({_SERVICES_SQL}) GROUP BY 1) s ON p.page_id = s.page_id""",
 )
 register(
     "d16_heading_counts",
-    lambda s, d: headings.heading_counts(pages(s, d)),
-    f"SELECT page_id, len({H1_SQL}) AS h1_count, 0 AS h2_count, 0 AS h3_count FROM pages",
+    lambda s, d: headings.heading_counts(tagged_pages(s, d)),
+    "SELECT page_id, "
+    + ", ".join(f"len(regexp_extract_all({TAGGED_SQL}, '(?is)<h{i}[^>]*>(.*?)</h{i}>')) AS h{i}_count" for i in (1, 2, 3))
+    + " FROM pages",
 )
 
 
@@ -230,12 +253,37 @@ register(
     FROM (SELECT page_id, {_MARKED} AS t FROM pages)))
   WHERE line <> '') WHERE nth = 1 GROUP BY 1, 2)""",
 )
+
+
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chunks of a text must have, whatever the cuts.
+
+    All lie in the text and fit; together they hold as many characters as the text, blanks apart,
+    and at most the overlap for each more; the first begins and the last ends with the text's words.
+    """
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("whole"))
+    rows = chunks.recursive_chunks(documents(spark, sf_dir), "doc_id", "text")
+    lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_order", "content"))).alias("parts"))
+
+    joined = lists.join(docs, "doc_id")
+    inside = F.forall("parts", lambda p: F.contains(F.col("whole"), p["content"]))
+    fits = F.forall("parts", lambda p: (F.length(p["content"]) <= 1200) & (p["content"] != ""))
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    said = F.aggregate(F.transform("parts", lambda p: F.length(bare(p["content"]))), F.lit(0), lambda a, n: a + n)
+    least, most = F.length(bare(F.col("whole"))), F.length(bare(F.col("whole"))) + 120 * F.size("parts")
+    first, last = F.element_at("parts", 1)["content"], F.element_at("parts", -1)["content"]
+    return joined.select(
+        "doc_id", inside.alias("inside"), fits.alias("fits"), said.between(least, most).alias("covers"),
+        F.regexp_extract(first, r"^\S+", 0).alias("begins"), F.regexp_extract(last, r"\S+$", 0).alias("ends"),
+    )
+
+
+_BARE = "trim(text, chr(32) || chr(9) || chr(10) || chr(13))"
 register(
     "i11_recursive_chunks",
-    lambda s, d: chunks.recursive_chunks(documents(s, d), "doc_id", "text")
-    .groupBy("doc_id")
-    .agg((F.count("*") > 0).alias("has_chunks"), (F.max(F.length("content")) <= 1200).alias("fits")),
-    f"SELECT doc_id, true AS has_chunks, true AS fits FROM documents WHERE trim(text, {_SPACE}) <> ''",
+    chunk_cover,
+    f"""SELECT doc_id, true AS inside, true AS fits, true AS covers, regexp_extract({_BARE}, '^\\S+') AS begins,
+ regexp_extract({_BARE}, '\\S+$') AS ends FROM documents WHERE {_BARE} <> ''""",
 )
 register(
     "i11_recursive_chunk_rows",
@@ -296,14 +344,48 @@ def index_store(spark: SparkSession, sf_dir: str) -> str:
 
 
 register("i14_chunk_index", lambda s, d: s.read.parquet(index_store(s, d)))
+_SECTIONS_SQL = ORACLES["i10_sections"]
+
+
+def stored_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the store holds each section that is one chunk, after two runs over the same pages."""
+    content = chunks.sections(page_rows(spark, sf_dir)).select("content").where(F.length("content") <= 1200)
+    wanted = content.select(F.md5("content").alias("text_hash")).distinct()
+    stored = spark.read.parquet(index_store(spark, sf_dir))
+    right = (F.col("text_hash") == F.md5("content")) & (F.size("embedding") == 64)
+    kept = stored.where(right).groupBy("text_hash").agg(F.count("*").alias("n"))
+    return wanted.join(kept, "text_hash", "left").select("text_hash", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 register(
     "a15_store_append",
-    lambda s, d: s.read.parquet(index_store(s, d)).agg(
-        (F.count("*") == F.countDistinct("text_hash")).alias("no_copies"),
-        F.bool_and(F.col("text_hash") == F.md5("content")).alias("hashes_right"),
-        F.bool_and(F.size("embedding") == 64).alias("embedded"),
-    ),
-    "SELECT count(*) > 0 AS no_copies, true AS hashes_right, true AS embedded FROM pages",
+    stored_sections,
+    f"SELECT DISTINCT md5(content) AS text_hash, 1 AS n FROM ({_SECTIONS_SQL}) WHERE length(content) <= 1200",
+)
+
+
+def found_in_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to chunks to a stored search: every chunk that is a whole section is asked for.
+
+    Each question has eight contexts with ranks of their own, all different texts, and the best
+    of them is as near as the chunk itself.
+    """
+    stored = spark.read.parquet(index_store(spark, sf_dir))
+    wanted = chunks.sections(page_rows(spark, sf_dir)).where(F.length("content") <= 1200).select(F.md5("content").alias("text_hash")).distinct()
+    asked = stored.join(wanted, "text_hash", "left_semi").select(F.col("text_hash").alias("query_id"), "embedding")
+    rows = search.search_store(stored, asked, 20, 8, 0.0)
+    return rows.groupBy("query_id").agg(
+        F.array_join(F.array_sort(F.collect_list("rank")).cast("array<string>"), ",").alias("ranks"),
+        F.countDistinct(F.md5("text")).alias("texts"),
+        F.round(F.max("score"), 5).alias("best"),
+    )
+
+
+register(
+    "j06_store_search",
+    found_in_store,
+    f"""SELECT query_id, array_to_string(range(1, 1 + least(8, n)), ',') AS ranks, least(8, n) AS texts, 1.0 AS best
+ FROM (SELECT *, count(*) OVER () AS n FROM (SELECT DISTINCT md5(content) AS query_id FROM ({_SECTIONS_SQL}) WHERE length(content) <= 1200))""",
 )
 register(
     "a16_chunk_manifest",
@@ -315,6 +397,22 @@ register(
  FROM ({_WINDOWS_SQL})""",
 )
 
+
+def page_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored manifest rows of both runs, with the pages' chunks counted again."""
+    path = index_store(spark, sf_dir)
+    chunk_count = index_chunks(spark, sf_dir).agg(F.count("*").alias("counted"))
+    rows = chunk_index.read_manifest(spark, path).join(F.broadcast(chunk_count), F.col("num_chunks") == F.col("counted"))
+    return rows.select("doc_type", "version_date", "num_docs", (F.col("index_dir") == path).alias("names_store"))
+
+
+register(
+    "a16_page_manifest",
+    page_manifest,
+    f"""SELECT 'developer-guide' AS doc_type, '{VERSION}' AS version_date, count(DISTINCT concat({STEM_SQL}, '.html')) AS num_docs,
+ true AS names_store FROM pages, (VALUES (1), (2)) runs(run) GROUP BY run""",
+)
+
 # ---- copies ------------------------------------------------------------------------------
 
 register(
@@ -369,10 +467,14 @@ register(
     "h13_json_metadata",
     lambda s, d: chunks.flat_metadata(
         table(s, d, "conversations").select(
-            F.col("conv_id"), F.struct("turn", "role").alias("head"), F.when(F.col("turn") > 0, F.col("role")).alias("maybe")
+            F.col("conv_id"),
+            F.struct("turn", "role").alias("head"),
+            F.when(F.col("turn") > 0, F.col("role")).alias("maybe"),
+            F.create_map(F.lit("who"), F.col("role")).alias("pairs"),
+            F.array("turn", "conv_id").alias("numbers"),
         )
     ),
-    "SELECT conv_id, concat('{\"turn\":', turn, ',\"role\":\"', role, '\"}') AS head, CASE WHEN turn > 0 THEN role ELSE '' END AS maybe FROM conversations",
+    "SELECT conv_id, concat('{\"who\":\"', role, '\"}') AS pairs, concat('[', turn, ',', conv_id, ']') AS numbers, concat('{\"turn\":', turn, ',\"role\":\"', role, '\"}') AS head, CASE WHEN turn > 0 THEN role ELSE '' END AS maybe FROM conversations",
 )
 register(
     "h10_megabytes",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from costdocs.checks.fixtures import centroids, corpus, corpus_texts, table, with_vectors
 from costdocs.checks.registry import register
 from costdocs.functions.scores import cosine, rescale
-from costdocs.operators import search
+from costdocs.operators import dedup, search
 
 K, N = search.TOP_K, search.TOP_N
 GATE = 0.6
@@ -18,6 +18,14 @@ def hits(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return search.top_k(corpus(spark, sf_dir), centroids(spark, sf_dir), k)
 
 
+# Ranks follow the whole scores in both engines; only what is shown is rounded.
+SHOWN = "query_id, id, round(raw_score, 6) + 0.0 AS raw_score, rank"
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("raw_score", F.round("raw_score", 6) + 0.0)
+
+
 def own_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = centroids(spark, sf_dir).select(F.col("query_id").alias("label"), F.col("embedding").alias("mean"))
     joined = table(spark, sf_dir, "embeddings").join(means, "label")
@@ -28,20 +36,20 @@ register(
     "j01_similarity",
     own_centroid,
     with_vectors(
-        "SELECT id AS vec_id, label, raw_score AS similarity FROM pairs JOIN embeddings ON id = vec_id AND label = query_id", K
+        "SELECT id AS vec_id, label, round(raw_score, 6) + 0.0 AS similarity FROM pairs JOIN embeddings ON id = vec_id AND label = query_id", K
     ),
 )
 register(
     "j02_top_k",
-    lambda s, d: hits(s, d),
-    with_vectors("SELECT query_id, id, raw_score, rank FROM hits", K),
+    lambda s, d: shown(hits(s, d)),
+    with_vectors(f"SELECT {SHOWN} FROM hits", K),
 )
 register(
     "c05_neighbour_join",
-    lambda s, d: search.top_k(
-        table(s, d, "embeddings").select("vec_id", "embedding"), centroids(s, d), 5, max_local_queries=0, block_bytes=1 << 16
+    lambda s, d: shown(
+        search.top_k(table(s, d, "embeddings").select("vec_id", "embedding"), centroids(s, d), 5, max_local_queries=0, block_bytes=1 << 10)
     ),
-    with_vectors("SELECT query_id, id, raw_score, rank FROM hits", 5),
+    with_vectors(f"SELECT {SHOWN} FROM hits", 5),
 )
 register(
     "j03_score_normalise",
@@ -101,6 +109,24 @@ register(
     lambda s, d: _flat(search.search(corpus(s, d), centroids(s, d), corpus_texts(s, d), 5)),
     with_vectors(_context_sql(0.0, 5), 10),
 )
+
+
+
+def contexts_without_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every query's contexts those that start like none before; another query's do not count."""
+    rows = search.search(corpus(spark, sf_dir), centroids(spark, sf_dir), corpus_texts(spark, sf_dir), N)
+    return dedup.dedup_by_prefix(rows, "text", ["rank"], 3, ["query_id"]).select("query_id", "rank", "id")
+
+
+register(
+    "g02_context_prefix_dedup",
+    contexts_without_copies,
+    with_vectors(
+        f"""SELECT query_id, rank, {_ID_SQL} AS id FROM scored JOIN texts ON scored.id = vec_id WHERE rank <= {N}
+ QUALIFY row_number() OVER (PARTITION BY query_id, trim(left(text, 3), chr(32) || chr(9) || chr(10) || chr(13)) ORDER BY rank) = 1""",
+        2 * N,
+    ),
+)
 register(
     "j07_context_text",
     lambda s, d: search.relevant_context(corpus(s, d), centroids(s, d), corpus_texts(s, d)),
@@ -135,9 +161,9 @@ register(
 )
 register(
     "j09_score_report",
-    lambda s, d: search.score_report(hits(s, d, 5)).withColumn("similarity", F.round("similarity", 6)),
+    lambda s, d: shown(search.score_report(hits(s, d, 5))).withColumn("similarity", F.round("similarity", 6)),
     with_vectors(
-        """SELECT query_id, id, raw_score, rank, round(1 - (1 - raw_score) / 2, 6) AS similarity,
+        f"""SELECT {SHOWN}, round(1 - (1 - raw_score) / 2, 6) AS similarity,
  CASE WHEN 1 - (1 - raw_score) / 2 >= 0.8 THEN 'very high' WHEN 1 - (1 - raw_score) / 2 >= 0.6 THEN 'high'
  WHEN 1 - (1 - raw_score) / 2 >= 0.4 THEN 'medium' ELSE 'low' END AS grade FROM hits""",
         5,

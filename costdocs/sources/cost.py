@@ -14,33 +14,40 @@ from costdocs.operators.ranking import first_rows
 TAG_COLUMNS = [f"usertag{i}" for i in range(10)]
 COST_COLUMNS = ["lineitem_unblendedcost", "lineitem_blendedcost"]
 
-_STRING_COLUMNS_BEFORE = ["billing_ym", "lineitem_usageaccountid", "lineitem_resourceid"]
-_STRING_COLUMNS_AFTER = [
-    "lineitem_currencycode",
-    "lineitem_productcode",
-    "lineitem_usagetype",
-    "lineitem_operation",
-    "lineitem_lineitemtype",
-    "product_productname",
-    "product_instancetype",
-    "product_instancetypefamily",
-    "product_region",
-    "pricing_unit",
-    "pricing_term",
-    *TAG_COLUMNS,
-]
-
 # Costs stay text until they are coerced, so that an unreadable value cannot fail the read.
-CUR_SCHEMA = T.StructType(
-    [
-        T.StructField("bill_billingperiodstartdate", T.DateType()),
-        T.StructField("bill_billingperiodenddate", T.DateType()),
-        *[T.StructField(c, T.StringType()) for c in _STRING_COLUMNS_BEFORE],
-        T.StructField("lineitem_usageamount", T.DoubleType()),
-        *[T.StructField(c, T.StringType()) for c in COST_COLUMNS],
-        *[T.StructField(c, T.StringType()) for c in _STRING_COLUMNS_AFTER],
-    ]
-)
+CUR_TYPES = {
+    "bill_billingperiodstartdate": "date",
+    "bill_billingperiodenddate": "date",
+    "billing_ym": "string",
+    "lineitem_usageaccountid": "string",
+    "lineitem_resourceid": "string",
+    "lineitem_usageamount": "double",
+    "lineitem_unblendedcost": "string",
+    "lineitem_blendedcost": "string",
+    "lineitem_currencycode": "string",
+    "lineitem_productcode": "string",
+    "lineitem_usagetype": "string",
+    "lineitem_operation": "string",
+    "lineitem_lineitemtype": "string",
+    "product_productname": "string",
+    "product_instancetype": "string",
+    "product_instancetypefamily": "string",
+    "product_region": "string",
+    "pricing_unit": "string",
+    "pricing_term": "string",
+    "usertag0": "string",
+    "usertag1": "string",
+    "usertag2": "string",
+    "usertag3": "string",
+    "usertag4": "string",
+    "usertag5": "string",
+    "usertag6": "string",
+    "usertag7": "string",
+    "usertag8": "string",
+    "usertag9": "string",
+}
+_KINDS = {"date": T.DateType(), "string": T.StringType(), "double": T.DoubleType()}
+CUR_SCHEMA = T.StructType([T.StructField(c, _KINDS[t]) for c, t in CUR_TYPES.items()])
 CUR_COLUMNS = CUR_SCHEMA.fieldNames()
 
 SNAPSHOT = "sagemaker_cur"

@@ -19,7 +19,8 @@ def vectors(spark, matrix, key, parts=5, make=int):
 
 def brute_force(k, name=int):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
-    scores = np.round(unit(QUERIES) @ unit(CORPUS).T, 6)
+    corpus = unit(CORPUS)
+    scores = [np.einsum("ij,ij->i", np.repeat(q[None, :], len(corpus), axis=0), corpus) for q in unit(QUERIES)]
     return {
         (q, name(i), rank)
         for q, row in enumerate(scores)
@@ -139,3 +140,44 @@ def test_no_corpus_gives_mean_zero(spark, small):
 def test_search_asks_for_twice_as_many(spark, small):
     corpus, queries, texts = small
     assert search.search(corpus, queries, texts, 1).count() == 2
+
+
+def test_scores_are_not_rounded_before_ranking(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0008]), (2, [1.0, 0.0]), (3, [1.0, 0.0001])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
+    for options in ({}, {"max_local_queries": 0}):
+        hits = search.top_k(corpus, queries, 3, **options).orderBy("rank").collect()
+        assert [r["id"] for r in hits] == [2, 3, 1]
+        assert hits[0]["raw_score"] - hits[1]["raw_score"] == pytest.approx(5e-9, rel=1e-3)
+
+
+def test_rows_without_an_id_or_a_number_take_no_part(spark):
+    big = 2**53 + 1
+    rows = [(None, [1.0, 0.0]), (big, [1.0, 0.1]), (5, [1.0, float("nan")]), (6, [1.0, None]), (7, None), (big + 1, [1.0, 0.2])]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (None, [1.0, 0.0])], "query_id long, embedding array<double>")
+    assert [(r["query_id"], r["id"]) for r in search.top_k(corpus, queries, 9).orderBy("rank").collect()] == [(0, big), (0, big + 1)]
+    named = corpus.select(F.concat(F.lit("id"), F.col("vec_id").cast("string")).alias("vec_id"), "embedding")
+    assert [r["id"] for r in search.top_k(named, queries, 9).orderBy("rank").collect()] == [f"id{big}", f"id{big + 1}"]
+
+
+def test_block_search_leaves_the_corpus_where_it_is(spark):
+    corpus, queries = vectors(spark, CORPUS, "vec_id").select("vec_id", "embedding"), vectors(spark, QUERIES, "query_id", 2)
+    path = spark.conf.get("spark.checkpoint.dir") + "/test-corpus-" + str(np.random.default_rng().integers(1 << 40))
+    corpus.write.parquet(path)
+    text = search.top_k(spark.read.parquet(path), queries, 3, max_local_queries=3, block_bytes=200)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") > 1 and "CoGroup" not in text and "Cartesian" not in text
+    for line in text.splitlines():
+        if "Exchange" in line:
+            assert "vector" not in line
+    below = text.split("MapInArrow", 1)[1]
+    assert "Exchange" not in below.split("FileScan")[0]
+
+
+def test_chunks_of_equal_names_are_told_apart(spark):
+    rows = [("h1", "index#s00#0000", "one", "/a/index.html", [1.0, 0.0]), ("h2", "index#s00#0000", "two", "/b/index.html", [0.9, 0.1])]
+    store = spark.createDataFrame(rows, "text_hash string, id string, content string, url string, embedding array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>")
+    found = search.search_store(store, queries, 2, 1, 0.0).collect()
+    assert [(r["rank"], r["id"], r["text"], r["metadata"]["url"]) for r in found] == [(1, "index#s00#0000", "one", "/a/index.html")]
+    assert sorted(r["text"] for r in search.search_store(store, queries, 2, 2, 0.0).collect()) == ["one", "two"]
