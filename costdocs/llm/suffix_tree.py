@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from costdocs.llm.common import staged, text_batches
 
-CHUNK_TOKENS = 1 << 22
-WINDOW_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 20
+WINDOW_TOKENS = 1 << 18
 FOLDS, HELD_OUT = 7, 2
 
 
