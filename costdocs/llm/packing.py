@@ -226,7 +226,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = plan_slots(plan_bins(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = staged(per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "piece-bases")
-    numbered = pieces.join(bases, ["part", "length"])
+    # Both sides grow with the number of tasks, and file sizes say little about them: neither is broadcast.
+    numbered = pieces.join(bases.hint("merge"), ["part", "length"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One sorted key per run: lengths are below 2^16, numbers below 2^47.
