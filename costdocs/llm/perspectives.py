@@ -51,7 +51,8 @@ def views(conversations: DataFrame) -> DataFrame:
     order = [F.col("conv"), F.col("turn").isNull(), F.col("turn"), F.col("speaker"), F.xxhash64("text"), F.col("nth")]
     sorted_rows = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = staged(sorted_rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "messages")
-    seen = ranged.join(people, null_safe(ranged, people, {"conv": "_conv"})).drop("_conv")
+    # These tables grow with the conversations, and their file sizes say little: neither is broadcast.
+    seen = ranged.join(people.hint("merge"), null_safe(ranged, people, {"conv": "_conv"})).drop("_conv")
     own = F.col("speaker") == F.col("perspective")
     role = F.when(own, "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user")
     name = F.when(role == "user", F.concat(F.lit(" name="), _harmless(F.col("speaker")))).otherwise("")
@@ -69,7 +70,7 @@ def views(conversations: DataFrame) -> DataFrame:
                                F.coalesce(F.sum("chars").over(earlier), zero).alias("chars_before"), F.coalesce(F.sum("n").over(earlier), zero).alias("n_before")), "view-bases")
     inside = Window.partitionBy(*places).orderBy("at")
     placed = seen.withColumn("upto", F.sum("length").over(inside)).withColumn("number", F.row_number().over(inside))
-    joined = placed.join(bases, null_safe(placed, bases, {"conv": "_conv", "perspective": "_perspective", "part": "_part"}))
+    joined = placed.join(bases.hint("merge"), null_safe(placed, bases, {"conv": "_conv", "perspective": "_perspective", "part": "_part"}))
     start = F.col("chars_before") + F.col("upto") - F.col("length")
     loss = start + F.col("head")
     return joined.select(
