@@ -166,8 +166,8 @@ register(
 FROM (SELECT CASE WHEN quality = CASE WHEN n_chars > 300 THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS ok
  FROM labels LEFT JOIN documents ON labels.doc_id = documents.doc_id)""",
 )
-_LONG, _LONG_SUFFIX = decide.LONG_ANSWER
-_REPLY, _REPLY_SUFFIX = decide.LONG_REPLY
+_LONG, _LONG_SUFFIX = 2000, "...\n\n(답변이 길어서 일부만 표시됩니다. 더 구체적인 질문을 해주세요.)"
+_REPLY, _REPLY_SUFFIX = 1000, " …"
 register(
     "h08_truncate",
     lambda s, d: table(s, d, "documents").select(
