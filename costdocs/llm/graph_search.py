@@ -1,12 +1,15 @@
 """Operator 4: approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
 Rows are dealt to shards by a hash of their id. A shard's graph starts as a random one. In each
-round a beam search from the middle of the shard proposes neighbours for every node; they are pruned
+round a beam search from the shard's entries proposes neighbours for every node; they are pruned
 with a relaxed distance, so that a neighbour is dropped if a kept one is nearer to it by a factor
-``relax`` than the node is, and edges are then added in the other direction and pruned again. Equal
-vectors share a node, which lists all their ids. Every query is searched in every shard by a wider
-beam, all that the beam holds is scored exactly on the original vectors, and the best hits of all
-shards are ranked.
+``relax`` (one in the first round) than the node is, and edges are then added in the other direction
+and pruned again. Equal vectors share a node, which lists all their ids. Every query is searched in
+every shard by a wider beam, all that the beam holds is scored exactly on the original vectors, and
+the best hits of all shards are ranked.
+
+Clusters do not part a graph: its entries are the middle node and nodes far from each other, every
+node keeps some random edges, and nodes that no entry reaches are linked to the nearest one reached.
 
 The index is a table with a row per shard; queries are read from a written table block by block, so
 neither is held whole by a task or the driver.
@@ -41,17 +44,23 @@ class Graphs:
     relax: float = 1.2
     rounds: int = 2
     seed: int = 4
+    entries: int = 48  # where a search starts
+    random: int = 4  # edges of a node that are never pruned, besides the degree
 
 
-def beam_search(units: np.ndarray, edges: np.ndarray, queries: np.ndarray, start: int, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(units: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, distances) in the beam of every query, nearest first; -1 where the beam is not full."""
     count, every = len(queries), np.arange(len(queries))[:, None]
     seen = np.zeros((count, len(units) + 1), bool)
-    nodes = np.full((count, beam), -1)
-    far = np.full((count, beam), np.inf, np.float32)
-    open_ = np.zeros((count, beam), bool)
-    nodes[:, 0], far[:, 0], open_[:, 0] = start, 1 - queries @ units[start], True
-    seen[:, [start, -1]] = True
+    wide = max(beam, len(entries))
+    nodes = np.full((count, wide), -1)
+    far = np.full((count, wide), np.inf, np.float32)
+    open_ = np.zeros((count, wide), bool)
+    first = slice(0, len(entries))
+    nodes[:, first], far[:, first], open_[:, first] = entries, 1 - queries @ units[entries].T, True
+    order = np.argsort(far, axis=1, kind="stable")[:, :beam]
+    nodes, far, open_ = nodes[every, order], far[every, order], open_[every, order]
+    seen[:, entries] = seen[:, -1] = True
     while open_.any():
         # The nearest nodes that have not been expanded, a few per query at a time.
         at = np.argsort(~open_, axis=1, kind="stable")[:, :step]
@@ -113,23 +122,60 @@ def _with_reverse(units: np.ndarray, edges: np.ndarray, degree: int, relax: floa
     return out
 
 
-def build_graph(units: np.ndarray, form: Graphs, block: int = 128) -> tuple[np.ndarray, int]:
-    """(edges, start): directed edges of all nodes, -1 where there are fewer, and the middle node."""
+def entry_nodes(units: np.ndarray, count: int) -> np.ndarray:
+    """The middle node, and then always the node that is farthest from those taken."""
+    taken = [int((units @ units.mean(0)).argmax())]
+    near = units @ units[taken[0]]
+    while len(taken) < min(count, len(units)):
+        near[taken] = np.inf
+        taken.append(int(near.argmin()))
+        near = np.maximum(near, units @ units[taken[-1]])
+    return np.array(taken)
+
+
+def reached(edges: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Of every node, whether edges lead to it from one of the entries."""
+    seen = np.zeros(len(edges) + 1, bool)
+    seen[entries] = seen[-1] = True
+    while len(entries):
+        entries = np.unique(edges[entries])
+        entries = entries[~seen[entries]]
+        seen[entries] = True
+    return seen[:-1]
+
+
+def _linked(units: np.ndarray, edges: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Edges with one more, from the nearest node reached, for every part that no entry reaches."""
+    seen = reached(edges, entries)
+    while not seen.all():
+        node = int(seen.argmin())
+        near = int(np.where(seen, units @ units[node], -np.inf).argmax())
+        if (edges[near] >= 0).all():
+            edges = np.concatenate([edges, np.full((len(edges), 1), -1)], 1)
+        edges[near, (edges[near] < 0).argmax()] = node
+        seen |= reached(edges, np.array([node]))
+    return edges
+
+
+def build_graph(units: np.ndarray, form: Graphs, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, entries): directed edges of all nodes, -1 where there are fewer, and where searches start."""
     rng, count = np.random.default_rng(form.seed), len(units)
-    start = int((units @ units.mean(0)).argmax())
+    entries = entry_nodes(units, form.entries)
     degree = min(form.degree, max(1, count - 1))
     edges = rng.integers(0, count, (count, degree))
+    random = rng.integers(0, count, (count, min(form.random, degree)))
     for turn in range(form.rounds):
-        new = np.full((count, degree), -1)
+        new, searched = np.full((count, degree), -1), np.concatenate([edges, random], 1)
+        relax = form.relax if turn else 1.0
         for at in range(0, count, block):
             of = np.arange(at, min(at + block, count))
-            found, _ = beam_search(units, edges, units[of], start, form.beam)
-            new[of] = robust_prune(units, of, np.concatenate([found, edges[of]], 1), degree, form.relax)
-        edges = _with_reverse(units, new, degree, form.relax, block)
-    return edges, start
+            found, _ = beam_search(units, searched, units[of], entries, form.beam)
+            new[of] = robust_prune(units, of, np.concatenate([found, edges[of]], 1), degree, relax)
+        edges = _with_reverse(units, new, degree, relax, block)
+    return _linked(units, np.concatenate([edges, random], 1), entries), entries
 
 
-_INDEX = "shard int, width int, start int, ids binary, nodes binary, vectors binary, edges binary"
+_INDEX = "shard int, width int, entries binary, ids binary, nodes binary, vectors binary, edges binary"
 
 
 def build_index(vectors: DataFrame, size: int, form: Graphs) -> DataFrame:
@@ -142,10 +188,10 @@ def build_index(vectors: DataFrame, size: int, form: Graphs) -> DataFrame:
         distinct, node = np.unique(values[order], axis=0, return_inverse=True)
         by_node = np.argsort(node.ravel(), kind="stable")
         counts = np.bincount(node.ravel())
-        edges, start = build_graph(_units(distinct).astype(np.float32), form)
-        blobs = [ids[order][by_node], counts.astype(np.int64), distinct, edges.astype(np.int32)]
-        values = [[rows["shard"][0].as_py()], [size], [start], *[[b.tobytes()] for b in blobs]]
-        kinds = [pa.int32()] * 3 + [pa.binary()] * 4
+        edges, entries = build_graph(_units(distinct).astype(np.float32), form)
+        blobs = [entries.astype(np.int64), ids[order][by_node], counts.astype(np.int64), distinct, edges.astype(np.int32)]
+        values = [[rows["shard"][0].as_py()], [size], *[[b.tobytes()] for b in blobs]]
+        kinds = [pa.int32()] * 2 + [pa.binary()] * 5
         return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in _INDEX.split(", ")])
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
@@ -168,13 +214,14 @@ def search_index(index: DataFrame, queries_path: str, size: int, k: int, form: G
                 ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nodes"], np.int64)
                 values = np.frombuffer(row["vectors"]).reshape(-1, size)
                 edges = np.frombuffer(row["edges"], np.int32).reshape(len(values), -1)
+                entries = np.frombuffer(row["entries"], np.int64)
                 units, first = _units(values), np.cumsum(counts) - counts
                 small = units.astype(np.float32)
                 for name in files:
                     with fs.open_input_file(name) as file:
                         for asked in pa.parquet.ParquetFile(file).iter_batches(256, columns=["vec_id", "v"]):
                             query_ids, wanted = asked.column("vec_id").to_numpy(), _units(matrix(asked.column("v"), size))
-                            nodes, _ = beam_search(small, edges, wanted.astype(np.float32), row["start"], min(form.wide_beam, len(values)))
+                            nodes, _ = beam_search(small, edges, wanted.astype(np.float32), entries, min(form.wide_beam, len(values)))
                             yield _hits(query_ids, wanted, nodes, units, ids, counts, first)
 
     def _hits(query_ids, wanted, nodes, units, ids, counts, first) -> pa.RecordBatch:

@@ -109,3 +109,22 @@ def test_pruning_keeps_diverse_edges():
     units = np.stack([np.cos(angles), np.sin(angles)], 1).astype(np.float32)
     kept = graph_search.robust_prune(units, np.array([0]), np.array([[1, 2, 3, 4, 1]]), 4, 1.2)
     assert sorted(kept[0].tolist()) == [-1, -1, 1, 4]
+
+
+@pytest.mark.parametrize("clusters", [4, 300])
+def test_clusters_do_not_part_the_graph_of_a_shard(spark, clusters):
+    rng = np.random.default_rng(clusters)
+    vectors = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 3000)] + 0.1 * rng.normal(size=(3000, 64))
+    got = by_query(graph_search.nearest(table(spark, list(enumerate(vectors.tolist()))), 20, 5).collect())
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = units @ units.T
+    np.fill_diagonal(scores, -2)
+    hit = [s >= np.sort(scores[q])[-5] - 1e-9 for q, hits in got.items() for _, s in hits]
+    assert len(hit) == 150 * 5 and sum(hit) >= 0.98 * len(hit)
+
+
+def test_every_node_is_reached():
+    units = np.eye(12, dtype=np.float32)
+    edges = np.where(np.arange(12)[:, None] < 6, np.arange(1, 13)[:, None] % 6, np.full((12, 1), -1))
+    assert graph_search.reached(edges, np.array([0])).sum() == 6
+    assert graph_search.reached(graph_search._linked(units, edges, np.array([0])), np.array([0])).all()
