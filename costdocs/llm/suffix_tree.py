@@ -4,17 +4,19 @@ Texts become chunks of word numbers with a dictionary each. The dictionaries, on
 word, meet by word for the counts, and go back to their chunks; so words move once per chunk and
 not once per occurrence, and nothing that grows with the vocabulary is sent whole to a task.
 
-Contexts grow from the right count by count. A context is a candidate if it makes up at least
-``min_context`` of all training tokens, and a next symbol is kept if it does so together with its
-context for ``min_pair``; both are shares, so a level has at most 1 / min_context contexts and
-1 / min_pair symbols, and that bound is what is sent to the tasks. A candidate is retained if the
-divergence of its next-symbol distribution from that of its longest retained suffix is at least
-``divergence`` nats. The probability of a symbol is
+Contexts grow word by word. A context is a candidate if it occurs ``least`` times in the training
+texts, and a next symbol is kept if it does so together with its context; the counts do not depend on
+the size of the corpus, so the tree grows with it. (``min_context`` and ``min_pair`` raise them to
+shares of all training tokens.) A candidate is retained if the divergence of its next-symbol
+distribution from that of its longest retained suffix is at least ``divergence`` nats. The tree is
+never in one place: every chunk asks for the contexts and symbols that it holds, by hash, and is
+joined with their counts and sums, a level at a time. The probability of a symbol is
 
     P(x | s) = (n(s, x) + (n(s) - kept(s) + mass) * P(x | suffix of s)) / (n(s) + mass)
 
 with n(s, x) = 0 for symbols that are not kept and P(x) = (c + 1) / (N + V + 1) at the root, so
-every distribution adds up to one. Words are told apart by a 64-bit hash of their bytes.
+every distribution adds up to one. Words are told apart by a 64-bit hash of their bytes, and
+contexts by a 64-bit hash of those.
 
 Cases: a null text is an empty one, which is its end token only. A null id trains (the check sum
 of its empty text). Repeated rows are scored, and learnt, one by one. Without training documents
@@ -23,9 +25,10 @@ every score is that of the root, log10 of one. An empty table gives no rows. Oth
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +36,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from costdocs.llm.common import staged, text_batches
+from costdocs.llm.common import text_batches
+from costdocs.sources.scratch import remove, scratch_path
 
-CHUNK_TOKENS = 1 << 20
-WINDOW_TOKENS = 1 << 18
+CHUNK_TOKENS = 1 << 19
+WINDOW_TOKENS = 1 << 16  # rows that are sent at once
 FOLDS, HELD_OUT = 7, 2
 
 
 @dataclass(frozen=True)
 class Growth:
     depth: int = 3
-    min_context: float = 2e-4
-    min_pair: float = 1e-5
+    least: float = 2.0
+    min_context: float = 0.0
+    min_pair: float = 0.0
     divergence: float = 0.02
     mass: float = 50.0
 
+    def floors(self, train: int) -> tuple[float, float]:
+        """The least counts of a context and of a symbol with its context."""
+        return max(self.least, self.min_context * train), max(self.least, self.min_pair * train)
+
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
@@ -139,7 +148,7 @@ def word_counts(chunks: DataFrame, frequent: float) -> DataFrame:
     return rows.select("chunk", "pos", "c", "new", F.when(F.col("c") >= frequent, F.col("word")).alias("word"))
 
 
-_COUNTED = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, c binary, frequent binary, hashes binary"
+_COUNTED = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, c binary, frequent binary, hashes binary, found array<binary>"
 
 
 def counted(chunks: DataFrame, counts: DataFrame) -> DataFrame:
@@ -154,7 +163,7 @@ def counted(chunks: DataFrame, counts: DataFrame) -> DataFrame:
         kept = left.select(["chunk", "doc_ids", "held", "lengths", "codes"])
         for name, blob in zip(("c", "frequent", "hashes"), blobs):
             kept = kept.append_column(name, pa.array([blob], pa.binary()))
-        return kept
+        return kept.append_column("found", pa.array([[]], pa.list_(pa.binary())))
 
     slim = chunks.select("chunk", "doc_ids", "held", "lengths", "codes")
     pairs = slim.groupBy("chunk").cogroup(counts.select("chunk", "pos", "c", "word").groupBy("chunk"))
@@ -162,37 +171,17 @@ def counted(chunks: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Level:
-    """The contexts of one length; entries are (context, symbol) in order of their key."""
-
-    keys: np.ndarray  # context * symbols + symbol
-    child: np.ndarray  # the entry's own context on the next level, or -1
-    share: np.ndarray  # n(s, x) / (n(s) + mass), zero if the context is not retained
-    back: np.ndarray  # by context: what is left for the suffix, one if it is not retained
-
-
-@dataclass
-class Tree:
-    symbols: np.ndarray  # hashes in order
-    levels: list[Level] = field(default_factory=list)  # of the contexts of length 1, 2, …
-    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # symbol to context of length 1
-
-    def find(self, level: Level, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The entries of contexts and symbols, -1 where there is none."""
-        found = np.full(len(context), -1)
-        asked = np.flatnonzero((context >= 0) & (symbol >= 0))
-        if len(asked) and len(level.keys):
-            key = context[asked] * len(self.symbols) + symbol[asked]
-            at = np.minimum(np.searchsorted(level.keys, key), len(level.keys) - 1)
-            found[asked] = np.where(level.keys[at] == key, at, -1)
-        return found
-
+class Grams:
+    """A chunk's contexts of one length and what follows them, numbered in the chunk."""
 
-def _pick(values: np.ndarray, at: np.ndarray, missing):
-    """``values[at]`` with something else where ``at`` is -1."""
-    if not len(values):
-        return np.full(len(at), missing, np.asarray(missing).dtype)
-    return np.where(at >= 0, values[at], missing)
+    context_keys: np.ndarray  # by context: its hash
+    totals: np.ndarray  # by context: how often it occurs in the training texts of the corpus
+    before: np.ndarray  # by position: the context before it, or -1
+    at: np.ndarray  # positions that have a context and a symbol
+    entry: np.ndarray  # their entries
+    context: np.ndarray  # by entry: its context
+    symbol: np.ndarray  # by entry: its word number
+    keys: np.ndarray  # by entry: the hash of context and symbol
 
 
 def _after(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -203,154 +192,250 @@ def _after(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return moved
 
 
-def _walk(tree: Tree, symbol: np.ndarray, begins: np.ndarray) -> Iterator[tuple[Level, np.ndarray, np.ndarray]]:
-    """Level by level: the context before every position and the entry of its symbol there."""
-    context = _after(_pick(tree.first, symbol, -1), begins)
-    for level in tree.levels:
-        entry = tree.find(level, context, symbol)
-        yield level, context, entry
-        context = _after(_pick(level.child, entry, -1), begins)
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64-bit numbers."""
+    x = keys.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
 
-def _windows(row: dict) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of documents: (first, last + 1, codes, where documents begin)."""
-    codes, ends = _unpack(row["codes"]).astype(np.int64), np.cumsum(np.array(row["lengths"], np.int64))
-    first = 0
-    while first < len(ends):
-        begin = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, begin + WINDOW_TOKENS, "right")))
-        starts = np.concatenate([[begin], ends[first : last - 1]]) - begin
-        yield first, last, codes[begin : ends[last - 1]], starts
-        first = last
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers of eight bytes by byte planes, compressed."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
 
-def _symbol_of_code(tree: Tree, row: dict) -> np.ndarray:
-    of = np.full(len(row["c"]) // 8, -1)
-    hashes = np.frombuffer(row["hashes"], "<i8")
-    if len(hashes) and len(tree.symbols):
-        at = np.minimum(np.searchsorted(tree.symbols, hashes), len(tree.symbols) - 1)
-        of[np.frombuffer(row["frequent"], "<i4")] = np.where(tree.symbols[at] == hashes, at, -1)
-    return of
 
+def _unsqueeze(raw: bytes, kind: type) -> np.ndarray:
+    import zstandard
 
-def count_next(chunks: DataFrame, tree: Tree) -> DataFrame:
-    """(key, n): how often each symbol follows each context of the next length in the training texts."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+class _Chunk:
+    """A chunk and what it was told of its contexts, level by level."""
+
+    def __init__(self, row: dict, train: int, vocabulary: int, growth: Growth):
+        self.row, self.growth, self.floors = row, growth, growth.floors(train)
+        self.codes = _unpack(row["codes"]).astype(np.int64)
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.c = np.frombuffer(row["c"], np.int64)
+        self.root = (self.c + 1.0) / (train + vocabulary + 1.0)
+        self.chance = self.root[self.codes]
+        self.hashes = np.zeros(len(self.c), np.uint64)
+        self.known = np.zeros(len(self.c), bool)
+        frequent = np.frombuffer(row["frequent"], "<i4")
+        self.hashes[frequent], self.known[frequent] = np.frombuffer(row["hashes"], "<i8").view(np.uint64), True
+
+    def first(self) -> Grams:
+        number = np.where(self.known & (self.c >= self.floors[0]), np.arange(len(self.c)), -1)
+        number[0] = -1  # the end of a text is before no symbol
+        return self._grams(_mixed(self.hashes), self.c, number[self.codes])
+
+    def next(self, grams: Grams, n: np.ndarray) -> Grams:
+        """The contexts one longer, after the counts of the entries are known."""
+        number = np.where((n >= self.floors[0]) & (grams.symbol != 0), np.arange(len(n)), -1)
+        here = np.full(len(self.codes), -1)
+        here[grams.at] = number[grams.entry]
+        return self._grams(grams.keys, n, here)
+
+    def _grams(self, keys: np.ndarray, totals: np.ndarray, here: np.ndarray) -> Grams:
+        before = _after(here, self.begins)
+        at = np.flatnonzero((before >= 0) & self.known[self.codes])
+        pairs, entry = np.unique(before[at] * len(self.c) + self.codes[at], return_inverse=True)
+        context, symbol = pairs // max(1, len(self.c)), pairs % max(1, len(self.c))
+        return Grams(keys, totals, before, at, entry.ravel(), context, symbol, _mixed(keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[symbol]))
+
+    def train_counts(self, grams: Grams) -> np.ndarray:
+        train = np.repeat(~np.array(self.row["held"], bool), self.lengths)
+        return np.bincount(grams.entry[train[grams.at]], minlength=len(grams.keys))
+
+    def sums(self, grams: Grams, signed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By context: kept counts, lower probabilities and divergence of the entries that are this chunk's to add."""
+        mine, q = signed > 0, np.zeros(len(grams.keys))
+        q[grams.entry] = self.chance[grams.at]
+        context, n, q, size = grams.context[mine], signed[mine], q[mine], len(grams.totals)
+        p = n / grams.totals[context]
+        kept, lower, gain = (np.bincount(context, x, size) for x in (n, q, p * np.log(p / q)))
+        return kept.astype(np.int64), lower.astype(float), gain.astype(float)
+
+    def lengthen(self, grams: Grams, n: np.ndarray, sums: np.ndarray) -> None:
+        """The probabilities of all positions with the contexts of one more length."""
+        kept, q_kept, gain = sums.reshape(3, -1)
+        total, mass = np.maximum(grams.totals, 1), self.growth.mass
+        rest = np.maximum(0.0, 1 - kept / total)
+        retained = (kept > 0) & (gain + rest * np.log(np.maximum(rest, 1e-300) / np.maximum(1e-300, 1 - q_kept)) >= self.growth.divergence)
+        back = np.where(retained, (total - kept + mass) / (total + mass), 1.0)
+        some = np.flatnonzero(grams.before >= 0)
+        self.chance[some] *= back[grams.before[some]]
+        share = np.where(retained[grams.context], n / (total[grams.context] + mass), 0.0)
+        self.chance[grams.at] += share[grams.entry]
+
+    def replay(self) -> tuple[Grams | None, Grams | None, np.ndarray]:
+        """The level to count, the counted level whose sums are unknown, and its counts; negative ones are others' to add."""
+        found, level, last, signed = self.row["found"], self.first(), None, np.zeros(0, np.int64)
+        for depth in range(self.growth.depth):
+            if len(found) <= 2 * depth:
+                return level, last, signed
+            signed, last = _unsqueeze(found[2 * depth], np.int64), level
+            n = np.abs(signed)
+            if len(found) > 2 * depth + 1:
+                self.lengthen(level, n, _unsqueeze(found[2 * depth + 1], np.float64))
+                last = None
+            level = self.next(level, n) if depth + 1 < self.growth.depth else None
+        return None, last, signed
+
+
+_SETS = "entry boolean, bucket int, chunk long, keys binary, n binary, q binary, gain binary"
+BUCKET_TOKENS = 1 << 21
+
+
+def _used(grams: Grams) -> np.ndarray:
+    """The contexts that the chunk holds, in order of their hashes."""
+    used = np.unique(grams.before)
+    used = used[used >= 0]
+    return used[np.argsort(grams.context_keys[used], kind="stable")]
+
+
+def asked(chunks: DataFrame, train: int, vocabulary: int, growth: Growth, buckets: int) -> DataFrame:
+    """What every chunk adds, and asks for: counts of its next entries, sums of its last contexts.
+
+    Hashes go in order, as differences, to the bucket that has their part of the range.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _SETS.split(", ")]
+        kinds = [pa.bool_(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
         for batch in batches:
             for row in batch.to_pylist():
-                of, found = _symbol_of_code(tree, row), []
-                held = np.array(row["held"], bool)
-                for first, last, codes, begins in _windows(row):
-                    symbol = of[codes]
-                    context = _after(_pick(tree.first, symbol, -1), begins)
-                    for level in tree.levels:
-                        context = _after(_pick(level.child, tree.find(level, context, symbol), -1), begins)
-                    lengths = np.diff(np.append(begins, len(codes)))
-                    use = (context >= 0) & (symbol >= 0) & np.repeat(~held[first:last], lengths)
-                    found.append(context[use] * len(tree.symbols) + symbol[use])
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
-
-    return chunks.mapInArrow(scan, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def grow(chunks: DataFrame, counts: DataFrame, train: int, vocabulary: int, growth: Growth) -> Tree:
-    """The tree; what comes to the driver is bounded by the two shares."""
-    context_floor, pair_floor = max(2.0, growth.min_context * train), max(2.0, growth.min_pair * train)
-    known = counts.where(F.col("new") & F.col("word").isNotNull()).select("word", "c").toArrow()
-    order = np.argsort(known["word"].to_numpy())
-    symbols, c = known["word"].to_numpy()[order], known["c"].to_numpy()[order]
-    tree = Tree(symbols)
-    end = _end_hash()
-    root = (c + 1.0) / (train + vocabulary + 1.0)
-
-    def numbered(n: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Contexts of the next level among entries: an end of a text is never before a symbol."""
-        chosen = (n >= context_floor) & (symbols[symbol] != end)
-        return np.where(chosen, np.cumsum(chosen) - 1, -1)
-
-    tree.first = numbered(c, np.arange(len(symbols))) if len(symbols) else np.zeros(0, np.int64)
-    total = c[tree.first >= 0].astype(np.float64)  # n(s) of the contexts of the level
-    suffix = np.zeros(len(total), np.int64)  # their suffix on the level before; the root has number 0
-    suffixes = []
-    for depth in range(growth.depth):
-        if not len(total):
-            break
-        table = count_next(chunks, tree).where(F.col("n") >= pair_floor).toArrow()
-        order = np.argsort(table["key"].to_numpy())
-        keys, n = table["key"].to_numpy()[order], table["n"].to_numpy()[order].astype(np.float64)
-        context, symbol = keys // max(1, len(symbols)), keys % max(1, len(symbols))
-        suffixes.append(suffix)
-
-        def lower(context: np.ndarray, symbol: np.ndarray, level: int) -> np.ndarray:
-            """P(symbol | suffix of the context), level 0 being that of contexts of length one."""
-            if level == 0:
-                return root[symbol]
-            at = suffixes[level][context]
-            below = tree.levels[level - 1]
-            return _pick(below.share, tree.find(below, at, symbol), 0.0) + below.back[at] * lower(at, symbol, level - 1)
-
-        q, p = lower(context, symbol, depth), n / total[context]
-        size = len(total)
-        kept, q_kept = np.bincount(context, n, size), np.bincount(context, q, size)
-        rest, q_rest = np.maximum(0.0, 1 - kept / total), np.maximum(1e-300, 1 - q_kept)
-        gain = np.bincount(context, p * np.log(p / q), size) + rest * np.log(np.maximum(rest, 1e-300) / q_rest)
-        retained = gain >= growth.divergence
-        share = np.where(retained[context], n / (total[context] + growth.mass), 0.0)
-        back = np.where(retained, (total - kept + growth.mass) / (total + growth.mass), 1.0)
-        child = numbered(n, symbol) if len(n) else np.zeros(0, np.int64)
-        tree.levels.append(Level(keys, child, share, back))
-        chosen = child >= 0
-        # The suffix of (s, x) is the context (suffix of s, x), at least as frequent, hence numbered.
-        if depth == 0:
-            suffix = tree.first[symbol[chosen]]
+                chunk = _Chunk(row, train, vocabulary, growth)
+                level, last, signed = chunk.replay()
+                sets = []
+                if level is not None:
+                    order = np.argsort(level.keys, kind="stable")
+                    sets.append((True, level.keys[order], [chunk.train_counts(level)[order]]))
+                if last is not None:
+                    used = _used(last)
+                    sets.append((False, last.context_keys[used], [x[used] for x in chunk.sums(last, signed)]))
+                for entry, keys, values in sets:
+                    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                    rows = []
+                    for first, last_ in zip(*(np.searchsorted(bucket, np.unique(bucket), side) for side in ("left", "right"))):
+                        steps = np.diff(keys[first:last_], prepend=np.uint64(0))
+                        blobs = [_squeeze(x[first:last_]) for x in values]
+                        rows.append([entry, int(bucket[first]), row["chunk"], _squeeze(steps), *blobs, *[None] * (3 - len(blobs))])
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+    return chunks.mapInArrow(scan, _SETS)
+
+
+def told(chunks: DataFrame, train: int, vocabulary: int, growth: Growth, buckets: int) -> DataFrame:
+    """The chunks with the counts of one more level, and the sums of the level before it."""
+    floor = growth.floors(train)[1]
+
+    def meet(rows: pa.Table) -> pa.Table:
+        """Counts and sums of all chunks; counts are negative where an earlier chunk has the same entry."""
+        rows = rows.sort_by("chunk")
+        keys = [np.cumsum(_unsqueeze(x, np.uint64), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        _, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        of = of.ravel()
+
+        def total(name: str, kind: type) -> np.ndarray:
+            values = np.concatenate([_unsqueeze(x, kind) for x in rows[name].to_pylist()])
+            return np.bincount(of, values, len(first))
+
+        n = total("n", np.int64).astype(np.int64)
+        if rows["entry"][0].as_py():
+            n[n < floor] = 0
+            signed = -n[of]
+            signed[first] = n
+            blobs = [[_squeeze(x) for x in np.split(signed, ends)], [None] * len(keys), [None] * len(keys)]
         else:
-            below = tree.levels[depth - 1]
-            suffix = below.child[tree.find(below, suffixes[depth][context[chosen]], symbol[chosen])]
-        total = n[chosen]
-    return tree
+            blobs = [[_squeeze(y) for y in np.split(x[of], ends)] for x in (n, total("q", np.float64), total("gain", np.float64))]
+        columns = [rows["entry"], rows["bucket"], rows["chunk"], pa.array([None] * len(keys), pa.binary()), *(pa.array(b, pa.binary()) for b in blobs)]
+        return pa.table(columns, names=[x.split()[0] for x in _SETS.split(", ")])
 
-
-def _end_hash() -> int:
-    import xxhash
-
-    return int(np.uint64(xxhash.xxh64_intdigest(b"")).astype(np.int64))
+    def attach(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left
+        row = left.to_pylist()[0]
+        level, last, _ = _Chunk(row, train, vocabulary, growth).replay()
+        found, sets = list(row["found"]), sorted(right.to_pylist(), key=lambda r: r["bucket"])
+
+        def values(entry: bool, name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(_unsqueeze(r[name], kind) for r in sets if r["entry"] == entry)])
+
+        if last is not None:
+            sums = np.zeros((3, len(last.totals)))
+            for at, (name, kind) in enumerate((("n", np.int64), ("q", np.float64), ("gain", np.float64))):
+                sums[at, _used(last)] = values(False, name, kind)
+            found.append(_squeeze(sums))
+        if level is not None:
+            counts = np.zeros(len(level.keys), np.int64)
+            counts[np.argsort(level.keys, kind="stable")] = values(True, "n", np.int64)
+            found.append(_squeeze(counts))
+        return left.set_column(left.column_names.index("found"), "found", pa.array([found], pa.list_(pa.binary())))
+
+    rows = asked(chunks, train, vocabulary, growth, buckets).groupBy("entry", "bucket").applyInArrow(meet, _SETS)
+    return chunks.groupBy("chunk").cogroup(rows.select("chunk", "entry", "bucket", "n", "q", "gain").groupBy("chunk")).applyInArrow(attach, _COUNTED)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(chunks: DataFrame, tree: Tree, train: int, vocabulary: int) -> DataFrame:
+def score(chunks: DataFrame, train: int, vocabulary: int, growth: Growth) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                of, c = _symbol_of_code(tree, row), np.frombuffer(row["c"], np.int64)
-                root = (c + 1.0) / (train + vocabulary + 1.0)
-                base = np.log10(root)
-                for first, last, codes, begins in _windows(row):
-                    chance, symbol = root[codes], of[codes]
-                    for level, context, entry in _walk(tree, symbol, begins):
-                        chance = _pick(level.share, entry, 0.0) + _pick(level.back, context, 1.0) * chance
-                    columns = [
-                        pa.array(row["doc_ids"][first:last], pa.int64()),
-                        pa.array(row["held"][first:last], pa.bool_()),
-                        pa.array(np.diff(np.append(begins, len(codes)))),
-                        pa.array(np.add.reduceat((c > 0).astype(np.int64)[codes], begins)),
-                        pa.array(np.full(last - first, train)),
-                        pa.array(np.add.reduceat(base[codes], begins)),
-                        pa.array(np.add.reduceat(np.log10(chance), begins)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCORES.split(", ")])
+                chunk = _Chunk(row, train, vocabulary, growth)
+                chunk.replay()
+                begins, base = chunk.begins, np.log10(chunk.root)
+                columns = [
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(row["held"], pa.bool_()),
+                    pa.array(chunk.lengths),
+                    pa.array(np.add.reduceat((chunk.c > 0).astype(np.int64)[chunk.codes], begins)),
+                    pa.array(np.full(len(begins), train)),
+                    pa.array(np.add.reduceat(base[chunk.codes], begins)),
+                    pa.array(np.add.reduceat(np.log10(chunk.chance), begins)),
+                ]
+                whole = pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCORES.split(", ")])
+                for at in range(0, len(begins), WINDOW_TOKENS):
+                    yield whole.slice(at, WINDOW_TOKENS)
 
     return chunks.mapInArrow(scan, _SCORES)
 
 
 def suffix_tree_scores(docs: DataFrame, growth: Growth = Growth(), chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Scores of all documents by a tree learnt from the documents that are not held out."""
-    chunks = staged(chunked(docs, chunk_tokens), "chunks")
-    train = chunks.agg(F.sum("train")).first()[0] or 0
-    counts = staged(word_counts(chunks, max(2.0, growth.min_pair * train)), "word-counts")
+    spark, paths = docs.sparkSession, []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        paths.append(scratch_path(spark, label))
+        df.write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1])
+
+    def only_last() -> None:
+        while len(paths) > 1:
+            remove(spark, paths.pop(0))
+        # Else the shuffle files of all steps stay until the driver happens to collect its garbage, Python's and Java's.
+        gc.collect()
+        spark._jvm.System.gc()
+
+    chunks = kept(chunked(docs, chunk_tokens), "chunks")
+    lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    sizes = chunks.agg(F.sum("train"), F.sum(lengths)).first()
+    train, buckets = sizes[0] or 0, -(-(sizes[1] or 1) // BUCKET_TOKENS)
+    counts = kept(word_counts(chunks, growth.floors(train)[1]), "word-counts")
     vocabulary = counts.where(F.col("new") & (F.col("c") > 0)).count()
-    ready = staged(counted(chunks, counts), "counted-chunks")
-    return score(ready, grow(ready, counts, train, vocabulary, growth), train, vocabulary)
+    ready = kept(counted(chunks, counts), "counted-chunks")
+    only_last()
+    for _ in range(growth.depth + 1):  # counts of a level come with the sums of the one before
+        ready = kept(told(ready, train, vocabulary, growth, buckets), "told-chunks")
+        only_last()
+    return score(ready, train, vocabulary, growth)

@@ -85,6 +85,22 @@ def test_a_held_out_text_is_more_likely_with_its_context(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.8
 
 
+def test_what_is_learnt_grows_with_the_corpus(spark, monkeypatch):
+    """A passage of a few texts raises their scores however large the rest of the corpus is."""
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", 1 << 14)
+    rng = random.Random(9)
+    passage = " ".join(f"rare{i}" for i in range(60))
+    other = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(400)), "s") for i in range(10, 410)]
+    said = [i for i in range(10) if not suffix_tree.held_out(i)][:4]
+    held = next(i for i in range(1000, 1100) if suffix_tree.held_out(i))
+    docs = [(i, passage, "s") for i in (*said, held)] + other
+    found = {r.doc_id: r for r in suffix_tree.suffix_tree_scores(as_docs(spark, docs), suffix_tree.Growth(mass=1.0), 1 << 14).collect()}
+    assert found[held].score > found[held].base_score / 2
+    wanted, retained = plain_scores(docs, suffix_tree.Growth(mass=1.0))
+    assert retained > 100
+    assert np.allclose(sorted(r.score for r in found.values()), sorted(r[-1] for r in wanted), rtol=1e-9)
+
+
 def test_nothing_to_learn_from(spark, no_docs):
     assert suffix_tree.suffix_tree_scores(no_docs).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
