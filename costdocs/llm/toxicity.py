@@ -154,7 +154,11 @@ def train(docs: DataFrame, graded: DataFrame, fit: Fit = Fit()) -> Model:
     best = valid.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     chosen = best.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.max_labelled)
     chosen = staged(chosen, "labelled-ids")  # at most max_labelled rows, so it may be sent to the tasks
-    sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade"), "labelled")
+    sample = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")
+    if sample.count() > fit.max_labelled:  # ids that have several rows
+        by_hash = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text")
+        sample = staged(by_hash.limit(fit.max_labelled), "labelled-rows")
+    sample = sample.select("text", "grade")
     sizes = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
     n_zero, n_above = sizes.get(0, 0), sum(n for g, n in sizes.items() if g)
     counted = sample.mapInArrow(_count, "feature string, zero long, above long").groupBy("feature").agg(F.sum("zero").alias("zero"), F.sum("above").alias("above"))

@@ -138,6 +138,16 @@ def test_grades_of_unseen_documents(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in found if not found[i].toxic)
 
 
+def test_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
+    docs = as_docs(spark, [(1, f"word{i} other", "s") for i in range(300)] + [(2, "calm words", "s")])
+    fitted, fit_ordinal = [], toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda rows, grades, counts, *a: fitted.append(counts.sum()) or fit_ordinal(rows, grades, counts, *a))
+    graded = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, grade int")
+    for most, rows in ((40, 40), (301, 301)):
+        toxicity.train(docs, graded, toxicity.Fit(max_labelled=most, steps=5))
+        assert fitted.pop() == rows
+
+
 def test_gradient_reaches_the_likeliest_thresholds():
     fit = toxicity.Fit(steps=4000, penalty=1e-9)
     weights, thresholds = toxicity.fit_ordinal([[], [], []], np.array([0, 1, 2]), np.array([50.0, 30.0, 20.0]), 0, fit)
