@@ -22,10 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The rows written to the shared folder and read again: a lost executor recomputes nothing before it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, label))
+
+
+def staged_path(df: DataFrame, label: str) -> str:
+    """The folder in the shared folder to which the rows were written, for tasks that read it."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def open_store(uri: str) -> tuple[pa.fs.FileSystem, str]:

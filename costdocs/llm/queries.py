@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from costdocs.llm import graph_search, mixing, packing, perspectives, planes, revisits, simhash, suffix_tree, toxicity, voronoi
+from costdocs.llm import (
+    graph_search,
+    language_mixture,
+    mixing,
+    packing,
+    periodic_runs,
+    perspectives,
+    planes,
+    prefix_trie,
+    revisits,
+    simhash,
+    suffix_tree,
+    toxicity,
+    voronoi,
+)
 from costdocs.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +97,21 @@ s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(CAST(q.e AS
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
+
+
+@query
+def op11_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.predicted_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = prefix_trie.ORACLE
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.with_planted_period)
