@@ -21,8 +21,19 @@ FORBIDDEN_SUBSTRINGS = (
 )
 # The substring guard's words that the word guard does not know; run_guarded refuses these as well.
 EXTRA_WORDS = ("grant", "revoke", "execute", "call")
-# A SELECT may reach Java code through these; scripts (TRANSFORM … USING) are refused by their plan.
+# A SELECT may reach Java code through these.
 REACHING_WORDS = ("reflect", "java_method", "try_reflect")
+# Nodes of a parsed query that read nothing by themselves. Relations, table functions and inner definitions
+# are looked at one by one; any other node is refused, such as scripts, files, names that are put
+# together when the query runs, and tables of another time.
+QUERY_NODES = (
+    "Project", "Filter", "Aggregate", "Sort", "Join", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except",
+    "Intersect", "SubqueryAlias", "UnresolvedHaving", "WithWindowDefinition", "Window", "Generate", "Pivot", "Unpivot",
+    "UnresolvedSubqueryColumnAliases", "UnresolvedTVFAliases", "LateralJoin", "Sample", "UnresolvedHint", "OneRowRelation",
+    "UnresolvedInlineTable", "LocalRelation",
+)
+TABLE_FUNCTIONS = ("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple")
+UNNAMED_EXPRESSIONS = ("ExpressionWithUnresolvedIdentifier",)
 
 # How SQL is recognised, and how it is found in a model's answer.
 STARTS_WITH_SELECT = r"(?is)^\s*select\b"
@@ -122,20 +133,65 @@ def _bound(sql: str, month: str | None, tables_of: Callable[[str], dict[str, Dat
     return re.sub(MONTH_FILE, name, sql), others
 
 
-def _refuse_other_relations(spark: SparkSession, text: str, known: set[str]) -> None:
-    """No relation but the given ones, checked on the parsed text before anything is read.
+def _items(sequence) -> list:
+    """A Scala sequence as a list."""
+    return [sequence.apply(i) for i in range(sequence.size())]
+
 
-    ValueError for a file or a table of some catalog, RuntimeError for a name that is not given.
+class _Relations:
+    """A walk over a parsed text: every node, subquery and inner definition is one that is known to be safe.
+
+    ValueError for a node, relation or function beyond the lists, RuntimeError for a name that is neither
+    given nor defined in the text where it is used.
     """
-    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    if "ScriptTransformation" in parsed:
-        raise ValueError(f"{FORBIDDEN}: {text}")
-    inner = {n.lower() for group in re.findall(r"CTE \[([^\]]*)\]", parsed) for n in group.split(", ")}
-    for relation in re.findall(r"UnresolvedRelation \[([^\]]*)\]", parsed):
-        if ", " in relation:
-            raise ValueError(f"{FORBIDDEN}: {relation}")
-        if relation.lower() not in known | inner:
-            raise RuntimeError(f"SQL failed: no table {relation}")
+
+    def __init__(self, spark: SparkSession, text: str, known: set[str]):
+        self.text, self.subquery = text, spark._jvm.java.lang.Class.forName(
+            "org.apache.spark.sql.catalyst.expressions.SubqueryExpression", True, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+        )
+        self.plan(spark._jsparkSession.sessionState().sqlParser().parsePlan(text), frozenset(known))
+
+    def refuse(self, what: str) -> None:
+        raise ValueError(f"{FORBIDDEN}: {what} in {self.text}")
+
+    def plan(self, node, names: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if kind == "UnresolvedWith":
+            # A definition sees those before it, and the given names, but neither itself nor later ones.
+            if node.allowRecursion():
+                self.refuse("RECURSIVE")
+            for definition in _items(node.cteRelations()):
+                self.plan(definition._2(), names)
+                names = names | {definition._1().lower()}
+        elif kind == "UnresolvedRelation":
+            parts = _items(node.multipartIdentifier())
+            if len(parts) != 1 or node.isStreaming():
+                self.refuse(".".join(parts))
+            if parts[0].lower() not in names:
+                raise RuntimeError(f"SQL failed: no table {parts[0]}")
+        elif kind == "UnresolvedTableValuedFunction":
+            name = _items(node.name())
+            if len(name) != 1 or name[0].lower() not in TABLE_FUNCTIONS:
+                self.refuse(".".join(name))
+        elif kind not in QUERY_NODES:
+            self.refuse(kind)
+        for child in _items(node.children()):
+            self.plan(child, names)
+        for expression in _items(node.expressions()):
+            self.expression(expression, names)
+
+    def expression(self, node, names: frozenset[str]) -> None:
+        kind = node.getClass().getSimpleName()
+        if kind in UNNAMED_EXPRESSIONS:
+            self.refuse("IDENTIFIER")
+        if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+            name = _items(node.nameParts()) if kind == "UnresolvedFunction" else [node.name().funcName()]
+            if len(name) != 1 or name[0].lower() in REACHING_WORDS:
+                self.refuse(".".join(name))
+        if self.subquery.isInstance(node):
+            self.plan(node.plan(), names)
+        for child in _items(node.children()):
+            self.expression(child, names)
 
 
 def run_guarded(
@@ -154,7 +210,7 @@ def run_guarded(
     text, others = _bound(refuse_unsafe(sql), month, tables_of)
     tables = {**views, **{f"{name}_{m}": df for m, of_month in others.items() for name, df in of_month.items()}}
     try:
-        _refuse_other_relations(spark, text, {name.lower() for name in tables})
+        _Relations(spark, text, {name.lower() for name in tables})
     except ParseException as error:
         raise RuntimeError(f"SQL failed: {error}") from error
     own = {name: f"guarded_{uuid.uuid4().hex}" for name in tables}
