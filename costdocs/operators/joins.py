@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +16,16 @@ MAX_LOOKUP_BYTES = 64 << 20
 SALTS = 32
 
 
-def weigh(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of a table, counted by its tasks: 8 for a fixed value, the length of a text or list."""
+def observed(seen: Observation) -> dict[str, int]:
+    """What a write has counted; nothing where Spark found the rows to be none and ran no counting plan."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
+def _weight(df: DataFrame) -> Column:
+    """Bytes of a table: 8 for a fixed value, the length of a text or list."""
     sizes = []
     for field in df.schema.fields:
         column, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
@@ -26,22 +35,27 @@ def weigh(df: DataFrame) -> tuple[int, int]:
             sizes.append(8 * F.greatest(F.size(column), F.lit(0)))
         elif kind in ("array", "map", "struct", "variant"):
             sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)))
-    total = F.coalesce(F.sum(sum((s.cast("long") for s in sizes), F.lit(8 * len(df.columns)).cast("long"))), F.lit(0))
-    return tuple(df.agg(F.count("*"), total).first())
+    return F.coalesce(F.sum(sum((s.cast("long") for s in sizes), F.lit(8 * len(df.columns)).cast("long"))), F.lit(0))
+
+
+def weigh(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, counted by its tasks."""
+    return tuple(df.agg(F.count("*"), _weight(df)).first())
 
 
 def bounded_copy(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS, max_bytes: int = MAX_LOOKUP_BYTES) -> DataFrame | None:
     """The rows as local data when there are at most ``max_rows`` of at most ``max_bytes``, else None.
 
-    The table is written once, so that counting its bytes first does not evaluate it twice;
-    nothing is fetched before its size is known.
+    The table is written once, and its rows and bytes are counted by the tasks that write it; it is
+    read back only where it is known to be small. No more rows than the bound and one are written.
     """
-    spark = df.sparkSession
+    spark, seen = df.sparkSession, Observation()
     with scratch_table(spark, "lookup") as path:
-        df.limit(max_rows + 1).write.parquet(path)
-        head = spark.read.schema(df.schema).parquet(path)
-        rows, size = weigh(head)
-        return spark.createDataFrame(head.toArrow(), df.schema) if rows <= max_rows and size <= max_bytes else None
+        df.limit(max_rows + 1).observe(seen, F.count("*").alias("rows"), _weight(df).alias("bytes")).write.parquet(path)
+        found = observed(seen)
+        if found.get("rows", 0) > max_rows or found.get("bytes", 0) > max_bytes:
+            return None
+        return spark.createDataFrame(spark.read.schema(df.schema).parquet(path).toArrow(), df.schema)
 
 
 def lookup_join(

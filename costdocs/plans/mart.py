@@ -1,26 +1,31 @@
 """The cost mart: the flagged fact table and its ten summaries, stored per month.
 
 The month of the mart is a partition column of its own, ``mart_month``: the tables keep
-exactly their columns, and a line item's own ``billing_ym`` stays as it is.
+exactly their columns, and a line item's own ``billing_ym`` stays as it is. Files lie in
+``data/version=…/table=…/mart_month=…``; which version a month has is in the manifest, whose newest
+record appears by one rename after all is written (:mod:`costdocs.plans.snapshots`). The ten
+summaries are one write, so their files also have the columns of the others, without values.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costdocs.functions.text import megabytes
 from costdocs.operators.flags import COST_TYPE, FLAGS, fact
-from costdocs.operators.rollups import FACT_TABLE, ROLLUP, ROLLUPS, TABLES, pick, summarise, summarise_all
+from costdocs.operators.joins import observed
+from costdocs.operators.rollups import FACT_TABLE, MEASURE_OF, ROLLUP, ROLLUPS, TABLES, pick, summarise, summarise_all
+from costdocs.plans import snapshots
 from costdocs.sources.cost import COST_COLUMNS, CUR_SCHEMA
-from costdocs.sources.scratch import scratch_path, scratch_table
+from costdocs.sources.scratch import remove, scratch_path
 
 SCHEMA_VERSION = "1.0"
 MONTH = "mart_month"
@@ -29,6 +34,7 @@ CATEGORY_COLUMNS = ("rule_category", "llm_category")  # in the stored fact table
 STAGED_SUMMARIES = (
     f"key1 string, key2 string, hours double, unblended double, blended double, {MONTH} string, table string"
 )
+FEW_ROWS = 50_000_000  # line items up to which a summary's month is one file
 
 
 def build(line_items: DataFrame) -> dict[str, DataFrame]:
@@ -77,107 +83,96 @@ def _aligned(df: DataFrame, table: str) -> DataFrame:
     return df.select(*typed, *extra, month)
 
 
+def _side_by_side(rows: DataFrame) -> DataFrame:
+    """The rows of all summaries under their own column names, null where a table has no such column."""
+    sources: dict[str, dict[str, list[str]]] = {}
+    for rollup in ROLLUPS:
+        columns = [(name, f"key{i}") for i, (name, _) in enumerate(rollup.keys, 1)]
+        for name, source in [*columns, *((name, MEASURE_OF[column]) for name, column in rollup.measures)]:
+            sources.setdefault(name, {}).setdefault(source, []).append(rollup.table)
+
+    def column(name: str) -> Column:
+        cases = [F.when(F.col("table").isin(tables), F.col(source)) for source, tables in sources[name].items()]
+        return F.coalesce(*cases).alias(name)
+
+    return rows.select(*[column(name) for name in sources], "table", MONTH)
+
+
 def write_mart(
     spark: SparkSession, line_items: DataFrame, base: str, csv: bool = False, rebalance: bool = True
 ) -> DataFrame:
-    """Write all months of ``line_items``: each table as Parquet by month, then the manifest.
+    """Write all months of ``line_items`` and publish them as the whole mart, by one rename.
 
     The fact table is written first and the summaries are made from its written columns, so
     the input is read once. With ``rebalance`` rows are moved together by month: a month that
     holds much of the data is split over several tasks, small ones share a task. Leave it out
     when the input files are laid out by month already; then the fact table needs no shuffle.
-    Line items without a month get a partition of their own, which is no month of the mart. The
-    whole mart is replaced; see :func:`write_month` for a single month.
+    Line items without a month get a partition of their own, which is no month of the mart.
+    Months that are not among the line items are no longer part of the mart; see
+    :func:`write_month` for a single month. Gives the manifest.
     """
-    extra = _write_tables(spark, line_items.withColumn(MONTH, F.col("billing_ym")), base, None, csv, rebalance)
-    return write_manifest(spark, base, None, extra)
+    return _write(spark, line_items.withColumn(MONTH, F.col("billing_ym")), base, None, csv, rebalance)
 
 
 def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: str, csv: bool = False) -> DataFrame:
-    """Write all given line items as one month and leave the others.
+    """Write all given line items as one month and leave the others; until all is written, readers see the old month.
 
-    An empty table replaces an older file as well.
+    An empty table replaces an older one as well.
     """
     month = month.replace("-", "")
     if not month.isalnum():
         raise ValueError(f"not a month: {month}")
-    extra = _write_tables(spark, line_items.withColumn(MONTH, F.lit(month)), base, month, csv, False)
-    return write_manifest(spark, base, month, extra)
-
-
-def _write_tables(
-    spark: SparkSession, line_items: DataFrame, base: str, month: str | None, csv: bool, rebalance: bool
-) -> list[T.StructField]:
-    """Writes all tables; the columns that the line items brought along, which stay in the fact table."""
-    costs = _aligned(fact(line_items), FACT_TABLE)
-    extra = [f for f in costs.schema.fields if f.name not in table_schema(FACT_TABLE).fieldNames()]
-    _write(costs.hint("rebalance", MONTH) if rebalance else costs, base, FACT_TABLE, month, csv, extra)
-    stored = _stored(spark, base, FACT_TABLE, month)
-
-    def write_summary(table: str) -> None:
-        summary = _aligned(pick(rows, table, by=[MONTH]), table)
-        _write(summary.hint("rebalance", MONTH), base, table, month, csv)
-
-    with scratch_table(spark, "summaries") as staged:
-        summarise_all(stored, by=[MONTH]).write.partitionBy("table").parquet(staged)
-        rows = spark.read.schema(STAGED_SUMMARIES).parquet(staged)
-        # The ten small writes do not depend on each other, so none waits for the one before.
-        with ThreadPoolExecutor(len(ROLLUP)) as pool:
-            list(pool.map(write_summary, ROLLUP))
-    return extra
+    return _write(spark, line_items.withColumn(MONTH, F.lit(month)), base, month, csv, False)
 
 
 def _write(
-    df: DataFrame, base: str, table: str, month: str | None, csv: bool, extra: Sequence[T.StructField] = ()
-) -> None:
-    if month is None:
-        df.write.mode("overwrite").partitionBy(MONTH).parquet(f"{base}/{table}")
-    else:
-        df.drop(MONTH).write.mode("overwrite").parquet(f"{base}/{table}/{MONTH}={month}")
-    if csv:
-        written = _stored(df.sparkSession, base, table, month, extra)
-        where = f"{base}/csv/{table}" + (f"/{MONTH}={month}" if month else "")
-        written.write.mode("overwrite").csv(where, header=True, quoteAll=True)
-
-
-def _stored(
-    spark: SparkSession, base: str, table: str, month: str | None = None, extra: Sequence[T.StructField] = ()
+    spark: SparkSession, line_items: DataFrame, base: str, month: str | None, csv: bool, rebalance: bool
 ) -> DataFrame:
-    *known, last = table_schema(table).fields
-    df = spark.read.schema(T.StructType([*known, *extra, last])).parquet(f"{base}/{table}")
-    return df if month is None else df.where(F.col(MONTH) == month)
-
-
-def extra_columns(spark: SparkSession, base: str, month: str | None = None) -> list[T.StructField]:
-    """The columns that the line items of the months, or of one, brought along, as the manifest has them.
-
-    A month without such a column holds nulls in it; two types for one name are an error.
-    """
+    version = snapshots.new_version()
+    folder = snapshots.version_folder(base, version)
     try:
-        manifest = read_manifest(spark, base)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-    rows = manifest if month is None else manifest.where(F.col(MONTH) == month)
-    texts = rows.select("extra_columns").where("extra_columns is not null").distinct().orderBy("extra_columns").collect()
-    found: dict[str, T.StructField] = {}
-    for (text,) in texts:
-        for field in T.StructType.fromJson(json.loads(text)).fields:
-            if found.setdefault(field.name, field).dataType != field.dataType:
-                raise ValueError(f"{field.name} has two types in the stored months")
-    return list(found.values())
+        costs = _aligned(fact(line_items), FACT_TABLE)
+        extra = [f for f in costs.schema.fields if f.name not in table_schema(FACT_TABLE).fieldNames()]
+        seen = Observation()
+        counted = costs.observe(seen, F.count("*").alias("rows"))
+        laid_out = counted.hint("rebalance", MONTH) if rebalance else counted
+        laid_out.write.partitionBy(MONTH).parquet(f"{folder}/table={FACT_TABLE}")
+        rows = observed(seen).get("rows", 0)
+        counts = {FACT_TABLE: rows, **_write_summaries(spark, folder, rows)}
+        _write_file_list(spark, base, version, month)
+        made = _records(spark, base, version, month, counts, extra)
+        if month is None:
+            snapshots.publish(spark, base, MANIFEST_SCHEMA, version, lambda _: made)
+        else:
+            snapshots.publish(spark, base, MANIFEST_SCHEMA, version, lambda old: old.where(~F.col(MONTH).eqNullSafe(month)).unionByName(made))
+    except Exception:
+        for path in (folder, f"{base}/manifest_files/version={version}"):  # nobody has seen them
+            remove(spark, path)
+        raise
+    if csv:
+        _write_csv(spark, base, month)
+    return read_manifest(spark, base)
 
 
-def read_table(spark: SparkSession, base: str, table: str, month: str | None = None) -> DataFrame:
-    """A table of one month, read from its partition only; or of all months, with the month."""
-    df = _stored(spark, base, table, month, extra_columns(spark, base, month) if table == FACT_TABLE else ())
-    return df if month is None else df.drop(MONTH)
+def _write_summaries(spark: SparkSession, folder: str, line_items: int) -> dict[str, int]:
+    """All ten summaries of a version in one write; the number of rows of each."""
+    stored = spark.read.schema(table_schema(FACT_TABLE)).parquet(f"{folder}/table={FACT_TABLE}")
+    rows = _side_by_side(summarise_all(stored, by=[MONTH]))
+    # Few rows make many small files, which tasks share evenly; where there are many, files are split by size.
+    few = line_items <= FEW_ROWS
+    rows = rows.repartition(max(8, spark.sparkContext.defaultParallelism), "table", MONTH) if few else rows.hint("rebalance", "table", MONTH)
+    seen = Observation()
+    counted = rows.observe(seen, *[F.count_if(F.col("table") == name).alias(name) for name in ROLLUP])
+    counted.write.mode("append").partitionBy("table", MONTH).parquet(folder)
+    return observed(seen)
 
 
-def read_mart(spark: SparkSession, base: str, month: str = "latest") -> dict[str, DataFrame]:
-    chosen = resolve_month(spark, base, month)
-    return {table: read_table(spark, base, table, chosen) for table in TABLES}
+def _write_csv(spark: SparkSession, base: str, month: str | None) -> None:
+    """Copies of the published tables for reading by eye; they are no part of the snapshot."""
+    state = Snapshot.load(spark, base)
+    for table in TABLES:
+        where = f"{base}/csv/{table}" + (f"/{MONTH}={month}" if month else "")
+        state.table(table, month, keep_month=True).write.mode("overwrite").csv(where, header=True, quoteAll=True)
 
 
 # ---- manifest ----------------------------------------------------------------------------
@@ -188,87 +183,178 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("schema_version", T.StringType()),
         T.StructField("row_counts", T.MapType(T.StringType(), T.LongType())),
         T.StructField("extra_columns", T.StringType()),
+        T.StructField("version", T.StringType()),
         T.StructField(MONTH, T.StringType()),
     ]
 )
+FILE_TYPE = f"table string, name string, size_bytes long, modified_at timestamp, {MONTH} string"
 
 
-def stored_counts(spark: SparkSession, base: str, month: str | None = None) -> DataFrame:
-    """Rows per month and table of the stored mart; Parquet footers answer this."""
-    parts = [
-        _stored(spark, base, table, month).groupBy(MONTH).agg(F.count("*").alias("rows")).withColumn(
-            "table", F.lit(table)
-        )
-        for table in TABLES
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def stored_files(spark: SparkSession, base: str, month: str | None = None) -> DataFrame:
-    """Data files of the stored mart with size and time of change, one row per file.
+def _records(
+    spark: SparkSession, base: str, version: str, month: str | None, counts: dict[str, int], extra: Sequence[T.StructField]
+) -> DataFrame:
+    """One record per month: time, schema version, row counts (0 for an empty table), extra columns, version.
 
-    Only the file listing is read, not the files, and of one month only its folders are listed.
+    The counts of a single month were taken while it was written, those of several come with the list of files.
     """
-    folders = [f"{base}/{table}" for table in TABLES]
+    zero = F.map_from_arrays(F.array(*[F.lit(t) for t in TABLES]), F.array(*[F.lit(0).cast("long") for _ in TABLES]))
     if month is not None:
-        folders = [f"{base}/{{{','.join(TABLES)}}}/{MONTH}={month}"]
+        found = spark.createDataFrame([(month, counts)], f"{MONTH} string, _counts map<string,long>")
+    else:
+        files = spark.read.schema(f"{FILE_TYPE}, rows long").json(f"{base}/manifest_files/version={version}")
+        rows = files.groupBy(MONTH, "table").agg(F.sum("rows").alias("rows"))
+        found = rows.groupBy(MONTH).agg(F.map_from_entries(F.collect_list(F.struct("table", "rows"))).alias("_counts"))
+    return found.select(
+        F.lit(datetime.now(timezone.utc).isoformat()).alias("created_at"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        F.map_zip_with(zero, F.col("_counts"), lambda _, none, n: F.coalesce(n, none)).alias("row_counts"),
+        F.lit(T.StructType(list(extra)).json()).alias("extra_columns"),
+        F.lit(version).alias("version"),
+        MONTH,
+    )
+
+
+def _listed(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    """Data files below the folders with size and time of change; only the listing is read, not the files."""
+    if not folders:
+        return spark.createDataFrame([], f"version string, {FILE_TYPE}")
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
         .option("recursiveFileLookup", True)
-        .load(folders)
-        .select(
-            F.nullif(F.regexp_extract("path", rf"/{MONTH}=([^/]+)/[^/]+$", 1), F.lit(NO_MONTH)).alias(MONTH),
-            F.regexp_extract("path", rf"/([^/]+)/{MONTH}=[^/]+/[^/]+$", 1).alias("table"),
-            F.element_at(F.split("path", "/"), -1).alias("name"),
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("modified_at"),
-        )
+        .load(list(folders))
+    )
+    part = lambda name: F.regexp_extract("path", rf"/{name}=([^/]+)/", 1)
+    return listed.select(
+        part("version").alias("version"),
+        part("table").alias("table"),
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.col("length").alias("size_bytes"),
+        F.col("modificationTime").alias("modified_at"),
+        F.nullif(part(MONTH), F.lit(NO_MONTH)).alias(MONTH),
     )
-    return listed
 
 
-def write_manifest(
-    spark: SparkSession, base: str, month: str | None, extra: Sequence[T.StructField] = ()
-) -> DataFrame:
-    """One record per month: time, schema version, row counts (0 for an empty table) and extra columns.
+def _write_file_list(spark: SparkSession, base: str, version: str, month: str | None) -> None:
+    """The data files of a version as rows of their own, as a month may have many.
 
-    The data files are written beside it as rows of their own, as a month may have many.
+    With many months, their rows are counted by the same look at the files: it reads no column, only footers.
     """
-    counts = stored_counts(spark, base, month).groupBy(MONTH).agg(
-        F.map_from_entries(F.collect_list(F.struct("table", "rows"))).alias("_counts")
-    )
+    folder = snapshots.version_folder(base, version)
     if month is not None:
-        counts = spark.createDataFrame([(month,)], f"{MONTH} string").join(counts, MONTH, "left")
-    zero = F.map_from_arrays(F.array(*[F.lit(t) for t in TABLES]), F.array(*[F.lit(0).cast("long") for _ in TABLES]))
-    filled = F.map_zip_with(zero, F.col("_counts"), lambda _, none, n: F.coalesce(n, none))
-    records = counts.select(
-        F.lit(datetime.now(timezone.utc).isoformat()).alias("created_at"),
-        F.lit(SCHEMA_VERSION).alias("schema_version"),
-        F.when(F.col("_counts").isNotNull(), filled).otherwise(zero).alias("row_counts"),
-        F.lit(T.StructType(list(extra)).json()).alias("extra_columns"),
-        MONTH,
-    )
-    for rows, name in ((stored_files(spark, base, month), "manifest_files"), (records, "manifest")):
-        rows = rows.hint("rebalance", MONTH)
-        if month is None:
-            rows.write.mode("overwrite").partitionBy(MONTH).json(f"{base}/{name}")
-        else:
-            rows.drop(MONTH).write.mode("overwrite").json(f"{base}/{name}/{MONTH}={month}")
-    return read_manifest(spark, base)
+        files = _listed(spark, [folder]).drop("version")
+    else:
+        about = [F.col(f"_metadata.file_{c}").alias(n) for c, n in (("name", "name"), ("size", "size_bytes"), ("modification_time", "modified_at"))]
+        rows = spark.read.schema(f"table string, {MONTH} string").parquet(folder).groupBy("table", MONTH, *about)
+        files = rows.agg(F.count("*").alias("rows"))
+    files.write.json(f"{base}/manifest_files/version={version}")
 
 
 def read_manifest(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.schema(MANIFEST_SCHEMA).json(f"{base}/manifest")
+    """The newest record, one row per month; none where there is no mart."""
+    known = snapshots.records(spark, base)
+    return snapshots.rows_of(spark, known[-1][1] if known else None, MANIFEST_SCHEMA)
 
 
 def read_manifest_files(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.schema(
-        f"table string, name string, size_bytes long, modified_at timestamp, {MONTH} string"
-    ).json(f"{base}/manifest_files")
+    """The data files of the mart as they were listed when they were written."""
+    state = Snapshot.load(spark, base)
+    if not state.versions:
+        return spark.createDataFrame([], FILE_TYPE)
+    paths = [f"{base}/manifest_files/version={v}" for v in state.versions]
+    rows = spark.read.schema(f"{FILE_TYPE}, version string").option("basePath", f"{base}/manifest_files").json(paths)
+    return rows.where(state.current()).drop("version")
+
+
+# ---- reading -----------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """The newest record, read once, and the tables that it names."""
+
+    spark: SparkSession
+    base: str
+    rows: dict[str | None, Row]  # by month
+
+    @classmethod
+    def load(cls, spark: SparkSession, base: str) -> Snapshot:
+        """One row per month is fetched; a record holds nothing else."""
+        return cls(spark, base, {r[MONTH]: r for r in read_manifest(spark, base).collect()})
+
+    @property
+    def versions(self) -> dict[str, list[str | None]]:
+        """The versions in use and their months."""
+        found: dict[str, list[str | None]] = {}
+        for month in sorted(self.rows, key=str):
+            found.setdefault(self.rows[month]["version"], []).append(month)
+        return found
+
+    def current(self) -> Column:
+        """Whether a row's version is the one that its month has."""
+        if len(self.versions) == 1:  # all of it is in use
+            return F.lit(True)
+        cases = [
+            (F.col("version") == version) & (F.col(MONTH).isin([m for m in months if m is not None]) | (F.col(MONTH).isNull() if None in months else F.lit(False)))
+            for version, months in self.versions.items()
+        ]
+        return reduce(Column.__or__, cases, F.lit(False))
+
+    def extra_columns(self, month: str | None = None) -> list[T.StructField]:
+        """The columns that the line items of the months, or of one, brought along.
+
+        A month without such a column holds nulls in it; two types for one name are an error.
+        """
+        found: dict[str, T.StructField] = {}
+        for text in sorted({r["extra_columns"] or "" for m, r in self.rows.items() if month is None or m == month} - {""}):
+            for field in T.StructType.fromJson(json.loads(text)).fields:
+                if found.setdefault(field.name, field).dataType != field.dataType:
+                    raise ValueError(f"{field.name} has two types in the stored months")
+        return list(found.values())
+
+    def table(self, table: str, month: str | None = None, keep_month: bool = False) -> DataFrame:
+        """A table of one month, read from its folder only; or of all months, with the month."""
+        *known, last = table_schema(table).fields
+        extra = self.extra_columns(month) if table == FACT_TABLE else []
+        schema = T.StructType([*known, *extra, last])
+        # An empty table has no folder.
+        having = [m for m, r in self.rows.items() if r["row_counts"].get(table) and (month is None or m == month)]
+        versions = sorted({self.rows[m]["version"] for m in having})
+        folders = [f"{snapshots.version_folder(self.base, v)}/table={table}" for v in versions]
+        if month is not None:
+            folders = [f"{f}/{MONTH}={month}" for f in folders]
+        if folders:
+            typed = T.StructType([*schema.fields, T.StructField("version", T.StringType()), T.StructField("table", T.StringType())])
+            df = self.spark.read.schema(typed).option("basePath", f"{self.base}/data").parquet(*folders)
+            df = df.where(F.col(MONTH) == month) if month is not None else df.where(self.current())
+            df = df.select(*schema.fieldNames())
+        else:
+            df = self.spark.createDataFrame([], schema)
+        return df.drop(MONTH) if month is not None and not keep_month else df
+
+
+def read_table(spark: SparkSession, base: str, table: str, month: str | None = None) -> DataFrame:
+    return Snapshot.load(spark, base).table(table, month)
+
+
+def read_mart(spark: SparkSession, base: str, month: str = "latest") -> dict[str, DataFrame]:
+    state = Snapshot.load(spark, base)
+    chosen = _resolved(state, month)
+    return {table: state.table(table, chosen) for table in TABLES}
+
+
+def stored_files(spark: SparkSession, base: str, month: str | None = None) -> DataFrame:
+    """Data files of the mart with size and time of change, one row per file.
+
+    Only the file listing is read, not the files, and of one month only its folders are listed.
+    """
+    state = Snapshot.load(spark, base)
+    if month is None:
+        listed = _listed(spark, [snapshots.version_folder(base, v) for v in state.versions]).where(state.current())
+    else:
+        row = state.rows.get(month)
+        listed = _listed(spark, [f"{snapshots.version_folder(base, row['version'])}/table=*/{MONTH}={month}"] if row and any(row["row_counts"].values()) else [])
+    return listed.drop("version")
 
 
 def manifest_counts(manifest: DataFrame) -> DataFrame:
@@ -277,26 +363,20 @@ def manifest_counts(manifest: DataFrame) -> DataFrame:
 
 def months(spark: SparkSession, base: str) -> DataFrame:
     """Months of the mart in order; only the small manifest is read. None when there is no mart."""
-    try:
-        manifest = read_manifest(spark, base)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{MONTH} string")
-    return manifest.select(MONTH).where(F.col(MONTH).isNotNull()).distinct().orderBy(MONTH)
+    return read_manifest(spark, base).select(MONTH).where(F.col(MONTH).isNotNull()).distinct().orderBy(MONTH)
+
+
+def _resolved(state: Snapshot, month: str) -> str:
+    known = [m for m in state.rows if m is not None]
+    found = max(known, default=None) if month == "latest" else month.replace("-", "")
+    if found not in known:
+        raise FileNotFoundError(f"{state.base} has no month {month}")
+    return found
 
 
 def resolve_month(spark: SparkSession, base: str, month: str = "latest") -> str:
     """The newest month, or the given one; FileNotFoundError when the mart does not have it."""
-    known = months(spark, base)
-    found = (
-        known.agg(F.max(MONTH)).first()[0]
-        if month == "latest"
-        else known.where(F.col(MONTH) == month.replace("-", "")).agg(F.max(MONTH)).first()[0]
-    )
-    if found is None:
-        raise FileNotFoundError(f"{base} has no month {month}")
-    return found
+    return _resolved(Snapshot.load(spark, base), month)
 
 
 def mart_sizes(spark: SparkSession, base: str, month: str | None = None) -> DataFrame:
@@ -332,14 +412,13 @@ def catalog_json(tables: dict[str, DataFrame]) -> str:
 def month_info(spark: SparkSession, base: str, month: str = "latest") -> dict:
     """Month, folder, schema and tables that have rows; an error record when the month is missing."""
     try:
-        chosen = resolve_month(spark, base, month)
-        tables = read_mart(spark, base, chosen)
-        counts = manifest_counts(read_manifest(spark, base).where(F.col(MONTH) == chosen))
-        filled = sorted(r["table"] for r in counts.where(F.col("rows") > 0).collect())
+        state = Snapshot.load(spark, base)
+        chosen = _resolved(state, month)
+        filled = sorted(table for table, rows in state.rows[chosen]["row_counts"].items() if rows)
         return {
             "month": chosen,
             "base_dir": base,
-            "schema": catalog_json({t: tables[t] for t in filled}),
+            "schema": catalog_json({t: state.table(t, chosen) for t in filled}),
             "source_files": filled,
             "file_count": len(filled),
         }

@@ -1,9 +1,10 @@
 import json
+import os
 
 import pytest
 
 from costdocs.operators import guard, rollups
-from costdocs.plans import mart
+from costdocs.plans import mart, snapshots
 from costdocs.plans.ask import ask
 from tests.test_cost import item, line_items, rows_of
 
@@ -244,3 +245,58 @@ def test_intermediate_tables_are_removed(spark, base):
     mart.write_month(spark, items(spark, "202509", "Host"), base, "202509")
     ask(spark, "q", "SELECT * FROM monthly_summary", base)
     assert listed() <= before
+
+
+def broken(*_, **__):
+    raise RuntimeError("lost")
+
+
+@pytest.mark.parametrize("step", ["_write_summaries", "_write_file_list", "_records"])
+def test_a_write_that_fails_leaves_the_old_month(spark, base, monkeypatch, step):
+    old = {t: rows_of(df) for t, df in mart.read_mart(spark, base, "202508").items()}
+    before = counts(spark, base)
+    monkeypatch.setattr(mart, step, broken)
+    for write in (lambda: mart.write_month(spark, items(spark, "202508", "Studio"), base, "202508"), lambda: mart.write_mart(spark, items(spark, "202509", "Studio"), base)):
+        with pytest.raises(RuntimeError, match="lost"):
+            write()
+        assert {t: rows_of(df) for t, df in mart.read_mart(spark, base).items()} == old
+        assert counts(spark, base) == before
+    assert len(os.listdir(f"{base}/data")) == 1
+
+
+def test_two_writers_publish_both_months(spark, base, monkeypatch):
+    own, once = snapshots._renamed, []
+
+    def overtaken(session, source, target):
+        if not once:  # another writer is done in the meantime
+            once.append(target)
+            mart.write_month(session, items(session, "202510", "Host"), base, "202510")
+        return own(session, source, target)
+
+    monkeypatch.setattr(snapshots, "_renamed", overtaken)
+    mart.write_month(spark, items(spark, "202509", "Host"), base, "202509")
+    assert [r[0] for r in mart.months(spark, base).collect()] == ["202507", "202508", "202509", "202510"]
+    assert {m: mart.read_table(spark, base, "fact_sagemaker_costs", m).count() for m in ("202507", "202508", "202509", "202510")} == {"202507": 2, "202508": 3, "202509": 1, "202510": 1}
+    assert not [f for f in os.listdir(f"{base}/manifest") if f.startswith("_")]
+
+
+def test_versions_that_nobody_names_are_removed(spark, base):
+    late = mart.read_mart(spark, base, "202508")["agg_endpoint_hours"]
+    mart.write_month(spark, items(spark, "202508", "Studio"), base, "202508")
+    assert rows_of(late) == [(None, "ml.m5", 0.0, 3.0)]  # a reader that began before
+    for n in (1, 2, 3):
+        mart.write_month(spark, items(spark, "202508", *["Host"] * n), base, "202508")
+    folders = os.listdir(f"{base}/data")
+    assert len(folders) == 3  # of the first write, which has 202507, and of the last two
+    assert sorted(map(tuple, mart.read_table(spark, base, "agg_endpoint_hours").select("mart_month", "cost").collect())) == [("202507", 1.5), ("202508", 4.5)]
+    assert {(r["mart_month"], r["table"]) for r in mart.stored_files(spark, base).collect()} == {k for k, n in counts(spark, base).items() if n}
+    assert {(r["mart_month"], r["name"]) for r in mart.read_manifest_files(spark, base).collect()} == {(r["mart_month"], r["name"]) for r in mart.stored_files(spark, base).collect()}
+
+
+def test_a_month_without_line_items(spark, tmp_path):
+    path = str(tmp_path / "m")
+    mart.write_month(spark, items(spark, "202501", "Host").where("false"), path, "202501")
+    assert set(counts(spark, path).values()) == {0} and mart.resolve_month(spark, path) == "202501"
+    assert all(df.count() == 0 for df in mart.read_mart(spark, path).values())
+    mart.write_mart(spark, items(spark, "202501", "Host").where("false"), path)
+    assert mart.months(spark, path).count() == 0
