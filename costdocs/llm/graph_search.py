@@ -1,10 +1,10 @@
 """Operator 4: approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Rows are dealt to shards by a hash of their id. A shard's graph starts as a random one. In each
+Rows are dealt to shards by a hash of their number. A shard's graph starts as a random one. In each
 round a beam search from the shard's entries proposes neighbours for every node; they are pruned
 with a relaxed distance, so that a neighbour is dropped if a kept one is nearer to it by a factor
 ``relax`` (one in the first round) than the node is, and edges are then added in the other direction
-and pruned again. Equal vectors share a node, which lists all their ids. Every query is searched in
+and pruned again. Equal vectors share a node, which lists all their rows. Every query is searched in
 every shard by a wider beam, all that the beam holds is scored exactly on the original vectors, and
 the best hits of all shards are ranked.
 
@@ -15,7 +15,8 @@ The index is a table with a row per shard; queries are read from a written table
 neither is held whole by a task or the driver.
 
 Cases: see :func:`costdocs.llm.vectors.usable`; zero vectors take no part either. Of equal scores the
-smaller id comes first. Queries whose vector takes no part have no rows. Empty tables give no rows.
+smaller id comes first. Rows that share an id are candidates, and queries, of their own; a query leaves
+out its own row only. Queries whose vector takes no part have no rows. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -175,26 +176,26 @@ def build_graph(units: np.ndarray, form: Graphs, block: int = 128) -> tuple[np.n
     return _linked(units, np.concatenate([edges, random], 1), entries), entries
 
 
-_INDEX = "shard int, width int, entries binary, ids binary, nodes binary, vectors binary, edges binary"
+_INDEX = "shard int, width int, entries binary, ids binary, rows binary, nodes binary, vectors binary, edges binary"
 
 
 def build_index(vectors: DataFrame, size: int, form: Graphs) -> DataFrame:
-    """A row per shard: ids by node, the nodes' vectors and their edges."""
+    """A row per shard: ids and row numbers by node, the nodes' vectors and their edges."""
     shards = max(1, -(-vectors.count() // form.shard_rows))
 
     def build(rows: pa.Table) -> pa.Table:
-        ids, values = rows["vec_id"].to_numpy(), matrix(rows["v"], size)
-        order = np.argsort(ids)
+        ids, numbers, values = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), matrix(rows["v"], size)
+        order = np.lexsort((numbers, ids))
         distinct, node = np.unique(values[order], axis=0, return_inverse=True)
         by_node = np.argsort(node.ravel(), kind="stable")
         counts = np.bincount(node.ravel())
         edges, entries = build_graph(_units(distinct).astype(np.float32), form)
-        blobs = [entries.astype(np.int64), ids[order][by_node], counts.astype(np.int64), distinct, edges.astype(np.int32)]
+        blobs = [entries.astype(np.int64), ids[order][by_node], numbers[order][by_node], counts.astype(np.int64), distinct, edges.astype(np.int32)]
         values = [[rows["shard"][0].as_py()], [size], *[[b.tobytes()] for b in blobs]]
-        kinds = [pa.int32()] * 2 + [pa.binary()] * 5
+        kinds = [pa.int32()] * 2 + [pa.binary()] * 6
         return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in _INDEX.split(", ")])
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(build, _INDEX)
 
 
@@ -204,14 +205,14 @@ def _units(values: np.ndarray) -> np.ndarray:
 
 
 def search_index(index: DataFrame, queries_path: str, size: int, k: int, form: Graphs) -> DataFrame:
-    """(query_id, vec_id, score): every shard's best hits of every query in the table at the path."""
+    """(query_row, query_id, vec_id, score): every shard's best hits of every query in the table at the path."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = open_store(queries_path)
         files = sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(folder)) if f.path.endswith(".parquet"))
         for batch in batches:
             for row in batch.to_pylist():
-                ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nodes"], np.int64)
+                ids, numbers, counts = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows", "nodes"))
                 values = np.frombuffer(row["vectors"]).reshape(-1, size)
                 edges = np.frombuffer(row["edges"], np.int32).reshape(len(values), -1)
                 entries = np.frombuffer(row["entries"], np.int64)
@@ -219,27 +220,28 @@ def search_index(index: DataFrame, queries_path: str, size: int, k: int, form: G
                 small = units.astype(np.float32)
                 for name in files:
                     with fs.open_input_file(name) as file:
-                        for asked in pa.parquet.ParquetFile(file).iter_batches(256, columns=["vec_id", "v"]):
-                            query_ids, wanted = asked.column("vec_id").to_numpy(), _units(matrix(asked.column("v"), size))
+                        for asked in pa.parquet.ParquetFile(file).iter_batches(256, columns=["row", "vec_id", "v"]):
+                            query_ids, wanted = [asked.column(c).to_numpy() for c in ("row", "vec_id")], _units(matrix(asked.column("v"), size))
                             nodes, _ = beam_search(small, edges, wanted.astype(np.float32), entries, min(form.wide_beam, len(values)))
-                            yield _hits(query_ids, wanted, nodes, units, ids, counts, first)
+                            yield _hits(*query_ids, wanted, nodes, units, ids, numbers, counts, first)
 
-    def _hits(query_ids, wanted, nodes, units, ids, counts, first) -> pa.RecordBatch:
+    def _hits(query_rows, query_ids, wanted, nodes, units, ids, numbers, counts, first) -> pa.RecordBatch:
         query, slot = np.nonzero(nodes >= 0)
         node = nodes[query, slot]
         # A node's ids are in order, so the first k + 1 are enough: one of them may be the query itself.
         many = np.minimum(counts[node], k + 1)
         score = np.repeat(np.einsum("ij,ij->i", wanted[query], units[node]), many)
-        query, found = np.repeat(query, many), ids[ranges(many, first[node])]
-        other = found != query_ids[query]
-        query, found, score = query[other], found[other], score[other]
+        query, place = np.repeat(query, many), ranges(many, first[node])
+        other = numbers[place] != query_rows[query]
+        query, found, score = query[other], ids[place[other]], score[other]
         order = np.lexsort((found, -score, query))
         query, found, score = query[order], found[order], score[order]
         best = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return pa.RecordBatch.from_arrays([pa.array(query_ids[query[best]]), pa.array(found[best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+        columns = [query_rows[query[best]], query_ids[query[best]], found[best], score[best]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
 
     tasks = max(1, index.count())
-    return index.repartition(tasks).mapInArrow(search, "query_id long, vec_id long, score double")
+    return index.repartition(tasks).mapInArrow(search, "query_row long, query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, form: Graphs = Graphs()) -> DataFrame:

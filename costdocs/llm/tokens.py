@@ -3,8 +3,8 @@
 A text is cut before single spaces, where none of the supported tokenizers joins what it cuts, so
 the ids of the pieces, one after the other, are the ids of the text. New pieces are handed to the
 tokenizer many at a time. Where the tokenizer drops white space, they are first cut again between
-letters and signs. What is outside the plain cases is encoded as it stands. Strings of special
-tokens are ordinary text.
+letters and signs. What is outside the plain cases is encoded as it stands. The string of a special
+token has the token's id wherever it stands, as in the library; what is between is texts of their own.
 """
 
 from __future__ import annotations
@@ -70,7 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.keeps_spaces = self._each(["a b"])[0] != self._each(["a  b"])[0]
         names = self.tokenizer.get_vocab()
         mark = (lambda t: t.startswith("\u0120")) if self.keeps_spaces else (lambda t: t.endswith("</w>"))
@@ -161,6 +162,17 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, all ids in order); a null text has none."""
+        if not any(text and any(s in text for s in self.special) for text in texts):
+            return self._encode_plain(texts)
+        parts = [self.at_special.split(text or "") if self.special else [text] for text in texts]
+        lengths, ids = self._encode_plain([p for part in parts for p in part[::2]])
+        # A token comes after every plain part but the last of its text.
+        follows = np.concatenate([np.arange(len(part[::2])) < len(part) // 2 for part in parts])
+        tokens = np.array([self.special[p] for part in parts for p in part[1::2]], np.uint32)
+        ids = np.insert(ids, np.cumsum(lengths)[follows], tokens)
+        return _grouped(np.array([len(part[::2]) for part in parts]), lengths + follows), ids
+
+    def _encode_plain(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > MEMO_PIECES or len(self.pieces.flat) > MEMO_IDS:
             self._forget()
         lookup = self.pieces.__getitem__

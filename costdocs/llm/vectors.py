@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
-    """(vec_id, v) with finite components as doubles, one row per id: the smallest of its vectors.
+    """(row, vec_id, v) with finite components as doubles; rows that share an id are rows of their own.
 
-    Null ids and null vectors, and those that hold null or non-finite components, take no part.
+    Null ids and null vectors, and those that hold null or non-finite components, take no part. The
+    row numbers hold once the result is written.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
@@ -21,7 +22,7 @@ def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > limit)))
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def width(vectors: DataFrame) -> int:
@@ -67,6 +68,7 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 
 def ranked(hits: DataFrame, k: int, order: Sequence[Column]) -> DataFrame:
+    """The k best hits of every query row; two queries of one id have ranks of their own."""
     from costdocs.operators.ranking import first_rows
 
-    return first_rows(hits, k, order, ["query_id"]).select("query_id", "rank", "vec_id", "score")
+    return first_rows(hits, k, order, ["query_row"]).select("query_id", "rank", "vec_id", "score")

@@ -6,29 +6,34 @@ of queries the least of these bounds and the largest distance s of a query from
 can matter to a query of the cell only if p·x + s|x| reaches that bound, as no query of the cell
 has a larger product with x. Cells are put together to groups of bounded size (larger ones are split),
 each row is sent only to the groups it can matter to, in chunks of bounded size, and each chunk is
-solved with the group's queries. How much is left out depends on the data: the bounds are exact, and
+solved with the group's queries, which are written once and read by the chunk's task. How much is left out depends on the data: the bounds are exact, and
 where they do not part the data, rows go to all groups.
 
 Components are floor(1024 x), held as doubles, in which products below 2^53 are exact; larger ones
 are computed with whole numbers of any length and kept within the range of a long.
 
-Cases: see :func:`costdocs.llm.vectors.usable`. Of equal scores the smaller id comes first. Zero
+Cases: see :func:`costdocs.llm.vectors.usable`. Of equal scores the smaller id comes first. Rows
+that share an id are candidates, and queries, of their own; a query leaves out its own row only. Zero
 vectors score zero. With fewer than k other rows all are returned. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from costdocs.llm.common import staged
+from costdocs.llm.common import open_store, staged
 from costdocs.llm.vectors import best_of, lists, matrix, ranked, usable, width
+from costdocs.sources.scratch import scratch_path
 
-PIVOTS = 64
+PIVOTS = 1024  # at most; below, the square root of the number of rows
 GROUP_QUERIES = 16_384
 CHUNK_ROWS = 8_192
 TILE = 1 << 22  # scores held at a time
@@ -37,7 +42,7 @@ EXACT = float(1 << 53)
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) with floor(1024 x) for every component x."""
+    """(row, vec_id, v) with floor(1024 x) for every component x."""
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,9 +50,10 @@ def whole_numbers(vectors: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 scaled = np.floor(np.clip(SCALE * v.flatten().to_numpy(zero_copy_only=False), -1.7e308, 1.7e308))
             offsets = pa.array(np.concatenate([[0], np.cumsum(v.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.ListArray.from_arrays(offsets, pa.array(scaled))], names=["vec_id", "v"])
+            columns = [batch.column("row"), batch.column("vec_id"), pa.ListArray.from_arrays(offsets, pa.array(scaled))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "vec_id", "v"])
 
-    return vectors.mapInArrow(scale, "vec_id long, v array<double>")
+    return vectors.mapInArrow(scale, "row long, vec_id long, v array<double>")
 
 
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -73,45 +79,45 @@ def _first(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def summaries(rows: DataFrame, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors) of the k + 1 members of each cell with the highest product with its pivot."""
+    """(row numbers, vectors) of the k + 1 members of each cell with the highest product with its pivot."""
     size = pivots.shape[1]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, v = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), size)
+            ids, v = batch.column("row").to_numpy(), matrix(batch.column("v"), size)
             cell, _ = _cells(v, pivots)
             with np.errstate(over="ignore", invalid="ignore"):
                 near = np.nan_to_num(np.einsum("ij,ij->i", v, pivots[cell]))
             order = np.lexsort((ids, -near, cell))
             order = order[np.arange(len(order)) - np.searchsorted(cell[order], cell[order]) <= k]
             columns = [pa.array(cell[order].astype(np.int32)), pa.array(near[order]), pa.array(ids[order]), lists(v[order])]
-            yield pa.RecordBatch.from_arrays(columns, names=["cell", "near", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "near", "row", "v"])
 
-    found = rows.mapInArrow(best, "cell int, near double, vec_id long, v array<double>")
-    nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("near"), "vec_id"))
-    kept = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("vec_id", "v").orderBy("vec_id").toArrow()
-    return kept["vec_id"].to_numpy(), matrix(kept["v"], size)
+    found = rows.mapInArrow(best, "cell int, near double, row long, v array<double>")
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("near"), "row"))
+    kept = found.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("row", "v").orderBy("row").toArrow()
+    return kept["row"].to_numpy(), matrix(kept["v"], size)
 
 
 def bounded_queries(queries: DataFrame, pivots: np.ndarray, known: tuple[np.ndarray, np.ndarray], k: int) -> DataFrame:
-    """(query_id, q, cell, away, least): cell, distance from its pivot, and a bound for the k-th best score."""
+    """(query_row, query_id, q, cell, away, least): cell, distance from its pivot, and a bound for the k-th best score."""
     size, (ids, members) = pivots.shape[1], known
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                query_ids, q = part.column("vec_id").to_numpy(), matrix(part.column("v"), size)
+                query_rows, q = part.column("row").to_numpy(), matrix(part.column("v"), size)
                 cell, away = _cells(q, pivots)
                 scores = products(q, members).astype(np.float64)
-                scores[query_ids[:, None] == ids[None, :]] = -np.inf
+                scores[query_rows[:, None] == ids[None, :]] = -np.inf
                 least = -np.sort(-scores, axis=1)[:, k - 1] if scores.shape[1] >= k else np.full(len(q), -np.inf)
-                columns = [pa.array(query_ids), lists(q), pa.array(cell.astype(np.int32)), pa.array(away), pa.array(least)]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "q", "cell", "away", "least"])
+                columns = [part.column("row"), part.column("vec_id"), lists(q), pa.array(cell.astype(np.int32)), pa.array(away), pa.array(least)]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_row", "query_id", "q", "cell", "away", "least"])
 
-    return queries.mapInArrow(bound, "query_id long, q array<double>, cell int, away double, least double")
+    return queries.mapInArrow(bound, "query_row long, query_id long, q array<double>, cell int, away double, least double")
 
 
 def plan_groups(cells: list[tuple[int, int]], pivots: np.ndarray, group_queries: int) -> dict[int, tuple[int, int]]:
@@ -134,14 +140,16 @@ def plan_groups(cells: list[tuple[int, int]], pivots: np.ndarray, group_queries:
 
 
 def voronoi_top_k(
-    vectors: DataFrame, every: int = 100, k: int = 10, pivot_count: int = PIVOTS, group_queries: int = GROUP_QUERIES, chunk_rows: int = CHUNK_ROWS
+    vectors: DataFrame, every: int = 100, k: int = 10, pivot_count: int | None = None, group_queries: int = GROUP_QUERIES, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k highest products for each ``every``-th id."""
     spark = vectors.sparkSession
-    hits_schema = "query_id long, vec_id long, score long"
+    hits_schema = "query_row long, query_id long, vec_id long, score long"
     rows = staged(whole_numbers(usable(vectors, nonzero=False)), "whole-vectors")
     size = width(rows)
-    pivots = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivot_count).select("v").toArrow()["v"], size)
+    count = rows.count()
+    pivot_count = pivot_count or min(PIVOTS, max(16, math.isqrt(count)))
+    pivots = matrix(rows.orderBy(F.xxhash64("row"), "row").limit(pivot_count).select("v").toArrow()["v"], size)
     if not len(pivots):
         return ranked(spark.createDataFrame([], hits_schema), k, [F.desc("score"), F.col("vec_id")])
     known = summaries(rows, pivots, k)
@@ -151,7 +159,7 @@ def voronoi_top_k(
     of_cell = np.array([r["cell"] for r in cells], np.int64)
     away, least = np.array([r["away"] for r in cells]), np.array([r["least"] for r in cells])
     group_count = max((first + many for first, many in groups.values()), default=0)
-    chunks = max(1, -(-rows.count() // chunk_rows))
+    chunks = max(1, -(-count // chunk_rows))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row to the groups with a cell that it can matter to."""
@@ -169,35 +177,40 @@ def voronoi_top_k(
                     first, many = groups[cell]
                     to[first : first + many] |= reaches[:, c]
                 group, row = np.nonzero(to)
-                columns = [pa.array(group.astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))]
-                yield pa.RecordBatch.from_arrays(columns, names=["group", "vec_id", "v"])
-
-    def solve(data: pa.Table, asked: pa.Table) -> pa.Table:
-        found = [[], [], []]
-        if data.num_rows and asked.num_rows:
-            ids, x = data["vec_id"].to_numpy(), matrix(data["v"], size)
-            query_ids, q = asked["query_id"].to_numpy(), matrix(asked["q"], size)
+                columns = [pa.array(group.astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("row", "vec_id", "v"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "row", "vec_id", "v"])
+
+    def solve(data: pa.Table) -> pa.Table:
+        """A chunk of a group's rows with the group's queries, which are read block by block."""
+        found = [[], [], [], []]
+        ids, numbers, x = data["vec_id"].to_numpy(), data["row"].to_numpy(), matrix(data["v"], size)
+        fs, folder = open_store(f"{asked_path}/group={data['group'][0].as_py()}")
+        found_files = fs.get_file_info(pa.fs.FileSelector(folder, allow_not_found=True))  # a part of a large cell may have no query
+        for name in sorted(f.path for f in found_files if f.path.endswith(".parquet")):
+            asked = pq.read_table(name, filesystem=fs, partitioning=None)
+            query_rows, query_ids, q = asked["query_row"].to_numpy(), asked["query_id"].to_numpy(), matrix(asked["q"], size)
             step = max(1, TILE // len(ids))
             for at in range(0, len(q), step):
                 scores = products(q[at : at + step], x)
                 big = scores.dtype == object
                 order = scores.astype(np.float64)
-                order[query_ids[at : at + step, None] == ids[None, :]] = -np.inf
+                order[query_rows[at : at + step, None] == numbers[None, :]] = -np.inf
                 row, place = _exact_best(scores, order, ids, k) if big else best_of(order, ids[None, :], k)
-                for values, new in zip(found, (query_ids[at + row], ids[place], scores[row, place].astype(np.int64))):
+                for values, new in zip(found, (query_rows[at + row], query_ids[at + row], ids[place], scores[row, place].astype(np.int64))):
                     values.append(new)
         columns = [pa.array(np.concatenate(f) if f else [], pa.int64()) for f in found]
-        return pa.table(columns, names=["query_id", "vec_id", "score"])
+        return pa.table(columns, names=["query_row", "query_id", "vec_id", "score"])
 
     group_of = F.create_map(*[F.lit(x) for cell, (first, many) in groups.items() for x in (cell, first)]) if groups else None
     many_of = F.create_map(*[F.lit(x) for cell, (first, many) in groups.items() for x in (cell, many)]) if groups else None
     if group_of is None:
         return ranked(spark.createDataFrame([], hits_schema), k, [F.desc("score"), F.col("vec_id")])
-    block = F.pmod(F.xxhash64("query_id"), F.element_at(many_of, F.col("cell"))).cast("int")
-    asked = queries.select((F.element_at(group_of, F.col("cell")) + block).cast("int").alias("group"), "query_id", "q")
-    asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    sent = rows.mapInArrow(send, "group int, vec_id long, v array<double>").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int"))
-    hits = sent.groupBy("group", "chunk").cogroup(asked.groupBy("group", "chunk")).applyInArrow(solve, hits_schema)
+    block = F.pmod(F.xxhash64("query_row"), F.element_at(many_of, F.col("cell"))).cast("int")
+    asked = queries.select((F.element_at(group_of, F.col("cell")) + block).cast("int").alias("group"), "query_row", "query_id", "q")
+    asked_path = scratch_path(spark, "group-queries")
+    asked.repartition("group").write.partitionBy("group").parquet(asked_path)
+    sent = rows.mapInArrow(send, "group int, row long, vec_id long, v array<double>").withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
+    hits = sent.groupBy("group", "chunk").applyInArrow(solve, hits_schema)
     return ranked(hits, k, [F.desc("score"), F.col("vec_id")])
 
 

@@ -15,12 +15,7 @@ def table(spark, rows):
 
 
 def usable(rows, nonzero):
-    best = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v) or nonzero and not any(v):
-            continue
-        best[i] = min(best.get(i, v), v)
-    return best
+    return [(i, v) for i, v in rows if not (i is None or v is None or any(x is None or not math.isfinite(x) for x in v) or nonzero and not any(v))]
 
 
 def sample(seed, count, size, copies=0):
@@ -31,25 +26,30 @@ def sample(seed, count, size, copies=0):
 
 
 def exact(rows, every, k, scale):
+    """By query id: (rank, id, score) of all its rows' hits."""
     found = {}
-    for q, a in rows.items():
+    for n, (q, a) in enumerate(rows):
         if q % every == 0:
-            scores = sorted((-sum(scale(x) * scale(y) for x, y in zip(a, b)), i) for i, b in rows.items() if i != q)
-            found[q] = [(i, -s) for s, i in scores[:k]]
-    return found
+            scores = sorted((-sum(scale(x) * scale(y) for x, y in zip(a, b)), i) for m, (i, b) in enumerate(rows) if m != n)
+            found.setdefault(q, []).extend((r, i, -s) for r, (s, i) in enumerate(scores[:k], 1))
+    return {q: sorted(hits) for q, hits in found.items()}
 
 
 def by_query(rows):
     found = {}
-    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
-        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert r["rank"] == len(found[r.query_id])
-    return found
+    for r in rows:
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(hits) for q, hits in found.items()}
+
+
+def hits_of(rows):
+    return {q: [hit[1:] for hit in hits] for q, hits in by_query(rows).items()}
 
 
 @pytest.mark.parametrize("options", [{}, {"pivot_count": 5, "group_queries": 3, "chunk_rows": 40}])
 def test_voronoi_join_is_exact(spark, options):
     rows = sample(1, 400, 6, copies=150) + [(1000 + i, v) for i, v in enumerate(ODD)] + [(None, [1.0] * 6), (7, [0.0] * 6), (20, sample(1, 21, 6)[20][1])]
+    rows += [(30, v) for _, v in sample(2, 40, 6)]  # one id, many vectors
     got = by_query(voronoi.voronoi_top_k(table(spark, rows), 10, 7, **options).collect())
     assert got == exact(usable(rows, False), 10, 7, lambda x: math.floor(1024 * x))
 
@@ -63,9 +63,9 @@ def test_voronoi_join_leaves_out_what_cannot_matter(spark):
 
 def test_very_large_components(spark):
     rows = [(i, [1e12 + i, 1.0, -3.0 * i]) for i in range(12)] + [(50, [1e300, 0.0, 0.0])]
-    got = by_query(voronoi.voronoi_top_k(table(spark, rows), 5, 3).collect())
+    got = hits_of(voronoi.voronoi_top_k(table(spark, rows), 5, 3).collect())
     limit = 2**63 - 1
-    rows = usable(rows, False)
+    rows = dict(usable(rows, False))
     for q, hits in got.items():
         scores = {i: min(limit, sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(rows[q], v))) for i, v in rows.items() if i != q}
         assert hits == [(i, s) for s, i in sorted((-s, i) for i, s in scores.items())[:3]] or hits == [(i, -s) for s, i in sorted((-s, i) for i, s in scores.items())[:3]]
@@ -86,9 +86,9 @@ def unit(v):
 def test_graph_search_finds_the_nearest(spark):
     rows = sample(5, 900, 16, copies=300) + [(2000 + i, v) for i, v in enumerate(ODD)]
     form = graph_search.Graphs(shard_rows=300, degree=16, beam=32, wide_beam=96)
-    got = by_query(graph_search.nearest(table(spark, rows), 25, 5, form).collect())
-    width = max(len(v) for v in usable(rows, True).values())
-    vectors = {i: np.pad(np.array(v, float), (0, width - len(v))) for i, v in usable(rows, True).items()}
+    got = hits_of(graph_search.nearest(table(spark, rows), 25, 5, form).collect())
+    width = max(len(v) for _, v in usable(rows, True))
+    vectors = {i: np.pad(np.array(v, float), (0, width - len(v))) for i, v in usable(rows, True)}
     units = {i: unit(v) for i, v in vectors.items()}
     hit = total = 0
     for q, a in units.items():
@@ -104,6 +104,19 @@ def test_graph_search_finds_the_nearest(spark):
     assert [i for i, _ in got[900]] == [901, 902, 903, 904, 905]  # equal vectors: smaller ids first
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (7, [1.0, 0.1]), (9, [0.1, 1.0]), (9, [1.0, 0.0])]
+    got = sorted(map(tuple, graph_search.nearest(table(spark, rows), 5, 2).select("rank", "vec_id").collect()))
+    assert got == [(1, 0), (1, 0), (1, 9), (2, 7), (2, 9), (2, 9)]
+    exactly = by_query(voronoi.voronoi_top_k(table(spark, rows), 5, 2).collect())
+    assert exactly == exact(rows, 5, 2, lambda x: math.floor(1024 * x))
+
+
+def test_queries_are_not_copied_to_chunks(spark):
+    plan = voronoi.voronoi_top_k(table(spark, sample(4, 60, 4)), 10, 3, chunk_rows=10)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "CoGroup" not in plan
+
+
 def test_pruning_keeps_diverse_edges():
     angles = np.array([0.0, 0.1, 0.11, 0.12, -0.2])
     units = np.stack([np.cos(angles), np.sin(angles)], 1).astype(np.float32)
@@ -115,7 +128,7 @@ def test_pruning_keeps_diverse_edges():
 def test_clusters_do_not_part_the_graph_of_a_shard(spark, clusters):
     rng = np.random.default_rng(clusters)
     vectors = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 3000)] + 0.1 * rng.normal(size=(3000, 64))
-    got = by_query(graph_search.nearest(table(spark, list(enumerate(vectors.tolist()))), 20, 5).collect())
+    got = hits_of(graph_search.nearest(table(spark, list(enumerate(vectors.tolist()))), 20, 5).collect())
     units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     scores = units @ units.T
     np.fill_diagonal(scores, -2)
