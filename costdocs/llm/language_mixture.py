@@ -210,13 +210,15 @@ def _estimated(shares: np.ndarray, n: np.ndarray, starts: np.ndarray, parts: np.
     """
     sizes = np.diff(np.append(starts, len(n)))
     of = np.repeat(np.arange(len(starts)), sizes)
-    total = _sums(n, starts)
+    total, ended = _sums(n, starts), np.zeros(len(starts), bool)
     for _ in range(how.rounds):
         joint = parts[of] * shares
         new = _sums(joint * (n / joint.sum(1))[:, None], starts) / total[:, None]
-        moved = np.abs(new - parts).max()
-        parts = new
-        if moved < how.enough:
+        # Every text ends by itself, whatever it is handled with.
+        moved = np.abs(new - parts).max(1)
+        parts = np.where(ended[:, None], parts, new)
+        ended |= moved < how.enough
+        if ended.all():
             break
     return parts, _sums(n * np.log((parts[of] * shares).sum(1)), starts)
 
