@@ -92,7 +92,7 @@ def whole_jobs(spark, path: str) -> dict:
     store = text.index_store(spark, SF_DIR)
 
     def stored_search() -> None:
-        chunks = spark.read.parquet(store)
+        chunks = chunk_index.read_store(spark, store)
         asked = chunks.where(F.crc32("text_hash") % 10 == 0).select(F.col("text_hash").alias("query_id"), "embedding")
         search.search_store(chunks, asked, threshold=0.0).write.format("noop").mode("overwrite").save()
 

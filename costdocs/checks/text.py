@@ -285,9 +285,45 @@ register(
     f"""SELECT doc_id, true AS inside, true AS fits, true AS covers, regexp_extract({_BARE}, '^\\S+') AS begins,
  regexp_extract({_BARE}, '\\S+$') AS ends FROM documents WHERE {_BARE} <> ''""",
 )
+
+
+def recursive_chunks_sql(rows: str, size: int = 1200, overlap: int = 120) -> str:
+    """(key, chunk_order, content) of (key, content) rows, in relational steps.
+
+    A separator after the other, texts of ``size`` or more are cut into pieces; neighbouring short ones
+    are a run. A run's chunks are found from running lengths: a chunk ends before the piece that would
+    make it too long, and the next begins with the first piece from which what is left of the overlap,
+    and that piece with it, fits.
+    """
+    separators = ("chr(10) || chr(10)", "chr(10)", "' '")
+    steps = [f"r AS ({rows})", "l0 AS (SELECT key, CAST([] AS BIGINT[]) AS path, content AS t FROM r WHERE content <> '')"]
+    for k, s in enumerate(separators, 1):
+        cut = f"string_split(t, {s})"
+        pieces = f"list_transform({cut}, lambda x, i: CASE WHEN i = 1 THEN x ELSE {s} || x END)"
+        steps += [
+            f"p{k} AS (SELECT key, path AS above, list_append(path, i) AS path, t FROM (SELECT key, path, unnest({pieces}) AS t, "
+            f"generate_subscripts({cut}, 1) AS i FROM l{k - 1} WHERE contains(t, {s})) WHERE t <> '')",
+            f"f{k} AS (SELECT key, list_append(above, -1) || [sum(CASE WHEN length(t) >= {size} THEN 1 ELSE 0 END) OVER "
+            f"(PARTITION BY key, above ORDER BY path)] AS run, path, t FROM p{k})",
+            f"l{k} AS (SELECT key, path, t FROM l{k - 1} WHERE NOT contains(t, {s}) UNION ALL SELECT key, path, t FROM p{k} WHERE length(t) >= {size})",
+        ]
+    letters = "SELECT key, list_append(path, -1) AS run, list_append(path, i) AS path, substr(t, i, 1) AS t FROM (SELECT key, path, t, unnest(range(1, length(t) + 1)) AS i FROM l3)"
+    short = " UNION ALL ".join(f"SELECT key, run, path, t FROM f{k} WHERE length(t) < {size}" for k in (1, 2, 3))
+    return f"""WITH RECURSIVE {', '.join(steps)}, g AS (SELECT key, run, min(path) AS place, list(t ORDER BY path) AS ts FROM ({short} UNION ALL {letters}) GROUP BY key, run),
+ h AS (SELECT key, place, ts, list_transform(range(0, len(ts) + 1), lambda i: CAST(coalesce(list_sum(list_transform(ts[:i], lambda x: length(x))), 0) AS BIGINT)) AS c FROM g),
+ c AS (SELECT key, place, ts, c, 0 AS a, len(list_filter(c, lambda x: x <= {size})) - 1 AS b FROM h
+  UNION ALL SELECT key, place, ts, c, n AS a, len(list_filter(c, lambda x: x <= c[n + 1] + {size})) - 1 AS b FROM (
+   SELECT key, place, ts, c, len(list_filter(c, lambda x: x < greatest(c[b + 1] - {overlap}, c[b + 2] - {size}))) AS n FROM c WHERE b < len(ts)))
+ SELECT key, row_number() OVER (PARTITION BY key ORDER BY place, a, b) - 1 AS chunk_order, content FROM (
+  SELECT key, place, a, b, trim(array_to_string(ts[a + 1:b], ''), {_SPACE}) AS content FROM c) WHERE content <> ''"""
+
+
 register(
     "i11_recursive_chunk_rows",
     lambda s, d: chunks.recursive_chunks(documents(s, d), "doc_id", "text"),
+    "SELECT key AS doc_id, chunk_order, content FROM ("
+    + recursive_chunks_sql("SELECT doc_id AS key, text AS content FROM documents WHERE text IS NOT NULL")
+    + ")",
 )
 _WINDOWS_SQL = f"""SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_order, content FROM (
  SELECT doc_id, source, pos, trim(substr(text, cast(1 + pos * 1080 AS bigint), 1200), {_SPACE}) AS content FROM (
@@ -343,15 +379,22 @@ def index_store(spark: SparkSession, sf_dir: str) -> str:
     return written_once(spark, sf_dir, "chunk-store", write)
 
 
-register("i14_chunk_index", lambda s, d: s.read.parquet(index_store(s, d)))
-_SECTIONS_SQL = ORACLES["i10_sections"]
+register("i14_chunk_index", lambda s, d: chunk_index.read_store(s, index_store(s, d)))
+_PAGE_CHUNKS_SQL = recursive_chunks_sql(f"SELECT struct_pack(page_id, section_order) AS key, content FROM ({ORACLES['i10_sections']})")
+_CHUNK_ROWS_SQL = f"SELECT key.page_id AS page_id, key.section_order AS section_order, chunk_order, content FROM ({_PAGE_CHUNKS_SQL})"
+register(
+    "i14_chunk_ids",
+    lambda s, d: chunk_index.read_store(s, index_store(s, d)).select("id", "url", "text_hash"),
+    f"""SELECT format('{{}}#s{{:02d}}#{{:04d}}', {STEM_SQL}, section_order, chunk_order) AS id, url, md5(content) AS text_hash
+ FROM ({_CHUNK_ROWS_SQL}) JOIN pages USING (page_id)
+ QUALIFY row_number() OVER (PARTITION BY md5(content) ORDER BY {STEM_SQL}, url, section_order, chunk_order) = 1""",
+)
 
 
-def stored_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often the store holds each section that is one chunk, after two runs over the same pages."""
-    content = chunks.sections(page_rows(spark, sf_dir)).select("content").where(F.length("content") <= 1200)
-    wanted = content.select(F.md5("content").alias("text_hash")).distinct()
-    stored = spark.read.parquet(index_store(spark, sf_dir))
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the store holds each chunk of the pages, after two runs over the same pages."""
+    wanted = index_chunks(spark, sf_dir).select(F.md5("content").alias("text_hash")).distinct()
+    stored = chunk_index.read_store(spark, index_store(spark, sf_dir))
     right = (F.col("text_hash") == F.md5("content")) & (F.size("embedding") == 64)
     kept = stored.where(right).groupBy("text_hash").agg(F.count("*").alias("n"))
     return wanted.join(kept, "text_hash", "left").select("text_hash", F.coalesce("n", F.lit(0)).alias("n"))
@@ -359,20 +402,19 @@ def stored_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register(
     "a15_store_append",
-    stored_sections,
-    f"SELECT DISTINCT md5(content) AS text_hash, 1 AS n FROM ({_SECTIONS_SQL}) WHERE length(content) <= 1200",
+    stored_chunks,
+    f"SELECT DISTINCT md5(content) AS text_hash, 1 AS n FROM ({_CHUNK_ROWS_SQL})",
 )
 
 
 def found_in_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages to chunks to a stored search: every chunk that is a whole section is asked for.
+    """Pages to chunks to a stored search: every chunk is asked for.
 
     Each question has eight contexts with ranks of their own, all different texts, and the best
     of them is as near as the chunk itself.
     """
-    stored = spark.read.parquet(index_store(spark, sf_dir))
-    wanted = chunks.sections(page_rows(spark, sf_dir)).where(F.length("content") <= 1200).select(F.md5("content").alias("text_hash")).distinct()
-    asked = stored.join(wanted, "text_hash", "left_semi").select(F.col("text_hash").alias("query_id"), "embedding")
+    stored = chunk_index.read_store(spark, index_store(spark, sf_dir))
+    asked = stored.select(F.col("text_hash").alias("query_id"), "embedding")
     rows = search.search_store(stored, asked, 20, 8, 0.0)
     return rows.groupBy("query_id").agg(
         F.array_join(F.array_sort(F.collect_list("rank")).cast("array<string>"), ",").alias("ranks"),
@@ -385,7 +427,7 @@ register(
     "j06_store_search",
     found_in_store,
     f"""SELECT query_id, array_to_string(range(1, 1 + least(8, n)), ',') AS ranks, least(8, n) AS texts, 1.0 AS best
- FROM (SELECT *, count(*) OVER () AS n FROM (SELECT DISTINCT md5(content) AS query_id FROM ({_SECTIONS_SQL}) WHERE length(content) <= 1200))""",
+ FROM (SELECT *, count(*) OVER () AS n FROM (SELECT DISTINCT md5(content) AS query_id FROM ({_CHUNK_ROWS_SQL})))""",
 )
 register(
     "a16_chunk_manifest",

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costdocs.operators.chunks import attach_metadata, chunk, chunk_manifest, flat_metadata, sections
 from costdocs.operators.dedup import dedup_by_hash, drop_known, with_text_hash
+from costdocs.plans import chunk_store
 from costdocs.sources.pages import page_source
 from costdocs.sources.scratch import scratch_table
 
@@ -39,23 +39,20 @@ def page_chunks(
     return attach_metadata(chunk(sections(documents), size, overlap), version_date, doc_type)
 
 
-def new_chunks(chunks: DataFrame, store: DataFrame | None = None) -> DataFrame:
+def new_chunks(chunks: DataFrame, near: Callable[[DataFrame], DataFrame | None] = lambda _: None) -> DataFrame:
     """Chunks whose text is neither in the store nor earlier in the batch, flattened for storage.
 
-    Only md5 and order decide; copies are merged inside the map tasks before any shuffle.
+    Only md5 and order decide; copies are merged inside the map tasks before any shuffle. ``near`` gives
+    the stored rows that hashed rows may be equal to.
     """
     flat = flat_metadata(with_text_hash(chunks))
-    first = dedup_by_hash(flat, ORDER)
+    first, store = dedup_by_hash(flat, ORDER), near(flat)
     return first if store is None else drop_known(first, store)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    """All stored chunks; None without a store."""
+    return chunk_store.read(spark, path)
 
 
 def add_pages(
@@ -73,7 +70,8 @@ def add_pages(
     chunk without a vector there is not stored and comes up again next time. The chunks are
     written to the shared folder once and read for both the manifest, which counts copies too,
     and the store. Copies and known chunks are left out before ``embed`` runs, as that is the
-    costly step. A repeated run adds nothing twice. The manifest row is also appended to the JSON
+    costly step. A repeated run adds nothing twice, and of a run that fails nothing is seen
+    (:mod:`costdocs.plans.chunk_store`). The manifest row is also appended to the JSON
     table beside the store (:func:`manifest_path`).
     """
     if (embed is None) == (vectors is None):
@@ -81,12 +79,14 @@ def add_pages(
     with scratch_table(spark, "chunks") as staged:
         page_chunks(pages, version_date, **options).write.parquet(staged)
         chunks = spark.read.parquet(staged)
-        fresh = new_chunks(chunks, read_store(spark, path))
-        if embed is not None:
-            embedded = fresh.withColumn("embedding", embed(F.col("content")))
-        else:
-            embedded = fresh.join(vectors.select("text_hash", "embedding"), "text_hash").select(*fresh.columns, "embedding")
-        embedded.write.mode("append").parquet(path)
+
+        def embedded(near: Callable[[DataFrame], DataFrame | None]) -> DataFrame:
+            fresh = new_chunks(chunks, near)
+            if embed is not None:
+                return fresh.withColumn("embedding", embed(F.col("content")))
+            return fresh.join(vectors.select("text_hash", "embedding"), "text_hash").select(*fresh.columns, "embedding")
+
+        chunk_store.append(spark, path, embedded)
         row = chunk_manifest(chunks, version_date, options.get("doc_type", "developer-guide")).first()
     record = spark.createDataFrame([(*row, path)], MANIFEST_TYPE)
     record.coalesce(1).write.mode("append").json(manifest_path(path))

@@ -27,7 +27,7 @@ _RECORD = re.compile(r"snapshot-(\d{8})")
 
 
 def new_version() -> str:
-    return uuid.uuid4().hex
+    return f"v{uuid.uuid4().hex}"  # never a number
 
 
 def version_folder(base: str, version: str) -> str:
@@ -71,16 +71,23 @@ def _renamed(spark: SparkSession, source: str, target: str) -> bool:
         raise
 
 
-def publish(spark: SparkSession, base: str, schema: T.StructType, version: str, made: Callable[[DataFrame], DataFrame]) -> None:
-    """Make the next record from the rows of the newest one; what it names is what readers see from then on."""
+def publish(
+    spark: SparkSession, base: str, schema: T.StructType, version: str, made: Callable[[DataFrame], DataFrame], expected: int | None = None
+) -> bool:
+    """Make the next record from the rows of the newest one; what it names is what readers see from then on.
+
+    With ``expected``, the number of the newest record, nothing is published once there is a newer one.
+    """
     for _ in range(TRIES):
         known = records(spark, base)
         number = known[-1][0] + 1 if known else 1
+        if expected is not None and number != expected + 1:
+            return False
         hidden = f"{base}/{RECORDS}/_{version}-{number}"
         made(rows_of(spark, known[-1][1] if known else None, schema)).coalesce(1).write.mode("overwrite").json(hidden)
         if _renamed(spark, hidden, f"{base}/{RECORDS}/snapshot-{number:08d}"):
             _expire(spark, base, schema)
-            return
+            return True
         remove(spark, hidden)
     raise RuntimeError(f"{base} is written by too many at once")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from costdocs.functions import markup
 from costdocs.functions.splitter import SEPARATORS, split_text
 from costdocs.operators import chunks, dedup, headings, links
-from costdocs.plans import chunk_index
+from costdocs.plans import chunk_index, chunk_store, snapshots
 from costdocs.sources import pages as page_source
 
 PAGE = """<!DOCTYPE html><html><head><title>
@@ -352,11 +352,11 @@ def test_store_grows_only_by_new_chunks(spark, tmp_path):
     pages = page_table(spark, PAGE, PAGE)
     manifest = chunk_index.add_pages(spark, pages, path, "v1", word_vector).first()
     assert (manifest["num_docs"], manifest["num_chunks"]) == (2, 8)
-    assert spark.read.parquet(path).count() == 4
+    assert chunk_index.read_store(spark, path).count() == 4
     more = page_table(spark, PAGE, "<p>Brand new</p>")
     again = chunk_index.add_pages(spark, more, path, "v2", word_vector).first()
     assert (again["num_docs"], again["num_chunks"]) == (2, 5)
-    stored = spark.read.parquet(path)
+    stored = chunk_index.read_store(spark, path)
     assert stored.count() == 5 and stored.where("version_date = 'v2'").first()["content"] == "Brand new"
 
 
@@ -365,7 +365,7 @@ def test_vectors_may_come_from_a_table(spark, tmp_path):
     pages = page_table(spark, "<p>One</p>", "<p>Two</p>")
     vectors = spark.createDataFrame([("One", [1.0])], "content string, embedding array<double>")
     chunk_index.add_pages(spark, pages, path, "v1", vectors=dedup.with_text_hash(vectors))
-    assert [(r["content"], r["embedding"]) for r in spark.read.parquet(path).collect()] == [("One", [1.0])]
+    assert [(r["content"], r["embedding"]) for r in chunk_index.read_store(spark, path).collect()] == [("One", [1.0])]
     with pytest.raises(ValueError):
         chunk_index.add_pages(spark, pages, path, "v1")
 
@@ -379,7 +379,7 @@ def test_pages_to_contexts(spark, tmp_path):
     chunk_index.add_pages(spark, pages, path, "2025-08-01", word_vector)
     asked = spark.createDataFrame([(1, "zebra lion"), (2, "flour")], "query_id long, question string")
     queries = asked.withColumn("embedding", word_vector("question"))
-    rows = {(r["query_id"], r["rank"]): r for r in search.search_store(spark.read.parquet(path), queries, 2, 1).collect()}
+    rows = {(r["query_id"], r["rank"]): r for r in search.search_store(chunk_index.read_store(spark, path), queries, 2, 1).collect()}
     assert rows[1, 1]["id"] == "page-1#s01#0000" and rows[1, 1]["text"] == "zebra lion zebra"
     assert rows[2, 1]["metadata"]["title"] == "Bread" and rows[2, 1]["metadata"]["version_date"] == "2025-08-01"
     assert len(rows) == 2
@@ -418,3 +418,53 @@ def test_filters_on_pages_reach_the_scan(spark, sf_dir):
         text = df.where("page_id = 3")._jdf.queryExecution().executedPlan().toString()
         assert "EqualTo(page_id,3)" in text.split("PushedFilters: [")[1].split("]")[0]
         assert text.count("ArrowEvalPython") == 1
+
+
+def hashed_rows(spark, first, count):
+    return dedup.with_text_hash(spark.range(first, first + count).select(F.col("id").cast("string").alias("content")))
+
+
+def test_store_folders_are_few_and_pruned(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunk_store, "DIGITS", 1)
+    path = str(tmp_path / "store")
+    for n in range(20):
+        chunk_store.append(spark, path, lambda near, n=n: hashed_rows(spark, 40 * n, 40))
+        if n in (7, 9, 19):
+            assert chunk_store.read(spark, path).select("content").distinct().count() == chunk_store.read(spark, path).count() == 40 * (n + 1)
+    _, rows = chunk_store._record(spark, path)
+    files = {}
+    for r in rows:
+        files[r["hash_prefix"]] = files.get(r["hash_prefix"], 0) + r["files"]
+    assert len(files) == 16 and max(files.values()) <= chunk_store.MAX_FILES
+    assert sum(r["rows"] for r in rows) == 800
+    some = chunk_store.read(spark, path, ["h0", "hf"])
+    assert {r[0][0] for r in some.select("text_hash").collect()} == {"0", "f"}
+    plan = some.select("text_hash")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "hash_prefix" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "ReadSchema: struct<text_hash:string>" in plan
+
+
+def test_two_appends_at_once_store_nothing_twice(spark, tmp_path):
+    path, inside = str(tmp_path / "store"), []
+    rows = hashed_rows(spark, 0, 30)
+
+    def fresh(near):
+        if not inside:
+            inside.append(1)
+            chunk_store.append(spark, path, lambda _: hashed_rows(spark, 10, 10))
+        known = near(rows)
+        return rows if known is None else dedup.drop_known(rows, known)
+
+    chunk_store.append(spark, path, fresh)
+    assert sorted(int(r["content"]) for r in chunk_store.read(spark, path).collect()) == list(range(30))
+
+
+def test_an_append_that_fails_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    chunk_store.append(spark, path, lambda near: hashed_rows(spark, 0, 5))
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "publish", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            chunk_store.append(spark, path, lambda near: hashed_rows(spark, 5, 5))
+    assert chunk_store.read(spark, path).count() == 5 and len(list((tmp_path / "store" / "data").iterdir())) == 1
+    assert chunk_store.read(spark, str(tmp_path / "none")) is None
