@@ -71,6 +71,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.tokenizer.encode_special_tokens = True  # what is left to it holds no such string
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.keeps_spaces = self._each(["a b"])[0] != self._each(["a  b"])[0]
         names = self.tokenizer.get_vocab()
