@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from costdocs.operators.ranking import first_rows
+from costdocs.sources.scratch import scratch_table
 
 # The columns of a billing line item, in order, and what is extracted.
 TAG_COLUMNS = [f"usertag{i}" for i in range(10)]
@@ -109,6 +110,67 @@ def month_predicates(months: Sequence[str], account_digits: bool = True) -> list
     return clauses
 
 
+READ_KEYS = ("lineitem_usageaccountid", "lineitem_resourceid")
+
+
+def read_cuts(known: DataFrame, parts: int, keys: Sequence[str] = READ_KEYS) -> list[tuple[str, ...]]:
+    """At most ``parts - 1`` places in the order of the keys that cut the known rows into equal parts.
+
+    ``known`` is what is known of the table, such as last month's snapshot or its counts by key. Rows are
+    counted per key in the map tasks and added up over ranges of the order, so that an account, or any
+    number of keys, may hold most rows; only the cuts are fetched. Null counts as the empty text.
+    """
+    if parts < 1:
+        raise ValueError("a table is read in one part or more")
+    filled = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"k{i}") for i, k in enumerate(keys)]
+    names = [f"k{i}" for i in range(len(keys))]
+    with scratch_table(known.sparkSession, "read-keys") as path:
+        counts = known.groupBy(*filled).agg(F.count("*").alias("n"))
+        counts.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+        rows = known.sparkSession.read.parquet(path).withColumn("part", F.shiftright("place", 33))
+        sums = rows.groupBy("part").agg(F.sum("n").alias("n"), F.max_by("n", "place").alias("last")).orderBy("part").collect()  # one row per range
+        if not sums:
+            return []
+        total, first, last_begin, offsets, lasts = sum(r["n"] for r in sums), 0, -1, [], []
+        for r in sums:
+            offsets += [F.lit(r["part"]), F.lit(first)]
+            lasts += [F.lit(r["part"]), F.lit(last_begin)]
+            first += r["n"]
+            last_begin = first - r["last"]
+        earlier = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        begin = F.element_at(F.create_map(*offsets), F.col("part")) + F.coalesce(F.sum("n").over(earlier), F.lit(0))
+        placed = rows.withColumn("begin", begin)
+        # A key is a cut where a part's share of all rows is reached or passed with the key before it.
+        share = lambda at: F.floor(at * parts / total)
+        last = F.coalesce(F.lag("begin").over(Window.partitionBy("part").orderBy("place")), F.element_at(F.create_map(*lasts), F.col("part")))
+        passed = placed.withColumn("passed", (F.col("begin") > 0) & (share(F.col("begin")) > share(last)))
+        # Literals with a backslash are not read alike everywhere; the text before it is as good a cut.
+        return sorted({tuple(r[n].split("\\")[0] for n in names) for r in passed.where("passed").select(*names).collect()})
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _from(cut: Sequence[str], keys: Sequence[str]) -> str:
+    """The condition that a row is at the cut or after it in the order of the keys."""
+    key, *finer = [f"COALESCE({k}, '')" for k in keys]
+    if not finer:
+        return f"{key} >= {_text(cut[0])}"
+    return f"({key} > {_text(cut[0])} OR ({key} = {_text(cut[0])} AND {_from(cut[1:], keys[1:])}))"
+
+
+def range_predicates(cuts: Sequence[Sequence[str]], months: Sequence[str] = (), keys: Sequence[str] = READ_KEYS) -> list[str]:
+    """WHERE clauses, disjoint and complete, that read a table in the parts between the cuts; by month where given.
+
+    Complete whatever the warehouse's order of texts; disjoint where that is the order of code points.
+    """
+    edges = [_from(cut, keys) for cut in cuts]
+    ranges = [" AND ".join(([low] if low else []) + ([f"NOT {high}"] if high else [])) for low, high in zip([None, *edges], [*edges, None])]
+    of_month = month_predicates(months, account_digits=False) or [""]
+    return [" AND ".join(x for x in (m, r) if x) or "1 = 1" for m in of_month for r in ranges]
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
@@ -118,8 +180,9 @@ def read_jdbc(
 ) -> DataFrame:
     """A warehouse table, one read task per predicate; they must be disjoint and complete.
 
-    Columns and the equality filters of :func:`extract` become part of the remote query. Where
-    one account holds much of a month, give predicates that also split its resources.
+    Columns and the equality filters of :func:`extract` become part of the remote query. Parts of equal
+    size come from :func:`read_cuts` over what is known of the table and :func:`range_predicates`, also
+    where one account holds much of a month; :func:`month_predicates` needs no knowledge of it.
     """
     if predicates:
         return spark.read.jdbc(url, table, predicates=list(predicates), properties=dict(properties))

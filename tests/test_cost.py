@@ -174,6 +174,28 @@ def test_warehouse_predicates_split_and_cover():
         cost_source.month_predicates(["x' OR 1=1"])
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_read_plan_cuts_heavy_accounts(spark, parts):
+    account = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("o'"), F.col("id") % 97, F.lit("\\x")))
+    resource = F.when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("r"), F.col("id") % 1009))
+    rows = spark.range(20_000).select(account.alias("lineitem_usageaccountid"), resource.alias("lineitem_resourceid"), (F.lit(202501) + F.col("id") % 2).cast("string").alias("billing_ym"), F.col("id").cast("string").alias("item"))
+    rows, keys = rows.repartition(9).cache(), (*cost_source.READ_KEYS, "item")  # a resource holds a fifteenth
+    cuts = cost_source.read_cuts(rows, parts, keys)
+    clauses = cost_source.range_predicates(cuts, keys=keys)
+    counts = [rows.where(c).count() for c in clauses]
+    assert sum(counts) == 20_000 and max(counts) <= 2 * 20_000 / parts
+    assert rows.where(" OR ".join(f"({c})" for c in clauses)).count() == 20_000
+    by_month = cost_source.range_predicates(cuts, ["2025-01", "2025-02"], keys)
+    assert len(by_month) == 2 * len(clauses) and sum(rows.where(c).count() for c in by_month[: len(clauses)]) == rows.where("billing_ym = '202501'").count()
+
+
+def test_read_plan_of_nothing(spark):
+    empty = spark.createDataFrame([], "lineitem_usageaccountid string, lineitem_resourceid string")
+    assert cost_source.range_predicates(cost_source.read_cuts(empty, 5)) == ["1 = 1"]
+    with pytest.raises(ValueError):
+        cost_source.read_cuts(empty, 0)
+
+
 @pytest.mark.parametrize(
     "usage, operation, category",
     [
