@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -491,9 +492,29 @@ register(
  WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
  QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1""",
 )
+def nfkc_sql(rows: str) -> str:
+    """(key, t) of (key, t) rows with compatibility forms replaced, letter by letter, and then composed.
+
+    The table of forms comes from the Unicode data that Python has: letters whose compatibility form
+    is not their composed form.
+    """
+    letters = (chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    forms = ((c, unicodedata.normalize("NFKC", c)) for c in letters)
+    plain = [(ord(c), f.replace("'", "''")) for c, f in forms if f != unicodedata.normalize("NFC", c)]
+    table = ", ".join(f"({i}, '{f}')" for i, f in plain)
+    return f"""WITH forms(i, form) AS (VALUES {table}), r AS ({rows}),
+ letters AS (SELECT key, unnest(regexp_extract_all(t, '(?s).')) AS c, generate_subscripts(regexp_extract_all(t, '(?s).'), 1) AS n FROM r),
+ folded AS (SELECT key, nfc_normalize(string_agg(coalesce(form, c), '' ORDER BY n)) AS t FROM letters LEFT JOIN forms ON i = ord(c) GROUP BY key)
+ SELECT r.key, CASE WHEN r.t = '' THEN '' ELSE folded.t END AS t FROM r LEFT JOIN folded USING (key)"""
+
+
+_FORMS = r"\u00b2 \uff21\uff42 \ufb01 e\u0301 \u1e9b\u0323 \u3392 \u2460 \uff07 \u212b \u0344 ".encode().decode("unicode_escape")
 register(
     "h04_nfkc",
-    lambda s, d: documents(s, d).select("doc_id", F.md5(nfkc_udf("text")).alias("text_md5")),
+    lambda s, d: documents(s, d).select("doc_id", F.md5(nfkc_udf(F.concat(F.lit(_FORMS), F.col("text")))).alias("text_md5")),
+    "SELECT key AS doc_id, md5(t) AS text_md5 FROM ("
+    + nfkc_sql(f"SELECT doc_id AS key, '{_FORMS}' || text AS t FROM documents")
+    + ")",
 )
 register(
     "h05_entity_decode",
