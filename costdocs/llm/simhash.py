@@ -244,12 +244,17 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents without their near copies: of every component the row with the smallest id stays.
 
-    Null ids come last, equal ids are told apart by their text, and of equal rows one stays.
+    Null ids come last, equal ids are told apart by their text; of rows equal in both, the one whose
+    columns come first in order stays. Only such rows are grouped; the texts of others move once.
     """
     rows = near_duplicates(docs, words, max_bits)
     first = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")
-    kept = rows.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.text_hash")
-    kept = staged(kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")), "kept")
+    equal = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("equal"))
+    kept = equal.groupBy("root").agg(F.min(F.struct(first.alias("first"), "equal")).alias("kept"))
+    kept = staged(kept.select(F.col("kept.first.doc_id").alias("_kept_id"), F.col("kept.first.text_hash").alias("_kept_hash"), F.col("kept.equal").alias("_equal")), "kept")
     keyed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = keyed["doc_id"].eqNullSafe(kept["_kept_id"]) & (keyed["_text_hash"] == kept["_kept_hash"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    found = keyed.join(kept, same)
+    one = found.where("_equal = 1").select(*docs.columns)
+    several = found.where("_equal > 1").groupBy("_kept_id", "_kept_hash").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.unionByName(several.select("row.*"))
