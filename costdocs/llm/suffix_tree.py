@@ -1,22 +1,26 @@
 """Operator 7: a probabilistic suffix tree over words, learnt from part of the corpus, scores all texts.
 
-Texts become chunks of word numbers with a dictionary each. The dictionaries, one row per chunk and
-word, meet by word for the counts, and go back to their chunks; so words move once per chunk and
-not once per occurrence, and nothing that grows with the vocabulary is sent whole to a task.
+Texts become chunks of word numbers with a dictionary each, a table that is written once and never
+moved. Counts are made in rounds. Every chunk sends the hashes of what it holds (words, then contexts
+with a next symbol) in order, as differences, with its own counts, to buckets of the range of
+hashes; a bucket adds up and answers each chunk in the same order. Only answers are written, in a
+folder per part of the chunk table, and a chunk's task reads its own. So words move once per chunk
+and not once per occurrence, and nothing that grows with the vocabulary is sent whole to a task.
 
 Contexts grow word by word. A context is a candidate if it occurs ``least`` times in the training
 texts, and a next symbol is kept if it does so together with its context; the counts do not depend on
 the size of the corpus, so the tree grows with it. (``min_context`` and ``min_pair`` raise them to
 shares of all training tokens.) A candidate is retained if the divergence of its next-symbol
 distribution from that of its longest retained suffix is at least ``divergence`` nats. The tree is
-never in one place: every chunk asks for the contexts and symbols that it holds, by hash, and is
-joined with their counts and sums, a level at a time. The probability of a symbol is
+never in one place: every chunk asks for the contexts and symbols that it holds, a level at a time.
+Contexts are up to ``depth`` words long; a further one costs a round, and a replay in each. The probability of a symbol is
 
     P(x | s) = (n(s, x) + (n(s) - kept(s) + mass) * P(x | suffix of s)) / (n(s) + mass)
 
 with n(s, x) = 0 for symbols that are not kept and P(x) = (c + 1) / (N + V + 1) at the root, so
 every distribution adds up to one. Words are told apart by a 64-bit hash of their bytes, and
-contexts by a 64-bit hash of those.
+contexts by a hash of those with 22 more bits than the number of tokens has, so that about one in four
+million meets another's.
 
 Cases: a null text is an empty one, which is its end token only. A null id trains (the check sum
 of its empty text). Repeated rows are scored, and learnt, one by one. Without training documents
@@ -25,19 +29,20 @@ every score is that of the root, log10 of one. An empty table gives no rows. Oth
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costdocs.llm.common import text_batches
-from costdocs.sources.scratch import remove, scratch_path
+from costdocs.llm.common import open_store, staged, text_batches
+from costdocs.sources.scratch import scratch_path
 
 CHUNK_TOKENS = 1 << 19
 WINDOW_TOKENS = 1 << 16  # rows that are sent at once
@@ -98,9 +103,9 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             flat = np.concatenate(parts)
             train = np.repeat(~np.array(held, bool), lengths)
             words = np.fromiter(map(xxhash.xxh64_intdigest, codes), np.uint64, len(codes)).view(np.int64)
-            counts = np.bincount(flat[train], minlength=len(codes)).astype("<i4")
+            counts = _pack(np.bincount(flat[train], minlength=len(codes)))
             number = (part << 32) + made
-            values = [number, ids, held, lengths, _pack(flat), words.tobytes(), counts.tobytes(), int(train.sum())]
+            values = [number, ids, held, lengths, _pack(flat), words.tobytes(), counts, int(train.sum())]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
@@ -128,48 +133,6 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(chunk, _CHUNK)
 
 
-def _dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            words, counts = np.frombuffer(row["words"], np.int64), np.frombuffer(row["counts"], "<i4").astype(np.int64)
-            columns = [np.full(len(words), row["chunk"]), np.arange(len(words), dtype=np.int32), words, counts]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "pos", "word", "n"])
-
-
-def word_counts(chunks: DataFrame, frequent: float) -> DataFrame:
-    """(chunk, pos, c, new, word): training count of each chunk's words; hashes of frequent ones only.
-
-    ``new`` marks one of a word's rows.
-    """
-    rows = chunks.select("chunk", "words", "counts").mapInArrow(_dictionaries, "chunk long, pos int, word long, n long")
-    same = Window.partitionBy("word")
-    total = F.sum("n").over(same)
-    rows = rows.withColumn("c", total).withColumn("new", F.min("chunk").over(same) == F.col("chunk"))
-    return rows.select("chunk", "pos", "c", "new", F.when(F.col("c") >= frequent, F.col("word")).alias("word"))
-
-
-_COUNTED = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, c binary, frequent binary, hashes binary, found array<binary>"
-
-
-def counted(chunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """Chunks with the count of each of their words, and the hashes of the frequent ones."""
-
-    def attach(left: pa.Table, right: pa.Table) -> pa.Table:
-        pos = right["pos"].to_numpy()
-        c = np.zeros(len(pos), np.int64)
-        c[pos] = right["c"].to_numpy()
-        named = right.filter(right["word"].is_valid())
-        blobs = [c.tobytes(), named["pos"].to_numpy().astype("<i4").tobytes(), named["word"].to_numpy().astype("<i8").tobytes()]
-        kept = left.select(["chunk", "doc_ids", "held", "lengths", "codes"])
-        for name, blob in zip(("c", "frequent", "hashes"), blobs):
-            kept = kept.append_column(name, pa.array([blob], pa.binary()))
-        return kept.append_column("found", pa.array([[]], pa.list_(pa.binary())))
-
-    slim = chunks.select("chunk", "doc_ids", "held", "lengths", "codes")
-    pairs = slim.groupBy("chunk").cogroup(counts.select("chunk", "pos", "c", "word").groupBy("chunk"))
-    return pairs.applyInArrow(attach, _COUNTED)
-
-
 @dataclass
 class Grams:
     """A chunk's contexts of one length and what follows them, numbered in the chunk."""
@@ -200,6 +163,12 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order of first use, the number of each value)."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+
+
 def _squeeze(values: np.ndarray) -> bytes:
     """Numbers of eight bytes by byte planes, compressed."""
     import zstandard
@@ -215,39 +184,51 @@ def _unsqueeze(raw: bytes, kind: type) -> np.ndarray:
 
 
 class _Chunk:
-    """A chunk and what it was told of its contexts, level by level."""
+    """A chunk and what it was told, round by round: counts of its words, then of its contexts' entries, and sums."""
 
-    def __init__(self, row: dict, train: int, vocabulary: int, growth: Growth):
-        self.row, self.growth, self.floors = row, growth, growth.floors(train)
-        self.codes = _unpack(row["codes"]).astype(np.int64)
+    def __init__(self, row: dict, told: list[dict], learnt: Learnt, growth: Growth):
+        self.row, self.told, self.learnt, self.growth = row, told, learnt, growth
+        self.floors = growth.floors(learnt.train)
+        self.words = np.frombuffer(row["words"], "<i8").view(np.uint64)
         self.lengths = np.array(row["lengths"], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        self.c = np.frombuffer(row["c"], np.int64)
-        self.root = (self.c + 1.0) / (train + vocabulary + 1.0)
-        self.chance = self.root[self.codes]
-        self.hashes = np.zeros(len(self.c), np.uint64)
-        self.known = np.zeros(len(self.c), bool)
-        frequent = np.frombuffer(row["frequent"], "<i4")
-        self.hashes[frequent], self.known[frequent] = np.frombuffer(row["hashes"], "<i8").view(np.uint64), True
+        self.codes = _unpack(row["codes"]).astype(np.int64)
+        if told:
+            self.c = np.zeros(len(self.words), np.int64)
+            self.c[np.argsort(self.words, kind="stable")] = np.abs(told[0]["n"])
+            self.root = (self.c + 1.0) / (learnt.train + learnt.vocabulary + 1.0)
+            self.chance = self.root[self.codes]
+            self.known = self.c >= self.floors[1]
+
+    def order(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, short keys in order) in which keys are sent and answered."""
+        short = keys >> np.uint64(64 - self.learnt.bits)
+        order = np.argsort(short, kind="stable")
+        return order, short[order]
 
     def first(self) -> Grams:
         number = np.where(self.known & (self.c >= self.floors[0]), np.arange(len(self.c)), -1)
         number[0] = -1  # the end of a text is before no symbol
-        return self._grams(_mixed(self.hashes), self.c, number[self.codes])
+        return self._grams(_mixed(self.words), self.c, number[self.codes], self.known[self.codes])
 
     def next(self, grams: Grams, n: np.ndarray) -> Grams:
-        """The contexts one longer, after the counts of the entries are known."""
+        """The contexts one longer, after the counts of the entries are known.
+
+        A symbol that is not kept after a context is not frequent enough after any longer one, so it is not asked for.
+        """
         number = np.where((n >= self.floors[0]) & (grams.symbol != 0), np.arange(len(n)), -1)
         here = np.full(len(self.codes), -1)
         here[grams.at] = number[grams.entry]
-        return self._grams(grams.keys, n, here)
+        kept = np.zeros(len(self.codes), bool)
+        kept[grams.at] = n[grams.entry] > 0
+        return self._grams(grams.keys, n, here, kept)
 
-    def _grams(self, keys: np.ndarray, totals: np.ndarray, here: np.ndarray) -> Grams:
+    def _grams(self, keys: np.ndarray, totals: np.ndarray, here: np.ndarray, kept: np.ndarray) -> Grams:
         before = _after(here, self.begins)
-        at = np.flatnonzero((before >= 0) & self.known[self.codes])
-        pairs, entry = np.unique(before[at] * len(self.c) + self.codes[at], return_inverse=True)
+        at = np.flatnonzero((before >= 0) & kept)
+        pairs, entry = _numbered(before[at] * len(self.c) + self.codes[at])
         context, symbol = pairs // max(1, len(self.c)), pairs % max(1, len(self.c))
-        return Grams(keys, totals, before, at, entry.ravel(), context, symbol, _mixed(keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[symbol]))
+        return Grams(keys, totals, before, at, entry, context, symbol, _mixed(keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.words[symbol]))
 
     def train_counts(self, grams: Grams) -> np.ndarray:
         train = np.repeat(~np.array(self.row["held"], bool), self.lengths)
@@ -262,12 +243,9 @@ class _Chunk:
         kept, lower, gain = (np.bincount(context, x, size) for x in (n, q, p * np.log(p / q)))
         return kept.astype(np.int64), lower.astype(float), gain.astype(float)
 
-    def lengthen(self, grams: Grams, n: np.ndarray, sums: np.ndarray) -> None:
-        """The probabilities of all positions with the contexts of one more length."""
-        kept, q_kept, gain = sums.reshape(3, -1)
-        total, mass = np.maximum(grams.totals, 1), self.growth.mass
-        rest = np.maximum(0.0, 1 - kept / total)
-        retained = (kept > 0) & (gain + rest * np.log(np.maximum(rest, 1e-300) / np.maximum(1e-300, 1 - q_kept)) >= self.growth.divergence)
+    def lengthen(self, grams: Grams, n: np.ndarray, kept: np.ndarray) -> None:
+        """The probabilities of all positions with the contexts of one more length; ``kept`` is 0 where one is not retained."""
+        total, mass, retained = np.maximum(grams.totals, 1), self.growth.mass, kept > 0
         back = np.where(retained, (total - kept + mass) / (total + mass), 1.0)
         some = np.flatnonzero(grams.before >= 0)
         self.chance[some] *= back[grams.before[some]]
@@ -276,166 +254,185 @@ class _Chunk:
 
     def replay(self) -> tuple[Grams | None, Grams | None, np.ndarray]:
         """The level to count, the counted level whose sums are unknown, and its counts; negative ones are others' to add."""
-        found, level, last, signed = self.row["found"], self.first(), None, np.zeros(0, np.int64)
-        for depth in range(self.growth.depth):
-            if len(found) <= 2 * depth:
-                return level, last, signed
-            signed, last = _unsqueeze(found[2 * depth], np.int64), level
-            n = np.abs(signed)
-            if len(found) > 2 * depth + 1:
-                self.lengthen(level, n, _unsqueeze(found[2 * depth + 1], np.float64))
+        level, last, signed = self.first(), None, np.zeros(0, np.int64)
+        for depth, told in enumerate(self.told[1:], 1):
+            if last is not None:  # the sums of a level come with the counts of the next
+                kept = np.zeros(len(last.totals), np.int64)
+                kept[self.used(last)[0]] = told["kept"]
+                self.lengthen(last, np.abs(signed), kept)
                 last = None
-            level = self.next(level, n) if depth + 1 < self.growth.depth else None
-        return None, last, signed
+            if level is None:
+                break
+            last, signed = level, np.zeros(len(level.keys), np.int64)
+            signed[self.order(level.keys)[0]] = told["n"]
+            level = self.next(level, np.abs(signed)) if depth < self.growth.depth else None
+        return level, last, signed
 
+    def used(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts that the chunk holds, in the order of their short keys, and these."""
+        used = np.flatnonzero(np.bincount(grams.before[grams.before >= 0], minlength=len(grams.totals)))
+        order, short = self.order(grams.context_keys[used])
+        return used[order], short
 
-_SETS = "entry boolean, bucket int, chunk long, keys binary, n binary, q binary, gain binary"
+
+@dataclass(frozen=True)
+class Learnt:
+    """Numbers of the whole training part, and the bits of a short key."""
+
+    train: int
+    vocabulary: int
+    bits: int
+
+
+_SETS = "entry boolean, bucket int, chunk long, keys binary, n binary, total binary, q binary, gain binary"
+_ANSWERS = "entry boolean, bucket int, chunk long, n binary, fresh long, part long"
 BUCKET_TOKENS = 1 << 21
+SPARE_BITS = 22
 
 
-def _used(grams: Grams) -> np.ndarray:
-    """The contexts that the chunk holds, in order of their hashes."""
-    used = np.unique(grams.before)
-    used = used[used >= 0]
-    return used[np.argsort(grams.context_keys[used], kind="stable")]
+def _answers_of(folders: list[str], part: int) -> list[dict[int, list[dict]]]:
+    """By round, the answers to each chunk of a part, in the order of buckets."""
+    out = []
+    for folder in folders:
+        fs, path = open_store(f"{folder}/part={part}")
+        rows: dict[int, list[dict]] = {}
+        for file in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)):
+            if file.path.endswith(".parquet"):
+                for row in pq.read_table(file.path, filesystem=fs, partitioning=None).to_pylist():
+                    rows.setdefault(row["chunk"], []).append(row)
+        out.append({chunk: sorted(some, key=lambda r: r["bucket"]) for chunk, some in rows.items()})
+    return out
 
 
-def asked(chunks: DataFrame, train: int, vocabulary: int, growth: Growth, buckets: int) -> DataFrame:
-    """What every chunk adds, and asks for: counts of its next entries, sums of its last contexts.
+def _told(rows: list[dict]) -> dict[str, np.ndarray]:
+    """A round's answers to one chunk."""
 
-    Hashes go in order, as differences, to the bucket that has their part of the range.
-    """
+    def values(entry: bool) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(_unsqueeze(r["n"], np.int64) for r in rows if r["entry"] == entry)])
+
+    return {"n": values(True), "kept": values(False)}
+
+
+def _each_chunk(folders: list[str], learnt: Learnt, growth: Growth, answer):
+    """A function over batches of the chunk table; answers are read once per part and let go after it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _SETS.split(", ")]
-        kinds = [pa.bool_(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        part, found = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Chunk(row, train, vocabulary, growth)
-                level, last, signed = chunk.replay()
-                sets = []
-                if level is not None:
-                    order = np.argsort(level.keys, kind="stable")
-                    sets.append((True, level.keys[order], [chunk.train_counts(level)[order]]))
-                if last is not None:
-                    used = _used(last)
-                    sets.append((False, last.context_keys[used], [x[used] for x in chunk.sums(last, signed)]))
-                for entry, keys, values in sets:
-                    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                    rows = []
-                    for first, last_ in zip(*(np.searchsorted(bucket, np.unique(bucket), side) for side in ("left", "right"))):
-                        steps = np.diff(keys[first:last_], prepend=np.uint64(0))
-                        blobs = [_squeeze(x[first:last_]) for x in values]
-                        rows.append([entry, int(bucket[first]), row["chunk"], _squeeze(steps), *blobs, *[None] * (3 - len(blobs))])
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
-
-    return chunks.mapInArrow(scan, _SETS)
-
-
-def told(chunks: DataFrame, train: int, vocabulary: int, growth: Growth, buckets: int) -> DataFrame:
-    """The chunks with the counts of one more level, and the sums of the level before it."""
-    floor = growth.floors(train)[1]
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["chunk"] >> 32 != part:
+                    part = row["chunk"] >> 32
+                    found = _answers_of(folders, part)
+                yield from answer(_Chunk(row, [_told(rows.pop(row["chunk"], [])) for rows in found], learnt, growth))
+
+    return scan
+
+
+def _sent(buckets: int):
+    """What a chunk adds, and asks for: counts of its words or next entries, sums of its last contexts."""
+    names = [x.split()[0] for x in _SETS.split(", ")]
+    kinds = [pa.bool_(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+
+    def send(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
+        sets = []
+        if not chunk.told:
+            order = np.argsort(chunk.words, kind="stable")
+            sets.append((True, chunk.words[order], 64, [_unpack(chunk.row["counts"]).astype(np.int64)[order]]))
+        else:
+            level, last, signed = chunk.replay()
+            bits = chunk.learnt.bits
+            if level is not None:
+                order, short = chunk.order(level.keys)
+                sets.append((True, short, bits, [chunk.train_counts(level)[order]]))
+            if last is not None:
+                used, short = chunk.used(last)
+                kept, lower, gain = chunk.sums(last, signed)
+                sets.append((False, short, bits, [x[used] for x in (kept, last.totals, lower, gain)]))
+        for entry, keys, bits, values in sets:
+            high = keys >> np.uint64(bits - 32) if bits > 32 else keys << np.uint64(32 - bits)
+            bucket = (high * np.uint64(buckets)) >> np.uint64(32)
+            rows = []
+            for first, end in zip(*(np.searchsorted(bucket, np.unique(bucket), side) for side in ("left", "right"))):
+                steps = np.diff(keys[first:end], prepend=np.uint64(0))
+                blobs = [_squeeze(x[first:end]) for x in values]
+                rows.append([entry, int(bucket[first]), chunk.row["chunk"], _squeeze(steps), *blobs, *[None] * (4 - len(blobs))])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+    return send
+
+
+def _met(floor: float, divergence: float):
+    """Counts of all chunks, and of their contexts the kept counts, 0 for those that are not retained.
+
+    Counts of entries are negative where an earlier chunk has the same entry.
+    """
 
     def meet(rows: pa.Table) -> pa.Table:
-        """Counts and sums of all chunks; counts are negative where an earlier chunk has the same entry."""
         rows = rows.sort_by("chunk")
         keys = [np.cumsum(_unsqueeze(x, np.uint64), dtype=np.uint64) for x in rows["keys"].to_pylist()]
         ends = np.cumsum([len(x) for x in keys])[:-1]
-        _, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        of = of.ravel()
+        distinct, of = _numbered(np.concatenate(keys))
+        size = len(distinct)
+        first = np.empty(size, np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
 
         def total(name: str, kind: type) -> np.ndarray:
-            values = np.concatenate([_unsqueeze(x, kind) for x in rows[name].to_pylist()])
-            return np.bincount(of, values, len(first))
+            return np.bincount(of, np.concatenate([_unsqueeze(x, kind) for x in rows[name].to_pylist()]), size)
 
-        n = total("n", np.int64).astype(np.int64)
+        n, fresh = total("n", np.int64).astype(np.int64), np.zeros(len(keys), np.int64)
+        fresh[0] = np.count_nonzero(n)
         if rows["entry"][0].as_py():
             n[n < floor] = 0
-            signed = -n[of]
-            signed[first] = n
-            blobs = [[_squeeze(x) for x in np.split(signed, ends)], [None] * len(keys), [None] * len(keys)]
+            answer = -n[of]
+            answer[first] = n
         else:
-            blobs = [[_squeeze(y) for y in np.split(x[of], ends)] for x in (n, total("q", np.float64), total("gain", np.float64))]
-        columns = [rows["entry"], rows["bucket"], rows["chunk"], pa.array([None] * len(keys), pa.binary()), *(pa.array(b, pa.binary()) for b in blobs)]
-        return pa.table(columns, names=[x.split()[0] for x in _SETS.split(", ")])
-
-    def attach(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return left
-        row = left.to_pylist()[0]
-        level, last, _ = _Chunk(row, train, vocabulary, growth).replay()
-        found, sets = list(row["found"]), sorted(right.to_pylist(), key=lambda r: r["bucket"])
-
-        def values(entry: bool, name: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.zeros(0, kind), *(_unsqueeze(r[name], kind) for r in sets if r["entry"] == entry)])
-
-        if last is not None:
-            sums = np.zeros((3, len(last.totals)))
-            for at, (name, kind) in enumerate((("n", np.int64), ("q", np.float64), ("gain", np.float64))):
-                sums[at, _used(last)] = values(False, name, kind)
-            found.append(_squeeze(sums))
-        if level is not None:
-            counts = np.zeros(len(level.keys), np.int64)
-            counts[np.argsort(level.keys, kind="stable")] = values(True, "n", np.int64)
-            found.append(_squeeze(counts))
-        return left.set_column(left.column_names.index("found"), "found", pa.array([found], pa.list_(pa.binary())))
-
-    rows = asked(chunks, train, vocabulary, growth, buckets).groupBy("entry", "bucket").applyInArrow(meet, _SETS)
-    return chunks.groupBy("chunk").cogroup(rows.select("chunk", "entry", "bucket", "n", "q", "gain").groupBy("chunk")).applyInArrow(attach, _COUNTED)
+            whole = np.concatenate([_unsqueeze(x, np.int64) for x in rows["total"].to_pylist()])[first]
+            rest = np.maximum(0.0, 1 - n / np.maximum(whole, 1))
+            gain = total("gain", np.float64) + rest * np.log(np.maximum(rest, 1e-300) / np.maximum(1e-300, 1 - total("q", np.float64)))
+            answer = np.where(gain >= divergence, n, 0)[of]
+        blobs = [_squeeze(x) for x in np.split(answer, ends)]
+        part = np.array(rows["chunk"].to_pylist(), np.int64) >> 32
+        columns = [rows["entry"], rows["bucket"], rows["chunk"], pa.array(blobs, pa.binary()), pa.array(fresh), pa.array(part)]
+        return pa.table(columns, names=[x.split()[0] for x in _ANSWERS.split(", ")])
+
+    return meet
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(chunks: DataFrame, train: int, vocabulary: int, growth: Growth) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = _Chunk(row, train, vocabulary, growth)
-                chunk.replay()
-                begins, base = chunk.begins, np.log10(chunk.root)
-                columns = [
-                    pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(row["held"], pa.bool_()),
-                    pa.array(chunk.lengths),
-                    pa.array(np.add.reduceat((chunk.c > 0).astype(np.int64)[chunk.codes], begins)),
-                    pa.array(np.full(len(begins), train)),
-                    pa.array(np.add.reduceat(base[chunk.codes], begins)),
-                    pa.array(np.add.reduceat(np.log10(chunk.chance), begins)),
-                ]
-                whole = pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCORES.split(", ")])
-                for at in range(0, len(begins), WINDOW_TOKENS):
-                    yield whole.slice(at, WINDOW_TOKENS)
-
-    return chunks.mapInArrow(scan, _SCORES)
+def _scored(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
+    chunk.replay()
+    begins, base = chunk.begins, np.log10(chunk.root)
+    columns = [
+        pa.array(chunk.row["doc_ids"], pa.int64()),
+        pa.array(chunk.row["held"], pa.bool_()),
+        pa.array(chunk.lengths),
+        pa.array(np.add.reduceat((chunk.c > 0).astype(np.int64)[chunk.codes], begins)),
+        pa.array(np.full(len(begins), chunk.learnt.train)),
+        pa.array(np.add.reduceat(base[chunk.codes], begins)),
+        pa.array(np.add.reduceat(np.log10(chunk.chance), begins)),
+    ]
+    whole = pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCORES.split(", ")])
+    for at in range(0, len(begins), WINDOW_TOKENS):
+        yield whole.slice(at, WINDOW_TOKENS)
 
 
 def suffix_tree_scores(docs: DataFrame, growth: Growth = Growth(), chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Scores of all documents by a tree learnt from the documents that are not held out."""
-    spark, paths = docs.sparkSession, []
-
-    def kept(df: DataFrame, label: str) -> DataFrame:
-        paths.append(scratch_path(spark, label))
-        df.write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1])
-
-    def only_last() -> None:
-        while len(paths) > 1:
-            remove(spark, paths.pop(0))
-        # Else the shuffle files of all steps stay until the driver happens to collect its garbage, Python's and Java's.
-        gc.collect()
-        spark._jvm.System.gc()
-
-    chunks = kept(chunked(docs, chunk_tokens), "chunks")
+    spark = docs.sparkSession
+    chunks = staged(chunked(docs, chunk_tokens), "chunks")
     lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    sizes = chunks.agg(F.sum("train"), F.sum(lengths)).first()
-    train, buckets = sizes[0] or 0, -(-(sizes[1] or 1) // BUCKET_TOKENS)
-    counts = kept(word_counts(chunks, growth.floors(train)[1]), "word-counts")
-    vocabulary = counts.where(F.col("new") & (F.col("c") > 0)).count()
-    ready = kept(counted(chunks, counts), "counted-chunks")
-    only_last()
-    for _ in range(growth.depth + 1):  # counts of a level come with the sums of the one before
-        ready = kept(told(ready, train, vocabulary, growth, buckets), "told-chunks")
-        only_last()
-    return score(ready, train, vocabulary, growth)
+    train, tokens = (x or 0 for x in chunks.agg(F.sum("train"), F.sum(lengths)).first())
+    buckets = max(1, -(-tokens // BUCKET_TOKENS))
+    learnt, folders = Learnt(train, 0, min(64, tokens.bit_length() + SPARE_BITS)), []
+    for turn in range(growth.depth + 2):  # words, a level each, and the last level's sums
+        sets = chunks.mapInArrow(_each_chunk(folders, learnt, growth, _sent(buckets)), _SETS)
+        answers = sets.groupBy("entry", "bucket").applyInArrow(_met(growth.floors(train)[1] if turn else 0, growth.divergence), _ANSWERS)
+        folders = [*folders, scratch_path(spark, f"answers-{turn}")]
+        answers.repartition("part").write.partitionBy("part").parquet(folders[-1])
+        if not turn:
+            learnt = replace(learnt, vocabulary=spark.read.schema("fresh long").parquet(folders[0]).agg(F.sum("fresh")).first()[0] or 0)
+    return chunks.mapInArrow(_each_chunk(folders, learnt, growth, _scored), _SCORES)
