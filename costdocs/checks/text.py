@@ -223,14 +223,29 @@ register(
     lambda s, d: page_source.read_link_urls(s, structure_files(s, d)),
     f"SELECT DISTINCT url FROM ({_LINKS_SQL})",
 )
+
+
+def stored_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written records, all fields of each as text, and how often each occurs."""
+    records = spark.read.schema(page_source.STRUCTURE_SCHEMA).json(structure_files(spark, sf_dir))
+    levels = [F.array_join(F.col("headers")[h], "|").alias(h.lower()) for h in ("H1", "H2", "H3")]
+    found = F.array_join(F.transform("sagemaker_links", lambda x: F.concat_ws(">", x["text"], x["url"], x["href"])), "|").alias("links")
+    services = F.array_join(F.array_sort("found_services"), "|").alias("services")
+    fields = records.select("title", *levels, "sagemaker_links_count", "found_services_count", services, found)
+    return fields.groupBy(*fields.columns).agg(F.count("*").alias("n"))
+
+
+_LEVEL_SQL = f"string_agg({_SHOWN.format('text')}, '|' ORDER BY position) FILTER (level = '{{}}')"
 register(
     "a14_structure_files",
-    lambda s, d: s.read.schema(page_source.STRUCTURE_SCHEMA)
-    .json(structure_files(s, d))
-    .groupBy("sagemaker_links_count")
-    .agg(F.count("*").alias("n")),
-    f"""SELECT coalesce(l.n, 0) AS sagemaker_links_count, count(*) AS n FROM pages p
- LEFT JOIN (SELECT page_id, count(*) AS n FROM ({_LINKS_SQL}) GROUP BY 1) l ON p.page_id = l.page_id GROUP BY 1""",
+    stored_structures,
+    f"""SELECT title, h1, h2, h3, sagemaker_links_count, found_services_count, services, links, count(*) AS n FROM (
+ SELECT coalesce(nullif(trim({_SHOWN.format(TITLE_SQL)}, {_SPACE}), ''), 'Unknown') AS title, coalesce(h1, '') AS h1, coalesce(h2, '') AS h2, coalesce(h3, '') AS h3,
+  coalesce(l.n, 0) AS sagemaker_links_count, coalesce(s.n, 0) AS found_services_count, coalesce(services, '') AS services, coalesce(links, '') AS links FROM pages p
+ LEFT JOIN (SELECT page_id, {', '.join(f"{_LEVEL_SQL.format(h)} AS {h.lower()}" for h in ("H1", "H2", "H3"))} FROM ({ORACLES['i04_headings']}) GROUP BY 1) h ON p.page_id = h.page_id
+ LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(text || '>' || url || '>' || href, '|' ORDER BY position) AS links FROM ({_LINKS_SQL}) GROUP BY 1) l ON p.page_id = l.page_id
+ LEFT JOIN (SELECT page_id, count(*) AS n, string_agg(service, '|' ORDER BY service) AS services FROM ({_SERVICES_SQL}) GROUP BY 1) s ON p.page_id = s.page_id)
+ GROUP BY ALL""",
 )
 
 # ---- sections and chunks -----------------------------------------------------------------
