@@ -4,7 +4,7 @@ Every corpus task keeps the best ``k`` hits per query while it scans, so what is
 is (tasks x queries x k) small rows, never one row per query and corpus vector, and never a
 corpus vector. The query vectors travel to the tasks as one matrix as long as their counted
 rows and bytes allow it; larger query tables are written in blocks to the shared folder, and
-the corpus is scanned once per block, where it lies.
+the corpus is scanned once, where it lies: for every part that a task holds, the blocks are read.
 
 Scores are not rounded: candidates are found by matrix products, and each is then scored
 again by itself, so that equal vectors get equal scores wherever they lie.
@@ -12,7 +12,9 @@ again by itself, so that equal vectors get equal scores wherever they lie.
 
 from __future__ import annotations
 
+import posixpath
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from costdocs.sources.scratch import open_files, scratch_path
 MAX_LOCAL_QUERIES = 4096  # query vectors that are sent whole to every task,
 BLOCK_BYTES = 64 << 20  # if they have at most so many bytes; also those of one block
 MAX_HIT_ROWS = 1_000_000  # hits up to this many rows are sent to the tasks that hold the texts
+PART_BYTES = 128 << 20  # unit rows of the corpus that a task holds while it reads the blocks
 CELLS = 1 << 20  # scores held at a time while scanning
 SLACK = 1e-9  # by which a product may be off
 
@@ -134,15 +137,32 @@ def _local_scan(query_ids: np.ndarray, matrix: np.ndarray, k: int, schema: pa.Sc
     return scan
 
 
+def _held_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids and unit rows of a task's corpus, as much at a time as is held."""
+    part, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            part.append((_plain(batch.column(0)), _unit_rows(batch.column(1))))
+            size += part[-1][1].nbytes
+        if size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _block_scan(folder: str, k: int, schema: pa.Schema) -> Callable:
-    """The scan for a block of queries that the task reads from the shared folder."""
+    """The scan for all blocks of queries: for every part of the corpus they are read one after the other."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, files = open_files(folder)
-        tables = [pa.parquet.read_table(name, filesystem=fs, partitioning=None) for name in files]
-        if tables:
-            queries = pa.concat_tables(tables)
-            yield from _local_scan(_plain(queries["query_id"]), _unit_rows(queries["query_vector"]), k, schema)(batches)
+        fs, files = open_files(folder, recursive=True)
+        for part in _held_parts(batches):
+            for _, block in groupby(files, posixpath.dirname):
+                queries = pa.concat_tables([pa.parquet.read_table(name, filesystem=fs, partitioning=None) for name in block])
+                best = _Best(_unit_rows(queries["query_vector"]), k)
+                for ids, rows in part:
+                    best.add(ids, rows)
+                yield from best.table(_plain(queries["query_id"]), schema).to_batches()
 
     return scan
 
@@ -175,8 +195,10 @@ def top_k(
     else:
         hits = _block_hits(left, right, k, schema, out, block_bytes)
     ranked = first_rows(hits, k, [F.desc("raw_score"), F.col("id")], ["query_id"])
-    # The number of hits is known here: a few of them go to the tables they are joined with.
-    return F.broadcast(ranked) if small is not None and head.num_rows * k <= MAX_HIT_ROWS else ranked
+    # The number of hits is known here: a few of them go to the tables they are joined with. Hits with ids of any
+    # length are weighed when the join runs.
+    fixed = not any(isinstance(kind, T.StringType) for kind in kinds.values())
+    return F.broadcast(ranked) if fixed and small is not None and head.num_rows * k <= MAX_HIT_ROWS else ranked
 
 
 def _whole(table: DataFrame, vector: str) -> DataFrame:
@@ -185,18 +207,14 @@ def _whole(table: DataFrame, vector: str) -> DataFrame:
 
 
 def _block_hits(left: DataFrame, right: DataFrame, k: int, schema: pa.Schema, out: T.StructType, block_bytes: int) -> DataFrame:
-    """Hits of a large query table: one scan of the corpus per block of queries, nothing of it moved."""
+    """Hits of a large query table: one scan of the corpus, nothing of it moved, the queries read block by block."""
     spark = left.sparkSession
-    rows, size = weigh(right)
+    _, size = weigh(right)
     blocks = max(1, -(-size // block_bytes))
     path = scratch_path(spark, "query-blocks")
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     right.withColumn("_block", block).repartition("_block").write.partitionBy("_block").parquet(path)
-    found = [r[0] for r in spark.read.parquet(path).select("_block").distinct().orderBy("_block").collect()] if rows else []
-    hits = spark.createDataFrame([], out)
-    for number in found:
-        hits = hits.unionByName(left.mapInArrow(_block_scan(f"{path}/_block={number}", k, schema), out))
-    return hits
+    return left.mapInArrow(_block_scan(path, k, schema), out)
 
 
 def scored(hits: DataFrame) -> DataFrame:

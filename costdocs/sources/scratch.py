@@ -44,7 +44,7 @@ def scratch_table(spark: SparkSession, label: str) -> Iterator[str]:
         remove(spark, path)
 
 
-def open_files(folder: str) -> tuple[pyarrow.fs.FileSystem, list[str]]:
-    """The file system of a shared table's folder and its Parquet files, for a task that reads them."""
+def open_files(folder: str, recursive: bool = False) -> tuple[pyarrow.fs.FileSystem, list[str]]:
+    """The file system of a shared table's folder and its Parquet files in order, for a task that reads them."""
     fs, path = pyarrow.fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
-    return fs, sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.path.endswith(".parquet"))
+    return fs, sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=recursive)) if f.path.endswith(".parquet"))
