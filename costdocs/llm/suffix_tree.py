@@ -195,16 +195,15 @@ class _Chunk:
         self.codes = _unpack(row["codes"]).astype(np.int64)
         if told:
             self.c = np.zeros(len(self.words), np.int64)
-            self.c[np.argsort(self.words, kind="stable")] = np.abs(told[0]["n"])
+            self.c[np.argsort(self.words)] = np.abs(told[0]["n"])
             self.root = (self.c + 1.0) / (learnt.train + learnt.vocabulary + 1.0)
             self.chance = self.root[self.codes]
             self.known = self.c >= self.floors[1]
 
     def order(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(order, short keys in order) in which keys are sent and answered."""
-        short = keys >> np.uint64(64 - self.learnt.bits)
-        order = np.argsort(short, kind="stable")
-        return order, short[order]
+        order = np.argsort(keys)  # of whole keys, which are distinct, so any way of sorting gives the same
+        return order, keys[order] >> np.uint64(64 - self.learnt.bits)
 
     def first(self) -> Grams:
         number = np.where(self.known & (self.c >= self.floors[0]), np.arange(len(self.c)), -1)
@@ -337,7 +336,7 @@ def _sent(buckets: int):
     def send(chunk: _Chunk) -> Iterator[pa.RecordBatch]:
         sets = []
         if not chunk.told:
-            order = np.argsort(chunk.words, kind="stable")
+            order = np.argsort(chunk.words)
             sets.append((True, chunk.words[order], 64, [_unpack(chunk.row["counts"]).astype(np.int64)[order]]))
         else:
             level, last, signed = chunk.replay()
