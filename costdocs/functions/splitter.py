@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from costdocs.functions.batches import by_pieces
 from costdocs.functions.text import strip_space
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -75,10 +75,7 @@ def split_text(
 
 
 def split_column(c: Column, size: int = 1200, overlap: int = 120, separators: Sequence[str] = SEPARATORS) -> Column:
-    @F.pandas_udf(CHUNKS_TYPE)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap, separators))
-
+    run = by_pieces(lambda t: split_text(t, size, overlap, separators), CHUNKS_TYPE)
     # Otherwise the filter that goes with explode would run the function a second time.
     return run.asNondeterministic()(c)
 
