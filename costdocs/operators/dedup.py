@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from costdocs.functions.text import strip_space
-from costdocs.operators.joins import lookup_join
+from costdocs.operators.joins import bounded_copy
 
 
 def keep_first(df: DataFrame, key: Column, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -41,11 +41,30 @@ def dedup_by_hash(df: DataFrame, order: Sequence[str], hash_column: str = "text_
     return keep_first(df, F.col(hash_column), order)
 
 
-def drop_known(df: DataFrame, store: DataFrame, hash_column: str = "text_hash") -> DataFrame:
-    """Rows whose hash is not in the store. Run it after :func:`dedup_by_hash`: then no hash is hot.
+def _stored_hashes(df: DataFrame, store: DataFrame, hash_column: str) -> DataFrame:
+    """The store's hashes that rows of the batch can have, in one column.
 
     The batch's hashes go to the store as long as they are small, so that a small batch does not
-    move a large store; only hashes that are in both then meet the batch.
+    move a large store. Larger ones leave all of the store's; they are merged in the map tasks, not salted.
+    """
+    hashes, small = store.select(hash_column), bounded_copy(df.select(hash_column).distinct())
+    return hashes if small is None else hashes.join(F.broadcast(small), hash_column, "left_semi")
+
+
+def dedup_unknown(df: DataFrame, store: DataFrame, order: Sequence[str], hash_column: str = "text_hash") -> DataFrame:
+    """:func:`dedup_by_hash` and :func:`drop_known` with one shuffle of the rows.
+
+    The store's hashes meet the rows as marks without values, in the same merging by hash. Rows
+    without a hash are a group like any other, and never known.
     """
-    known = lookup_join(store.select(hash_column), df.select(hash_column).distinct(), [hash_column], "left_semi")
-    return df.join(known, hash_column, "left_anti").select(*df.columns)
+    rest = [c for c in df.columns if c not in order]
+    rows = df.select(F.col(hash_column).alias("_key"), F.struct(*order, *rest).alias("_row"), F.lit(False).alias("_known"))
+    hashes = _stored_hashes(df, store, hash_column).where(F.col(hash_column).isNotNull())
+    marks = hashes.select(F.col(hash_column).alias("_key"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_known"))
+    first = rows.unionByName(marks).groupBy("_key").agg(F.min("_row").alias("_row"), F.max("_known").alias("_known"))
+    return first.where(~F.col("_known")).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
+def drop_known(df: DataFrame, store: DataFrame, hash_column: str = "text_hash") -> DataFrame:
+    """Rows whose hash is not in the store. Run it after :func:`dedup_by_hash`: then no hash is hot."""
+    return df.join(_stored_hashes(df, store, hash_column).distinct(), hash_column, "left_anti").select(*df.columns)

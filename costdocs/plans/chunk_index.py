@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from costdocs.operators.chunks import attach_metadata, chunk, chunk_manifest, flat_metadata, sections
-from costdocs.operators.dedup import dedup_by_hash, drop_known, with_text_hash
+from costdocs.operators.dedup import dedup_by_hash, dedup_unknown, with_text_hash
 from costdocs.plans import chunk_store
 from costdocs.sources.pages import page_source
 from costdocs.sources.scratch import scratch_table
@@ -43,11 +43,12 @@ def new_chunks(chunks: DataFrame, near: Callable[[DataFrame], DataFrame | None]
     """Chunks whose text is neither in the store nor earlier in the batch, flattened for storage.
 
     Only md5 and order decide; copies are merged inside the map tasks before any shuffle. ``near`` gives
-    the stored rows that hashed rows may be equal to.
+    the stored rows that hashed rows may be equal to. Hashes alone are compared with the store; those that
+    it has take part in the merging, so that the texts are moved once for both.
     """
     flat = flat_metadata(with_text_hash(chunks))
-    first, store = dedup_by_hash(flat, ORDER), near(flat)
-    return first if store is None else drop_known(first, store)
+    store = near(flat)
+    return dedup_by_hash(flat, ORDER) if store is None else dedup_unknown(flat, store, ORDER)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
