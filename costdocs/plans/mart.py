@@ -111,7 +111,7 @@ def write_mart(
     Months that are not among the line items are no longer part of the mart; see
     :func:`write_month` for a single month. Gives the manifest.
     """
-    return _write(spark, line_items.withColumn(MONTH, F.col("billing_ym")), base, None, csv, rebalance)
+    return _write(spark, line_items, base, None, csv, rebalance)
 
 
 def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: str, csv: bool = False) -> DataFrame:
@@ -122,7 +122,7 @@ def write_month(spark: SparkSession, line_items: DataFrame, base: str, month: st
     month = month.replace("-", "")
     if not month.isalnum():
         raise ValueError(f"not a month: {month}")
-    return _write(spark, line_items.withColumn(MONTH, F.lit(month)), base, month, csv, False)
+    return _write(spark, line_items, base, month, csv, False)
 
 
 def _write(
@@ -131,12 +131,13 @@ def _write(
     version = snapshots.new_version()
     folder = snapshots.version_folder(base, version)
     try:
-        costs = _aligned(fact(line_items), FACT_TABLE)
+        # Rows are moved as they came: the flags, exact costs and month that are made of them need not ride along.
+        laid_out = line_items.hint("rebalance", "billing_ym") if rebalance else line_items
+        costs = _aligned(fact(laid_out.withColumn(MONTH, F.col("billing_ym") if month is None else F.lit(month))), FACT_TABLE)
         extra = [f for f in costs.schema.fields if f.name not in table_schema(FACT_TABLE).fieldNames()]
         seen = Observation()
         counted = costs.observe(seen, F.count("*").alias("rows"))
-        laid_out = counted.hint("rebalance", MONTH) if rebalance else counted
-        laid_out.write.partitionBy(MONTH).parquet(f"{folder}/table={FACT_TABLE}")
+        counted.write.partitionBy(MONTH).parquet(f"{folder}/table={FACT_TABLE}")
         rows = observed(seen).get("rows", 0)
         counts = {FACT_TABLE: rows, **_write_summaries(spark, folder, rows)}
         _write_file_list(spark, base, version, month)
@@ -157,12 +158,12 @@ def _write(
 def _write_summaries(spark: SparkSession, folder: str, line_items: int) -> dict[str, int]:
     """All ten summaries of a version in one write; the number of rows of each."""
     stored = spark.read.schema(table_schema(FACT_TABLE)).parquet(f"{folder}/table={FACT_TABLE}")
-    rows = _side_by_side(summarise_all(stored, by=[MONTH]))
+    rows = summarise_all(stored, by=[MONTH])
     # Few rows make many small files, which tasks share evenly; where there are many, files are split by size.
     few = line_items <= FEW_ROWS
     rows = rows.repartition(max(8, spark.sparkContext.defaultParallelism), "table", MONTH) if few else rows.hint("rebalance", "table", MONTH)
     seen = Observation()
-    counted = rows.observe(seen, *[F.count_if(F.col("table") == name).alias(name) for name in ROLLUP])
+    counted = _side_by_side(rows).observe(seen, *[F.count_if(F.col("table") == name).alias(name) for name in ROLLUP])
     counted.write.mode("append").partitionBy("table", MONTH).parquet(folder)
     return observed(seen)
 
