@@ -64,7 +64,7 @@ register(
 
 def _csv_path(spark: SparkSession, sf_dir: str) -> str:
     def write(path: str) -> None:
-        cost_table(spark, sf_dir).write.csv(path, header=True, quoteAll=True)
+        cost_table(spark, sf_dir).write.csv(path, header=True, quoteAll=True, compression="gzip")  # as bills are delivered
 
     return written_once(spark, sf_dir, "cost-csv", write)
 
