@@ -6,6 +6,7 @@ import posixpath
 import sys
 import types
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,20 @@ def staged_path(df: DataFrame, label: str) -> str:
     return path
 
 
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Within the block, what a query has shuffled leaves the disks when the query ends; else it stays until the driver collects garbage."""
+    before = spark.conf.get(LET_GO, "false")
+    spark.conf.set(LET_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(LET_GO, before)
+
+
 def open_store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system and path of a folder or file; a path without a scheme is a local one."""
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

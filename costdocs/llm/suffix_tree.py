@@ -4,7 +4,8 @@ Texts become chunks of word numbers with a dictionary each, a table that is writ
 moved. Counts are made in rounds. Every chunk sends the hashes of what it holds (words, then contexts
 with a next symbol) in order, as differences, with its own counts, to buckets of the range of
 hashes; a bucket adds up and answers each chunk in the same order. Only answers are written, in a
-folder per part of the chunk table, and a chunk's task reads its own. So words move once per chunk
+folder per part of the chunk table, and a chunk's task reads its own; what a round shuffled leaves the
+disks as soon as its answers are written. So words move once per chunk
 and not once per occurrence, and nothing that grows with the vocabulary is sent whole to a task.
 
 Contexts grow word by word. A context is a candidate if it occurs ``least`` times in the training
@@ -32,20 +33,24 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from costdocs.llm.common import open_store, staged, text_batches
+from costdocs.llm.common import open_store, shuffles_let_go, staged
 from costdocs.sources.scratch import scratch_path
 
 CHUNK_TOKENS = 1 << 19
+CHUNK_BYTES = 1 << 26  # of words, which a chunk has as they are until it is full
 WINDOW_TOKENS = 1 << 16  # rows that are sent at once
+RUN_BYTES = 1 << 20  # texts that are split into words at once
 FOLDS, HELD_OUT = 7, 2
 
 
@@ -67,24 +72,53 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self)
-        return code
+def _squeeze(values: np.ndarray) -> bytes:
+    """Numbers of eight bytes by as many byte planes as the largest needs, compressed; first comes the number of planes."""
+    import zstandard
+
+    whole = values.view(np.uint64)
+    if values.dtype == np.int64:  # the sign goes last
+        whole = (values << 1 ^ values >> 63).view(np.uint64)
+    planes = max(1, -(-int(whole.max(initial=0)).bit_length() // 8))
+    raw = b"".join((whole >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(planes))
+    return bytes([planes]) + zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed: most high bytes are zero."""
+def _unsqueeze(raw: bytes, kind: type) -> np.ndarray:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    whole = np.zeros(planes.shape[1], np.uint64)
+    for i, plane in enumerate(planes):
+        whole |= plane.astype(np.uint64) << np.uint64(8 * i)
+    if kind is np.int64:
+        return (whole >> np.uint64(1)).view(np.int64) ^ -(whole & np.uint64(1)).view(np.int64)
+    return whole.view(kind)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    import zstandard
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, one text after the other, and how many each has)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    pieces = split.flatten()
+    some = pc.not_equal(pieces, "")  # white space at either end leaves an empty piece
+    return pieces.filter(some), np.bincount(pc.list_parent_indices(split).filter(some).to_numpy(), minlength=len(texts))
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+def _spelt(words: pa.Array) -> Iterator[bytes]:
+    """The end of a text, and the words; cut from their buffer, which is faster than Arrow's values one by one."""
+    words = words.cast(pa.large_binary())
+    _, ends, raw = words.buffers()
+    cuts, data = np.frombuffer(ends, np.int64, len(words) + 1, 8 * words.offset).tolist(), raw.to_pybytes() if raw else b""
+    return chain([b""], (data[a:b] for a, b in pairwise(cuts)))
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of about ``RUN_BYTES``: (index of the first, texts)."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // RUN_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)]
+    for first, end in pairwise(cuts):
+        if first < end:
+            yield first, texts.slice(first, end - first)
 
 
 _CHUNK = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, codes binary, words binary, counts binary, train long"
@@ -100,33 +134,40 @@ def chunked(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
         import xxhash
 
         def row() -> pa.RecordBatch:
-            flat = np.concatenate(parts)
+            coded = pa.concat_arrays(parts).dictionary_encode()
+            flat = np.zeros(sum(lengths), np.int64)
+            inner = np.ones(len(flat), bool)
+            inner[np.cumsum(lengths) - 1] = False
+            flat[inner] = coded.indices.to_numpy() + 1
             train = np.repeat(~np.array(held, bool), lengths)
-            words = np.fromiter(map(xxhash.xxh64_intdigest, codes), np.uint64, len(codes)).view(np.int64)
-            counts = _pack(np.bincount(flat[train], minlength=len(codes)))
+            words = np.array([xxhash.xxh64_intdigest(w) for w in _spelt(coded.dictionary)], np.uint64)
+            counts = _squeeze(np.bincount(flat[train], minlength=len(words)))
             number = (part << 32) + made
-            values = [number, ids, held, lengths, _pack(flat), words.tobytes(), counts, int(train.sum())]
+            values = [number, ids, held, lengths, _squeeze(flat.view(np.uint64)), words.tobytes(), counts, int(train.sum())]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         part, made = TaskContext.get().partitionId(), 0
         names = [c.split()[0] for c in _CHUNK.split(", ")]
-        ids, held, lengths, parts, size, codes = [], [], [], [], 0, _Codes({b"": 0})
+        ids, held, lengths, parts, size = [], [], [], [], 0
         for batch in batches:
             of = batch.column("doc_id").to_pylist()
-            for first, texts in text_batches(batch, "text"):
-                for i, text in enumerate(texts, first):
-                    words = (text or "").encode().lower().split()
-                    words.append(b"")
-                    parts.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
+            for first, texts in _runs(batch.column("text")):
+                words, counts = _words(texts)
+                begin = end = 0
+                for i, count in enumerate(counts.tolist(), first):
                     ids.append(of[i])
                     held.append(held_out(of[i]))
-                    lengths.append(len(words))
-                    size += len(words)
-                    if size >= chunk_tokens:
-                        yield row()
-                        made += 1
-                        ids, held, lengths, parts, size, codes = [], [], [], [], 0, _Codes({b"": 0})
+                    lengths.append(count + 1)
+                    size += count + 1
+                    end += count
+                    if size >= chunk_tokens or i + 1 == first + len(texts):
+                        parts.append(words.slice(begin, end - begin))
+                        begin = end
+                        if size >= chunk_tokens or sum(p.nbytes for p in parts) >= CHUNK_BYTES:
+                            yield row()
+                            made += 1
+                            ids, held, lengths, parts, size = [], [], [], [], 0
         if ids:
             yield row()
 
@@ -163,24 +204,25 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values in order of first use, the number of each value)."""
-    coded = pa.array(values).dictionary_encode()
-    return coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
-
-
-def _squeeze(values: np.ndarray) -> bytes:
-    """Numbers of eight bytes by byte planes, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _unsqueeze(raw: bytes, kind: type) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, ascending, the number of each value, the place at which each distinct one is first)."""
+    if not len(values):
+        return values, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, bits = values.min(), np.uint64(len(values).bit_length())
+    if (int(values.max()) - int(low)).bit_length() + int(bits) <= 64:  # numbers are sorted faster than places by numbers
+        packed = np.sort((values - low).astype(np.uint64) << bits | np.arange(len(values), dtype=np.uint64))
+        order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        packed >>= bits
+    else:
+        order = np.argsort(values, kind="stable")
+        packed = values[order]
+    new = np.empty(len(values), bool)
+    new[0] = True
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    return values[first], number, first
 
 
 class _Chunk:
@@ -192,7 +234,7 @@ class _Chunk:
         self.words = np.frombuffer(row["words"], "<i8").view(np.uint64)
         self.lengths = np.array(row["lengths"], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
-        self.codes = _unpack(row["codes"]).astype(np.int64)
+        self.codes = _unsqueeze(row["codes"], np.uint64).view(np.int64)
         if told:
             self.c = np.zeros(len(self.words), np.int64)
             self.c[np.argsort(self.words)] = np.abs(told[0]["n"])
@@ -201,8 +243,9 @@ class _Chunk:
             self.known = self.c >= self.floors[1]
 
     def order(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(order, short keys in order) in which keys are sent and answered."""
-        order = np.argsort(keys)  # of whole keys, which are distinct, so any way of sorting gives the same
+        """(order, short keys in order) in which keys are sent and answered: by their high bits, then as they are numbered."""
+        low = np.uint64((1 << len(keys).bit_length()) - 1)
+        order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
         return order, keys[order] >> np.uint64(64 - self.learnt.bits)
 
     def first(self) -> Grams:
@@ -225,8 +268,9 @@ class _Chunk:
     def _grams(self, keys: np.ndarray, totals: np.ndarray, here: np.ndarray, kept: np.ndarray) -> Grams:
         before = _after(here, self.begins)
         at = np.flatnonzero((before >= 0) & kept)
-        pairs, entry = _numbered(before[at] * len(self.c) + self.codes[at])
-        context, symbol = pairs // max(1, len(self.c)), pairs % max(1, len(self.c))
+        context, symbol = before[at], self.codes[at]
+        _, entry, first = _numbered(context * len(self.c) + symbol)
+        context, symbol = context[first], symbol[first]
         return Grams(keys, totals, before, at, entry, context, symbol, _mixed(keys[context] * np.uint64(0x9E3779B97F4A7C15) + self.words[symbol]))
 
     def train_counts(self, grams: Grams) -> np.ndarray:
@@ -337,25 +381,26 @@ def _sent(buckets: int):
         sets = []
         if not chunk.told:
             order = np.argsort(chunk.words)
-            sets.append((True, chunk.words[order], 64, [_unpack(chunk.row["counts"]).astype(np.int64)[order]]))
+            sets.append((True, chunk.words[order], 64, _unsqueeze(chunk.row["counts"], np.int64)[order], []))
         else:
             level, last, signed = chunk.replay()
             bits = chunk.learnt.bits
             if level is not None:
                 order, short = chunk.order(level.keys)
-                sets.append((True, short, bits, [chunk.train_counts(level)[order]]))
+                sets.append((True, short, bits, chunk.train_counts(level)[order], []))
             if last is not None:
                 used, short = chunk.used(last)
                 kept, lower, gain = chunk.sums(last, signed)
-                sets.append((False, short, bits, [x[used] for x in (kept, last.totals, lower, gain)]))
-        for entry, keys, bits, values in sets:
+                sets.append((False, short, bits, kept[used], [x[used] for x in (last.totals, lower, gain)]))
+        for entry, keys, bits, n, sums in sets:
             high = keys >> np.uint64(bits - 32) if bits > 32 else keys << np.uint64(32 - bits)
             bucket = (high * np.uint64(buckets)) >> np.uint64(32)
             rows = []
             for first, end in zip(*(np.searchsorted(bucket, np.unique(bucket), side) for side in ("left", "right"))):
                 steps = np.diff(keys[first:end], prepend=np.uint64(0))
-                blobs = [_squeeze(x[first:end]) for x in values]
-                rows.append([entry, int(bucket[first]), chunk.row["chunk"], _squeeze(steps), *blobs, *[None] * (4 - len(blobs))])
+                some = n[first:end] > 0  # a context to which this chunk adds nothing is only asked for
+                blobs = [_squeeze(x[first:end][some]) for x in sums] or [None] * 3
+                rows.append([entry, int(bucket[first]), chunk.row["chunk"], _squeeze(steps), _squeeze(n[first:end]), *blobs])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
@@ -372,24 +417,26 @@ def _met(floor: float, divergence: float):
         rows = rows.sort_by("chunk")
         keys = [np.cumsum(_unsqueeze(x, np.uint64), dtype=np.uint64) for x in rows["keys"].to_pylist()]
         ends = np.cumsum([len(x) for x in keys])[:-1]
-        distinct, of = _numbered(np.concatenate(keys))
-        size = len(distinct)
-        first = np.empty(size, np.int64)
-        first[of[::-1]] = np.arange(len(of))[::-1]
+        _, of, first = _numbered(np.concatenate(keys))
+        size = len(first)
 
-        def total(name: str, kind: type) -> np.ndarray:
-            return np.bincount(of, np.concatenate([_unsqueeze(x, kind) for x in rows[name].to_pylist()]), size)
+        def sent(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([_unsqueeze(x, kind) for x in rows[name].to_pylist()])
 
-        n, fresh = total("n", np.int64).astype(np.int64), np.zeros(len(keys), np.int64)
+        each, fresh = sent("n", np.int64), np.zeros(len(keys), np.int64)
+        n = np.bincount(of, each, size).astype(np.int64)
         fresh[0] = np.count_nonzero(n)
         if rows["entry"][0].as_py():
             n[n < floor] = 0
             answer = -n[of]
             answer[first] = n
         else:
-            whole = np.concatenate([_unsqueeze(x, np.int64) for x in rows["total"].to_pylist()])[first]
-            rest = np.maximum(0.0, 1 - n / np.maximum(whole, 1))
-            gain = total("gain", np.float64) + rest * np.log(np.maximum(rest, 1e-300) / np.maximum(1e-300, 1 - total("q", np.float64)))
+            added = of[each > 0]  # the contexts of what came with sums
+            whole = np.ones(size, np.int64)
+            whole[added[::-1]] = sent("total", np.int64)[::-1]
+            gain, lower = (np.bincount(added, sent(name, np.float64), size) for name in ("gain", "q"))
+            rest = np.maximum(0.0, 1 - n / whole)
+            gain = gain + rest * np.log(np.maximum(rest, 1e-300) / np.maximum(1e-300, 1 - lower))
             answer = np.where(gain >= divergence, n, 0)[of]
         blobs = [_squeeze(x) for x in np.split(answer, ends)]
         part = np.array(rows["chunk"].to_pylist(), np.int64) >> 32
@@ -431,7 +478,8 @@ def suffix_tree_scores(docs: DataFrame, growth: Growth = Growth(), chunk_tokens:
         sets = chunks.mapInArrow(_each_chunk(folders, learnt, growth, _sent(buckets)), _SETS)
         answers = sets.groupBy("entry", "bucket").applyInArrow(_met(growth.floors(train)[1] if turn else 0, growth.divergence), _ANSWERS)
         folders = [*folders, scratch_path(spark, f"answers-{turn}")]
-        answers.repartition("part").write.partitionBy("part").parquet(folders[-1])
+        with shuffles_let_go(spark):
+            answers.repartition("part").write.partitionBy("part").parquet(folders[-1])
         if not turn:
             learnt = replace(learnt, vocabulary=spark.read.schema("fresh long").parquet(folders[0]).agg(F.sum("fresh")).first()[0] or 0)
     return chunks.mapInArrow(_each_chunk(folders, learnt, growth, _scored), _SCORES)
