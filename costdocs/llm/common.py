@@ -47,6 +47,20 @@ def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(LET_GO, before)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> Iterator[None]:
+    """Queries run within the block hand their rows to Python about ``size`` bytes at a time, however long the texts are."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def open_store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system and path of a folder or file; a path without a scheme is a local one."""
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

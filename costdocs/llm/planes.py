@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from costdocs.llm.common import open_store, staged, text_batches, write_then_rename
+from costdocs.llm.common import open_store, small_batches, staged, text_batches, write_then_rename
 from costdocs.llm.tokens import encoder, vocabulary, with_end
 from costdocs.sources.scratch import scratch_path
 
@@ -166,7 +166,8 @@ def write_planes(
     order = ["doc_id", F.xxhash64("text")]
     rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     shards = rows.mapInArrow(write, "part int, seq int, file string, n_ids long, n_docs long")
-    manifest = staged(shards, "plane-shards")
+    with small_batches(docs.sparkSession):
+        manifest = staged(shards, "plane-shards")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 

@@ -85,6 +85,20 @@ def test_files_hold_all_ids_in_order(spark, messy, form, shard):
         assert len(planes.read_block(file, index, last)) == index["blocks"][last][1] <= form.block_ids
 
 
+def test_a_worker_gets_a_few_texts_at_a_time(spark, monkeypatch):
+    texts, batch_size = planes.text_batches, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def watched(batch, column):
+        assert batch.nbytes < 8 << 20, f"{batch.nbytes} bytes of texts at a time"
+        return texts(batch, column)
+
+    monkeypatch.setattr(planes, "text_batches", watched)
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('ab ', 200000 + int(id)) AS text").coalesce(1)
+    rows = read_all(spark, docs, planes.Format())[2]
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == [(i, 200_001 + i) for i in range(60)]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == batch_size
+
+
 def test_no_documents(spark, no_docs):
     assert planes.plane_digest(spark, no_docs).collect() == []
     assert packing.pack_documents(no_docs).collect() == []
