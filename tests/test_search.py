@@ -181,3 +181,53 @@ def test_chunks_of_equal_names_are_told_apart(spark):
     found = search.search_store(store, queries, 2, 1, 0.0).collect()
     assert [(r["rank"], r["id"], r["text"], r["metadata"]["url"]) for r in found] == [(1, "index#s00#0000", "one", "/a/index.html")]
     assert sorted(r["text"] for r in search.search_store(store, queries, 2, 2, 0.0).collect()) == ["one", "two"]
+
+
+def unit_ids(matrix, k):
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    scores = [np.einsum("ij,ij->i", np.repeat(q[None, :], len(unit), axis=0), unit) for q in unit]
+    return {(q, i, rank) for q, row in enumerate(scores) for rank, i in enumerate(sorted(range(len(row)), key=lambda i: (-row[i], i))[:k], 1)}
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_hits_of_blocks_do_not_grow_with_the_files_of_the_corpus(spark, monkeypatch, parts):
+    monkeypatch.setattr(search, "LEAST_ROWS", 1, raising=False)
+    points = np.random.default_rng(3).normal(size=(48, 6))
+    left = vectors(spark, points, "id", parts).select("id", F.col("embedding").alias("vector"))
+    right = vectors(spark, points, "query_id", 2).select("query_id", F.col("embedding").alias("query_vector"))
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("raw_score", pa.float64())])
+    hits = search._block_hits(left, right, 3, schema, "query_id long, id long, raw_score double", 64 << 20)
+    assert hits.count() == 48 * 3
+
+
+@pytest.mark.parametrize("options", [{}, {"max_local_queries": 3}, {"max_local_queries": 3, "block_bytes": 1000}])
+def test_scores_that_single_precision_cannot_tell_apart(spark, options):
+    noise = np.random.default_rng(4)
+    near = noise.normal(size=(1, 12)) + 1e-9 * noise.normal(size=(150, 12))
+    points = np.concatenate([near, near[:20], noise.normal(size=(60, 12)), 1e20 * near[:1], 1e-30 * noise.normal(size=(5, 12)), 1e30 * noise.normal(size=(5, 12))])
+    got = search.top_k(vectors(spark, points, "vec_id"), vectors(spark, points, "query_id", 3), 11, **options)
+    assert found(got) == unit_ids(points, 11)
+
+
+def test_rows_of_one_query_id_are_one_query_with_and_without_blocks(spark):
+    asked = vectors(spark, QUERIES, "query_id").withColumn("query_id", F.col("query_id") % 3)
+    corpus = vectors(spark, CORPUS, "vec_id", 9)
+    whole, blocks = ([(r["query_id"], r["rank"], r["raw_score"]) for r in search.top_k(corpus, asked, 8, **options).orderBy("query_id", "rank").collect()] for options in ({}, {"max_local_queries": 3}))
+    assert whole == blocks and [r[1] for r in whole] == [*range(1, 9)] * 3
+
+
+def test_hits_of_blocks_are_not_taken_for_a_small_table(spark):
+    corpus, texts = vectors(spark, CORPUS, "vec_id"), spark.range(400).selectExpr("id AS vec_id", "cast(id AS string) AS text")
+    hits = search.top_k(corpus, vectors(spark, QUERIES, "query_id"), 5, max_local_queries=3)
+    for joined in (search.contexts(hits, texts), search.average_scores(spark.range(9), hits, "id")):
+        assert "BuildRight" not in joined._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_blocks_and_shards():
+    rows, gb = search.BLOCK_ROWS, 1 << 30
+    assert search._grid(3_000_000, gb, 3_000_000, 500, 20, 8, 64 << 20) == (-(-3_000_000 // rows), 1)
+    assert search._grid(5_000, 1 << 20, 3_000_000, 500, 20, 8, 64 << 20) == (5, 4)
+    assert search._grid(5_000, 1 << 20, 3_000_000, 2, 20, 8, 64 << 20) == (5, 2)
+    assert search._grid(5_000, 1 << 20, 100 * search.SHARD_ROWS, 500, 20, 8, 64 << 20) == (5, 100)
+    assert search._grid(50_000, 1 << 20, 50_000, 9, 1000, 2, 64 << 20) == (48, 1)
+    assert search._grid(1, 100, 0, 0, 20, 8, 64 << 20) == (1, 1)
